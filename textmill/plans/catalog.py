@@ -45,3 +45,78 @@ def q_budget_usage(spark, sf):
     docs = corpus_docs(spark, sf)
     budgets = B.group_fraction_budgets(docs, BUDGET_FRACTION)
     return B.budget_usage(B.byte_budget_prefix(docs, budgets))
+
+
+# --- mixing and packing ------------------------------------------------------
+from textmill.functions import tokens as TK  # noqa: E402
+from textmill.operators import mixing as MX  # noqa: E402
+from textmill.operators import packing as PK  # noqa: E402
+
+PACK_BLOCK, PACK_EVAL, PACK_SHARD = 4096, 100, 128
+RESUME_STEP = 3
+
+
+def mix_inputs(spark, sf):
+    """Main = en + fr (files ``lang/source``), repeated = de, capped = es."""
+    d = corpus_docs(spark, sf).withColumn("file", F.concat_ws("/", "group", "file"))
+    main = d.where(F.col("group").isin("en", "fr"))
+    rep = d.where(F.col("group") == "de")
+    cap = d.where(F.col("group") == "es")
+    return main, rep, cap
+
+
+def mixed_docs(spark, sf):
+    return MX.ratio_mix(*mix_inputs(spark, sf))
+
+
+def packed(spark, sf):
+    offs = PK.token_offsets(mixed_docs(spark, sf))
+    return PK.pack_blocks(offs, TK.byte_encode("text"), PACK_BLOCK, PACK_EVAL, PACK_SHARD)
+
+
+@register("round_robin")
+def q_round_robin(spark, sf):
+    d = MX.round_robin(corpus_docs(spark, sf))
+    return d.select("group", "doc_id", "in_file", "rr_pos")
+
+
+@register("ratio_mix")
+def q_ratio_mix(spark, sf):
+    return mixed_docs(spark, sf).select("mix_pos", "role", "doc_id", "src_idx")
+
+
+@register("token_offsets")
+def q_token_offsets(spark, sf):
+    return PK.token_offsets(mixed_docs(spark, sf)).select("mix_pos", "n_tokens", "tok_start")
+
+
+@register("pack_blocks")
+def q_pack_blocks(spark, sf):
+    b = packed(spark, sf)
+    return b.select("block_idx", "split", "shard", "local_idx",
+                    F.size("input_ids").alias("n_ids"), TK.ids_md5("input_ids").alias("ids_md5"))
+
+
+@register("pack_metadata")
+def q_pack_metadata(spark, sf):
+    offs = PK.token_offsets(mixed_docs(spark, sf))
+    return PK.pack_metadata(offs, None, PACK_BLOCK, PACK_EVAL, PACK_SHARD)
+
+
+@register("block_lookup")
+def q_block_lookup(spark, sf):
+    b = packed(spark, sf).select("block_idx", "split", "shard").cache()
+    shards = PK.shard_index(b).select("shard", "n_blocks")
+    idx = b.where(F.col("split") == "train").select((F.col("block_idx") - PACK_EVAL).alias("train_idx"))
+    return PK.block_lookup(idx, shards)
+
+
+@register("resume_skip")
+def q_resume_skip(spark, sf):
+    b = packed(spark, sf).select("block_idx", "split")
+    return PK.resume_skip(b, RESUME_STEP, 8, PACK_EVAL).select("block_idx", "train_idx")
+
+
+@register("packed_validate")
+def q_packed_validate(spark, sf):
+    return PK.validate_blocks(packed(spark, sf), PACK_BLOCK)

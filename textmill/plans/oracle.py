@@ -37,3 +37,139 @@ WITH {_BUDGETS}
 SELECT "group", count(*) AS consumed_docs, CAST(sum(block_bytes) AS BIGINT) AS consumed_bytes
 FROM run WHERE cum_bytes <= budget GROUP BY "group"
 """
+
+
+# --- mixing and packing ------------------------------------------------------
+def byte_rank(b: str) -> str:
+    """Rank of a byte's visible character in the byte-level alphabet."""
+    return (f"CASE WHEN {b} BETWEEN 33 AND 126 THEN {b} - 33 WHEN {b} BETWEEN 161 AND 172 THEN {b} - 67 "
+            f"WHEN {b} BETWEEN 174 AND 255 THEN {b} - 68 WHEN {b} <= 32 THEN {b} + 188 "
+            f"WHEN {b} BETWEEN 127 AND 160 THEN {b} + 94 ELSE 255 END")
+
+
+def byte_ids(text: str) -> str:
+    """Byte-tokenizer ids of a text (no EOS)."""
+    b = "('0x' || h)::INTEGER"
+    return (f"list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            f"lambda h: ({byte_rank(b)}) + 12)")
+
+
+SQL["round_robin"] = f"""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY "group", file ORDER BY line) - 1 AS in_file FROM {DOCS} d)
+SELECT "group", doc_id, in_file,
+       row_number() OVER (PARTITION BY "group" ORDER BY in_file, file) - 1 AS rr_pos
+FROM f
+"""
+
+
+def _role(ph: str, sl: str) -> str:
+    return (f"CASE WHEN ({ph} = 1 AND {sl} < 6) OR ({ph} = 2 AND {sl} < 7) THEN 'main' "
+            f"WHEN {ph} = 1 AND {sl} = 9 THEN 'capped' ELSE 'repeat' END")
+
+
+# The mix generator walked one slot at a time: phase 1 cycles are 6 main,
+# 3 repeat, 1 capped; when the capped source has nothing left at its slot,
+# phase 2 cycles of 7 main, 3 repeat begin.  The walk stops at the first main
+# slot with no main document left.
+MIX_CTE = f"""
+docs AS (SELECT CASE WHEN lang IN ('en', 'fr') THEN 'main' WHEN lang = 'de' THEN 'repeat'
+                     WHEN lang = 'es' THEN 'capped' END AS role,
+                lang || '/' || source AS file, doc_id AS line, doc_id, text FROM documents),
+rr1 AS (SELECT *, row_number() OVER (PARTITION BY role, file ORDER BY line) - 1 AS in_file
+        FROM docs WHERE role IS NOT NULL),
+rr AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY in_file, file) - 1 AS src_idx FROM rr1),
+cnt AS (SELECT count(*) FILTER (WHERE role = 'main') AS k, count(*) FILTER (WHERE role = 'repeat') AS n,
+               count(*) FILTER (WHERE role = 'capped') AS c FROM rr),
+walk(pos, phase, slot, ki, ei, ci, role) AS (
+  SELECT 0, 1, 0, 0, 0, 0, 'main' FROM cnt WHERE k > 0
+  UNION ALL
+  SELECT pos, phase, slot, ki, ei, ci, {_role('phase', 'slot')} FROM (
+    SELECT w.pos + 1 AS pos,
+           CASE WHEN w.phase = 1 AND w.slot = 8 AND w.ci >= cnt.c THEN 2 ELSE w.phase END AS phase,
+           CASE WHEN w.phase = 1 AND w.slot = 8 AND w.ci >= cnt.c THEN 0 ELSE (w.slot + 1) % 10 END AS slot,
+           w.ki + CAST(w.role = 'main' AS INTEGER) AS ki,
+           w.ei + CAST(w.role = 'repeat' AS INTEGER) AS ei,
+           w.ci + CAST(w.role = 'capped' AS INTEGER) AS ci,
+           cnt.k AS k
+    FROM walk w, cnt) t
+  WHERE NOT ({_role('phase', 'slot')} = 'main' AND ki >= k)
+),
+mix AS (SELECT w.pos AS mix_pos, w.role,
+               CASE w.role WHEN 'main' THEN w.ki WHEN 'repeat' THEN w.ei % cnt.n ELSE w.ci END AS src_idx
+        FROM walk w, cnt),
+mixed AS (SELECT m.mix_pos, m.role, rr.doc_id, m.src_idx, rr.text
+          FROM mix m JOIN rr ON rr.role = m.role AND rr.src_idx = m.src_idx)
+"""
+
+SQL["ratio_mix"] = f"""
+WITH RECURSIVE {MIX_CTE}
+SELECT mix_pos, role, doc_id, src_idx FROM mixed
+"""
+
+_OFFS = f"""
+offs AS (SELECT mix_pos, role, CAST(strlen(text) + 1 AS BIGINT) AS n_tokens,
+                CAST(coalesce(sum(strlen(text) + 1) OVER (ORDER BY mix_pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tok_start,
+                text
+         FROM mixed WHERE strlen(text) > 0)
+"""
+
+SQL["token_offsets"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}
+SELECT mix_pos, n_tokens, tok_start FROM offs
+"""
+
+_BLOCKS = f"""
+toks AS (SELECT tok_start, {byte_ids('text')} || [3] AS ids FROM offs),
+flat AS (SELECT tok_start + unnest(range(len(ids))) AS off, unnest(ids) AS id FROM toks),
+nb AS (SELECT sum(n_tokens) // 4096 AS n_blocks FROM offs),
+blocks AS (SELECT off // 4096 AS block_idx, count(*) AS n_ids,
+                  md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY off)) AS ids_md5
+           FROM flat GROUP BY off // 4096),
+kept AS (SELECT b.* FROM blocks b, nb WHERE b.block_idx < nb.n_blocks)
+"""
+
+SQL["pack_blocks"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
+SELECT CAST(block_idx AS BIGINT) AS block_idx,
+       CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split,
+       CAST(CASE WHEN block_idx < 100 THEN NULL ELSE (block_idx - 100) // 128 END AS BIGINT) AS shard,
+       CAST(CASE WHEN block_idx < 100 THEN block_idx ELSE (block_idx - 100) % 128 END AS BIGINT) AS local_idx,
+       CAST(n_ids AS INTEGER) AS n_ids, ids_md5
+FROM kept
+"""
+
+SQL["pack_metadata"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}
+SELECT 4096 AS block_size, 128 AS blocks_per_file, count(*) AS total_docs,
+       count(*) FILTER (WHERE role = 'main') AS docs_main,
+       count(*) FILTER (WHERE role = 'repeat') AS docs_repeat,
+       count(*) FILTER (WHERE role = 'capped') AS docs_capped,
+       CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
+       CAST(sum(n_tokens) // 4096 AS BIGINT) AS total_blocks,
+       CAST(least(sum(n_tokens) // 4096, 100) AS BIGINT) AS eval_blocks,
+       CAST(greatest(sum(n_tokens) // 4096 - 100, 0) AS BIGINT) AS train_blocks
+FROM offs
+"""
+
+_TRAIN_IDX = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS},
+nb AS (SELECT CAST(sum(n_tokens) // 4096 AS BIGINT) AS n_blocks FROM offs),
+tr AS (SELECT CAST(i AS BIGINT) AS block_idx, CAST(i - 100 AS BIGINT) AS train_idx
+       FROM nb, range(100, nb.n_blocks) t(i))
+"""
+
+SQL["block_lookup"] = _TRAIN_IDX + """
+SELECT train_idx, train_idx // 128 AS shard, train_idx % 128 AS local_idx FROM tr
+"""
+
+SQL["resume_skip"] = _TRAIN_IDX + """
+SELECT block_idx, train_idx FROM tr WHERE train_idx >= 3 * 8
+"""
+
+SQL["packed_validate"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
+SELECT CAST(block_idx AS BIGINT) AS block_idx, 'x' AS split, CAST(NULL AS BIGINT) AS shard,
+       CAST(n_ids AS INTEGER) AS width
+FROM kept WHERE n_ids <> 4096
+"""
