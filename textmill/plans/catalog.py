@@ -120,3 +120,100 @@ def q_resume_skip(spark, sf):
 @register("packed_validate")
 def q_packed_validate(spark, sf):
     return PK.validate_blocks(packed(spark, sf), PACK_BLOCK)
+
+
+# --- scans over JSON lines derived from the tables ----------------------------
+from textmill.sources import jsonl as J  # noqa: E402
+from textmill.sources.tables import conversation_pairs, table  # noqa: E402
+
+# Fixed edge-case lines appended to the derived JSONL "files".
+TEXT_EDGE_LINES = ['{"text": " a "}', "", "bad{", '{"text": 5}', '{"text": null}', '{"no": 1}',
+                   "[1]", '{"text": "  "}', '{"text": true}']
+SFT_EDGE_LINES = ["bad{", '{"prompt": "  ", "response": "x"}', '{"prompt": null, "response": "x"}',
+                  '{"prompt": false, "response": "x"}', '{"prompt": [], "response": "x"}', "[1, 2]",
+                  '{"prompt": "p", "response": {}}', '{"id": 7, "prompt": "p", "response": "r"}']
+
+
+def json_escape(c):
+    """JSON string body of a text: escapes backslash, quote, CR, LF and tab."""
+    e = F.col(c) if isinstance(c, str) else c
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        e = F.replace(e, F.lit(a), F.lit(b))
+    return e
+
+
+def _edge_lines(spark, lines, file):
+    rows = [(file, i + 1, s) for i, s in enumerate(lines)]
+    return spark.createDataFrame(rows, "file string, line_no long, raw string")
+
+
+def doc_jsonl_lines(spark, sf):
+    """Four lines per document (object, numeric text, truncated object, blank)
+    in file ``source``, line ``4 * doc_id + k``, plus the fixed edge lines."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    esc = json_escape("text")
+    variants = F.array(
+        F.concat(F.lit('{"text": "'), esc, F.lit('", "doc_id": '), F.col("doc_id").cast("string"), F.lit("}")),
+        F.concat(F.lit('{"text": '), F.col("n_chars").cast("string"), F.lit("}")),
+        F.concat(F.lit('{"text": "'), esc),
+        F.lit(""))
+    lines = d.select(F.col("source").alias("file"), "doc_id", F.posexplode(variants).alias("k", "raw"))
+    lines = lines.select("file", (F.col("doc_id") * 4 + F.col("k") + 1).alias("line_no"), "raw")
+    return lines.unionByName(_edge_lines(spark, TEXT_EDGE_LINES, "inline"))
+
+
+def sft_jsonl_lines(spark, sf):
+    """Five lines per conversation pair (valid, empty response, falsy prompt,
+    valid with id, blank) at line ``8 * pair_id + k``, plus edge lines."""
+    p = conversation_pairs(spark, sf)
+    pe, re_ = json_escape("prompt"), json_escape("response")
+    idl = F.concat(F.lit('"c'), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('"'))
+    variants = F.array(
+        F.concat(F.lit('{"prompt": "'), pe, F.lit('", "response": "'), re_, F.lit('"}')),
+        F.concat(F.lit('{"prompt": "'), pe, F.lit('", "response": ""}')),
+        F.concat(F.lit('{"id": '), idl, F.lit(', "prompt": 0, "response": "'), re_, F.lit('"}')),
+        F.concat(F.lit('{"id": '), idl, F.lit(', "prompt": "'), pe, F.lit('", "response": "'), re_, F.lit('"}')),
+        F.lit(""))
+    lines = p.select(F.lit("sft").alias("file"), "pair_id", F.posexplode(variants).alias("k", "raw"))
+    lines = lines.select("file", (F.col("pair_id") * 8 + F.col("k") + 1).alias("line_no"), "raw")
+    return lines.unionByName(_edge_lines(spark, SFT_EDGE_LINES, "sft_inline"))
+
+
+@register("jsonl_scan_strict")
+def q_jsonl_scan_strict(spark, sf):
+    return J.parse_jsonl_text(doc_jsonl_lines(spark, sf), "strict").select("file", "line_no", "text")
+
+
+@register("jsonl_scan_coerce")
+def q_jsonl_scan_coerce(spark, sf):
+    return J.parse_jsonl_text(doc_jsonl_lines(spark, sf), "coerce").select("file", "line_no", "text")
+
+
+@register("jsonl_scan_lineage")
+def q_jsonl_scan_lineage(spark, sf):
+    d = J.jsonl_with_lineage(doc_jsonl_lines(spark, sf))
+    return d.select("file", "line_number", F.md5("raw_line").alias("raw_md5"), "text", "train_block_bytes")
+
+
+@register("block_scan")
+def q_block_scan(spark, sf):
+    d = table(spark, sf, "documents")
+    b = J.blocks_from_text(d, "text", "\n", keys=["doc_id"])
+    return b.select("doc_id", "block_index", F.md5("block_text").alias("block_md5"), "block_bytes")
+
+
+@register("strip_nonempty")
+def q_strip_nonempty(spark, sf):
+    lines = doc_jsonl_lines(spark, sf)
+    s = lines.withColumn("stripped", J.strip_u("raw")).where(F.length("stripped") > 0)
+    return s.select("file", "line_no", F.char_length("stripped").alias("n_chars"))
+
+
+@register("sft_scan_quality")
+def q_sft_scan_quality(spark, sf):
+    return J.sft_scan_quality(sft_jsonl_lines(spark, sf))
+
+
+@register("generation_samples")
+def q_generation_samples(spark, sf):
+    return J.generation_samples(sft_jsonl_lines(spark, sf))

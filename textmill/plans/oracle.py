@@ -173,3 +173,156 @@ SELECT CAST(block_idx AS BIGINT) AS block_idx, 'x' AS split, CAST(NULL AS BIGINT
        CAST(n_ids AS INTEGER) AS width
 FROM kept WHERE n_ids <> 4096
 """
+
+
+# --- scans over derived JSON lines -------------------------------------------
+# Unicode White_Space code points plus U+001C..U+001F, i.e. the
+# characters Python's str.strip() removes.
+_WS = r"\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def ustrip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def jesc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), "
+            f"chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')")
+
+
+def _values(rows: list[str]) -> str:
+    def q(s):
+        return "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({i + 1}, {q(s)})" for i, s in enumerate(rows))
+
+
+def _edge(name: str):
+    from textmill.plans import catalog
+    return getattr(catalog, name)
+
+
+DOC_LINES = f"""
+lines AS (
+  SELECT source AS file, doc_id * 4 + k + 1 AS line_no, raw FROM (
+    SELECT doc_id, source, 0 AS k, '{{"text": "' || {jesc('text')} || '", "doc_id": ' || doc_id || '}}' AS raw FROM documents
+    UNION ALL SELECT doc_id, source, 1, '{{"text": ' || n_chars || '}}' FROM documents
+    UNION ALL SELECT doc_id, source, 2, '{{"text": "' || {jesc('text')} FROM documents
+    UNION ALL SELECT doc_id, source, 3, '' FROM documents) d
+  UNION ALL SELECT 'inline', line_no, raw FROM (VALUES {{edge}}) t(line_no, raw)),
+parsed AS (SELECT file, line_no, raw, {ustrip('raw')} AS s FROM lines),
+j AS (SELECT *, CASE WHEN s <> '' AND json_valid(s) THEN json_type(s) END AS jt,
+             CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN json_type(s, '$.text') END AS tt
+      FROM parsed)
+"""
+
+
+def _doc_lines() -> str:
+    return DOC_LINES.replace("{edge}", _values(_edge("TEXT_EDGE_LINES")))
+
+
+def _coerced() -> str:
+    return f"""
+coerced AS (SELECT file, line_no, raw, {ustrip('''CASE tt WHEN 'VARCHAR' THEN s->>'$.text' WHEN 'NULL' THEN 'None'
+                 WHEN 'BOOLEAN' THEN CASE WHEN s->>'$.text' = 'true' THEN 'True' ELSE 'False' END
+                 ELSE CAST(json_extract(s, '$.text') AS VARCHAR) END''')} AS text
+            FROM j WHERE tt IS NOT NULL)
+"""
+
+
+def _lazy_sql():
+    SQL["jsonl_scan_strict"] = f"""
+WITH {_doc_lines()}
+SELECT file, line_no, {ustrip("s->>'$.text'")} AS text FROM j
+WHERE tt = 'VARCHAR' AND length({ustrip("s->>'$.text'")}) > 0
+"""
+    SQL["jsonl_scan_coerce"] = f"""
+WITH {_doc_lines()}, {_coerced()}
+SELECT file, line_no, text FROM coerced WHERE length(text) > 0
+"""
+    SQL["jsonl_scan_lineage"] = f"""
+WITH {_doc_lines()}, {_coerced()}
+SELECT file, line_no AS line_number, md5(raw) AS raw_md5, text, CAST(strlen(text) + 2 AS BIGINT) AS train_block_bytes
+FROM coerced WHERE length(text) > 0
+"""
+    SQL["strip_nonempty"] = f"""
+WITH {_doc_lines()}
+SELECT file, line_no, CAST(length(s) AS INTEGER) AS n_chars FROM parsed WHERE length(s) > 0
+"""
+    SQL["sft_scan_quality"] = f"""
+WITH {_sft_lines()}
+SELECT count(*) FILTER (WHERE status = 'blank') AS blank_lines,
+       count(*) FILTER (WHERE status = 'bad') AS bad_lines,
+       count(*) FILTER (WHERE status = 'valid') AS valid_samples
+FROM st
+"""
+    SQL["generation_samples"] = f"""
+WITH {_sft_lines()}
+SELECT line_no, coalesce(id_value, CAST(line_no AS VARCHAR)) AS id, prompt, response AS reference
+FROM st WHERE status = 'valid'
+"""
+
+
+def _falsy(path: str) -> str:
+    t = f"json_type(s, '{path}')"
+    v = f"(s->>'{path}')"
+    return (f"({t} IS NULL OR {t} = 'NULL' OR ({t} = 'VARCHAR' AND {v} = '') "
+            f"OR ({t} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST({v} AS DOUBLE) = 0) "
+            f"OR ({t} = 'BOOLEAN' AND {v} = 'false') OR ({t} = 'ARRAY' AND json_array_length(s, '{path}') = 0) "
+            f"OR ({t} = 'OBJECT' AND CAST(json_extract(s, '{path}') AS VARCHAR) = '{{}}'))")
+
+
+def _pystr(path: str) -> str:
+    t = f"json_type(s, '{path}')"
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 'VARCHAR' THEN s->>'{path}' WHEN {t} = 'NULL' THEN 'None' "
+            f"WHEN {t} = 'BOOLEAN' THEN CASE WHEN s->>'{path}' = 'true' THEN 'True' ELSE 'False' END "
+            f"ELSE CAST(json_extract(s, '{path}') AS VARCHAR) END")
+
+
+PAIRS = """
+pairs AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response,
+                 u.conv_id * 1048576 + u.turn AS pair_id
+          FROM conversations u JOIN conversations a
+            ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+          WHERE u.role = 'user')
+"""
+
+
+def _sft_lines() -> str:
+    idl = "'\"c' || conv_id || '-' || turn || '\"'"
+    pe, re_ = jesc("prompt"), jesc("response")
+    return f"""{PAIRS},
+lines AS (
+  SELECT 'sft' AS file, pair_id * 8 + k + 1 AS line_no, raw FROM (
+    SELECT pair_id, 0 AS k, '{{"prompt": "' || {pe} || '", "response": "' || {re_} || '"}}' AS raw FROM pairs
+    UNION ALL SELECT pair_id, 1, '{{"prompt": "' || {pe} || '", "response": ""}}' FROM pairs
+    UNION ALL SELECT pair_id, 2, '{{"id": ' || {idl} || ', "prompt": 0, "response": "' || {re_} || '"}}' FROM pairs
+    UNION ALL SELECT pair_id, 3, '{{"id": ' || {idl} || ', "prompt": "' || {pe} || '", "response": "' || {re_} || '"}}' FROM pairs
+    UNION ALL SELECT pair_id, 4, '' FROM pairs) d
+  UNION ALL SELECT 'sft_inline', line_no, raw FROM (VALUES {_values(_edge('SFT_EDGE_LINES'))}) t(line_no, raw)),
+parsed AS (SELECT file, line_no, raw, {ustrip('raw')} AS s FROM lines),
+st AS (SELECT file, line_no,
+              CASE WHEN s = '' THEN 'blank'
+                   WHEN NOT json_valid(s) THEN 'bad'
+                   WHEN json_type(s) <> 'OBJECT' THEN 'bad'
+                   WHEN {_falsy('$.prompt')} OR {_falsy('$.response')} THEN 'bad'
+                   ELSE 'valid' END AS status,
+              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.prompt')} END AS prompt,
+              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.response')} END AS response,
+              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.id')} END AS id_value
+       FROM parsed)
+"""
+
+
+SQL["block_scan"] = f"""
+WITH b AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS blk,
+                  unnest(range(1, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) + 1)) AS block_index
+           FROM documents)
+SELECT doc_id, CAST(block_index AS BIGINT) AS block_index, md5({ustrip('blk')}) AS block_md5,
+       CAST(strlen({ustrip('blk')}) + 2 AS BIGINT) AS block_bytes
+FROM b WHERE length({ustrip('blk')}) > 0
+"""
+
+
+def all_sql() -> dict[str, str]:
+    _lazy_sql()
+    return dict(SQL)
