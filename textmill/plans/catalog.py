@@ -217,3 +217,62 @@ def q_sft_scan_quality(spark, sf):
 @register("generation_samples")
 def q_generation_samples(spark, sf):
     return J.generation_samples(sft_jsonl_lines(spark, sf))
+
+
+# --- supervised examples -------------------------------------------------------
+from textmill.operators import ordering as OR  # noqa: E402
+from textmill.operators import sft as SF  # noqa: E402
+
+SFT_MAX_LEN, SFT_MAX_NEW, SFT_BATCH, PROMPT_ROOM = 1024, 128, 8, 64
+RUN_EPOCHS, RUN_MAX_STEPS = 3, 100
+
+
+def sft_examples(spark, sf):
+    return SF.encode_pairs(conversation_pairs(spark, sf), SFT_MAX_LEN)
+
+
+@register("sft_encode")
+def q_sft_encode(spark, sf):
+    e = sft_examples(spark, sf)
+    return e.select("pair_id", F.size("input_ids").alias("n_input"), "n_prompt",
+                    TK.ids_md5("input_ids").alias("input_md5"), TK.ids_md5("labels").alias("labels_md5"))
+
+
+@register("truncate_prompt")
+def q_truncate_prompt(spark, sf):
+    p = conversation_pairs(spark, sf).withColumn("ids", SF.truncate_keep_suffix(TK.byte_encode("prompt"),
+                                                                                 F.lit(PROMPT_ROOM)))
+    return p.select("pair_id", F.size("ids").alias("n_ids"), TK.ids_md5("ids").alias("ids_md5"))
+
+
+@register("generation_prompts")
+def q_generation_prompts(spark, sf):
+    p = conversation_pairs(spark, sf).withColumn(
+        "ids", SF.generation_prompt(TK.byte_encode("prompt"), SFT_MAX_LEN, SFT_MAX_NEW))
+    return p.select("pair_id", F.size("ids").alias("n_ids"), TK.ids_md5("ids").alias("ids_md5"))
+
+
+@register("sft_valid_labels")
+def q_sft_valid_labels(spark, sf):
+    return SF.with_valid_labels(sft_examples(spark, sf)).select("pair_id", "n_supervised")
+
+
+@register("pad_batches")
+def q_pad_batches(spark, sf):
+    e = sft_examples(spark, sf).select("pair_id", "input_ids", "labels")
+    e = OR.range_buckets(e, ["pair_id"])
+    b = SF.pad_batches(e, SFT_BATCH, ["pair_id"], OR.BK)
+    return b.select("pair_id", "batch_id", "padded_len", TK.ids_md5("input_ids").alias("input_md5"),
+                    TK.ids_md5("labels").alias("labels_md5"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+@register("run_plan")
+def q_run_plan(spark, sf):
+    n = conversation_pairs(spark, sf).agg(F.count(F.lit(1)).alias("n_samples"))
+    upd, warm = SF.run_plan(F.col("n_samples"), RUN_EPOCHS)
+    upd_min, _ = SF.run_plan(F.col("n_samples"), RUN_EPOCHS, max_steps=RUN_MAX_STEPS, cap_mode="min")
+    upd_rep, warm_rep = SF.run_plan(F.col("n_samples"), RUN_EPOCHS, max_steps=RUN_MAX_STEPS, cap_mode="replace")
+    return n.select("n_samples", upd.alias("total_updates"), warm.alias("warmup_steps"),
+                    upd_min.alias("updates_capped_min"), upd_rep.alias("updates_capped_replace"),
+                    warm_rep.alias("warmup_capped_replace"))

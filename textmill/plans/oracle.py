@@ -326,3 +326,68 @@ FROM b WHERE length({ustrip('blk')}) > 0
 def all_sql() -> dict[str, str]:
     _lazy_sql()
     return dict(SQL)
+
+
+# --- supervised examples -------------------------------------------------------
+def trunc(p: str, room: str) -> str:
+    return (f"CASE WHEN len({p}) <= ({room}) THEN {p} WHEN ({room}) <= 0 THEN CAST([] AS INTEGER[]) "
+            f"WHEN ({room}) <= 32 THEN {p}[len({p}) - ({room}) + 1:len({p})] "
+            f"ELSE {p}[1:({room}) - 32] || {p}[len({p}) - 31:len({p})] END")
+
+
+SFT_CTE = f"""{PAIRS},
+enc AS (SELECT pair_id, {byte_ids('prompt')} AS p, {byte_ids('response')} || [3] AS r FROM pairs),
+e2 AS (SELECT pair_id, CASE WHEN len(r) >= 1024 THEN r[1:1023] || [3] ELSE r END AS r,
+              CASE WHEN len(r) >= 1024 THEN CAST([] AS INTEGER[]) ELSE p END AS p FROM enc),
+e3 AS (SELECT pair_id, r, {trunc('p', '1024 - len(r)')} AS p FROM e2),
+ex AS (SELECT pair_id, p || r AS input_ids, list_transform(p, lambda x: -100) || r AS labels,
+              len(p) AS n_prompt FROM e3)
+"""
+
+SQL["sft_encode"] = f"""
+WITH {SFT_CTE}
+SELECT pair_id, CAST(len(input_ids) AS INTEGER) AS n_input, CAST(n_prompt AS INTEGER) AS n_prompt,
+       md5(array_to_string(input_ids, ',')) AS input_md5, md5(array_to_string(labels, ',')) AS labels_md5
+FROM ex
+"""
+
+SQL["truncate_prompt"] = f"""
+WITH {PAIRS}, enc AS (SELECT pair_id, {byte_ids('prompt')} AS p FROM pairs),
+t AS (SELECT pair_id, {trunc('p', '64')} AS ids FROM enc)
+SELECT pair_id, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM t
+"""
+
+SQL["generation_prompts"] = f"""
+WITH {PAIRS}, enc AS (SELECT pair_id, {byte_ids('prompt')} AS p FROM pairs),
+t AS (SELECT pair_id, {trunc('p', '1024 - 128')} AS ids FROM enc)
+SELECT pair_id, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM t
+"""
+
+SQL["sft_valid_labels"] = f"""
+WITH {SFT_CTE},
+s AS (SELECT pair_id, len(list_filter(labels[2:len(labels)], lambda x: x <> -100)) AS n_supervised FROM ex)
+SELECT pair_id, CAST(n_supervised AS INTEGER) AS n_supervised FROM s WHERE n_supervised > 0
+"""
+
+SQL["pad_batches"] = f"""
+WITH {SFT_CTE},
+b AS (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 8 AS batch_id FROM ex),
+m AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch_id) AS padded_len FROM b),
+p AS (SELECT pair_id, batch_id, padded_len,
+             input_ids || list_transform(range(padded_len - len(input_ids)), lambda i: 0) AS ids,
+             labels || list_transform(range(padded_len - len(labels)), lambda i: -100) AS lab
+      FROM m)
+SELECT pair_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(padded_len AS INTEGER) AS padded_len,
+       md5(array_to_string(ids, ',')) AS input_md5, md5(array_to_string(lab, ',')) AS labels_md5,
+       CAST(len(list_filter(ids, lambda x: x <> 0)) AS INTEGER) AS mask_sum
+FROM p
+"""
+
+SQL["run_plan"] = f"""
+WITH {PAIRS}, n AS (SELECT count(*) AS n_samples FROM pairs),
+u AS (SELECT n_samples, CAST(greatest(1, n_samples * 3 // 8) AS BIGINT) AS total_updates FROM n)
+SELECT n_samples, total_updates, CAST(floor(total_updates * 0.03) AS BIGINT) AS warmup_steps,
+       CAST(least(total_updates, 100) AS BIGINT) AS updates_capped_min,
+       CAST(100 AS BIGINT) AS updates_capped_replace, CAST(floor(100 * 0.03) AS BIGINT) AS warmup_capped_replace
+FROM u
+"""
