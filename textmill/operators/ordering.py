@@ -92,6 +92,7 @@ def running_total(df: DataFrame, part: Sequence[str], order: Sequence, value,
     """
     part = _names(part)
     v = F.col(value) if isinstance(value, str) else value
+    keep = isinstance(bucket, str) and bucket == BK  # caller-owned bucket column
     if isinstance(bucket, str):
         b = df.withColumn(BK, F.col(bucket)) if bucket != BK else df
     else:
@@ -109,7 +110,8 @@ def running_total(df: DataFrame, part: Sequence[str], order: Sequence, value,
     cum = F.col(_BO) + F.sum(_V).over(w2)
     if exclusive:
         cum = cum - F.col(_V)
-    return j.withColumn(out, cum).drop(BK, _V, _BO)
+    r = j.withColumn(out, cum).drop(_V, _BO)
+    return r if keep else r.drop(BK)
 
 
 def dense_index(df: DataFrame, part: Sequence[str], order: Sequence, bucket,

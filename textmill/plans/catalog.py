@@ -276,3 +276,68 @@ def q_run_plan(spark, sf):
     return n.select("n_samples", upd.alias("total_updates"), warm.alias("warmup_steps"),
                     upd_min.alias("updates_capped_min"), upd_rep.alias("updates_capped_replace"),
                     warm_rep.alias("warmup_capped_replace"))
+
+
+# --- ROUGE ---------------------------------------------------------------------
+from textmill.operators import rouge as RG  # noqa: E402
+
+
+def prediction_pairs(spark, sf):
+    """Predictions (user turns) joined to references (the next assistant
+    turn) on their id."""
+    p = conversation_pairs(spark, sf)
+    return p.select(F.col("pair_id").alias("id"), F.col("prompt").alias("prediction"),
+                    F.col("response").alias("reference"))
+
+
+def _flat(c):
+    return [F.col(f"{c}.{s}").alias(f"{c.replace('rouge', 'r').replace('rL', 'rl')}_{s}") for s in ("p", "r", "f1")]
+
+
+@register("rouge_tokens")
+def q_rouge_tokens(spark, sf):
+    p = prediction_pairs(spark, sf)
+    return p.select("id",
+                    F.size(RG.rouge_tokens("prediction", "char")).alias("pred_chars"),
+                    F.size(RG.rouge_tokens("reference", "char")).alias("ref_chars"),
+                    F.size(RG.rouge_tokens("prediction", "whitespace")).alias("pred_words"),
+                    F.size(RG.rouge_tokens("reference", "whitespace")).alias("ref_words"))
+
+
+@register("ngram_counts")
+def q_ngram_counts(spark, sf):
+    c = RG.ngram_counts(prediction_pairs(spark, sf), (1, 2), "char")
+    return c.groupBy("id", "n").agg(
+        F.count(F.lit(1)).alias("distinct_ngrams"), F.sum("pred_cnt").alias("pred_total"),
+        F.sum("ref_cnt").alias("ref_total"), F.sum(F.least("pred_cnt", "ref_cnt")).alias("overlap"))
+
+
+@register("rouge_scores")
+def q_rouge_scores(spark, sf):
+    r = RG.rouge_n(prediction_pairs(spark, sf), (1, 2), "char")
+    return r.select("id", *_flat("rouge1"), *_flat("rouge2"))
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf):
+    r = RG.rouge_l(prediction_pairs(spark, sf), "char")
+    return r.select("id", "lcs", *_flat("rougeL"))
+
+
+@register("rouge_summary")
+def q_rouge_summary(spark, sf):
+    return RG.average_metrics(RG.compute_rouge(prediction_pairs(spark, sf), "char"))
+
+
+@register("rouge_summary_n")
+def q_rouge_summary_n(spark, sf):
+    r = RG.rouge_n(prediction_pairs(spark, sf), (1, 2), "char")
+    s = RG.average_metrics(r.withColumn("rouge", F.struct("rouge1", "rouge2", F.col("rouge1").alias("rougeL"))))
+    return s.select("samples", *[c for c in s.columns if c.startswith("rouge1") or c.startswith("rouge2")])
+
+
+@register("rouge_running_avg")
+def q_rouge_running_avg(spark, sf):
+    r = RG.rouge_n(prediction_pairs(spark, sf), (1,), "char")
+    r = OR.range_buckets(r, ["id"])
+    return RG.running_average(r, ["id"], OR.BK, F.col("rouge1.f1"), 10)

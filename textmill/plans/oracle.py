@@ -391,3 +391,74 @@ SELECT n_samples, total_updates, CAST(floor(total_updates * 0.03) AS BIGINT) AS
        CAST(100 AS BIGINT) AS updates_capped_replace, CAST(floor(100 * 0.03) AS BIGINT) AS warmup_capped_replace
 FROM u
 """
+
+
+# --- ROUGE ---------------------------------------------------------------------
+_CHARS = f"'[^{_WS}]'"
+_WORDS = f"'[^{_WS}]+'"
+
+
+def _prf(o: str, pn: str, rn: str, name: str) -> str:
+    z = f"({pn} = 0 OR {rn} = 0 OR {o} = 0)"
+    p, r = f"({o} / {pn})", f"({o} / {rn})"
+    return (f"round(CASE WHEN {z} THEN 0.0 ELSE {p} END, 9) AS {name}_p, "
+            f"round(CASE WHEN {z} THEN 0.0 ELSE {r} END, 9) AS {name}_r, "
+            f"round(CASE WHEN {z} THEN 0.0 ELSE 2 * {p} * {r} / ({p} + {r}) END, 9) AS {name}_f1")
+
+
+ROUGE_CTE = f"""{PAIRS},
+tok AS (SELECT pair_id AS id, regexp_extract_all({ustrip("coalesce(prompt, '')")}, {_CHARS}) AS p,
+               regexp_extract_all({ustrip("coalesce(response, '')")}, {_CHARS}) AS r FROM pairs),
+g AS (SELECT id, 1 AS n, 'p' AS side, unnest(p) AS gram FROM tok
+      UNION ALL SELECT id, 1, 'r', unnest(r) FROM tok
+      UNION ALL SELECT id, 2, 'p', unnest(list_transform(range(1, len(p)), lambda i: p[i] || chr(1) || p[i + 1])) FROM tok
+      UNION ALL SELECT id, 2, 'r', unnest(list_transform(range(1, len(r)), lambda i: r[i] || chr(1) || r[i + 1])) FROM tok),
+c AS (SELECT id, n, gram, count(*) FILTER (WHERE side = 'p') AS cp, count(*) FILTER (WHERE side = 'r') AS cr
+      FROM g GROUP BY id, n, gram),
+o AS (SELECT id, n, sum(least(cp, cr)) AS o, sum(cp) AS pn, sum(cr) AS rn FROM c GROUP BY id, n),
+s AS (SELECT t.id,
+             coalesce(max(o.o) FILTER (WHERE o.n = 1), 0) AS o1, coalesce(max(o.pn) FILTER (WHERE o.n = 1), 0) AS pn1,
+             coalesce(max(o.rn) FILTER (WHERE o.n = 1), 0) AS rn1,
+             coalesce(max(o.o) FILTER (WHERE o.n = 2), 0) AS o2, coalesce(max(o.pn) FILTER (WHERE o.n = 2), 0) AS pn2,
+             coalesce(max(o.rn) FILTER (WHERE o.n = 2), 0) AS rn2
+      FROM tok t LEFT JOIN o ON o.id = t.id GROUP BY t.id),
+sc AS (SELECT id, {_prf('o1', 'pn1', 'rn1', 'r1')}, {_prf('o2', 'pn2', 'rn2', 'r2')} FROM s)
+"""
+
+SQL["rouge_tokens"] = f"""
+WITH {PAIRS}
+SELECT pair_id AS id,
+       CAST(len(regexp_extract_all({ustrip("coalesce(prompt, '')")}, {_CHARS})) AS INTEGER) AS pred_chars,
+       CAST(len(regexp_extract_all({ustrip("coalesce(response, '')")}, {_CHARS})) AS INTEGER) AS ref_chars,
+       CAST(len(regexp_extract_all({ustrip("coalesce(prompt, '')")}, {_WORDS})) AS INTEGER) AS pred_words,
+       CAST(len(regexp_extract_all({ustrip("coalesce(response, '')")}, {_WORDS})) AS INTEGER) AS ref_words
+FROM pairs
+"""
+
+SQL["ngram_counts"] = f"""
+WITH {ROUGE_CTE}
+SELECT id, n, count(*) AS distinct_ngrams, CAST(sum(cp) AS BIGINT) AS pred_total,
+       CAST(sum(cr) AS BIGINT) AS ref_total, CAST(sum(least(cp, cr)) AS BIGINT) AS overlap
+FROM c GROUP BY id, n
+"""
+
+SQL["rouge_scores"] = f"""
+WITH {ROUGE_CTE}
+SELECT * FROM sc
+"""
+
+SQL["rouge_summary_n"] = f"""
+WITH {ROUGE_CTE}
+SELECT count(*) AS samples,
+       round(coalesce(avg(r1_p), 0), 9) AS rouge1_p, round(coalesce(avg(r1_r), 0), 9) AS rouge1_r,
+       round(coalesce(avg(r1_f1), 0), 9) AS rouge1_f1, round(coalesce(avg(r2_p), 0), 9) AS rouge2_p,
+       round(coalesce(avg(r2_r), 0), 9) AS rouge2_r, round(coalesce(avg(r2_f1), 0), 9) AS rouge2_f1
+FROM sc
+"""
+
+SQL["rouge_running_avg"] = f"""
+WITH {ROUGE_CTE},
+ra AS (SELECT row_number() OVER (ORDER BY id) AS idx,
+              sum(r1_f1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM sc)
+SELECT CAST(idx AS BIGINT) AS idx, round(s / idx, 9) AS running_mean FROM ra WHERE idx % 10 = 0
+"""
