@@ -341,3 +341,86 @@ def q_rouge_running_avg(spark, sf):
     r = RG.rouge_n(prediction_pairs(spark, sf), (1,), "char")
     r = OR.range_buckets(r, ["id"])
     return RG.running_average(r, ["id"], OR.BK, F.col("rouge1.f1"), 10)
+
+
+# --- run logs ------------------------------------------------------------------
+from textmill.operators import runlog as RL  # noqa: E402
+from textmill.sources.tables import training_log  # noqa: E402
+
+KEEP_CHECKPOINTS = 3
+RETENTION_EDGE_NAMES = ["step_10", "step_9", "step_x", "step_"]
+
+
+def log_text_columns(log):
+    """The log as CSV text: train loss blank on signups and ``nan`` on errors;
+    eval loss only on purchases."""
+    tl = (F.when(F.col("event_type") == "error", F.lit("nan"))
+           .when(F.col("event_type") == "signup", F.lit(""))
+           .otherwise(F.col("loss").cast("string")))
+    el = F.when(F.col("event_type") == "purchase", F.col("loss").cast("string")).otherwise(F.lit(""))
+    return log.select(F.col("global_step").cast("string").alias("step_txt"), tl.alias("train_txt"),
+                      el.alias("eval_txt"))
+
+
+def log_points(spark, sf):
+    t = log_text_columns(training_log(spark, sf))
+    return t.select(RL.coerce_numeric("step_txt").cast("long").alias("step"),
+                    RL.coerce_numeric("train_txt").alias("train_loss"),
+                    RL.coerce_numeric("eval_txt").alias("eval_loss"))
+
+
+@register("eval_loss_ppl")
+def q_eval_loss_ppl(spark, sf):
+    log = training_log(spark, sf)
+    b = log.select("user_id", F.when(F.col("valid"), F.col("loss")).otherwise(F.lit(float("nan"))).alias("loss"))
+    return RL.eval_loss_ppl(b, ["user_id"])
+
+
+@register("masked_nll")
+def q_masked_nll(spark, sf):
+    log = training_log(spark, sf)
+    t = log.select(F.col("user_id").alias("seq"), F.col("global_step").alias("pos"),
+                   F.when(F.col("valid"), F.lit(0)).otherwise(F.lit(-100)).alias("label"),
+                   F.col("loss").alias("nll"))
+    return RL.masked_nll(t)
+
+
+@register("optimizer_steps")
+def q_optimizer_steps(spark, sf):
+    log = training_log(spark, sf)
+    b = RL.optimizer_steps(log, "base").select("global_step", F.col("is_update").alias("update_base"),
+                                               F.col("optimizer_step").alias("opt_step_base"))
+    s = RL.optimizer_steps(log, "summary").select("global_step", F.col("is_update").alias("update_summary"),
+                                                  F.col("optimizer_step").alias("opt_step_summary"))
+    return b.join(s, "global_step")
+
+
+@register("train_log_windows")
+def q_train_log_windows(spark, sf):
+    log = training_log(spark, sf)
+    return RL.train_log_windows(log, "base").unionByName(RL.train_log_windows(log, "summary"))
+
+
+@register("log_points")
+def q_log_points(spark, sf):
+    return log_points(spark, sf)
+
+
+@register("loss_smoothing")
+def q_loss_smoothing(spark, sf):
+    pts = log_points(spark, sf)
+    out = None
+    for series, col, window in (("train", "train_loss", 200), ("eval", "eval_loss", 3)):
+        s = pts.select("step", F.col(col).alias("loss")).where(F.col("loss").isNotNull())
+        s = OR.dense_index(s, [], ["step"], OR.id_bucket("step", 50_000), out="idx")
+        r = RL.rolling_mean(s, "idx", "loss", window).select(F.lit(series).alias("series"), "step", "smooth")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("retention_list")
+def q_retention_list(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("run"),
+                                        F.concat(F.lit("step_"), F.col("p_partkey").cast("string")).alias("name"))
+    edge = spark.createDataFrame([("inline", n) for n in RETENTION_EDGE_NAMES], "run string, name string")
+    return RL.checkpoint_retention(p.unionByName(edge), KEEP_CHECKPOINTS).select("run", "name", "step")

@@ -462,3 +462,87 @@ ra AS (SELECT row_number() OVER (ORDER BY id) AS idx,
               sum(r1_f1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM sc)
 SELECT CAST(idx AS BIGINT) AS idx, round(s / idx, 9) AS running_mean FROM ra WHERE idx % 10 = 0
 """
+
+
+# --- run logs ------------------------------------------------------------------
+LOG = """
+log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS global_step, event_id, user_id, event_type,
+               value AS loss, event_type <> 'error' AS valid FROM events)
+"""
+
+SQL["eval_loss_ppl"] = f"""
+WITH {LOG},
+g AS (SELECT user_id, avg(loss) FILTER (WHERE valid) AS m, count(*) FILTER (WHERE valid) AS valid_steps,
+             count(*) FILTER (WHERE NOT valid) AS skipped_steps FROM log GROUP BY user_id)
+SELECT user_id, coalesce(round(m, 9), 'nan'::DOUBLE) AS eval_loss,
+       CASE WHEN m IS NULL THEN 'inf'::DOUBLE WHEN m < 20 THEN round(exp(m), 9) ELSE 'inf'::DOUBLE END AS perplexity,
+       valid_steps, skipped_steps, skipped_steps AS nan_steps
+FROM g
+"""
+
+SQL["masked_nll"] = f"""
+WITH {LOG}, f AS (SELECT user_id, min(global_step) AS first FROM log GROUP BY user_id)
+SELECT l.user_id AS seq, round(avg(l.loss), 9) AS mean_nll, count(*) AS n_tokens
+FROM log l JOIN f USING (user_id) WHERE l.global_step > f.first AND l.valid GROUP BY l.user_id
+"""
+
+_OPT = f"""
+{LOG},
+o AS (SELECT *, CAST(global_step % 8 = 0 AS BIGINT) AS ub, CAST(global_step % 8 = 0 AND valid AS BIGINT) AS us
+      FROM log),
+o2 AS (SELECT *, sum(ub) OVER (ORDER BY global_step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sb,
+              sum(us) OVER (ORDER BY global_step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ss FROM o)
+"""
+
+SQL["optimizer_steps"] = f"""
+WITH {_OPT}
+SELECT global_step, ub AS update_base, CAST(sb AS BIGINT) AS opt_step_base,
+       us AS update_summary, CAST(ss AS BIGINT) AS opt_step_summary FROM o2
+"""
+
+
+def _win(rule: str) -> str:
+    upd, cum, contrib = ("ub", "sb", "TRUE") if rule == "base" else ("us", "ss", "valid")
+    return f"""
+SELECT '{rule}' AS rule, max(global_step) FILTER (WHERE {upd} = 1 AND {cum} % 10 = 0) AS global_step,
+       CAST((w + 1) * 10 AS BIGINT) AS optimizer_step,
+       round(coalesce(sum(loss) FILTER (WHERE {contrib}), 0) / greatest(count(*) FILTER (WHERE {contrib}), 1), 9)
+         AS train_loss,
+       count(*) FILTER (WHERE {contrib}) AS n_losses
+FROM (SELECT *, ({cum} - {upd}) // 10 AS w FROM o2) t
+GROUP BY w HAVING max(global_step) FILTER (WHERE {upd} = 1 AND {cum} % 10 = 0) IS NOT NULL
+"""
+
+
+SQL["train_log_windows"] = f"WITH {_OPT} {_win('base')} UNION ALL {_win('summary')}"
+
+_POINTS = f"""
+{LOG},
+txt AS (SELECT CAST(global_step AS VARCHAR) AS step_txt,
+               CASE WHEN event_type = 'error' THEN 'nan' WHEN event_type = 'signup' THEN ''
+                    ELSE CAST(loss AS VARCHAR) END AS train_txt,
+               CASE WHEN event_type = 'purchase' THEN CAST(loss AS VARCHAR) ELSE '' END AS eval_txt FROM log),
+pts AS (SELECT CAST(TRY_CAST(step_txt AS DOUBLE) AS BIGINT) AS step,
+               CASE WHEN isnan(TRY_CAST(train_txt AS DOUBLE)) THEN NULL ELSE TRY_CAST(train_txt AS DOUBLE) END AS train_loss,
+               CASE WHEN isnan(TRY_CAST(eval_txt AS DOUBLE)) THEN NULL ELSE TRY_CAST(eval_txt AS DOUBLE) END AS eval_loss
+        FROM txt)
+"""
+
+SQL["log_points"] = f"WITH {_POINTS} SELECT * FROM pts"
+
+SQL["loss_smoothing"] = f"""
+WITH {_POINTS}
+SELECT 'train' AS series, step, round(avg(train_loss) OVER (ORDER BY step ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 9) AS smooth
+FROM pts WHERE train_loss IS NOT NULL
+UNION ALL
+SELECT 'eval', step, round(avg(eval_loss) OVER (ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9)
+FROM pts WHERE eval_loss IS NOT NULL
+"""
+
+SQL["retention_list"] = """
+WITH n AS (SELECT p_brand AS run, 'step_' || p_partkey AS name FROM part
+           UNION ALL SELECT 'inline', x FROM (VALUES ('step_10'), ('step_9'), ('step_x'), ('step_')) t(x)),
+s AS (SELECT run, name, TRY_CAST(split_part(name, '_', -1) AS BIGINT) AS step FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC, name DESC) AS rk FROM s WHERE step IS NOT NULL)
+SELECT run, name, step FROM r WHERE rk > 3
+"""

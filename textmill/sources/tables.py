@@ -44,3 +44,17 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = u.join(a, ["conv_id", "turn"])
     return p.select((F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("pair_id"),
                     "conv_id", "turn", "prompt", "response")
+
+
+def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a per-micro-step log: ``global_step`` = 1-based position
+    in ``(ts, event_id)`` order, ``loss`` = ``value``, ``valid`` = not an
+    ``error`` event.  The dense position uses range buckets on the full key,
+    so a burst of events at one instant does not land in one task."""
+    from textmill.operators.ordering import BK, dense_index, range_buckets
+
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = range_buckets(e, ["ts", "event_id"])
+    e = dense_index(e, [], ["ts", "event_id"], BK, out="global_step", base=1).drop(BK)
+    return e.select("global_step", "event_id", "user_id", "event_type",
+                    F.col("value").alias("loss"), (F.col("event_type") != "error").alias("valid"))
