@@ -143,7 +143,8 @@ def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "fi
 def code_budget(source_bytes: Column, budget) -> tuple[Column, Column]:
     """A3: bytes a budgeted writer takes from a code file of ``source_bytes``
     (its text plus one unchecked separator), and whether that covers it."""
-    consumed = F.least(source_bytes + F.lit(SEP_BYTES), F.lit(int(budget)).cast("long"))
+    b = budget if isinstance(budget, Column) else F.lit(int(budget)).cast("long")
+    consumed = F.least(source_bytes + F.lit(SEP_BYTES), b)
     return consumed, consumed >= source_bytes
 
 

@@ -424,3 +424,107 @@ def q_retention_list(spark, sf):
                                         F.concat(F.lit("step_"), F.col("p_partkey").cast("string")).alias("name"))
     edge = spark.createDataFrame([("inline", n) for n in RETENTION_EDGE_NAMES], "run string, name string")
     return RL.checkpoint_retention(p.unionByName(edge), KEEP_CHECKPOINTS).select("run", "name", "step")
+
+
+# --- holdout splits --------------------------------------------------------------
+from textmill.operators import holdout as HO  # noqa: E402
+
+HOLDOUT_TEXT_N, HOLDOUT_CODE_N, SAMPLE_N, FIRST_N = 10, 50, 100, 100
+CODE_BUDGET_FRACTION = 0.5
+
+
+def code_blocks(spark, sf):
+    """The code file stand-in: every document's text in ``doc_id`` order with
+    ``\\n`` as the block separator; ``block_index`` counts empty blocks too."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = d.withColumn("n_pieces", F.size(F.split("text", "\n", -1)).cast("long"))
+    d = OR.running_total(d, [], ["doc_id"], "n_pieces", OR.id_bucket("doc_id"), out="piece_start", exclusive=True)
+    b = J.blocks_from_text(d, "text", "\n", keys=["doc_id", "piece_start"])
+    return b.select((F.col("piece_start") + F.col("block_index")).alias("block_index"), "block_text", "block_bytes")
+
+
+def code_source_bytes(spark, sf) -> int:
+    """Bytes of the code file: texts plus one ``\\n`` between documents."""
+    r = table(spark, sf, "documents").agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return int((r["b"] or 0) + max(0, (r["n"] or 0) - 1))
+
+
+def replay_usage(spark, sf):
+    docs = corpus_docs(spark, sf)
+    return docs, B.budget_replay(docs, B.group_fraction_budgets(docs, BUDGET_FRACTION))
+
+
+@register("budget_replay")
+def q_budget_replay(spark, sf):
+    return replay_usage(spark, sf)[1]
+
+
+@register("code_budget")
+def q_code_budget(spark, sf):
+    d = table(spark, sf, "documents")
+    src = d.agg((F.sum(F.octet_length("text")) + F.greatest(F.count(F.lit(1)) - 1, F.lit(0)))
+                .cast("long").alias("source_bytes"))
+    budget = F.floor(F.col("source_bytes") * CODE_BUDGET_FRACTION).cast("long")
+    consumed, full = B.code_budget(F.col("source_bytes"), budget)
+    return src.select("source_bytes", consumed.alias("consumed_bytes"), full.alias("fully_consumed"))
+
+
+@register("holdout_text")
+def q_holdout_text(spark, sf):
+    docs, usage = replay_usage(spark, sf)
+    sample, _ = HO.holdout_text(docs, usage, HOLDOUT_TEXT_N)
+    return sample.select("group", "file", "doc_id", "eligible")
+
+
+@register("holdout_code")
+def q_holdout_code(spark, sf):
+    consumed = min(code_source_bytes(spark, sf) + 2, int(code_source_bytes(spark, sf) * CODE_BUDGET_FRACTION))
+    s = HO.holdout_code(code_blocks(spark, sf), consumed, HOLDOUT_CODE_N)
+    return s.select("block_index", F.md5("block_text").alias("block_md5"), "eligible")
+
+
+@register("split_manifest")
+def q_split_manifest(spark, sf):
+    docs, usage = replay_usage(spark, sf)
+    _, stats = HO.holdout_text(docs, usage, HOLDOUT_TEXT_N)
+    m = usage.join(stats, ["group", "file"], "left").fillna(0, ["eligible_unused_docs", "sampled_docs"])
+    return m.select("group", "file", "consumed_docs", "consumed_bytes", "eligible_unused_docs", "sampled_docs")
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return HO.seeded_sample(d, "doc_id", SAMPLE_N).select("doc_id", "eligible")
+
+
+@register("seeded_shuffle")
+def q_seeded_shuffle(spark, sf):
+    p = conversation_pairs(spark, sf).select("pair_id")
+    out = None
+    for epoch in (0, 1):
+        s = HO.seeded_shuffle(p, "pair_id", HO.SEED, epoch).select(F.lit(epoch).alias("epoch"), "pair_id", "shuffle_pos")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("first_n_per_group")
+def q_first_n_per_group(spark, sf):
+    d = corpus_docs(spark, sf)
+    r = OR.dense_index(d, ["group"], ["file", "line"], F.struct("file", OR.id_bucket("line")), out="idx",
+                       max_index=FIRST_N - 1)
+    return r.where(F.col("idx") < FIRST_N).select("group", "doc_id", "idx")
+
+
+@register("ordered_union")
+def q_ordered_union(spark, sf):
+    d = corpus_docs(spark, sf)
+    r = OR.dense_index(d, ["group"], ["file", "line"], F.struct("file", OR.id_bucket("line")), out="pos")
+    return r.select("group", "doc_id", "pos")
+
+
+@register("byte_budget_truncate")
+def q_byte_budget_truncate(spark, sf):
+    d = corpus_docs(spark, sf).where(F.col("group") == "es").withColumn("text", F.concat("text", F.lit("\n")))
+    budgets = {"es": int(B.group_fraction_budgets(d, 1.0)["es"] * CODE_BUDGET_FRACTION)}
+    w = B.byte_budget_truncate(d, budgets)
+    return w.select("group", "file", "doc_id", "start", "kept_bytes", F.md5("kept_text").alias("kept_md5"))

@@ -546,3 +546,119 @@ s AS (SELECT run, name, TRY_CAST(split_part(name, '_', -1) AS BIGINT) AS step FR
 r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC, name DESC) AS rk FROM s WHERE step IS NOT NULL)
 SELECT run, name, step FROM r WHERE rk > 3
 """
+
+
+# --- holdout splits --------------------------------------------------------------
+REPLAY = f"""
+budgets AS (SELECT "group", CAST(floor(sum(strlen(text) + 2) * 0.6) AS BIGINT) AS budget FROM {DOCS} d GROUP BY "group"),
+src AS (SELECT "group", file, dense_rank() OVER (PARTITION BY "group" ORDER BY file) AS k
+        FROM (SELECT DISTINCT "group", file FROM {DOCS} d0) x),
+cum AS (SELECT "group", file, sum(strlen(text) + 2) OVER (PARTITION BY "group", file ORDER BY line
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM {DOCS} d1),
+rec("group", k, remaining, file, consumed_docs, consumed_bytes) AS (
+  SELECT "group", 0, budget, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM budgets
+  UNION ALL
+  SELECT r."group", r.k + 1, r.remaining - coalesce(max(c.c) FILTER (WHERE c.c <= r.remaining), 0), s.file,
+         count(*) FILTER (WHERE c.c <= r.remaining), CAST(coalesce(max(c.c) FILTER (WHERE c.c <= r.remaining), 0) AS BIGINT)
+  FROM rec r JOIN src s ON s."group" = r."group" AND s.k = r.k + 1
+       JOIN cum c ON c."group" = s."group" AND c.file = s.file
+  GROUP BY r."group", r.k, r.remaining, s.file),
+usage AS (SELECT "group", file, CAST(consumed_docs AS BIGINT) AS consumed_docs, consumed_bytes FROM rec WHERE k > 0),
+idx AS (SELECT d.*, row_number() OVER (PARTITION BY "group", file ORDER BY line) - 1 AS src_doc FROM {DOCS} d),
+elig AS (SELECT i.* FROM idx i JOIN usage u USING ("group", file)
+         WHERE i.src_doc >= u.consumed_docs AND length(i.text) >= 50),
+ecnt AS (SELECT "group", file, count(*) AS eligible FROM elig GROUP BY "group", file)
+"""
+
+SQL["budget_replay"] = f"WITH RECURSIVE {REPLAY} SELECT * FROM usage"
+
+SQL["holdout_text"] = f"""
+WITH RECURSIVE {REPLAY},
+rk AS (SELECT e.*, row_number() OVER (PARTITION BY "group", file ORDER BY md5('42:' || line)) AS r FROM elig e)
+SELECT "group", file, doc_id, eligible FROM rk JOIN ecnt USING ("group", file) WHERE r <= 10
+"""
+
+SQL["split_manifest"] = f"""
+WITH RECURSIVE {REPLAY}
+SELECT u."group", u.file, u.consumed_docs, u.consumed_bytes, coalesce(e.eligible, 0) AS eligible_unused_docs,
+       CAST(least(coalesce(e.eligible, 0), 10) AS BIGINT) AS sampled_docs
+FROM usage u LEFT JOIN ecnt e USING ("group", file)
+"""
+
+CODE = f"""
+srcb AS (SELECT CAST(sum(strlen(text)) + greatest(count(*) - 1, 0) AS BIGINT) AS source_bytes FROM documents),
+cons AS (SELECT least(source_bytes + 2, CAST(floor(source_bytes * 0.5) AS BIGINT)) AS consumed FROM srcb),
+pd AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS np FROM documents),
+ps AS (SELECT *, coalesce(sum(np) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece_start FROM pd),
+pcs AS (SELECT piece_start, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS blk,
+               unnest(range(1, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) + 1)) AS pos FROM ps),
+blocks AS (SELECT piece_start + pos AS block_index, {ustrip('blk')} AS block_text,
+                  strlen({ustrip('blk')}) + 2 AS block_bytes FROM pcs WHERE length({ustrip('blk')}) > 0),
+skip AS (SELECT *, sum(block_bytes) OVER (ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                   - block_bytes AS skipped_before FROM blocks),
+celig AS (SELECT s.* FROM skip s, cons WHERE s.skipped_before >= cons.consumed AND length(s.block_text) >= 30)
+"""
+
+SQL["code_budget"] = f"""
+WITH {CODE}
+SELECT source_bytes, least(source_bytes + 2, CAST(floor(source_bytes * 0.5) AS BIGINT)) AS consumed_bytes,
+       least(source_bytes + 2, CAST(floor(source_bytes * 0.5) AS BIGINT)) >= source_bytes AS fully_consumed
+FROM srcb
+"""
+
+SQL["holdout_code"] = f"""
+WITH {CODE}
+SELECT CAST(block_index AS BIGINT) AS block_index, md5(block_text) AS block_md5,
+       (SELECT count(*) FROM celig) AS eligible
+FROM celig ORDER BY md5('42:' || block_index) LIMIT 50
+"""
+
+SQL["seeded_sample"] = """
+SELECT doc_id, (SELECT count(*) FROM documents) AS eligible FROM documents ORDER BY md5('42:' || doc_id) LIMIT 100
+"""
+
+SQL["seeded_shuffle"] = f"""
+WITH {PAIRS}
+SELECT e AS epoch, pair_id, row_number() OVER (PARTITION BY e ORDER BY md5('42:' || e || ':' || pair_id)) - 1 AS shuffle_pos
+FROM pairs, (VALUES (0), (1)) t(e)
+"""
+
+SQL["first_n_per_group"] = f"""
+SELECT "group", doc_id, idx FROM (
+  SELECT "group", doc_id, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS idx FROM {DOCS} d) t
+WHERE idx < 100
+"""
+
+SQL["ordered_union"] = f"""
+SELECT "group", doc_id, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS pos FROM {DOCS} d
+"""
+
+
+def _is_start(h: str, p: str) -> str:
+    """Byte p (1-based) of the hex string h begins a character (or lies past the end)."""
+    return f"(({p}) * 2 > length({h}) OR substr({h}, 2 * ({p}) - 1, 1) NOT IN ('8', '9', 'A', 'B'))"
+
+
+SQL["byte_budget_truncate"] = f"""
+WITH d AS (SELECT lang AS "group", source AS file, doc_id, text || chr(10) AS text FROM documents WHERE lang = 'es'),
+b AS (SELECT CAST(floor(sum(strlen(text) + 2) * 0.5) AS BIGINT) AS budget FROM d),
+p AS (SELECT *, strlen(text) AS piece_bytes,
+             CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY "group", file ORDER BY doc_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_in_file FROM d),
+f AS (SELECT "group", file, CAST(sum(piece_bytes) AS BIGINT) AS file_bytes FROM p GROUP BY "group", file),
+fs AS (SELECT *, CAST(coalesce(sum(file_bytes + 2) OVER (PARTITION BY "group" ORDER BY file
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_start FROM f),
+w AS (SELECT p.*, fs.file_start + p.start_in_file AS start, b.budget - (fs.file_start + p.start_in_file) AS room,
+             hex(encode(p.text)) AS h
+      FROM p JOIN fs USING ("group", file), b
+      WHERE fs.file_start <= b.budget AND fs.file_start + p.start_in_file < b.budget),
+c AS (SELECT *, CASE WHEN piece_bytes <= room THEN piece_bytes
+                     WHEN {_is_start('h', 'room + 1')} THEN room
+                     WHEN {_is_start('h', 'room')} THEN room - 1
+                     WHEN {_is_start('h', 'room - 1')} THEN room - 2 ELSE room - 3 END AS cut FROM w),
+k AS (SELECT *, left(text, CAST(len(list_filter(regexp_extract_all(substr(h, 1, 2 * cut), '..'),
+                lambda x: substr(x, 1, 1) NOT IN ('8', '9', 'A', 'B'))) AS BIGINT)) AS kept_text FROM c)
+SELECT "group", file, doc_id, CAST(start AS BIGINT) AS start, CAST(strlen(kept_text) AS BIGINT) AS kept_bytes,
+       md5(kept_text) AS kept_md5
+FROM k
+"""
