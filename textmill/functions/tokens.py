@@ -67,9 +67,30 @@ def byte_vocab() -> list[tuple[int, str]]:
     return sorted(rows)
 
 
+SPECIAL_RE = "|".join(SPECIAL_TOKENS)  # letters and angle brackets only: no escaping needed
+
+
+def _encode_with_specials(text: str) -> list[int]:
+    """Reserved atoms inside the text are one token each."""
+    import re
+    out: list[int] = []
+    pos = 0
+    for m in re.finditer(SPECIAL_RE, text):
+        out.extend(BYTE_TO_ID[np.frombuffer(text[pos:m.start()].encode(), np.uint8)].tolist())
+        out.append(SPECIAL_TOKENS.index(m.group(0)))
+        pos = m.end()
+    out.extend(BYTE_TO_ID[np.frombuffer(text[pos:].encode(), np.uint8)].tolist())
+    return out
+
+
 def _encode_bytes_arrow(arr: pa.Array) -> pa.Array:
+    import pyarrow.compute as pc
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    special = pc.match_substring_regex(arr, SPECIAL_RE)
+    if pc.any(special).as_py():
+        rows = [None if t is None else _encode_with_specials(t) for t in arr.to_pylist()]
+        return pa.array(rows, pa.list_(pa.int32()))
     b = arr.cast(pa.large_binary())
     offs = np.frombuffer(b.buffers()[1], dtype=np.int64)[b.offset: b.offset + len(b) + 1]
     data = b.buffers()[2]

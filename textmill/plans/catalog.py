@@ -528,3 +528,50 @@ def q_byte_budget_truncate(spark, sf):
     budgets = {"es": int(B.group_fraction_budgets(d, 1.0)["es"] * CODE_BUDGET_FRACTION)}
     w = B.byte_budget_truncate(d, budgets)
     return w.select("group", "file", "doc_id", "start", "kept_bytes", F.md5("kept_text").alias("kept_md5"))
+
+
+# --- tokenizer evaluation ---------------------------------------------------------
+from textmill.operators import quality as QU  # noqa: E402
+
+BYTE_VOCAB_SIZE = TK.N_SPECIAL + 256
+
+
+def eval_docs(spark, sf):
+    """The first 10 000 documents of each group in file order."""
+    d = corpus_docs(spark, sf)
+    cap = QU.MAX_DOCS_PER_GROUP
+    d = OR.dense_index(d, ["group"], ["file", "line"], F.struct("file", OR.id_bucket("line")), out="doc_idx",
+                       max_index=cap - 1)
+    return d.where(F.col("doc_idx") < cap)
+
+
+@register("encode_docs")
+def q_encode_docs(spark, sf):
+    e = QU.encode_docs(corpus_docs(spark, sf), roundtrip=False)
+    return e.select("doc_id", F.size("ids").alias("n_tokens"), TK.ids_md5("ids").alias("ids_md5"))
+
+
+@register("roundtrip_check")
+def q_roundtrip_check(spark, sf):
+    return QU.encode_docs(corpus_docs(spark, sf)).select("doc_id", "roundtrip_ok")
+
+
+@register("tokenizer_quality")
+def q_tokenizer_quality(spark, sf):
+    return QU.tokenizer_quality(QU.encode_docs(eval_docs(spark, sf)), BYTE_VOCAB_SIZE)
+
+
+@register("top_tokens")
+def q_top_tokens(spark, sf):
+    return QU.top_tokens(QU.encode_docs(eval_docs(spark, sf), roundtrip=False), QU.vocab_frame(spark))
+
+
+@register("roundtrip_failures")
+def q_roundtrip_failures(spark, sf):
+    return QU.roundtrip_failures(QU.encode_docs(eval_docs(spark, sf))).select(
+        "group", "line", "input_preview", "decoded_preview")
+
+
+@register("special_token_counts")
+def q_special_token_counts(spark, sf):
+    return QU.special_token_counts(corpus_docs(spark, sf))

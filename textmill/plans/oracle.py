@@ -662,3 +662,70 @@ SELECT "group", file, doc_id, CAST(start AS BIGINT) AS start, CAST(strlen(kept_t
        md5(kept_text) AS kept_md5
 FROM k
 """
+
+
+# --- tokenizer evaluation ---------------------------------------------------------
+def byte_token(b: str) -> str:
+    """Visible character of a byte in the byte-level alphabet."""
+    return (f"CASE WHEN {b} BETWEEN 33 AND 126 OR {b} BETWEEN 161 AND 172 OR {b} BETWEEN 174 AND 255 THEN chr({b}) "
+            f"WHEN {b} <= 32 THEN chr(256 + {b}) WHEN {b} BETWEEN 127 AND 160 THEN chr(256 + {b} - 94) "
+            f"ELSE chr(256 + 67) END")
+
+
+EVAL_DOCS = f"""
+ed AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS doc_idx
+                      FROM {DOCS} d) t WHERE doc_idx < 10000),
+tk AS (SELECT "group", file, line, unnest({byte_ids('text')}) AS token_id,
+              unnest(range(strlen(text))) AS pos FROM ed),
+tc AS (SELECT "group", token_id, count(*) AS cnt, min({{'f': file, 'l': line, 'p': pos}}) AS first
+       FROM tk GROUP BY "group", token_id)
+"""
+
+SQL["encode_docs"] = f"""
+SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_tokens, md5(array_to_string({byte_ids('text')}, ',')) AS ids_md5
+FROM documents
+"""
+
+SQL["roundtrip_check"] = "SELECT doc_id, TRUE AS roundtrip_ok FROM documents"
+
+SQL["tokenizer_quality"] = f"""
+WITH {EVAL_DOCS},
+g AS (SELECT "group", count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
+             CAST(sum(strlen(text)) AS BIGINT) AS tokens FROM ed GROUP BY "group"),
+u AS (SELECT "group", count(*) AS used_vocab FROM tc GROUP BY "group")
+SELECT g."group", docs, chars, tokens, round(chars / docs, 9) AS avg_chars_per_doc,
+       round(tokens / docs, 9) AS avg_tokens_per_doc,
+       round(CASE WHEN tokens > 0 THEN chars / tokens ELSE 0 END, 9) AS avg_token_length_in_chars,
+       round(CASE WHEN tokens > 0 THEN chars / tokens ELSE 0 END, 9) AS chars_per_token,
+       round(CASE WHEN chars > 0 THEN tokens / chars ELSE 0 END, 9) AS tokens_per_char,
+       CAST(0 AS BIGINT) AS unk_count, CAST(0 AS DOUBLE) AS unk_ratio,
+       docs AS roundtrip_success, CAST(1 AS DOUBLE) AS roundtrip_success_ratio, CAST(0 AS BIGINT) AS roundtrip_fail,
+       CAST(0 AS DOUBLE) AS roundtrip_fail_ratio, coalesce(used_vocab, 0) AS used_vocab,
+       round(coalesce(used_vocab, 0) / 268.0, 9) AS used_vocab_ratio
+FROM g LEFT JOIN u USING ("group")
+"""
+
+SQL["top_tokens"] = f"""
+WITH {EVAL_DOCS},
+r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY cnt DESC, first) AS rank FROM tc),
+ranked AS (SELECT r.*, ranks.b FROM r JOIN (SELECT b, ({byte_rank('b')}) + 12 AS id FROM (SELECT CAST(range AS INTEGER) AS b FROM range(256)) t) ranks
+           ON ranks.id = r.token_id)
+SELECT "group", CAST(rank AS INTEGER) AS rank, token_id, {byte_token('b')} AS token, cnt AS count
+FROM ranked WHERE rank <= 20
+"""
+
+SQL["roundtrip_failures"] = """
+SELECT lang AS "group", doc_id AS line, text AS input_preview, text AS decoded_preview FROM documents WHERE FALSE
+"""
+
+_SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<system>", "<user>", "<assistant>",
+             "<NAME>", "<EMAIL>", "<PHONE>", "<ADDRESS>", "<URL>"]
+
+SQL["special_token_counts"] = f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_SPECIALS))}) v(token_id, token)),
+g AS (SELECT DISTINCT lang AS "group" FROM documents)
+SELECT g."group", t.token_id, t.token,
+       (SELECT CAST(coalesce(sum(len(regexp_extract_all(d.text, t.token))), 0) AS BIGINT)
+        FROM documents d WHERE d.lang = g."group") AS count
+FROM g, t
+"""
