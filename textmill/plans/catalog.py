@@ -575,3 +575,66 @@ def q_roundtrip_failures(spark, sf):
 @register("special_token_counts")
 def q_special_token_counts(spark, sf):
     return QU.special_token_counts(corpus_docs(spark, sf))
+
+
+# --- byte-level BPE ---------------------------------------------------------------
+from textmill.operators import bpe as BP  # noqa: E402
+
+BPE_VOCAB = TK.N_SPECIAL + 256 + 256   # 256 merges
+BPE_SMALL_MERGES = 128
+_BPE_MODELS: dict = {}
+
+
+def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB) -> dict:
+    """Trained once per process and scale factor (training is deterministic)."""
+    key = (sf, vocab_size)
+    if key not in _BPE_MODELS:
+        _BPE_MODELS[key] = BP.train_bpe(table(spark, sf, "documents").select("text"), vocab_size)
+    return _BPE_MODELS[key]
+
+
+@register("pretoken_counts")
+def q_pretoken_counts(spark, sf):
+    return BP.pretoken_counts(table(spark, sf, "documents"))
+
+
+@register("bpe_pair_counts")
+def q_bpe_pair_counts(spark, sf):
+    w = BP.word_symbols(BP.pretoken_counts(table(spark, sf, "documents")))
+    return BP.pair_counts(w)
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, sf):
+    return BP.merges_frame(spark, bpe_model(spark, sf))
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, sf):
+    m = bpe_model(spark, sf)
+    enc, dec = BP.make_bpe_encoder(m["merges"]), BP.make_bpe_decoder(m["vocab"])
+    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("ids", enc("text"))
+    return d.select("doc_id", F.size("ids").alias("n_tokens"), TK.ids_md5("ids").alias("ids_md5"),
+                    (dec("ids") == F.col("text")).alias("roundtrip_ok"))
+
+
+@register("tokenizer_compare")
+def q_tokenizer_compare(spark, sf):
+    """The same documents under three vocabularies (bytes only, the first
+    128 merges, all 256 merges): tokens and round-trip per vocabulary."""
+    m = bpe_model(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    variants = [("byte", TK.N_SPECIAL + 256, TK.byte_encode, TK.byte_decode)]
+    for k in (BPE_SMALL_MERGES, len(m["merges"])):
+        merges = m["merges"][:k]
+        size = TK.N_SPECIAL + 256 + len({n for _, _, n in merges})
+        variants.append((f"bpe{size}", size, BP.make_bpe_encoder(merges), BP.make_bpe_decoder(m["vocab"])))
+    out = None
+    for name, size, enc, dec in variants:
+        e = docs.withColumn("ids", enc("text"))
+        r = e.agg(F.lit(name).alias("tokenizer"), F.lit(size).alias("vocab_size"),
+                  F.sum(F.size("ids")).cast("long").alias("tokens"),
+                  F.sum(F.char_length("text")).cast("long").alias("chars"),
+                  F.count_if(dec("ids") == F.col("text")).alias("roundtrip_ok"))
+        out = r if out is None else out.unionByName(r)
+    return out
