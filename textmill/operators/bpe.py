@@ -150,10 +150,20 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequenc
                 index[s] = nid
             merges.append((a, b, nid))
             mapping[a * PAIR_SHIFT + b] = nid
-        words = words.select(_apply_merges(F.col("syms"), mapping).alias("syms"), "freq") \
+        lefts = F.array(*[F.lit(a) for a in {k // PAIR_SHIFT for k in mapping}])
+        touched = F.arrays_overlap(F.col("syms"), lefts)  # only these words can change
+        prev = words
+        words = words.select(F.when(touched, _apply_merges(F.col("syms"), mapping))
+                             .otherwise(F.col("syms")).alias("syms"), "freq") \
                      .where(F.size("syms") > 1)
         rounds += 1
-        words = words.checkpoint(eager=True) if rounds % checkpoint_every == 0 else words.persist()
+        if rounds % checkpoint_every == 0:
+            words = words.checkpoint(eager=True)  # cuts the lineage
+        else:
+            words = words.persist()
+            words.count()  # materialise before the previous round's cache is dropped
+        if prev.is_cached:
+            prev.unpersist()
     return {"merges": merges, "vocab": vocab, "rounds": rounds}
 
 
