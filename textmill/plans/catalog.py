@@ -638,3 +638,45 @@ def q_tokenizer_compare(spark, sf):
                   F.count_if(dec("ids") == F.col("text")).alias("roundtrip_ok"))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# --- streaming ------------------------------------------------------------------
+from textmill.session import scratch_path  # noqa: E402
+from textmill.streaming import logs as STR  # noqa: E402
+
+STREAM_FILES = 4
+
+
+@register("stream_log_windows")
+def q_stream_log_windows(spark, sf):
+    """ST1: the training log written as files, consumed as a file stream in
+    micro-batches; the completed windows equal the batch base rule."""
+    base = scratch_path(spark, "stream-log")
+    log = training_log(spark, sf).select("global_step", "loss")
+    log.repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
+    return STR.stream_log_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+
+
+@register("stream_ingest_counts")
+def q_stream_ingest_counts(spark, sf):
+    """ST2: documents written as JSONL files per language, ingested as a file
+    stream with running documents and bytes per language."""
+    base = scratch_path(spark, "stream-ingest")
+    d = table(spark, sf, "documents").select(F.col("lang").alias("group"),
+                                             F.to_json(F.struct("text")).alias("line"))
+    d.repartition(STREAM_FILES).write.partitionBy("group").text(f"{base}/src")
+    return STR.stream_ingest_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+
+
+@register("source_fallback")
+def q_source_fallback(spark, sf):
+    """Every source of a group has a training file; a holdout file exists
+    when the holdout sample of that source is not empty."""
+    docs, usage = replay_usage(spark, sf)
+    _, stats = HO.holdout_text(docs, usage, HOLDOUT_TEXT_N)
+    srcs = docs.select("group", "file").distinct()
+    hold = (srcs.join(stats, ["group", "file"], "left")
+            .select("group", "file", F.lit("holdout").alias("kind"),
+                    F.coalesce(F.col("sampled_docs") > 0, F.lit(False)).alias("exists")))
+    train = srcs.select("group", "file", F.lit("train").alias("kind"), F.lit(True).alias("exists"))
+    return J.resolve_group_files(hold.unionByName(train))

@@ -325,6 +325,7 @@ FROM b WHERE length({ustrip('blk')}) > 0
 
 def all_sql() -> dict[str, str]:
     _lazy_sql()
+    _lazy_sql_more()
     return dict(SQL)
 
 
@@ -729,3 +730,22 @@ SELECT g."group", t.token_id, t.token,
         FROM documents d WHERE d.lang = g."group") AS count
 FROM g, t
 """
+
+
+# --- streaming ------------------------------------------------------------------
+SQL["stream_log_windows"] = f"WITH {_OPT} {_win('base')}"
+
+SQL["stream_ingest_counts"] = """
+SELECT lang AS "group", count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang
+"""
+
+
+def _lazy_sql_more():
+    SQL["source_fallback"] = f"""
+WITH RECURSIVE {REPLAY},
+hold AS (SELECT DISTINCT d."group", d.file FROM {DOCS} d JOIN ecnt e USING ("group", file) WHERE e.eligible > 0),
+any_hold AS (SELECT DISTINCT "group" FROM hold)
+SELECT "group", file, 'holdout' AS source FROM hold
+UNION ALL
+SELECT DISTINCT d."group", d.file, 'train_fallback' FROM {DOCS} d WHERE d."group" NOT IN (SELECT "group" FROM any_hold)
+"""

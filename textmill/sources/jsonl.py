@@ -188,3 +188,61 @@ def generation_samples(lines: DataFrame, raw: str = "raw", max_samples: int | No
     if max_samples is not None:
         s = s.orderBy("line_no").limit(int(max_samples))
     return s
+
+
+# --- format dispatch, source fallback, log columns -----------------------------
+def read_texts(spark: SparkSession, paths, on_missing: str = "skip") -> DataFrame:
+    """Documents ``(file, line_no, text)`` from a mix of files: JSONL for a
+    ``.jsonl`` suffix or ``wiki`` in the name (coercing scan), blank-line
+    blocks otherwise."""
+    keep = _existing(paths, on_missing)
+    name = [p.rsplit("/", 1)[-1] for p in keep]
+    js = [p for p, n in zip(keep, name) if n.endswith(".jsonl") or "wiki" in n]
+    tx = [p for p in keep if p not in js]
+    out = spark.createDataFrame([], "file string, line_no long, text string")
+    if js:
+        out = out.unionByName(parse_jsonl_text(read_lines(spark, js), "coerce").select("file", "line_no", "text"))
+    if tx:
+        b = read_blocks(spark, tx)
+        out = out.unionByName(b.select("file", F.col("block_index").alias("line_no"), F.col("block_text").alias("text")))
+    return out
+
+
+def resolve_group_files(files: DataFrame, group: str = "group", file: str = "file", kind: str = "kind",
+                        exists: str = "exists", priority=("holdout", "train")) -> DataFrame:
+    """Per group, the existing files of the best available kind (holdout
+    first, then the training files as ``train_fallback``); a group with none
+    gets one row with ``source = 'missing'``."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in priority]), F.col(kind))
+    f = files.where(F.col(exists) & (rank > 0)).withColumn("_p", rank)
+    best = f.groupBy(group).agg(F.min("_p").alias("_p"))
+    chosen = f.join(best, [group, "_p"]).select(
+        group, file, F.when(F.col("_p") == 1, F.lit(priority[0])).otherwise(F.lit(f"{priority[1]}_fallback"))
+        .alias("source"))
+    groups = files.select(group).distinct()
+    missing = groups.join(best, group, "left_anti").select(group, F.lit(None).cast("string").alias(file),
+                                                           F.lit("missing").alias("source"))
+    return chosen.unionByName(missing)
+
+
+def resolve_column(columns: list[str], candidates: list[str]) -> str:
+    """The first candidate present among ``columns``."""
+    for c in candidates:
+        if c in columns:
+            return c
+    raise ValueError(f"Column not found. Candidates: {candidates}")
+
+
+def read_log_csv(spark: SparkSession, path: str, on_missing: str = "error") -> DataFrame:
+    """S12 + P6: a training-log CSV with its step / train / eval columns
+    resolved by candidate names and coerced to numbers."""
+    from textmill.operators.runlog import coerce_numeric
+
+    if on_missing == "error" and "://" not in path and not os.path.exists(path):
+        raise FileNotFoundError(path)
+    df = spark.read.option("header", True).csv(path)
+    step = resolve_column(df.columns, ["optimizer_step", "global_step", "step"])
+    train = resolve_column(df.columns, ["train_loss", "loss"])
+    ev = resolve_column(df.columns, ["eval_loss", "validation_loss", "val_loss"])
+    return df.select(coerce_numeric(step).alias("step"), coerce_numeric(train).alias("train_loss"),
+                     coerce_numeric(ev).alias("eval_loss"))
