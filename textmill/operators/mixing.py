@@ -16,18 +16,24 @@ RR_TARGET_BUCKET_ROWS = 50_000
 
 
 def round_robin(docs: DataFrame, group: str = "group", file: str = "file", line: str = "line",
-                out: str = "rr_pos", bucket_width: int = 10_000) -> DataFrame:
+                out: str = "rr_pos", bucket_width: int = 10_000, materialize: bool = True) -> DataFrame:
     """Order of a reader taking one document from each file of a group in
     turn, skipping exhausted files.  Adds ``in_file`` (0-based index in the
-    file), ``file_ord`` and ``out`` (0-based position in the group)."""
+    file), ``file_ord`` and ``out`` (0-based position in the group).
+
+    Pass narrow rows (keys, not text): the in-file index is checkpointed
+    before it feeds the second ranking, and the result is checkpointed when
+    ``materialize`` (it is usually read twice: counts, then positions)."""
     d = dense_index(docs, [group, file], [line], id_bucket(line, bucket_width), out="in_file")
+    d = d.checkpoint(eager=True) if materialize else d
     files = (d.select(group, file).distinct()
              .withColumn("file_ord", F.dense_rank().over(Window.partitionBy(group).orderBy(file)) - 1))
     max_files = files.groupBy(group).count().agg(F.max("count")).first()[0] or 1
     # a bucket of `width` consecutive in-file indexes holds <= width * files rows
     width = max(1, RR_TARGET_BUCKET_ROWS // int(max_files))
     d = d.join(files, [group, file])
-    return dense_index(d, [group], ["in_file", "file_ord"], id_bucket("in_file", width), out=out)
+    r = dense_index(d, [group], ["in_file", "file_ord"], id_bucket("in_file", width), out=out)
+    return r.checkpoint(eager=True) if materialize else r
 
 
 # --- ratio mix -------------------------------------------------------------
@@ -82,8 +88,8 @@ def mix_plan(k: int, n: int, c: int) -> dict:
 
 
 def ratio_mix(main: DataFrame, repeat: DataFrame, capped: DataFrame,
-              labels=("main", "repeat", "capped"), group: str = "group", file: str = "file",
-              line: str = "line") -> DataFrame:
+              labels=("main", "repeat", "capped"), file: str = "file", line: str = "line",
+              key: str | None = None, keep=()) -> DataFrame:
     """W4 + J6: the 6:3:1 then 7:3 interleave of three corpora.
 
     The main corpus is read once and ends the stream; the repeated corpus is
@@ -91,27 +97,32 @@ def ratio_mix(main: DataFrame, repeat: DataFrame, capped: DataFrame,
     ``e mod N``); the capped corpus is read once.  Inside each corpus
     documents come in round-robin order over its files.
 
-    Returns the input columns plus ``role``, ``src_idx`` (round-robin index)
-    and ``mix_pos`` (0-based stream position, unique).
+    With ``key`` (a unique document column) only ``key``, ``file``, ``line``
+    and the ``keep`` columns travel through the ordering shuffles; join the
+    text back on ``key`` afterwards.  Without it every column is kept.
+    Returns ``role``, ``src_idx`` (round-robin index) and ``mix_pos``
+    (0-based stream position, unique) plus the carried columns.
     """
-    parts = {}
+    parts = []
     for role, df in zip(labels, (main, repeat, capped)):
-        rr = round_robin(df.withColumn(group, F.lit(role)), group, file, line, out="src_idx")
-        parts[role] = rr.withColumn("role", F.col(group))
-    counts = {}
-    for role in labels:
-        counts.update(group_counts(parts[role].select("role"), ["role"]))
+        cols = [key, file, line, *keep] if key else df.columns
+        parts.append(df.select(*dict.fromkeys(cols)).withColumn("role", F.lit(role)))
+    allk = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rr = round_robin(allk, "role", file, line, out="src_idx")
+    counts = group_counts(rr.select("role"), ["role"])
     k, n, c = (int(counts.get(r, 0)) for r in labels)
     plan = mix_plan(k, n, c)
     t, e = plan["T"], plan["E"]
-    m = parts[labels[0]].withColumn("mix_pos", F.expr(_pos_main_sql("src_idx", c)))
-    cap = (parts[labels[2]].withColumn("mix_pos", F.expr(f"{CYCLE} * src_idx + {MAIN_P1 + REP}"))
-           .where((F.col("src_idx") < c) & (F.col("mix_pos") < t)))
-    rep = parts[labels[1]].where(F.col("src_idx") < e)
+    role = F.col("role")
+    rep_rows = rr.where((role == labels[1]) & (F.col("src_idx") < e))
     if n > 0:
-        rep = (rep.withColumn("emission", F.explode(F.sequence(F.col("src_idx"), F.lit(e - 1), F.lit(n))))
-               .withColumn("mix_pos", F.expr(_pos_rep_sql("emission", c))).drop("emission"))
+        rep_rows = (rep_rows.withColumn("emission", F.explode(F.sequence(F.col("src_idx"), F.lit(e - 1), F.lit(n))))
+                    .withColumn("mix_pos", F.expr(_pos_rep_sql("emission", c))).drop("emission"))
     else:
-        rep = rep.withColumn("mix_pos", F.lit(None).cast("long"))
-    out = m.unionByName(rep).unionByName(cap)
-    return out.withColumn("mix_pos", F.col("mix_pos").cast("long"))
+        rep_rows = rep_rows.withColumn("mix_pos", F.lit(None).cast("long"))
+    other = (rr.where(role != labels[1])
+             .withColumn("mix_pos", F.when(role == labels[0], F.expr(_pos_main_sql("src_idx", c)))
+                         .otherwise(F.expr(f"{CYCLE} * src_idx + {MAIN_P1 + REP}")))
+             .where((role == labels[0]) | ((F.col("src_idx") < c) & (F.col("mix_pos") < t))))
+    out = other.unionByName(rep_rows)
+    return out.withColumn("mix_pos", F.col("mix_pos").cast("long")).drop("in_file", "file_ord")

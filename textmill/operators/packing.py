@@ -25,8 +25,10 @@ def token_offsets(mixed: DataFrame, order: str = "mix_pos", text: str = "text",
     """``n_tokens`` (ids + EOS) and ``tok_start`` (global offset) per document.
 
     ``count`` is the token count before EOS; by default the byte tokenizer's
-    (UTF-8 length), which needs no encoding.  Documents without tokens are
-    dropped (P5) before offsets are assigned.
+    (UTF-8 length of ``text``), which needs no encoding -- pass a narrow
+    column (e.g. a byte count taken at the scan) to keep text out of the
+    shuffles.  Documents without tokens are dropped (P5) before offsets are
+    assigned.
     """
     cnt = count if count is not None else TK.byte_token_count(text)
     d = mixed.withColumn("n_tokens", (cnt + F.lit(1)).cast("long")).where(F.col("n_tokens") > 1)
@@ -34,20 +36,30 @@ def token_offsets(mixed: DataFrame, order: str = "mix_pos", text: str = "text",
                          out="tok_start", exclusive=True)
 
 
-def pack_blocks(offsets: DataFrame, ids: Column, block_size: int = BLOCK_SIZE,
-                eval_blocks: int = EVAL_BLOCKS, blocks_per_file: int = BLOCKS_PER_FILE) -> DataFrame:
+def pack_blocks(offsets: DataFrame, ids, block_size: int = BLOCK_SIZE,
+                eval_blocks: int = EVAL_BLOCKS, blocks_per_file: int = BLOCKS_PER_FILE,
+                texts: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """``(block_idx, split, shard, local_idx, input_ids)``.
 
-    ``ids`` is the document's id list *without* EOS (appended here, D1).  The
-    incomplete tail block is dropped.  Every block gathers at most
+    ``offsets``: rows with ``tok_start`` and ``n_tokens``.  ``ids``: a Column
+    (or a function of a column name) giving the document's id list *without*
+    EOS (appended here, D1).  With ``texts`` (``key``, text) the offsets are
+    narrow: they are checkpointed (the total-token count and the packing
+    both read them) and the text is joined once, just before encoding.
+    The incomplete tail block is dropped.  Every block gathers at most
     ``block_size`` ids, so no group grows with the data.
     """
     B = int(block_size)
+    if texts is not None:
+        offsets = offsets.select(key, "tok_start", "n_tokens").checkpoint(eager=True)
     total = offsets.agg(F.sum("n_tokens")).first()[0] or 0  # one scalar
     n_blocks = total // B
     start, n = F.col("tok_start"), F.col("n_tokens")
-    d = (offsets.where(start < F.lit(n_blocks * B))
-         .withColumn("_ids", TK.append_eos(ids))
+    d = offsets.where(start < F.lit(n_blocks * B))
+    if texts is not None:
+        d = d.join(texts, key)
+    ids_col = ids("text") if callable(ids) else ids
+    d = (d.withColumn("_ids", TK.append_eos(ids_col))
          .withColumn("_blk", F.explode(F.sequence(F.floor(start / B), F.floor((start + n - 1) / B))))
          .where(F.col("_blk") < F.lit(n_blocks)))
     seg_lo = F.greatest(start, F.col("_blk") * B)
@@ -76,7 +88,7 @@ def with_split(blocks: DataFrame, eval_blocks: int = EVAL_BLOCKS,
         "input_ids")
 
 
-def pack_metadata(offsets: DataFrame, blocks_total: int | None, block_size: int = BLOCK_SIZE,
+def pack_metadata(offsets: DataFrame, block_size: int = BLOCK_SIZE,
                   eval_blocks: int = EVAL_BLOCKS, blocks_per_file: int = BLOCKS_PER_FILE,
                   role: str = "role", roles=("main", "repeat", "capped")) -> DataFrame:
     """D5 (A4 + A11): one row.  Documents in the dropped tail still count."""

@@ -57,37 +57,43 @@ RESUME_STEP = 3
 
 
 def mix_inputs(spark, sf):
-    """Main = en + fr (files ``lang/source``), repeated = de, capped = es."""
-    d = corpus_docs(spark, sf).withColumn("file", F.concat_ws("/", "group", "file"))
+    """Main = en + fr (files ``lang/source``), repeated = de, capped = es.
+    Narrow rows: the key, file, line and the byte count taken at the scan."""
+    d = (corpus_docs(spark, sf).withColumn("file", F.concat_ws("/", "group", "file"))
+         .withColumn("n_bytes", F.octet_length("text")).drop("text"))
     main = d.where(F.col("group").isin("en", "fr"))
     rep = d.where(F.col("group") == "de")
     cap = d.where(F.col("group") == "es")
     return main, rep, cap
 
 
-def mixed_docs(spark, sf):
-    return MX.ratio_mix(*mix_inputs(spark, sf))
+def mix_keys(spark, sf):
+    return MX.ratio_mix(*mix_inputs(spark, sf), key="doc_id", keep=["n_bytes"])
+
+
+def doc_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def packed(spark, sf):
-    offs = PK.token_offsets(mixed_docs(spark, sf))
-    return PK.pack_blocks(offs, TK.byte_encode("text"), PACK_BLOCK, PACK_EVAL, PACK_SHARD)
+    offs = PK.token_offsets(mix_keys(spark, sf), count=F.col("n_bytes"))
+    return PK.pack_blocks(offs, TK.byte_encode, PACK_BLOCK, PACK_EVAL, PACK_SHARD, texts=doc_texts(spark, sf))
 
 
 @register("round_robin")
 def q_round_robin(spark, sf):
-    d = MX.round_robin(corpus_docs(spark, sf))
+    d = MX.round_robin(corpus_docs(spark, sf).drop("text"))
     return d.select("group", "doc_id", "in_file", "rr_pos")
 
 
 @register("ratio_mix")
 def q_ratio_mix(spark, sf):
-    return mixed_docs(spark, sf).select("mix_pos", "role", "doc_id", "src_idx")
+    return mix_keys(spark, sf).select("mix_pos", "role", "doc_id", "src_idx")
 
 
 @register("token_offsets")
 def q_token_offsets(spark, sf):
-    return PK.token_offsets(mixed_docs(spark, sf)).select("mix_pos", "n_tokens", "tok_start")
+    return PK.token_offsets(mix_keys(spark, sf), count=F.col("n_bytes")).select("mix_pos", "n_tokens", "tok_start")
 
 
 @register("pack_blocks")
@@ -99,8 +105,8 @@ def q_pack_blocks(spark, sf):
 
 @register("pack_metadata")
 def q_pack_metadata(spark, sf):
-    offs = PK.token_offsets(mixed_docs(spark, sf))
-    return PK.pack_metadata(offs, None, PACK_BLOCK, PACK_EVAL, PACK_SHARD)
+    offs = PK.token_offsets(mix_keys(spark, sf), count=F.col("n_bytes"))
+    return PK.pack_metadata(offs, PACK_BLOCK, PACK_EVAL, PACK_SHARD)
 
 
 @register("block_lookup")
