@@ -127,13 +127,19 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequenc
         vocab[int(TK.BYTE_TO_ID[b])] = bytes([b])
     index = {v: i for i, v in enumerate(vocab) if i >= TK.N_SPECIAL}
     merges: list[tuple[int, int, int]] = []
-    words = word_symbols(pretoken_counts(docs, text)).where(F.size("syms") > 1).checkpoint(eager=True)
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    words = (word_symbols(pretoken_counts(docs, text)).where(F.size("syms") > 1)
+             .repartition(parts, "syms").checkpoint(eager=True))  # spread the rounds over all cores
     rounds = 0
+    stale = None  # the previous round's cached table, dropped once its successor is computed
     while len(vocab) < vocab_size:
         if max_rounds is not None and rounds >= max_rounds:
             break
         rows = (pair_counts(words).where(F.col("count") >= min_frequency)
                 .orderBy(F.col("count").desc(), "left", "right").limit(CANDIDATES).collect())
+        if stale is not None:
+            stale.unpersist()
+            stale = None
         cands = [(int(r["count"]), int(r["left"]), int(r["right"])) for r in rows]
         batch = safe_batch(cands)
         if not batch:
@@ -152,18 +158,20 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequenc
             mapping[a * PAIR_SHIFT + b] = nid
         lefts = F.array(*[F.lit(a) for a in {k // PAIR_SHIFT for k in mapping}])
         touched = F.arrays_overlap(F.col("syms"), lefts)  # only these words can change
-        prev = words
-        words = words.select(F.when(touched, _apply_merges(F.col("syms"), mapping))
-                             .otherwise(F.col("syms")).alias("syms"), "freq") \
-                     .where(F.size("syms") > 1)
+        nxt = words.select(F.when(touched, _apply_merges(F.col("syms"), mapping))
+                           .otherwise(F.col("syms")).alias("syms"), "freq") \
+                   .where(F.size("syms") > 1)
         rounds += 1
         if rounds % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)  # cuts the lineage
+            nxt = nxt.checkpoint(eager=True)  # cuts the lineage
+            if words.is_cached:
+                words.unpersist()
         else:
-            words = words.persist()
-            words.count()  # materialise before the previous round's cache is dropped
-        if prev.is_cached:
-            prev.unpersist()
+            nxt = nxt.persist()  # computed by the next round's pair count
+            stale = words if words.is_cached else None
+        words = nxt
+    if words.is_cached:
+        words.unpersist()
     return {"merges": merges, "vocab": vocab, "rounds": rounds}
 
 

@@ -87,7 +87,8 @@ def source_prefix_sums(docs: DataFrame, group: str = "group", file: str = "file"
 
 
 def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "file",
-                  line: str = "line", text: str = "text", bucket_width: int = 10_000) -> DataFrame:
+                  line: str = "line", text: str = "text", bucket_width: int = 10_000,
+                  max_sources: int = 1_000_000) -> DataFrame:
     """A2: per source, the prefix a replay of a shared budget consumes.
 
     Sources are visited in name order; inside a source documents are taken
@@ -95,9 +96,11 @@ def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "fi
     source is tried with what is left (``on_overflow='next_source'``).  Once
     nothing remains, later sources consume nothing.
 
-    The remaining budget of a source depends on the previous sources, so the
-    walk over sources is a loop of small aggregate jobs (one per source rank,
-    all groups at once) over a checkpointed table of in-source running sums.
+    In-source running sums are computed once (two-level) and checkpointed.
+    A per-source summary (documents, total bytes, first document's bytes;
+    one row per source file) decides every source that is taken whole or not
+    at all; only a source the remaining budget cuts needs a lookup, which is
+    one small aggregate job for all groups at once.
     Returns ``(group, file, consumed_docs, consumed_bytes)``.
     """
     from textmill.session import checkpoint_dir
@@ -105,37 +108,51 @@ def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "fi
     spark = docs.sparkSession
     checkpoint_dir(spark)
     cum = source_prefix_sums(docs, group, file, line, text, bucket_width)
-    files = (cum.select(group, file).distinct()
-             .withColumn("_rank", F.dense_rank().over(Window.partitionBy(group).orderBy(file)) - 1))
-    cum = cum.join(files, [group, file]).select(group, file, "_rank", "cum_in_file", "block_bytes")
-    cum = cum.checkpoint(eager=True)
-    file_rows = files.collect()  # one row per source file
+    cum = cum.select(group, file, "cum_in_file").checkpoint(eager=True)
+    summary = (cum.groupBy(group, file).agg(F.count(F.lit(1)).alias("n"), F.max("cum_in_file").alias("total"),
+                                            F.min("cum_in_file").alias("first"))
+               .limit(max_sources + 1).collect())
+    if len(summary) > max_sources:
+        raise ValueError("too many source files for a driver-side walk")
     by_group: dict = {}
-    for r in file_rows:
-        by_group.setdefault(r[group], {})[r["_rank"]] = r[file]
+    for r in summary:
+        by_group.setdefault(r[group], []).append((r[file], int(r["n"]), int(r["total"]), int(r["first"])))
+    for g in by_group:
+        by_group[g].sort()
     if isinstance(budget, dict):
         remaining = {g: int(budget.get(g, 0)) for g in by_group}
     else:
         remaining = {g: int(budget) for g in by_group}
+    pos = {g: 0 for g in by_group}
     usage = []
-    max_rank = max((max(v) for v in by_group.values()), default=-1)
-    for k in range(max_rank + 1):
-        active = {g: remaining[g] for g in by_group if k in by_group[g] and remaining[g] > 0}
-        for g in by_group:
-            if k in by_group[g] and g not in active:
-                usage.append((g, by_group[g][k], 0, 0))
-        if not active:
-            continue
-        lim = budget_col(active, group)
-        got = (cum.where((F.col("_rank") == k) & F.col(group).isin(list(active)))
+    while True:
+        pending = {}
+        for g, srcs in by_group.items():
+            while pos[g] < len(srcs):
+                f, n, total, first = srcs[pos[g]]
+                if remaining[g] > 0 and total <= remaining[g]:
+                    usage.append((g, f, n, total))
+                    remaining[g] -= total
+                elif remaining[g] <= 0 or first > remaining[g]:
+                    usage.append((g, f, 0, 0))
+                else:
+                    pending[g] = f
+                    break
+                pos[g] += 1
+        if not pending:
+            break
+        keys = [F.struct(F.lit(g).alias("g"), F.lit(f).alias("f")) for g, f in pending.items()]
+        lim = budget_col({g: remaining[g] for g in pending}, group)
+        got = (cum.where(F.struct(F.col(group).alias("g"), F.col(file).alias("f")).isin(*keys))
                .where(F.col("cum_in_file") <= lim)
                .groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max("cum_in_file").alias("b"))
                .collect())
         seen = {r[group]: (int(r["n"]), int(r["b"])) for r in got}
-        for g in active:
-            n, bts = seen.get(g, (0, 0))
-            usage.append((g, by_group[g][k], n, bts))
-            remaining[g] -= bts
+        for g, f in pending.items():
+            n, b = seen.get(g, (0, 0))
+            usage.append((g, f, n, b))
+            remaining[g] -= b
+            pos[g] += 1
     schema = f"{group} string, {file} string, consumed_docs long, consumed_bytes long"
     return spark.createDataFrame(usage, schema)
 
