@@ -301,3 +301,29 @@ def test_seeded_sample_and_shuffle(spark):
     assert len(s) == 5 and all(r.eligible == 50 for r in s)
     sh = HO.seeded_shuffle(df, "k", 42, 0).collect()
     assert sorted(r.shuffle_pos for r in sh) == list(range(50))
+
+
+def test_pad_fallback_and_labels(spark):
+    assert SF.resolve_pad_id(None, 3) == 3 and SF.resolve_pad_id(0, 3) == 0
+    with pytest.raises(ValueError):
+        SF.resolve_pad_id(0, None)
+    b = spark.createDataFrame([(0, [1, 2])], "block_idx long, input_ids array<int>")
+    assert list(PK.with_lm_labels(b).first().labels) == [1, 2]
+
+
+def test_token_preview_and_tokenizer_object(spark):
+    tok = TK.get_tokenizer("byte")
+    assert tok.vocab_size == 268 and tok.eos_id == 3
+    esc = TK.escaped_vocab(tok.vocab_tokens)
+    df = spark.createDataFrame([("a b\n\\é",)], "t string").withColumn("ids", tok.encode("t"))
+    got = list(df.select(TK.token_preview("ids", esc, 50).alias("p")).first().p)
+    alpha = TK.byte_alphabet()
+    want = [TK.unicode_escape(alpha[b]) for b in "a b\n\\é".encode()]
+    assert got == want == ["a", "\\u0120", "b", "\\u010a", "\\\\", "\\xc3", "\\xa9"]
+    assert df.select(tok.decode("ids").alias("d")).first().d == "a b\n\\é"
+
+
+def test_reserved_atoms_encode_as_one_token(spark):
+    df = spark.createDataFrame([("hi <NAME>!",)], "t string")
+    ids = list(df.select(TK.byte_encode("t").alias("i")).first().i)
+    assert ids[3] == TK.SPECIAL_TOKENS.index("<NAME>") and len(ids) == 5

@@ -97,3 +97,33 @@ def test_stream_ingest(spark, tmpdir_path):
     _write(os.path.join(src, "group=ko", "b.jsonl"), '{"text": "한"}\nbad\n')
     got = STR.stream_ingest_counts(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"))
     assert sorted(tuple(r) for r in got.collect()) == [("en", 1, 2), ("ko", 1, 3)]
+
+
+def test_more_sinks(spark, tmpdir_path):
+    from textmill.functions import tokens as TK
+    from textmill.operators import quality as QU
+    from textmill.operators import rouge as RG
+    s = spark.createDataFrame([(3, '{"text": "c"}'), (1, '{"text": "a"}')], "line_number long, raw_line string")
+    hp = os.path.join(tmpdir_path, "holdout")
+    W.write_holdout_lines(s, hp)
+    body = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(hp + "/part-*")))
+    assert body == '{"text": "a"}\n{"text": "c"}\n'
+    pairs = spark.createDataFrame([(1, "abc", "abd")], "id long, prediction string, reference string")
+    scored = RG.compute_rouge(pairs).join(pairs, "id")
+    pp = os.path.join(tmpdir_path, "pred")
+    W.write_predictions(scored, pp)
+    rec = json.loads(open(glob.glob(pp + "/part-*")[0], encoding="utf-8").readline())
+    assert rec["id"] == 1 and set(rec["rouge"]) == {"rouge1", "rouge2", "rougeL"}
+    lp = os.path.join(tmpdir_path, "log")
+    row = spark.createDataFrame([(8, 1, 2.5)], "global_step long, optimizer_step long, train_loss double")
+    W.append_log_csv(row, lp, resume=True)
+    W.append_log_csv(row, lp, resume=True)
+    assert spark.read.option("header", True).csv(lp).count() == 2
+    W.append_log_csv(row, lp, resume=False)
+    assert spark.read.option("header", True).csv(lp).count() == 1
+    docs = spark.createDataFrame([("g", "f", 1, "ab"), ("g", "f", 2, "b")], "group string, file string, line long, text string")
+    enc = QU.encode_docs(docs)
+    rep = W.tokenizer_report(QU.tokenizer_quality(enc, 268), QU.top_tokens(enc, QU.vocab_frame(spark)),
+                             QU.roundtrip_failures(enc)).first()
+    assert rep.docs == 2 and [t.token for t in rep.top_used_tokens][:1] == ["b"]
+    assert TK.EOS_ID == 3

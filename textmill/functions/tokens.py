@@ -148,3 +148,60 @@ def ids_md5(ids) -> Column:
     """Digest of an id list, identical to DuckDB's ``md5(array_to_string(ids, ','))``."""
     c = F.col(ids) if isinstance(ids, str) else ids
     return F.md5(F.array_join(c, ","))
+
+
+# --- escaped token preview (B6) ---------------------------------------------------
+def unicode_escape(s: str) -> str:
+    """Python's ``s.encode('unicode_escape').decode('ascii')``."""
+    return s.encode("unicode_escape").decode("ascii")
+
+
+def escaped_vocab(vocab_tokens: list[str]) -> list[str]:
+    return [unicode_escape(t) for t in vocab_tokens]
+
+
+def byte_vocab_tokens() -> list[str]:
+    """Token string per id of the merge-free vocabulary (id order)."""
+    return [t for _, t in byte_vocab()]
+
+
+def token_preview(ids, escaped: list[str], n: int = 50) -> Column:
+    """The first ``n`` tokens as escaped strings (a lookup in an id-indexed
+    array built from the vocabulary; no Python per row)."""
+    table = F.array(*[F.lit(t) for t in escaped])
+    c = F.col(ids) if isinstance(ids, str) else ids
+    return F.transform(F.slice(c, 1, n), lambda i: F.element_at(table, i + 1))
+
+
+# --- pluggable tokenizer (F3) -------------------------------------------------------
+class Tokenizer:
+    """What the corpus jobs need from a tokenizer: column functions for encode
+    and decode, the vocabulary size and the reserved ids."""
+
+    def __init__(self, name, encode, decode, vocab_tokens, eos_id=EOS_ID, pad_id=PAD_ID, unk_id=UNK_ID,
+                 count=None):
+        self.name, self.encode, self.decode = name, encode, decode
+        self.vocab_tokens = vocab_tokens
+        self.vocab_size = len(vocab_tokens)
+        self.eos_id, self.pad_id, self.unk_id = eos_id, pad_id, unk_id
+        self.count = count  # token count without encoding, when the codec allows it
+
+    def vocab_rows(self) -> list[tuple[int, str]]:
+        return list(enumerate(self.vocab_tokens))
+
+
+def get_tokenizer(kind: str = "byte", model: dict | None = None) -> Tokenizer:
+    """``byte`` (merge-free, checkable by SQL) or ``bpe`` (a model returned by
+    :func:`textmill.operators.bpe.train_bpe`)."""
+    if kind == "byte":
+        return Tokenizer("byte", byte_encode, byte_decode, byte_vocab_tokens(), count=byte_token_count)
+    if kind == "bpe":
+        from textmill.operators import bpe
+        if model is None:
+            raise ValueError("a trained model is required for the bpe tokenizer")
+        alpha = byte_alphabet()
+        toks = [t if i < N_SPECIAL else "".join(alpha[b] for b in v)
+                for i, (t, v) in enumerate(zip(SPECIAL_TOKENS + [None] * (len(model["vocab"]) - N_SPECIAL),
+                                               model["vocab"]))]
+        return Tokenizer("bpe", bpe.make_bpe_encoder(model["merges"]), bpe.make_bpe_decoder(model["vocab"]), toks)
+    raise ValueError(f"unknown tokenizer {kind!r}")

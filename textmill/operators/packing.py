@@ -106,6 +106,11 @@ def pack_metadata(offsets: DataFrame, block_size: int = BLOCK_SIZE,
         F.greatest(F.col("total_blocks") - F.lit(int(eval_blocks)), F.lit(0)).cast("long").alias("train_blocks"))
 
 
+def with_lm_labels(blocks: DataFrame, ids: str = "input_ids") -> DataFrame:
+    """Causal-LM labels are a copy of the inputs."""
+    return blocks.withColumn("labels", F.col(ids))
+
+
 def shard_index(blocks: DataFrame) -> DataFrame:
     """Per train shard: block count and the first global train index (the
     cumulative counts a random-access reader bisects)."""

@@ -686,3 +686,46 @@ def q_source_fallback(spark, sf):
                     F.coalesce(F.col("sampled_docs") > 0, F.lit(False)).alias("exists")))
     train = srcs.select("group", "file", F.lit("train").alias("kind"), F.lit(True).alias("exists"))
     return J.resolve_group_files(hold.unionByName(train))
+
+
+# --- previews and sink round trips ------------------------------------------------------
+from textmill.sinks import writers as WR  # noqa: E402
+
+PREVIEW_TOKENS = 50
+CORPUS_GROUP_ORDER = ["en", "fr", "de", "es"]
+
+
+@register("token_preview")
+def q_token_preview(spark, sf):
+    """Escaped previews of the first 50 tokens of every document."""
+    esc = TK.escaped_vocab(TK.byte_vocab_tokens())
+    d = doc_texts(spark, sf).withColumn("ids", TK.byte_encode("text"))
+    p = d.select("doc_id", TK.token_preview("ids", esc, PREVIEW_TOKENS).alias("preview"))
+    return p.select("doc_id", F.size("preview").alias("n_tokens"), F.md5(F.array_join("preview", " ")).alias("preview_md5"))
+
+
+@register("corpus_sink_stats")
+def q_corpus_sink_stats(spark, sf):
+    """K1: the budgeted tokenizer-training corpus written as text (documents
+    separated by a blank line, groups in order), read back and counted."""
+    docs = corpus_docs(spark, sf)
+    kept = B.byte_budget_prefix(docs, B.group_fraction_budgets(docs, BUDGET_FRACTION))
+    path = scratch_path(spark, "corpus")
+    for g in CORPUS_GROUP_ORDER:  # one folder per group; part files in order
+        WR.write_corpus(kept.where(F.col("group") == g), f"{path}/{g}", [g])
+    back = (spark.read.option("lineSep", "\n\n").text(path + "/*")
+            .select(F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]+)/part-", 1).alias("group"), "value"))
+    return back.groupBy("group").agg(F.count(F.lit(1)).alias("docs"),
+                                     F.sum(F.octet_length("value") + 2).cast("long").alias("bytes"))
+
+
+@register("pack_shards")
+def q_pack_shards(spark, sf):
+    """K2: blocks written as Parquet partitioned by split and shard, read back
+    per shard (partition pruning gives each shard's files directly)."""
+    path = scratch_path(spark, "blocks")
+    WR.write_blocks(packed(spark, sf), path, PACK_SHARD)
+    back = spark.read.parquet(path)
+    return back.groupBy("split", "shard").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.min("block_idx").alias("first_block"),
+        F.sum(F.size("input_ids")).cast("long").alias("n_tokens"))

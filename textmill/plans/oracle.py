@@ -326,6 +326,7 @@ FROM b WHERE length({ustrip('blk')}) > 0
 def all_sql() -> dict[str, str]:
     _lazy_sql()
     _lazy_sql_more()
+    _lazy_sql_more2()
     return dict(SQL)
 
 
@@ -749,3 +750,31 @@ SELECT "group", file, 'holdout' AS source FROM hold
 UNION ALL
 SELECT DISTINCT d."group", d.file, 'train_fallback' FROM {DOCS} d WHERE d."group" NOT IN (SELECT "group" FROM any_hold)
 """
+
+
+def _esc_sql(c: str) -> str:
+    """unicode_escape of one byte-alphabet character (printable ASCII, Latin-1
+    as \\xNN, U+0100.. as \\uNNNN)."""
+    cp = f"unicode({c})"
+    return (f"CASE WHEN {cp} = 92 THEN '\\\\' WHEN {cp} BETWEEN 32 AND 126 THEN {c} "
+            f"WHEN {cp} < 256 THEN '\\x' || lower(lpad(to_hex({cp}), 2, '0')) "
+            f"ELSE '\\u' || lower(lpad(to_hex({cp}), 4, '0')) END")
+
+
+def _lazy_sql_more2():
+    SQL["token_preview"] = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..')[1:50] AS hx FROM documents),
+c AS (SELECT doc_id, list_transform(hx, lambda h: {_esc_sql(byte_token("('0x' || h)::INTEGER"))}) AS pv FROM t)
+SELECT doc_id, CAST(len(pv) AS INTEGER) AS n_tokens, md5(array_to_string(pv, ' ')) AS preview_md5 FROM c
+"""
+    SQL["corpus_sink_stats"] = f"""
+WITH {_BUDGETS}
+SELECT "group", count(*) AS docs, CAST(sum(block_bytes) AS BIGINT) AS bytes FROM run WHERE cum_bytes <= budget GROUP BY "group"
+"""
+    SQL["pack_shards"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
+SELECT CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split,
+       CAST(CASE WHEN block_idx < 100 THEN -1 ELSE (block_idx - 100) // 128 END AS INTEGER) AS shard,
+       count(*) AS n_blocks, CAST(min(block_idx) AS BIGINT) AS first_block, CAST(sum(n_ids) AS BIGINT) AS n_tokens
+FROM kept GROUP BY ALL
+"""

@@ -4,8 +4,6 @@ reference writes -- without funnelling the data through one task."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +67,13 @@ def write_points_csv(points: DataFrame, path: str, bom: bool = False) -> None:
 
 def append_log_csv(rows: DataFrame, path: str, resume: bool = True) -> None:
     """K7: append to a CSV log; a fresh log (or ``resume=False``, the base
-    run without a resume checkpoint) starts over with a header."""
-    fresh = not resume or not os.path.exists(path)
-    rows.write.mode("overwrite" if fresh else "append").option("header", fresh).csv(path)
+    run without a resume checkpoint) starts over.  Every part file carries
+    its own header, which is how a multi-file CSV stays readable with
+    ``header=True`` (the single-file log writes it once)."""
+    from textmill.session import path_exists
+
+    fresh = not resume or not path_exists(rows.sparkSession, path)
+    rows.write.mode("overwrite" if fresh else "append").option("header", True).csv(path)
 
 
 def tokenizer_report(quality: DataFrame, top: DataFrame, failures: DataFrame, group: str = "group") -> DataFrame:

@@ -24,12 +24,19 @@ from textmill.operators.ordering import dense_index
 
 
 # --- reading files ---------------------------------------------------------
-def _existing(paths, on_missing: str) -> list[str]:
+def _existing(paths, on_missing: str, spark: SparkSession | None = None) -> list[str]:
+    """``'skip'`` drops missing paths (warn-and-continue scans),
+    ``'error'`` raises (SFT and evaluation scans)."""
     if isinstance(paths, str):
         paths = [paths]
     keep = []
     for p in paths:
-        if "://" in p or os.path.exists(p):
+        if spark is not None:
+            from textmill.session import path_exists
+            ok = path_exists(spark, p)
+        else:
+            ok = os.path.exists(p)
+        if ok:
             keep.append(p)
         elif on_missing == "error":
             raise FileNotFoundError(p)
@@ -47,7 +54,7 @@ def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
     numbers without gathering a file into one task.
     ``on_missing``: ``'skip'`` (warn-and-continue scans) or ``'error'``.
     """
-    keep = _existing(paths, on_missing)
+    keep = _existing(paths, on_missing, spark)
     if not keep:
         return spark.createDataFrame([], "file string, line_no long, raw string")
     r = spark.read
@@ -195,7 +202,7 @@ def read_texts(spark: SparkSession, paths, on_missing: str = "skip") -> DataFram
     """Documents ``(file, line_no, text)`` from a mix of files: JSONL for a
     ``.jsonl`` suffix or ``wiki`` in the name (coercing scan), blank-line
     blocks otherwise."""
-    keep = _existing(paths, on_missing)
+    keep = _existing(paths, on_missing, spark)
     name = [p.rsplit("/", 1)[-1] for p in keep]
     js = [p for p, n in zip(keep, name) if n.endswith(".jsonl") or "wiki" in n]
     tx = [p for p in keep if p not in js]
@@ -238,8 +245,8 @@ def read_log_csv(spark: SparkSession, path: str, on_missing: str = "error") -> D
     resolved by candidate names and coerced to numbers."""
     from textmill.operators.runlog import coerce_numeric
 
-    if on_missing == "error" and "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(path)
+    if on_missing == "error":
+        _existing([path], "error", spark)
     df = spark.read.option("header", True).csv(path)
     step = resolve_column(df.columns, ["optimizer_step", "global_step", "step"])
     train = resolve_column(df.columns, ["train_loss", "loss"])
