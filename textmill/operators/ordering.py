@@ -34,7 +34,8 @@ _V = "_tm_val"
 _BS = "_tm_bsum"
 _BO = "_tm_boff"
 
-DEFAULT_BUCKET_ROWS = 50_000
+# ~1M narrow rows (tens of MB) per bucket: one task's worth of a window
+DEFAULT_BUCKET_ROWS = 1_000_000
 
 
 def _cols(xs) -> list[Column]:

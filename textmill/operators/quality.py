@@ -29,17 +29,25 @@ def encode_docs(docs: DataFrame, text: str = "text", encode=TK.byte_encode, deco
     return d
 
 
-def token_counts(encoded: DataFrame, group: str = "group", order=("file", "line"), ids: str = "ids") -> DataFrame:
-    """``(group, token_id, count, first)``; ``first`` = earliest occurrence
-    ``(order..., pos)``, the tie-break of ``Counter.most_common``."""
-    e = encoded.select(group, *order, F.posexplode(ids).alias("pos", "token_id"))
-    return e.groupBy(group, "token_id").agg(F.count(F.lit(1)).alias("count"),
-                                            F.min(F.struct(*order, "pos")).alias("first"))
+def token_counts(encoded: DataFrame, group: str = "group", order=("file", "line"), ids: str = "ids",
+                 doc_rank: str | None = None) -> DataFrame:
+    """``(group, token_id, count, first)``; ``first`` = earliest occurrence, the
+    tie-break of ``Counter.most_common``.  With ``doc_rank`` (a dense document
+    position in ``order``) ``first`` is the long ``doc_rank * 2^32 + pos``, a
+    cheap codegen-friendly minimum; otherwise the struct ``(order..., pos)``."""
+    if doc_rank is not None:
+        e = encoded.select(group, F.posexplode(ids).alias("pos", "token_id"),
+                           (F.col(doc_rank).cast("long") * F.lit(1 << 32)).alias("_d"))
+        first = F.min(F.col("_d") + F.col("pos"))
+    else:
+        e = encoded.select(group, *order, F.posexplode(ids).alias("pos", "token_id"))
+        first = F.min(F.struct(*order, "pos"))
+    return e.groupBy(group, "token_id").agg(F.count(F.lit(1)).alias("count"), first.alias("first"))
 
 
 def tokenizer_quality(encoded: DataFrame, vocab_size: int, group: str = "group", text: str = "text",
                       ids: str = "ids", order=("file", "line"), unk_id: int | None = TK.UNK_ID,
-                      digits: int = 9) -> DataFrame:
+                      digits: int = 9, doc_rank: str | None = None) -> DataFrame:
     """One row of tokenizer statistics per group."""
     unk = (F.size(F.filter(ids, lambda x: x == F.lit(unk_id))) if unk_id is not None else F.lit(0))
     g = encoded.groupBy(group).agg(
@@ -49,7 +57,8 @@ def tokenizer_quality(encoded: DataFrame, vocab_size: int, group: str = "group",
         F.sum(unk).cast("long").alias("unk_count"),
         F.count_if(F.col("roundtrip_ok")).alias("roundtrip_success"),
         F.count_if(~F.col("roundtrip_ok")).alias("roundtrip_fail"))
-    used = token_counts(encoded, group, order, ids).groupBy(group).agg(F.count(F.lit(1)).alias("used_vocab"))
+    used = (encoded.select(group, F.explode(ids).alias("token_id")).distinct()
+            .groupBy(group).agg(F.count(F.lit(1)).alias("used_vocab")))
     g = g.join(used, group, "left").fillna(0, ["used_vocab"])
 
     def ratio(a, b):
@@ -68,11 +77,11 @@ def tokenizer_quality(encoded: DataFrame, vocab_size: int, group: str = "group",
 
 
 def top_tokens(encoded: DataFrame, vocab: DataFrame, k: int = TOP_K, group: str = "group",
-               order=("file", "line"), ids: str = "ids") -> DataFrame:
+               order=("file", "line"), ids: str = "ids", doc_rank: str | None = None) -> DataFrame:
     """T4 + J2: the ``k`` most frequent ids per group, ties by first
     occurrence, with their token strings (vocabulary joined by broadcast: its
     size is the vocabulary size, a fixed bound)."""
-    c = token_counts(encoded, group, order, ids)
+    c = token_counts(encoded, group, order, ids, doc_rank)
     w = Window.partitionBy(group).orderBy(F.col("count").desc(), F.col("first"))
     top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.join(F.broadcast(vocab), "token_id", "left").select(group, "rank", "token_id", "token", "count")

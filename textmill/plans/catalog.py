@@ -569,7 +569,8 @@ def q_tokenizer_quality(spark, sf):
 
 @register("top_tokens")
 def q_top_tokens(spark, sf):
-    return QU.top_tokens(QU.encode_docs(eval_docs(spark, sf), roundtrip=False), QU.vocab_frame(spark))
+    return QU.top_tokens(QU.encode_docs(eval_docs(spark, sf), roundtrip=False), QU.vocab_frame(spark),
+                         doc_rank="doc_idx")
 
 
 @register("roundtrip_failures")

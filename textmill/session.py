@@ -14,6 +14,9 @@ REQUIRED_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # per-group top-n (holdout samples of up to 5 000 per source) keeps the
+    # partial, pre-shuffle WindowGroupLimit
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
