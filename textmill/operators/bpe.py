@@ -45,7 +45,9 @@ def pretokens(text) -> Column:
 
 def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """B1: ``(word, freq)`` over the corpus."""
-    w = docs.select(F.explode(pretokens(text)).alias("word"))
+    from textmill.operators.ordering import ensure_parallelism
+
+    w = ensure_parallelism(docs.select(text)).select(F.explode(pretokens(text)).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 

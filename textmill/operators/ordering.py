@@ -136,3 +136,14 @@ def group_counts(df: DataFrame, part: Sequence[str]) -> dict:
         raise ValueError("group_counts is meant for a few groups")
     key = (lambda r: r[0]) if len(_names(part)) == 1 else (lambda r: tuple(r[:-1]))
     return {key(r): r[-1] for r in rows}
+
+
+def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread rows before CPU-heavy per-row work (regex extraction, codecs,
+    n-gram explosion) only when the input has fewer partitions than the
+    cluster has cores -- e.g. one small file scanned by one task.  A large
+    input already has many partitions and is left alone (no extra shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import tokens as TK
+from textmill.operators.ordering import ensure_parallelism
 
 MAX_DOCS_PER_GROUP = 10_000
 MAX_EXAMPLES = 3
@@ -23,7 +24,7 @@ def encode_docs(docs: DataFrame, text: str = "text", encode=TK.byte_encode, deco
                 roundtrip: bool = True) -> DataFrame:
     """``ids`` (no special tokens added) and, optionally, ``decoded``
     and the exact round-trip flag ``roundtrip_ok``."""
-    d = docs.withColumn("ids", encode(text))
+    d = ensure_parallelism(docs).withColumn("ids", encode(text))
     if roundtrip:
         d = d.withColumn("decoded", decode("ids")).withColumn("roundtrip_ok", F.col("decoded") == F.col(text))
     return d

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import WS_CLASS, strip_u
-from textmill.operators.ordering import running_total
+from textmill.operators.ordering import ensure_parallelism, running_total
 
 MODES = ("char", "whitespace")
 
@@ -51,18 +51,36 @@ def prf(overlap: Column, pred_n: Column, ref_n: Column, digits: int = 9) -> Colu
     return F.struct(z(p).alias("p"), z(r).alias("r"), z(f1).alias("f1"))
 
 
+def ngram_keys(tokens, n: int) -> Column:
+    """R2 as grouping keys: each n-gram joined by a space.  Tokens never
+    contain whitespace (in either mode), so the key is unambiguous, and a
+    string hashes and compares far faster than an array."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    if n == 1:
+        return t
+    k = F.size(t) - F.lit(n) + 1
+    return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))) \
+            .otherwise(F.array().cast(T.ArrayType(T.StringType())))
+
+
+def spread(pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """Per-pair work (n-gram explosion, LCS) is CPU-heavy: make sure it runs
+    on all cores even when the pairs arrive in a few partitions."""
+    return ensure_parallelism(pairs, id_col)
+
+
 def ngram_counts(pairs: DataFrame, ns=(1, 2), mode: str = "char", id_col: str = "id",
                  pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Per ``(id, n, ngram)``: occurrences in prediction and in reference."""
-    sides = []
-    for side, col in (("p", pred), ("r", ref)):
-        toks = pairs.select(id_col, rouge_tokens(col, mode).alias("_t"))
-        for n in ns:
-            sides.append(toks.select(id_col, F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                     F.explode(ngrams("_t", n)).alias("ngram")))
-    rows = sides[0]
-    for s in sides[1:]:
-        rows = rows.unionByName(s)
+    """Per ``(id, n, ngram)``: occurrences in prediction and in reference.
+    Both sides are tokenized once per row and exploded together; the count
+    is one hash aggregation with map-side partial counts."""
+    d = spread(pairs, id_col).select(id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
+    def tag(n, side):
+        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("ngram"))
+    parts = [F.transform(ngram_keys(col, n), tag(n, side))
+             for side, col in (("p", "_p"), ("r", "_r")) for n in ns]
+    rows = d.select(id_col, F.explode(F.concat(*parts)).alias("_g"))
+    rows = rows.select(id_col, F.col("_g.n").alias("n"), F.col("_g.side").alias("side"), F.col("_g.ngram").alias("ngram"))
     return rows.groupBy(id_col, "n", "ngram").agg(
         F.count_if(F.col("side") == "p").alias("pred_cnt"),
         F.count_if(F.col("side") == "r").alias("ref_cnt"))
@@ -120,7 +138,7 @@ def lcs_length(a, b) -> Column:
 def rouge_l(pairs: DataFrame, mode: str = "char", id_col: str = "id",
             pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """``(id, lcs, rougeL)`` from the LCS of the two token lists."""
-    d = pairs.select(id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
+    d = spread(pairs, id_col).select(id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
     d = d.withColumn("lcs", F.when((F.size("_p") == 0) | (F.size("_r") == 0), F.lit(0))
                      .otherwise(lcs_length("_p", "_r")))
     return d.select(id_col, "lcs", prf(F.col("lcs"), F.size("_p"), F.size("_r")).alias("rougeL"))
