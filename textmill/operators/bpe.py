@@ -124,6 +124,17 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequenc
 
     spark = docs.sparkSession
     checkpoint_dir(spark)
+    # The rounds are many small jobs over one cached table whose layout is
+    # fixed: adaptive re-planning only adds latency to each of them.
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_rounds)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
+def _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_rounds) -> dict:
     vocab: list[bytes] = [t.encode() for t in TK.SPECIAL_TOKENS] + [b""] * 256
     for b in range(256):
         vocab[int(TK.BYTE_TO_ID[b])] = bytes([b])
