@@ -327,3 +327,11 @@ def test_reserved_atoms_encode_as_one_token(spark):
     df = spark.createDataFrame([("hi <NAME>!",)], "t string")
     ids = list(df.select(TK.byte_encode("t").alias("i")).first().i)
     assert ids[3] == TK.SPECIAL_TOKENS.index("<NAME>") and len(ids) == 5
+
+
+def test_special_token_counts(spark):
+    from textmill.operators import quality as QU
+    d = spark.createDataFrame([("a", "x <NAME> y <NAME><EMAIL>"), ("a", "none"), ("b", "z")], "group string, text string")
+    rows = sorted((r.group, r.token, r["count"]) for r in QU.special_token_counts(d).collect())
+    assert [x for x in rows if x[2]] == [("a", "<EMAIL>", 1), ("a", "<NAME>", 2)]
+    assert len(rows) == 2 * len(TK.SPECIAL_TOKENS)

@@ -100,10 +100,13 @@ def roundtrip_failures(encoded: DataFrame, k: int = MAX_EXAMPLES, group: str = "
 
 
 def special_token_counts(docs: DataFrame, group: str = "group", text: str = "text") -> DataFrame:
-    """Occurrences of each reserved atom per group (long format)."""
-    aggs = [F.sum(F.size(F.regexp_extract_all(F.col(text), F.lit(_re_quote(t)), 0))).cast("long").alias(f"c{i}")
-            for i, t in enumerate(TK.SPECIAL_TOKENS)]
-    g = docs.groupBy(group).agg(*aggs)
+    """Occurrences of each reserved atom per group (long format).  One
+    regex pass finds all atoms; ``explode_outer`` keeps documents without any
+    so every group reports every atom (zeros included)."""
+    alt = "|".join(_re_quote(t) for t in TK.SPECIAL_TOKENS)
+    m = docs.select(group, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(alt), 0)).alias("_m"))
+    aggs = [F.count_if(F.col("_m") == F.lit(t)).cast("long").alias(f"c{i}") for i, t in enumerate(TK.SPECIAL_TOKENS)]
+    g = m.groupBy(group).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i).alias("token_id"), F.lit(t).alias("token"), F.col(f"c{i}").alias("count"))
                      for i, t in enumerate(TK.SPECIAL_TOKENS)])
     return g.select(group, F.inline(rows))
