@@ -592,10 +592,11 @@ BPE_SMALL_MERGES = 128
 _BPE_MODELS: dict = {}
 
 
-def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB) -> dict:
-    """Trained once per process and scale factor (training is deterministic)."""
+def bpe_model(spark, sf, vocab_size: int = BPE_VOCAB, fresh: bool = False) -> dict:
+    """Trained once per process and scale factor for the queries that only
+    use the model (training is deterministic); ``fresh`` retrains."""
     key = (sf, vocab_size)
-    if key not in _BPE_MODELS:
+    if fresh or key not in _BPE_MODELS:
         _BPE_MODELS[key] = BP.train_bpe(table(spark, sf, "documents").select("text"), vocab_size)
     return _BPE_MODELS[key]
 
@@ -613,7 +614,7 @@ def q_bpe_pair_counts(spark, sf):
 
 @register("bpe_merges")
 def q_bpe_merges(spark, sf):
-    return BP.merges_frame(spark, bpe_model(spark, sf))
+    return BP.merges_frame(spark, bpe_model(spark, sf, fresh=True))
 
 
 @register("bpe_encode")
