@@ -57,6 +57,8 @@ def test_generation_samples_ids(spark):
     rows = J.generation_samples(d).orderBy("line_no").collect()
     assert [(r.id, r.prompt, r.reference) for r in rows] == [("a1", "p", "r"), ("3", "p2", "r2")]
     assert J.generation_samples(d, max_samples=1).count() == 1
+    nul = lines_df(spark, ['{"id": null, "prompt": "p", "response": "r"}'])
+    assert J.generation_samples(nul).first().id is None
 
 
 def test_unicode_strip_and_code_points(spark):

@@ -106,6 +106,23 @@ def pack_metadata(offsets: DataFrame, block_size: int = BLOCK_SIZE,
         F.greatest(F.col("total_blocks") - F.lit(int(eval_blocks)), F.lit(0)).cast("long").alias("train_blocks"))
 
 
+def split_overlap(offsets: DataFrame, block_size: int = BLOCK_SIZE, eval_blocks: int = EVAL_BLOCKS,
+                  key: str = "doc_id") -> DataFrame:
+    """Optional report: documents with tokens in both the eval head and the
+    train blocks -- one emission straddling the boundary, or a repeated
+    document emitted in both.  Works on the narrow offsets only."""
+    B, E = int(block_size), int(eval_blocks)
+    total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
+    n_blocks = total // B
+    first = F.floor(F.col("tok_start") / B)
+    last = F.least(F.floor((F.col("tok_start") + F.col("n_tokens") - 1) / B), F.lit(n_blocks - 1))
+    d = offsets.where(F.col("tok_start") < F.lit(n_blocks * B))
+    g = d.groupBy(key).agg(F.max((first < E).cast("int")).alias("in_eval"),
+                           F.max((last >= E).cast("int")).alias("in_train"),
+                           F.count(F.lit(1)).alias("emissions"))
+    return g.where((F.col("in_eval") == 1) & (F.col("in_train") == 1)).select(key, "emissions")
+
+
 def with_lm_labels(blocks: DataFrame, ids: str = "input_ids") -> DataFrame:
     """Causal-LM labels are a copy of the inputs."""
     return blocks.withColumn("labels", F.col(ids))

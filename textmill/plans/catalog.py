@@ -731,3 +731,10 @@ def q_pack_shards(spark, sf):
     return back.groupBy("split", "shard").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.min("block_idx").alias("first_block"),
         F.sum(F.size("input_ids")).cast("long").alias("n_tokens"))
+
+
+@register("pack_overlap")
+def q_pack_overlap(spark, sf):
+    """Documents whose tokens land in both eval and train blocks."""
+    offs = PK.token_offsets(mix_keys(spark, sf), count=F.col("n_bytes"))
+    return PK.split_overlap(offs, PACK_BLOCK, PACK_EVAL)

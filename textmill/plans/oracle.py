@@ -257,7 +257,8 @@ FROM st
 """
     SQL["generation_samples"] = f"""
 WITH {_sft_lines()}
-SELECT line_no, coalesce(id_value, CAST(line_no AS VARCHAR)) AS id, prompt, response AS reference
+SELECT line_no, CASE WHEN id_type IS NULL THEN CAST(line_no AS VARCHAR) WHEN id_type = 'NULL' THEN NULL
+                     ELSE id_value END AS id, prompt, response AS reference
 FROM st WHERE status = 'valid'
 """
 
@@ -308,7 +309,8 @@ st AS (SELECT file, line_no,
                    ELSE 'valid' END AS status,
               CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.prompt')} END AS prompt,
               CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.response')} END AS response,
-              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.id')} END AS id_value
+              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN {_pystr('$.id')} END AS id_value,
+              CASE WHEN s <> '' AND json_valid(s) AND json_type(s) = 'OBJECT' THEN json_type(s, '$.id') END AS id_type
        FROM parsed)
 """
 
@@ -327,6 +329,7 @@ def all_sql() -> dict[str, str]:
     _lazy_sql()
     _lazy_sql_more()
     _lazy_sql_more2()
+    _lazy_sql_more3()
     return dict(SQL)
 
 
@@ -778,3 +781,15 @@ SELECT CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split,
        count(*) AS n_blocks, CAST(min(block_idx) AS BIGINT) AS first_block, CAST(sum(n_ids) AS BIGINT) AS n_tokens
 FROM kept GROUP BY ALL
 """
+
+
+def _lazy_sql_more3():
+    SQL["pack_overlap"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS},
+nb AS (SELECT CAST(sum(n_tokens) // 4096 AS BIGINT) AS n_blocks FROM offs),
+sp AS (SELECT doc_id, tok_start // 4096 AS first_b,
+              least((tok_start + n_tokens - 1) // 4096, nb.n_blocks - 1) AS last_b
+       FROM offs JOIN mixed USING (mix_pos), nb WHERE tok_start < nb.n_blocks * 4096)
+SELECT doc_id, count(*) AS emissions FROM sp GROUP BY doc_id
+HAVING max(CAST(first_b < 100 AS INTEGER)) = 1 AND max(CAST(last_b >= 100 AS INTEGER)) = 1
+"""

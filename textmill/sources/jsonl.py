@@ -175,7 +175,8 @@ def sft_rows(lines: DataFrame, raw: str = "raw") -> DataFrame:
         *lines.columns,
         F.when(blank, "blank").when(bad, "bad").otherwise("valid").alias("status"),
         _py_str(p).alias("prompt"), _py_str(r).alias("response"),
-        F.when(idv.isNotNull(), _py_str(idv)).alias("id_value"))
+        F.when(idv.isNotNull() & (F.schema_of_variant(idv) != "VOID"), _py_str(idv)).alias("id_value"),
+        idv.isNotNull().alias("has_id"))
 
 
 def sft_scan_quality(lines: DataFrame, raw: str = "raw") -> DataFrame:
@@ -190,8 +191,9 @@ def generation_samples(lines: DataFrame, raw: str = "raw", max_samples: int | No
     """Valid samples with ``id`` = the ``id`` key, else the line number;
     ``max_samples`` keeps the first N valid lines (None = all)."""
     s = sft_rows(lines, raw).where(F.col("status") == "valid")
-    s = s.select("line_no", F.coalesce("id_value", F.col("line_no").cast("string")).alias("id"),
-                 "prompt", F.col("response").alias("reference"))
+    # ``ex.get('id', line_no)``: a present key wins even when it is null
+    ident = F.when(F.col("has_id"), F.col("id_value")).otherwise(F.col("line_no").cast("string"))
+    s = s.select("line_no", ident.alias("id"), "prompt", F.col("response").alias("reference"))
     if max_samples is not None:
         s = s.orderBy("line_no").limit(int(max_samples))
     return s
