@@ -738,3 +738,21 @@ def q_pack_overlap(spark, sf):
     """Documents whose tokens land in both eval and train blocks."""
     offs = PK.token_offsets(mix_keys(spark, sf), count=F.col("n_bytes"))
     return PK.split_overlap(offs, PACK_BLOCK, PACK_EVAL)
+
+
+@register("pack_split")
+def q_pack_split(spark, sf):
+    """D3: the eval head and the train remainder."""
+    b = packed(spark, sf)
+    return b.groupBy("split").agg(F.count(F.lit(1)).alias("n_blocks"), F.min("block_idx").alias("first_block"),
+                                  F.max("block_idx").alias("last_block"))
+
+
+@register("lcs_length")
+def q_lcs_length(spark, sf):
+    """LCS length of every prediction/reference pair (char tokens, whole
+    texts; checked against a loop DP in pytest, no SQL form)."""
+    p = RG.spread(prediction_pairs(spark, sf))
+    t = p.select("id", RG.rouge_tokens("prediction").alias("a"), RG.rouge_tokens("reference").alias("b"))
+    return t.select("id", F.size("a").alias("pred_len"), F.size("b").alias("ref_len"),
+                    RG.lcs_length("a", "b").alias("lcs"))

@@ -330,6 +330,7 @@ def all_sql() -> dict[str, str]:
     _lazy_sql_more()
     _lazy_sql_more2()
     _lazy_sql_more3()
+    _lazy_sql_more4()
     return dict(SQL)
 
 
@@ -793,3 +794,12 @@ sp AS (SELECT doc_id, tok_start // 4096 AS first_b,
 SELECT doc_id, count(*) AS emissions FROM sp GROUP BY doc_id
 HAVING max(CAST(first_b < 100 AS INTEGER)) = 1 AND max(CAST(last_b >= 100 AS INTEGER)) = 1
 """
+
+
+def _lazy_sql_more4():
+    SQL["pack_split"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
+SELECT CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split, count(*) AS n_blocks,
+       CAST(min(block_idx) AS BIGINT) AS first_block, CAST(max(block_idx) AS BIGINT) AS last_block
+FROM kept GROUP BY 1
+"""
