@@ -56,16 +56,22 @@ def group_fraction_budgets(docs: DataFrame, fraction: float, group: str = "group
 
 
 def byte_budget_prefix(docs: DataFrame, budget, group: str = "group", file: str = "file",
-                       line: str = "line", text: str = "text", bucket_width: int = 10_000) -> DataFrame:
+                       line: str = "line", text: str = "text", bucket_width: int = 10_000,
+                       keys: list[str] | None = None) -> DataFrame:
     """The documents a budgeted writer takes, stopping the whole group at
     the first document that would overflow.  Sizes are positive, so the kept
     rows are exactly those whose running total is within the budget.
 
     Adds ``block_bytes`` and ``cum_bytes``.  Buckets that start past the budget
-    are pruned before the shuffle.
+    are pruned before the shuffle.  With ``keys`` only those columns (plus
+    group, file, line) are kept: the byte sizes are taken in one scan and the
+    narrow table is checkpointed, so the two passes of the running total do
+    not read the text twice; join the text back on a key when needed.
     """
     b = budget_col(budget, group)
     d = with_block_bytes(docs, text)
+    if keys is not None:
+        d = d.select(*dict.fromkeys([group, file, line, *keys, "block_bytes"])).checkpoint(eager=True)
     r = running_total(d, [group], [file, line], "block_bytes",
                       _doc_bucket(file, line, bucket_width), out="cum_bytes", max_start=b)
     return r.where(F.col("cum_bytes") <= b)

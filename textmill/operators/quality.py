@@ -48,19 +48,31 @@ def token_counts(encoded: DataFrame, group: str = "group", order=("file", "line"
 
 def tokenizer_quality(encoded: DataFrame, vocab_size: int, group: str = "group", text: str = "text",
                       ids: str = "ids", order=("file", "line"), unk_id: int | None = TK.UNK_ID,
-                      digits: int = 9, doc_rank: str | None = None) -> DataFrame:
-    """One row of tokenizer statistics per group."""
+                      digits: int = 9) -> DataFrame:
+    """One row of tokenizer statistics per group, in one pass.
+
+    Ids are exploded once; the document's own statistics ride on its first
+    row (``posexplode_outer`` keeps token-less documents).  A first
+    aggregation by ``(group, token_id)`` is bounded by the vocabulary; the
+    second sums documents' statistics and counts distinct ids per group."""
     unk = (F.size(F.filter(ids, lambda x: x == F.lit(unk_id))) if unk_id is not None else F.lit(0))
-    g = encoded.groupBy(group).agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.sum(F.char_length(text)).cast("long").alias("chars"),
-        F.sum(F.size(ids)).cast("long").alias("tokens"),
-        F.sum(unk).cast("long").alias("unk_count"),
-        F.count_if(F.col("roundtrip_ok")).alias("roundtrip_success"),
-        F.count_if(~F.col("roundtrip_ok")).alias("roundtrip_fail"))
-    used = (encoded.select(group, F.explode(ids).alias("token_id")).distinct()
-            .groupBy(group).agg(F.count(F.lit(1)).alias("used_vocab")))
-    g = g.join(used, group, "left").fillna(0, ["used_vocab"])
+    # per-document values first (one evaluation per document), then explode
+    per_doc = encoded.select(group, ids, F.char_length(text).cast("long").alias("_c"),
+                             F.size(ids).cast("long").alias("_t"), unk.cast("long").alias("_u"),
+                             F.col("roundtrip_ok").cast("long").alias("_ok"))
+    d = per_doc.select(group, "_c", "_t", "_u", "_ok", F.posexplode_outer(ids).alias("pos", "token_id"))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+
+    def on_first(c):
+        return F.sum(F.when(first, F.col(c)).otherwise(F.lit(0)))
+    per_tok = d.groupBy(group, "token_id").agg(
+        F.count_if(first).alias("_docs"), on_first("_c").alias("_c"), on_first("_t").alias("_t"),
+        on_first("_u").alias("_u"), on_first("_ok").alias("_ok"))
+    g = per_tok.groupBy(group).agg(
+        F.sum("_docs").alias("docs"), F.sum("_c").alias("chars"), F.sum("_t").alias("tokens"),
+        F.sum("_u").alias("unk_count"), F.sum("_ok").alias("roundtrip_success"),
+        F.count("token_id").alias("used_vocab"))
+    g = g.withColumn("roundtrip_fail", F.col("docs") - F.col("roundtrip_success"))
 
     def ratio(a, b):
         return F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)), digits)

@@ -36,7 +36,7 @@ def q_corpus_composition(spark, sf):
 def q_byte_budget_prefix(spark, sf):
     docs = corpus_docs(spark, sf)
     budgets = B.group_fraction_budgets(docs, BUDGET_FRACTION)
-    kept = B.byte_budget_prefix(docs, budgets)
+    kept = B.byte_budget_prefix(docs, budgets, keys=["doc_id"])
     return kept.select("group", "file", "doc_id", "block_bytes", "cum_bytes")
 
 
@@ -44,7 +44,7 @@ def q_byte_budget_prefix(spark, sf):
 def q_budget_usage(spark, sf):
     docs = corpus_docs(spark, sf)
     budgets = B.group_fraction_budgets(docs, BUDGET_FRACTION)
-    return B.budget_usage(B.byte_budget_prefix(docs, budgets))
+    return B.budget_usage(B.byte_budget_prefix(docs, budgets, keys=["doc_id"]))
 
 
 # --- mixing and packing ------------------------------------------------------
@@ -711,7 +711,8 @@ def q_corpus_sink_stats(spark, sf):
     """K1: the budgeted tokenizer-training corpus written as text (documents
     separated by a blank line, groups in order), read back and counted."""
     docs = corpus_docs(spark, sf)
-    kept = B.byte_budget_prefix(docs, B.group_fraction_budgets(docs, BUDGET_FRACTION))
+    kept = B.byte_budget_prefix(docs, B.group_fraction_budgets(docs, BUDGET_FRACTION), keys=["doc_id"])
+    kept = kept.join(doc_texts(spark, sf), "doc_id")  # the text joins the (smaller) kept prefix once
     path = scratch_path(spark, "corpus")
     for g in CORPUS_GROUP_ORDER:  # one folder per group; part files in order
         WR.write_corpus(kept.where(F.col("group") == g), f"{path}/{g}", [g])
