@@ -127,3 +127,21 @@ def test_more_sinks(spark, tmpdir_path):
                              QU.roundtrip_failures(enc)).first()
     assert rep.docs == 2 and [t.token for t in rep.top_used_tokens][:1] == ["b"]
     assert TK.EOS_ID == 3
+
+
+def test_stateful_summary_stream_any_file_order(spark, tmpdir_path):
+    import random
+    import time
+    rnd = random.Random(1)
+    rows = [("r", i + 1, float(rnd.randint(0, 9)), rnd.random() > 0.2) for i in range(600)]
+    log = spark.createDataFrame(rows, "run string, global_step long, loss double, valid boolean")
+    src = os.path.join(tmpdir_path, "src")
+    # write the files newest-step-first, each with its own modification time
+    for k in reversed(range(5)):
+        part = log.where((F.col("global_step") > k * 120) & (F.col("global_step") <= (k + 1) * 120))
+        part.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+    got = STR.stream_summary_windows(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"))
+    want = RL.train_log_windows(log, "summary")
+    key = ["optimizer_step", "global_step", "train_loss", "n_losses"]
+    assert sorted(tuple(r) for r in got.select(key).collect()) == sorted(tuple(r) for r in want.select(key).collect())

@@ -757,3 +757,13 @@ def q_lcs_length(spark, sf):
     t = p.select("id", RG.rouge_tokens("prediction").alias("a"), RG.rouge_tokens("reference").alias("b"))
     return t.select("id", F.size("a").alias("pred_len"), F.size("b").alias("ref_len"),
                     RG.lcs_length("a", "b").alias("lcs"))
+
+
+@register("stream_summary_windows")
+def q_stream_summary_windows(spark, sf):
+    """ST1, summary rule: ordered state per run on a file stream."""
+    base = scratch_path(spark, "stream-summary")
+    log = training_log(spark, sf).select(F.lit("events").alias("run"), "global_step", "loss", "valid")
+    log.repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
+    r = STR.stream_summary_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+    return r.select(F.lit("summary").alias("rule"), "global_step", "optimizer_step", "train_loss", "n_losses")

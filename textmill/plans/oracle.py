@@ -331,6 +331,7 @@ def all_sql() -> dict[str, str]:
     _lazy_sql_more2()
     _lazy_sql_more3()
     _lazy_sql_more4()
+    _lazy_sql_more5()
     return dict(SQL)
 
 
@@ -803,3 +804,7 @@ SELECT CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split, count(*)
        CAST(min(block_idx) AS BIGINT) AS first_block, CAST(max(block_idx) AS BIGINT) AS last_block
 FROM kept GROUP BY 1
 """
+
+
+def _lazy_sql_more5():
+    SQL["stream_summary_windows"] = f"WITH {_OPT} {_win('summary')}"

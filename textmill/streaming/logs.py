@@ -61,3 +61,81 @@ def stream_ingest_counts(spark: SparkSession, src_dir: str, out_dir: str, checkp
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)
+
+
+# --- ordered state per run: the summary rule (W7/W8 with cancelled updates) ---------
+STATE_SCHEMA = ("updates long, win_sum double, win_cnt long, next_step long, "
+                "p_step array<long>, p_loss array<double>, p_valid array<boolean>")
+WINDOW_OUT = "run string, global_step long, optimizer_step long, train_loss double, n_losses long"
+_EMPTY_OUT = ["run", "global_step", "optimizer_step", "train_loss", "n_losses"]
+
+
+def _summary_windows_state(key, pdfs, state):
+    """Micro-steps carry dense global steps (invalid ones included), so the
+    state knows the next expected step: rows that arrive ahead of it wait in
+    a reordering buffer (files may be picked up in any order).  The
+    contiguous prefix is processed vectorized: valid micro-steps only; an
+    update at every 8th global step whose loss is valid; a window closes at
+    every 10th update.  State = updates so far, the open window's sum and
+    count, the next expected step and the buffered rows."""
+    import numpy as np
+    import pandas as pd
+
+    if state.exists:
+        upd0, s0, c0, nxt, ps, pl, pv = state.get
+    else:
+        upd0, s0, c0, nxt, ps, pl, pv = 0, 0.0, 0, 1, [], [], []
+    rows = pd.concat([pd.DataFrame({"global_step": list(ps or []), "loss": list(pl or []),
+                                    "valid": list(pv or [])})] + [p[["global_step", "loss", "valid"]] for p in pdfs],
+                     ignore_index=True)
+    rows = rows.drop_duplicates("global_step").sort_values("global_step")
+    steps = rows["global_step"].to_numpy(dtype=np.int64)
+    ready = int(np.sum(steps == nxt + np.arange(len(steps))))  # contiguous run from the expected step
+    cur, wait = rows.iloc[:ready], rows.iloc[ready:]
+    out = pd.DataFrame(columns=_EMPTY_OUT)
+    upd1, s1, c1 = upd0, s0, c0
+    v = cur[cur["valid"].astype(bool)]
+    if len(v):
+        step = v["global_step"].to_numpy(dtype=np.int64)
+        loss = v["loss"].to_numpy(dtype=float)
+        u = (step % GRAD_ACCUM == 0).astype(np.int64)
+        cum = upd0 + np.cumsum(u)
+        win = (cum - u) // LOG_STEPS
+        closes = (u == 1) & (cum % LOG_STEPS == 0)
+        g = pd.DataFrame({"win": win, "loss": loss, "step": np.where(closes, step, -1)}).groupby("win").agg(
+            s=("loss", "sum"), c=("loss", "size"), close=("step", "max"))
+        open_win = upd0 // LOG_STEPS
+        if open_win in g.index:
+            g.loc[open_win, "s"] += s0
+            g.loc[open_win, "c"] += c0
+        else:
+            g.loc[open_win] = [s0, c0, -1]
+        done = g[g["close"] >= 0]
+        out = pd.DataFrame({"run": key[0], "global_step": done["close"].astype("int64"),
+                            "optimizer_step": ((done.index + 1) * LOG_STEPS).astype("int64"),
+                            "train_loss": (done["s"] / done["c"].clip(lower=1)).round(9),
+                            "n_losses": done["c"].astype("int64")})
+        upd1 = int(cum[-1])
+        still_open = upd1 // LOG_STEPS
+        s1, c1 = ((float(g.loc[still_open, "s"]), int(g.loc[still_open, "c"])) if still_open in g.index
+                  else (0.0, 0))
+    nxt1 = nxt + ready
+    state.update((upd1, s1, c1, nxt1, wait["global_step"].astype("int64").tolist(),
+                  wait["loss"].astype(float).tolist(), wait["valid"].astype(bool).tolist()))
+    yield out
+
+
+def stream_summary_windows(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
+                           max_files_per_trigger: int = 1) -> DataFrame:
+    """ST1 with the summary rule: ``applyInPandasWithState`` keyed by run,
+    append mode (a window is emitted once, when it closes).  Files may arrive
+    in any order; the state's reordering buffer releases micro-steps in step
+    order (it holds at most the rows that arrived ahead of a gap)."""
+    s = (spark.readStream.schema("run string, global_step long, loss double, valid boolean")
+         .option("maxFilesPerTrigger", max_files_per_trigger).parquet(src_dir))
+    w = s.groupBy("run").applyInPandasWithState(_summary_windows_state, WINDOW_OUT, STATE_SCHEMA,
+                                                "append", "NoTimeout")
+    q = (w.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
