@@ -11,8 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as TK
 from textmill.operators import budget as B
-from textmill.sources.tables import corpus_docs
+from textmill.operators import bpe as BP
+from textmill.operators import holdout as HO
+from textmill.operators import mixing as MX
+from textmill.operators import ordering as OR
+from textmill.operators import packing as PK
+from textmill.operators import quality as QU
+from textmill.operators import rouge as RG
+from textmill.operators import runlog as RL
+from textmill.operators import sft as SF
+from textmill.plans.fixtures import RETENTION_EDGE_NAMES, SFT_EDGE_LINES, TEXT_EDGE_LINES
+from textmill.session import scratch_path
+from textmill.sinks import writers as WR
+from textmill.sources import jsonl as J
+from textmill.sources.tables import conversation_pairs, corpus_docs, table, training_log
+from textmill.streaming import logs as STR
 
 # Fixed parameters of the registered queries (chosen for the test scales).
 BUDGET_FRACTION = 0.6          # text budget: share of each group's bytes
@@ -48,9 +63,6 @@ def q_budget_usage(spark, sf):
 
 
 # --- mixing and packing ------------------------------------------------------
-from textmill.functions import tokens as TK  # noqa: E402
-from textmill.operators import mixing as MX  # noqa: E402
-from textmill.operators import packing as PK  # noqa: E402
 
 PACK_BLOCK, PACK_EVAL, PACK_SHARD = 4096, 100, 128
 RESUME_STEP = 3
@@ -129,16 +141,6 @@ def q_packed_validate(spark, sf):
 
 
 # --- scans over JSON lines derived from the tables ----------------------------
-from textmill.sources import jsonl as J  # noqa: E402
-from textmill.sources.tables import conversation_pairs, table  # noqa: E402
-
-# Fixed edge-case lines appended to the derived JSONL "files".
-TEXT_EDGE_LINES = ['{"text": " a "}', "", "bad{", '{"text": 5}', '{"text": null}', '{"no": 1}',
-                   "[1]", '{"text": "  "}', '{"text": true}']
-SFT_EDGE_LINES = ["bad{", '{"prompt": "  ", "response": "x"}', '{"prompt": null, "response": "x"}',
-                  '{"prompt": false, "response": "x"}', '{"prompt": [], "response": "x"}', "[1, 2]",
-                  '{"prompt": "p", "response": {}}', '{"id": 7, "prompt": "p", "response": "r"}']
-
 
 def json_escape(c):
     """JSON string body of a text: escapes backslash, quote, CR, LF and tab."""
@@ -226,8 +228,6 @@ def q_generation_samples(spark, sf):
 
 
 # --- supervised examples -------------------------------------------------------
-from textmill.operators import ordering as OR  # noqa: E402
-from textmill.operators import sft as SF  # noqa: E402
 
 SFT_MAX_LEN, SFT_MAX_NEW, SFT_BATCH, PROMPT_ROOM = 1024, 128, 8, 64
 RUN_EPOCHS, RUN_MAX_STEPS = 3, 100
@@ -285,7 +285,6 @@ def q_run_plan(spark, sf):
 
 
 # --- ROUGE ---------------------------------------------------------------------
-from textmill.operators import rouge as RG  # noqa: E402
 
 
 def prediction_pairs(spark, sf):
@@ -350,11 +349,8 @@ def q_rouge_running_avg(spark, sf):
 
 
 # --- run logs ------------------------------------------------------------------
-from textmill.operators import runlog as RL  # noqa: E402
-from textmill.sources.tables import training_log  # noqa: E402
 
 KEEP_CHECKPOINTS = 3
-RETENTION_EDGE_NAMES = ["step_10", "step_9", "step_x", "step_"]
 
 
 def log_text_columns(log):
@@ -433,7 +429,6 @@ def q_retention_list(spark, sf):
 
 
 # --- holdout splits --------------------------------------------------------------
-from textmill.operators import holdout as HO  # noqa: E402
 
 HOLDOUT_TEXT_N, HOLDOUT_CODE_N, SAMPLE_N, FIRST_N = 10, 50, 100, 100
 CODE_BUDGET_FRACTION = 0.5
@@ -537,7 +532,6 @@ def q_byte_budget_truncate(spark, sf):
 
 
 # --- tokenizer evaluation ---------------------------------------------------------
-from textmill.operators import quality as QU  # noqa: E402
 
 BYTE_VOCAB_SIZE = TK.N_SPECIAL + 256
 
@@ -585,7 +579,6 @@ def q_special_token_counts(spark, sf):
 
 
 # --- byte-level BPE ---------------------------------------------------------------
-from textmill.operators import bpe as BP  # noqa: E402
 
 BPE_VOCAB = TK.N_SPECIAL + 256 + 256   # 256 merges
 BPE_SMALL_MERGES = 128
@@ -649,8 +642,6 @@ def q_tokenizer_compare(spark, sf):
 
 
 # --- streaming ------------------------------------------------------------------
-from textmill.session import scratch_path  # noqa: E402
-from textmill.streaming import logs as STR  # noqa: E402
 
 STREAM_FILES = 4
 
@@ -691,7 +682,6 @@ def q_source_fallback(spark, sf):
 
 
 # --- previews and sink round trips ------------------------------------------------------
-from textmill.sinks import writers as WR  # noqa: E402
 
 PREVIEW_TOKENS = 50
 CORPUS_GROUP_ORDER = ["en", "fr", "de", "es"]

@@ -197,8 +197,8 @@ def _values(rows: list[str]) -> str:
 
 
 def _edge(name: str):
-    from textmill.plans import catalog
-    return getattr(catalog, name)
+    from textmill.plans import fixtures
+    return getattr(fixtures, name)
 
 
 DOC_LINES = f"""
@@ -229,7 +229,7 @@ coerced AS (SELECT file, line_no, raw, {ustrip('''CASE tt WHEN 'VARCHAR' THEN s-
 """
 
 
-def _lazy_sql():
+def _define_sql():
     SQL["jsonl_scan_strict"] = f"""
 WITH {_doc_lines()}
 SELECT file, line_no, {ustrip("s->>'$.text'")} AS text FROM j
@@ -326,12 +326,6 @@ FROM b WHERE length({ustrip('blk')}) > 0
 
 
 def all_sql() -> dict[str, str]:
-    _lazy_sql()
-    _lazy_sql_more()
-    _lazy_sql_more2()
-    _lazy_sql_more3()
-    _lazy_sql_more4()
-    _lazy_sql_more5()
     return dict(SQL)
 
 
@@ -746,7 +740,7 @@ SELECT lang AS "group", count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS b
 """
 
 
-def _lazy_sql_more():
+def _define_sql_more():
     SQL["source_fallback"] = f"""
 WITH RECURSIVE {REPLAY},
 hold AS (SELECT DISTINCT d."group", d.file FROM {DOCS} d JOIN ecnt e USING ("group", file) WHERE e.eligible > 0),
@@ -766,7 +760,7 @@ def _esc_sql(c: str) -> str:
             f"ELSE '\\u' || lower(lpad(to_hex({cp}), 4, '0')) END")
 
 
-def _lazy_sql_more2():
+def _define_sql_more2():
     SQL["token_preview"] = f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..')[1:50] AS hx FROM documents),
 c AS (SELECT doc_id, list_transform(hx, lambda h: {_esc_sql(byte_token("('0x' || h)::INTEGER"))}) AS pv FROM t)
@@ -785,7 +779,7 @@ FROM kept GROUP BY ALL
 """
 
 
-def _lazy_sql_more3():
+def _define_sql_more3():
     SQL["pack_overlap"] = f"""
 WITH RECURSIVE {MIX_CTE}, {_OFFS},
 nb AS (SELECT CAST(sum(n_tokens) // 4096 AS BIGINT) AS n_blocks FROM offs),
@@ -797,7 +791,7 @@ HAVING max(CAST(first_b < 100 AS INTEGER)) = 1 AND max(CAST(last_b >= 100 AS INT
 """
 
 
-def _lazy_sql_more4():
+def _define_sql_more4():
     SQL["pack_split"] = f"""
 WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
 SELECT CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split, count(*) AS n_blocks,
@@ -806,5 +800,14 @@ FROM kept GROUP BY 1
 """
 
 
-def _lazy_sql_more5():
+def _define_sql_more5():
     SQL["stream_summary_windows"] = f"WITH {_OPT} {_win('summary')}"
+
+
+# SQL that refers to the shared fixed inputs, defined once the helpers exist
+_define_sql()
+_define_sql_more()
+_define_sql_more2()
+_define_sql_more3()
+_define_sql_more4()
+_define_sql_more5()
