@@ -94,7 +94,7 @@ walk(pos, phase, slot, ki, ei, ci, role) AS (
     FROM walk w, cnt) t
   WHERE NOT ({_role('phase', 'slot')} = 'main' AND ki >= k)
 ),
-mix AS (SELECT w.pos AS mix_pos, w.role,
+mix AS (SELECT CAST(w.pos AS BIGINT) AS mix_pos, w.role,
                CASE w.role WHEN 'main' THEN w.ki WHEN 'repeat' THEN w.ei % cnt.n ELSE w.ci END AS src_idx
         FROM walk w, cnt),
 mixed AS (SELECT m.mix_pos, m.role, rr.doc_id, m.src_idx, rr.text
