@@ -83,3 +83,32 @@ def test_safe_batch_rule():
     assert BP.safe_batch(c) == [(10, 1, 2), (9, 3, 4)]
     c = [(10, 1, 1), (9, 3, 4)]
     assert BP.safe_batch(c) == [(10, 1, 1)]
+
+
+ORDERED_QUERIES = ["byte_budget_prefix", "round_robin", "ratio_mix", "pack_blocks", "pad_batches",
+                   "optimizer_steps", "loss_smoothing", "holdout_text", "seeded_shuffle", "budget_replay",
+                   "rouge_running_avg", "first_n_per_group", "byte_budget_truncate", "holdout_code"]
+
+
+def test_registered_ordered_queries_layout_independent(spark):
+    import os
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    import __spark_entry__ as E
+    from check_oracle import digest
+    sf = "/root/testdata/sf0.001"
+    qs = E.queries()
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        results = {}
+        for parts, aqe in (("1", "false"), ("7", "true"), ("13", "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            for name in ORDERED_QUERIES:
+                df = qs[name](spark, sf)
+                results.setdefault(name, []).append(digest(df.columns, [tuple(r) for r in df.collect()])[0])
+        for name, ds in results.items():
+            assert len(set(ds)) == 1, name
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
