@@ -112,3 +112,26 @@ def test_registered_ordered_queries_layout_independent(spark):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
+
+
+def test_library_tokenizer_adapter(spark, tmpdir_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    import os
+
+    from textmill.functions import tokens as TK
+    from textmill.operators import quality as QU
+    texts = ["hello world, hello spark", "byte level text 123", "한국어 문장"] * 5
+    tok = tokenizers.ByteLevelBPETokenizer()
+    tok.train_from_iterator(texts, vocab_size=300, min_frequency=2, special_tokens=TK.SPECIAL_TOKENS,
+                            show_progress=False)
+    path = os.path.join(tmpdir_path, "tokenizer.json")
+    tok.save(path)
+    lib = TK.library_tokenizer(path)
+    assert lib.eos_id == 3 and lib.pad_id == 0
+    df = spark.createDataFrame([(t,) for t in texts[:3]] + [(None,)], "text string")
+    got = df.select("text", lib.encode("text").alias("ids")).collect()
+    for r in got:
+        assert (r.ids is None) if r.text is None else list(r.ids) == tok.encode(r.text).ids
+    docs = spark.createDataFrame([("g", "f", i, t) for i, t in enumerate(texts)], "group string, file string, line long, text string")
+    q = QU.tokenizer_quality(QU.encode_docs(docs, encode=lib.encode, decode=lib.decode), lib.vocab_size).first()
+    assert q.docs == len(texts) and q.roundtrip_success == len(texts)
