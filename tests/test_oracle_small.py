@@ -49,3 +49,8 @@ def test_every_query_has_a_callable():
     qs = E.queries()
     missing = set(SQL) - set(qs)
     assert not missing
+
+
+def test_coverage_table_is_consistent():
+    import coverage_table
+    coverage_table.main()  # asserts every mapped query is registered
