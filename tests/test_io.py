@@ -18,15 +18,15 @@ def _write(path, text, mode="w"):
 
 
 def test_read_lines_numbers_and_scans(spark, tmpdir_path):
-    a = os.path.join(tmpdir_path, "kowiki_train.jsonl")
+    a = os.path.join(tmpdir_path, "corpus_a.jsonl")
     b = os.path.join(tmpdir_path, "other.jsonl")
     _write(a, '{"text": "one"}\n\nbad{\n{"text": " two "}\r\n{"text": null}\n')
     _write(b, '{"text": "b1"}\n')
     lines = J.read_lines(spark, [a, b, os.path.join(tmpdir_path, "missing.jsonl")])
     got = sorted((os.path.basename(r.file), r.line_no, r.raw) for r in lines.collect())
-    assert [(f, n) for f, n, _ in got] == [("kowiki_train.jsonl", i) for i in range(1, 6)] + [("other.jsonl", 1)]
+    assert [(f, n) for f, n, _ in got] == [("corpus_a.jsonl", i) for i in range(1, 6)] + [("other.jsonl", 1)]
     strict = sorted((os.path.basename(r.file), r.line_no, r.text) for r in J.parse_jsonl_text(lines).collect())
-    assert strict == [("kowiki_train.jsonl", 1, "one"), ("kowiki_train.jsonl", 4, "two"), ("other.jsonl", 1, "b1")]
+    assert strict == [("corpus_a.jsonl", 1, "one"), ("corpus_a.jsonl", 4, "two"), ("other.jsonl", 1, "b1")]
     lin = J.jsonl_with_lineage(lines).where(F.col("text") == "None").first()
     assert lin.line_number == 5 and lin.train_block_bytes == 6
     try:
@@ -42,7 +42,7 @@ def test_blocks_and_dispatch(spark, tmpdir_path):
     blocks = J.read_blocks(spark, [c]).orderBy("block_index").collect()
     assert [b.block_text for b in blocks] == ["def f():\n  pass", "x = 1", "y"]
     assert [b.block_index for b in blocks] == [1, 2, 4]
-    j = os.path.join(tmpdir_path, "enwiki_x.txt")
+    j = os.path.join(tmpdir_path, "dump_wiki_b.txt")
     _write(j, '{"text": "wiki"}\n')
     texts = sorted(r.text for r in J.read_texts(spark, [c, j]).collect())
     assert texts == ["def f():\n  pass", "wiki", "x = 1", "y"]
