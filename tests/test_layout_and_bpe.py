@@ -47,7 +47,7 @@ def test_bpe_matches_library(spark):
     import duckdb
     texts = [r[0] for r in duckdb.sql(
         "select text from '/root/testdata/sf0.001/documents.parquet' order by doc_id limit 60").fetchall()]
-    texts += ["한국어 언어모델을 구축하기 위한 사전학습 데이터를 정제한다.", "aaa aaaa  bb\n\n  x", "def f(x):\n    return x"]
+    texts += ["한국어 토큰화 시험용 문장입니다.", "aaa aaaa  bb\n\n  x", "def f(x):\n    return x"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     model = BP.train_bpe(df, 600)
     tok = tokenizers.ByteLevelBPETokenizer()
