@@ -79,42 +79,51 @@ def range_buckets(df: DataFrame, order: Sequence, part: Sequence[str] = (),
     return keyed.withColumn(BK, F.spark_partition_id().cast("long")).checkpoint(eager=True)
 
 
-def running_total(df: DataFrame, part: Sequence[str], order: Sequence, value,
-                  bucket, out: str = "cum", exclusive: bool = False,
-                  max_start=None) -> DataFrame:
-    """Running ``sum(value)`` along ``order`` inside each ``part`` group.
-
-    ``bucket``: a Column non-decreasing along ``order`` within ``part`` and of
-    bounded size, or the name of an existing bucket column (see
-    :func:`range_buckets`).  ``max_start``: optional Column/number; buckets
-    whose starting offset already exceeds it are pruned before the data is
-    shuffled (the early stop of a budget or first-n prefix).  The pruned rows
-    are absent from the result, so use it only for prefix queries.
-    """
+def running_totals(df: DataFrame, part: Sequence[str], order: Sequence, values: dict, bucket,
+                   exclusive: bool = False, max_start=None) -> DataFrame:
+    """Several running sums along the same order in one pass: ``values`` maps
+    an output column to the expression summed.  ``bucket``: a Column
+    non-decreasing along ``order`` within ``part`` and of bounded size, or the
+    name of an existing bucket column (see :func:`range_buckets`).
+    ``max_start``: optional Column/number compared with the *first* value's
+    bucket offset; buckets starting past it are pruned before the data is
+    shuffled (the early stop of a budget or first-n prefix), so use it only
+    for prefix queries."""
     part = _names(part)
-    v = F.col(value) if isinstance(value, str) else value
+    outs = list(values)
     keep = isinstance(bucket, str) and bucket == BK  # caller-owned bucket column
     if isinstance(bucket, str):
         b = df.withColumn(BK, F.col(bucket)) if bucket != BK else df
     else:
         b = df.withColumn(BK, bucket)
-    b = b.withColumn(_V, v)
-    sums = b.groupBy(*part, BK).agg(F.sum(_V).alias(_BS))
+    vals = {f"{_V}{i}": (F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values.values())}
+    b = b.withColumns(vals)
+    sums = b.groupBy(*part, BK).agg(*[F.sum(v).alias(f"{_BS}{i}") for i, v in enumerate(vals)])
     w = Window.partitionBy(*part).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(*part, BK, F.coalesce(F.sum(_BS).over(w), F.lit(0)).alias(_BO))
+    offs = sums.select(*part, BK, *[F.coalesce(F.sum(f"{_BS}{i}").over(w), F.lit(0)).alias(f"{_BO}{i}")
+                                   for i in range(len(vals))])
     if max_start is not None:
         lim = max_start if isinstance(max_start, Column) else F.lit(max_start)
-        offs = offs.where(F.col(_BO) <= lim)
+        offs = offs.where(F.col(f"{_BO}0") <= lim)
     j = b.join(offs, [*part, BK])
     w2 = (Window.partitionBy(*part, BK).orderBy(*_cols(order))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = F.col(_BO) + F.sum(_V).over(w2)
-    if exclusive:
-        cum = cum - F.col(_V)
-    r = j.withColumn(out, cum).drop(_V, _BO)
+    cums = {}
+    for i, (out, v) in enumerate(zip(outs, vals)):
+        c = F.col(f"{_BO}{i}") + F.sum(v).over(w2)
+        cums[out] = c - F.col(v) if exclusive else c
+    r = j.withColumns(cums).drop(*vals, *[f"{_BO}{i}" for i in range(len(vals))])
     return r if keep else r.drop(BK)
 
 
+def running_total(df: DataFrame, part: Sequence[str], order: Sequence, value,
+                  bucket, out: str = "cum", exclusive: bool = False,
+                  max_start=None) -> DataFrame:
+    """Running ``sum(value)`` along ``order`` inside each ``part`` group
+    (:func:`running_totals` with one value)."""
+    return running_totals(df, part, order, {out: value}, bucket, exclusive, max_start)
+
+
 def dense_index(df: DataFrame, part: Sequence[str], order: Sequence, bucket,
                 out: str = "idx", base: int = 0, max_index=None) -> DataFrame:
     """Dense position of each row along ``order`` inside ``part``, starting at

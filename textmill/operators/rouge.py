@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import WS_CLASS, strip_u
-from textmill.operators.ordering import ensure_parallelism, running_total
+from textmill.operators.ordering import ensure_parallelism, running_totals
 
 MODES = ("char", "whitespace")
 
@@ -164,8 +164,6 @@ def average_metrics(scored: DataFrame, rouge: str = "rouge", digits: int = 9) ->
 def running_average(scored: DataFrame, order, bucket, metric: Column, every: int = 10,
                     digits: int = 9) -> DataFrame:
     """The running mean of ``metric`` after every ``every``-th sample."""
-    d = scored.withColumn("_m", metric).withColumn("_one", F.lit(1).cast("long"))
-    d = running_total(d, [], order, "_one", bucket, out="idx")
-    d = running_total(d, [], order, "_m", bucket, out="_msum")
+    d = running_totals(scored, [], order, {"idx": F.lit(1).cast("long"), "_msum": metric}, bucket)
     return (d.where(F.col("idx") % every == 0)
              .select("idx", F.round(F.col("_msum") / F.col("idx"), digits).alias("running_mean")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.operators.ordering import id_bucket, running_total
+from textmill.operators.ordering import id_bucket, running_total, running_totals
 
 GRAD_ACCUM = 8
 LOG_STEPS = 10
@@ -71,20 +71,36 @@ def masked_nll(tokens: DataFrame, seq: str = "seq", pos: str = "pos", label: str
                               F.count(F.lit(1)).alias("n_tokens"))
 
 
+def _update_flag(rule: str, step: str, valid: str, grad_accum: int) -> Column:
+    upd = (F.col(step) % grad_accum) == 0
+    if rule == "summary":
+        return upd & F.col(valid)
+    if rule != "base":
+        raise ValueError(rule)
+    return upd
+
+
 def optimizer_steps(log: DataFrame, rule: str = "base", step: str = "global_step",
                     valid: str = "valid", grad_accum: int = GRAD_ACCUM, bucket_width: int = 50_000) -> DataFrame:
     """``is_update`` per micro-step and ``optimizer_step`` = updates so
     far.  base: every ``grad_accum``-th micro-step updates.  summary: an
     invalid loss on such a step cancels that update."""
-    upd = (F.col(step) % grad_accum) == 0
-    if rule == "summary":
-        upd = upd & F.col(valid)
-    elif rule != "base":
-        raise ValueError(rule)
-    d = log.withColumn("is_update", upd.cast("long"))
+    d = log.withColumn("is_update", _update_flag(rule, step, valid, grad_accum).cast("long"))
     return running_total(d, [], [step], "is_update", id_bucket(step, bucket_width), out="optimizer_step")
 
 
+def optimizer_steps_both(log: DataFrame, step: str = "global_step", valid: str = "valid",
+                         grad_accum: int = GRAD_ACCUM, bucket_width: int = 50_000) -> DataFrame:
+    """W7 for both rules in one pass (two running counts share the shuffle):
+    adds ``update_base``, ``opt_step_base``, ``update_summary``,
+    ``opt_step_summary``."""
+    d = log.withColumns({f"update_{r}": _update_flag(r, step, valid, grad_accum).cast("long")
+                         for r in ("base", "summary")})
+    return running_totals(d, [], [step], {"opt_step_base": F.col("update_base"),
+                                          "opt_step_summary": F.col("update_summary")},
+                          id_bucket(step, bucket_width))
+
+
 def train_log_windows(log: DataFrame, rule: str = "base", step: str = "global_step", loss: str = "loss",
                       valid: str = "valid", grad_accum: int = GRAD_ACCUM, log_steps: int = LOG_STEPS,
                       digits: int = 9) -> DataFrame:

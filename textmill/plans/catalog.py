@@ -389,12 +389,8 @@ def q_masked_nll(spark, sf):
 
 @register("optimizer_steps")
 def q_optimizer_steps(spark, sf):
-    log = training_log(spark, sf)
-    b = RL.optimizer_steps(log, "base").select("global_step", F.col("is_update").alias("update_base"),
-                                               F.col("optimizer_step").alias("opt_step_base"))
-    s = RL.optimizer_steps(log, "summary").select("global_step", F.col("is_update").alias("update_summary"),
-                                                  F.col("optimizer_step").alias("opt_step_summary"))
-    return b.join(s, "global_step")
+    return RL.optimizer_steps_both(training_log(spark, sf)).select(
+        "global_step", "update_base", "opt_step_base", "update_summary", "opt_step_summary")
 
 
 @register("train_log_windows")
