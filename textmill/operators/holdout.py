@@ -33,8 +33,8 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = SEED, part=()) ->
     ranked by the seeded hash, plus ``eligible`` = rows available."""
     part = list(part)
     d = df.withColumn("_h", seeded_key(key, seed))
-    w = Window.partitionBy(*part).orderBy("_h") if part else Window.orderBy("_h")
     if part:
+        w = Window.partitionBy(*part).orderBy("_h")  # partial top-n per partition (WindowGroupLimit)
         picked = d.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
         counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("eligible"))
         return picked.join(counts, part).drop("_h")
