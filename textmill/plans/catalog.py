@@ -2,6 +2,18 @@
 
 Queries read whole driver tables (or data Spark derives from them).  Column
 names match the DuckDB oracles in :mod:`textmill.plans.oracle`.
+
+Parameters.  The library defaults are the reference's values (block 4 096,
+2 048 blocks per shard, 2 000 eval blocks, 10 000 documents per evaluated
+group, 5 000 holdout samples, 4 096-token SFT examples, 64 000-id vocabulary).
+A registered query uses a smaller value only where the reference's would leave
+the feature idle at the test scales (a few thousand documents): 100 eval
+blocks and 128 blocks per shard so that both splits and several shards
+exist; 10 holdout samples per source and 50 code blocks so that sampling
+actually selects; 100 documents for the first-n query so that the cap binds
+(the tokenizer evaluation keeps 10 000); 1 024-token SFT examples so that
+response and prompt truncation both occur; 256 merges for BPE.  None of them
+limits the data a query reads: every query runs over whole tables and texts.
 """
 
 from __future__ import annotations
