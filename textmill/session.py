@@ -30,6 +30,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               # checkpoints of intermediate tables are removed once unreferenced
+               # (set at startup; on a cluster put it in the session's launch conf)
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("TEXTMILL_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
