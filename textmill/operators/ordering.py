@@ -61,21 +61,26 @@ def id_bucket(id_col, width: int = 10_000) -> Column:
 
 
 def range_buckets(df: DataFrame, order: Sequence, part: Sequence[str] = (),
-                  rows_per_bucket: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                  rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``BK``: the id of a range partition over ``(part, order)``.
 
     Range partitioning samples the full composite key, so ties on a leading
     column are split by the following ones and buckets stay balanced even when
     one value holds a large share of the rows.  Partition ids after a range
     exchange are non-decreasing along the key (AQE only merges neighbours).
-    The result is checkpointed to the shared checkpoint folder so that the
-    bucket column is data from then on.
+    The number of ranges is the session's shuffle width, coalesced by AQE to
+    its advisory partition size -- no extra pass over the data; pass
+    ``rows_per_bucket`` to size it from a row count instead.  The result is
+    checkpointed to the shared checkpoint folder so that the bucket column is
+    data from then on (bucket sizes never change results, only balance).
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n_rows = df.count()
-    n = max(1, math.ceil(n_rows / rows_per_bucket))
-    keyed = df.repartitionByRange(n, *_cols(part), *_cols(order))
+    if rows_per_bucket is None:
+        keyed = df.repartitionByRange(*_cols(part), *_cols(order))
+    else:
+        n = max(1, math.ceil(df.count() / rows_per_bucket))
+        keyed = df.repartitionByRange(n, *_cols(part), *_cols(order))
     return keyed.withColumn(BK, F.spark_partition_id().cast("long")).checkpoint(eager=True)
 
 
