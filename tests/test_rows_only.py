@@ -119,3 +119,21 @@ def test_bpe_pair_counts_brute_force(spark):
             want.update(zip(s, s[1:]))
     got = {(r.left, r.right): r["count"] for r in E.queries()["bpe_pair_counts"](spark, SF).collect()}
     assert got == dict(want)
+
+
+def test_tokenizer_quality_bpe_against_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    from textmill.functions import tokens as TK
+    rows = _duck("SELECT lang, text FROM documents ORDER BY doc_id")
+    tok = tokenizers.ByteLevelBPETokenizer()
+    tok.train_from_iterator([t for _, t in rows], vocab_size=TK.N_SPECIAL + 512, min_frequency=2,
+                            special_tokens=TK.SPECIAL_TOKENS, show_progress=False)
+    got = {r.group: r for r in E.queries()["tokenizer_quality_bpe"](spark, SF).collect()}
+    for g in {lang for lang, _ in rows}:
+        texts = [t for lang, t in rows if lang == g]
+        ids = [tok.encode(t).ids for t in texts]
+        assert got[g].docs == len(texts)
+        assert got[g].chars == sum(len(t) for t in texts)
+        assert got[g].tokens == sum(len(i) for i in ids)
+        assert got[g].used_vocab == len({x for i in ids for x in i})
+        assert got[g].roundtrip_success == len(texts)

@@ -765,3 +765,12 @@ def q_stream_summary_windows(spark, sf):
     log.repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
     r = STR.stream_summary_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
     return r.select(F.lit("summary").alias("rule"), "global_step", "optimizer_step", "train_loss", "n_losses")
+
+
+@register("tokenizer_quality_bpe")
+def q_tokenizer_quality_bpe(spark, sf):
+    """A5 with the trained byte-level BPE vocabulary (through the pluggable
+    tokenizer): the report the reference produces for its own vocabulary."""
+    tok = TK.get_tokenizer("bpe", bpe_model(spark, sf))
+    enc = QU.encode_docs(eval_docs(spark, sf), encode=tok.encode, decode=tok.decode)
+    return QU.tokenizer_quality(enc, tok.vocab_size, unk_id=tok.unk_id)
