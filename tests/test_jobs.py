@@ -40,3 +40,30 @@ def test_jobs_end_to_end(spark, tmpdir_path):
                                                      TK.get_tokenizer("byte")).collect()}
     assert rep["ko"].docs == 65 and rep["ko"].roundtrip_success_ratio == 1.0
     assert len(rep["ko"].top_used_tokens) == 20 and not rep["ko"].roundtrip_fail_examples
+
+
+def test_holdout_and_summary_jobs(spark, tmpdir_path):
+    d = tmpdir_path
+    a, b = os.path.join(d, "a.jsonl"), os.path.join(d, "b.jsonl")
+    _write_jsonl(a, [f"{'x' * 60} {i}" for i in range(30)])
+    _write_jsonl(b, [f"{'y' * 60} {i}" for i in range(30)])
+    code = os.path.join(d, "code.txt")
+    with open(code, "w") as f:
+        f.write("\n\n".join(f"def block_{i}():\n    return {i} + {i}" for i in range(40)))
+    man = {(r.group, r.file.split(":")[0]): r for r in jobs.holdout_split(
+        spark, {"g": [a, b]}, {"g": 1000}, code, 300, os.path.join(d, "holdout"), n_text=5, n_code=4).collect()}
+    first = man[("g", "000000")]
+    sizes = [len(f"{'x' * 60} {i}") + 2 for i in range(30)]
+    want = max(k for k in range(31) if sum(sizes[:k]) <= 1000)
+    assert first.consumed_docs == want and first.consumed_bytes == sum(sizes[:want]) and first.sampled == 5
+    assert man[("g", "000001")].consumed_docs == 0 and man[("g", "000001")].eligible_unused == 30
+    assert man[("code", code)].sampled == 4
+    lines = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(d, "holdout", "text", "part-*"))))
+    assert lines.count("\n") == 10
+    t = os.path.join(d, "test.jsonl")
+    with open(t, "w") as f:
+        f.write(json.dumps({"id": "s1", "prompt": "p", "response": "abc"}) + "\n")
+        f.write(json.dumps({"prompt": "q", "response": "abd"}) + "\n")
+    preds = spark.createDataFrame([("s1", "abc"), ("2", "xyz")], "id string, prediction string")
+    avg = jobs.summary_eval(spark, t, preds, os.path.join(d, "eval")).first()
+    assert avg.samples == 2 and avg.rouge1_f1 == 0.5

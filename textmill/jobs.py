@@ -1,6 +1,7 @@
 """End-to-end jobs over files, composed from the operators: what a user of
-the reference runs as whole scripts (tokenizer corpus, packed dataset,
-tokenizer evaluation), as Spark jobs over JSONL / text files.
+the reference runs as whole scripts (tokenizer corpus, holdout split, packed
+dataset, tokenizer evaluation, summary evaluation), as Spark jobs over JSONL /
+text files.
 
 Corpus groups are ``{label: [paths]}``; file order inside a group is the
 order given (the file's position becomes its sort key).
@@ -89,3 +90,66 @@ def tokenizer_report(spark: SparkSession, groups: dict, out_path: str,
                                 QU.top_tokens(enc, vocab, doc_rank="doc_idx"), QU.roundtrip_failures(enc))
     report.write.mode("overwrite").json(out_path)
     return report
+
+
+def _file_size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getFileStatus(p).getLen()) if fs.exists(p) else 0
+
+
+def holdout_split(spark: SparkSession, sources: dict, budgets: dict, code_path: str | None, code_budget: int,
+                  out_dir: str, n_text: int = 5000, n_code: int = 5000, seed: int = 42) -> DataFrame:
+    """Replay what the tokenizer corpus consumed, then
+    sample held-out documents per source (and code blocks) from the unused
+    suffix.  ``sources``: ``{group: [path, ...]}`` in consumption order.
+    Writes the sampled raw lines / blocks and a manifest; returns the
+    manifest rows ``(group, file, consumed_docs, consumed_bytes,
+    eligible_unused, sampled)``."""
+    from textmill.operators import holdout as HO
+
+    rows = None
+    for group, paths in sources.items():
+        for pos, path in enumerate(paths):
+            lines = J.read_lines(spark, [path])
+            d = J.jsonl_with_lineage(lines).select(
+                F.lit(group).alias("group"),
+                F.concat(F.lpad(F.lit(str(pos)), 6, "0"), F.lit(":"), F.col("file")).alias("file"),
+                F.col("line_number").alias("line"), "raw_line", "text")
+            rows = d if rows is None else rows.unionByName(d)
+    usage = B.budget_replay(rows, budgets)
+    sample, stats = HO.holdout_text(rows, usage, n_text, seed=seed)
+    W.write_holdout_lines(sample.withColumnRenamed("line", "line_number"),
+                          f"{out_dir.rstrip('/')}/text", "line_number", "raw_line")
+    manifest = (usage.join(stats, ["group", "file"], "left").fillna(0, ["eligible_unused_docs", "sampled_docs"])
+                .select("group", "file", "consumed_docs", "consumed_bytes",
+                        F.col("eligible_unused_docs").alias("eligible_unused"), F.col("sampled_docs").alias("sampled")))
+    if code_path:
+        size = _file_size(spark, code_path)
+        consumed = min(size + B.SEP_BYTES, int(code_budget))
+        blocks = J.read_blocks(spark, [code_path])
+        code = HO.holdout_code(blocks, consumed, n_code, seed=seed)
+        W.write_holdout_blocks(code, f"{out_dir.rstrip('/')}/code")
+        crow = code.agg(F.count(F.lit(1)).alias("sampled"), F.max("eligible").alias("eligible_unused")).select(
+            F.lit("code").alias("group"), F.lit(code_path).alias("file"), F.lit(None).cast("long").alias("consumed_docs"),
+            F.lit(consumed).cast("long").alias("consumed_bytes"),
+            F.coalesce("eligible_unused", F.lit(0)).cast("long").alias("eligible_unused"),
+            F.col("sampled").cast("long").alias("sampled"))
+        manifest = manifest.unionByName(crow)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/manifest")
+    return manifest
+
+
+def summary_eval(spark: SparkSession, test_jsonl: str, predictions: DataFrame, out_dir: str,
+                 mode: str = "char") -> DataFrame:
+    """Test samples (``id`` or line number) joined to a
+    predictions table ``(id, prediction)``; per-sample ROUGE written as
+    predictions JSONL; returns the macro averages (zeros when empty)."""
+    from textmill.operators import rouge as RG
+
+    samples = J.generation_samples(J.read_lines(spark, [test_jsonl], on_missing="error"))
+    pairs = samples.select("id", "reference").join(predictions.select(F.col("id").cast("string"), "prediction"), "id")
+    scored = RG.compute_rouge(pairs, mode).join(pairs, "id")
+    W.write_predictions(scored, f"{out_dir.rstrip('/')}/predictions")
+    return RG.average_metrics(scored)
