@@ -21,20 +21,26 @@ from textmill.sinks import writers as W
 from textmill.sources import jsonl as J
 
 
+LINE_BITS = 40  # doc_id = file index * 2^40 + line number: exact, no hashing
+
+
 def _docs(spark: SparkSession, groups: dict, mode: str) -> DataFrame:
     """``(group, file, line, doc_id, text)`` for every group's JSONL files;
-    ``file`` is ``<position>:<path>`` so the given order is the sort order."""
-    out = None
+    ``file`` is ``<position>:<path>`` so the given order is the sort order,
+    and ``doc_id`` combines the file's index with the line number (unique)."""
+    out, k = None, 0
     for label, paths in groups.items():
         for pos, path in enumerate(paths):
             lines = J.read_lines(spark, [path])
             d = J.parse_jsonl_text(lines, mode).select(
                 F.lit(label).alias("group"), F.concat(F.lpad(F.lit(str(pos)), 6, "0"), F.lit(":"), F.col("file"))
-                .alias("file"), F.col("line_no").alias("line"), "text")
+                .alias("file"), F.col("line_no").alias("line"), "text",
+                (F.lit(k).cast("long") * F.lit(1 << LINE_BITS) + F.col("line_no")).alias("doc_id"))
             out = d if out is None else out.unionByName(d)
+            k += 1
     if out is None:
         return spark.createDataFrame([], "group string, file string, line long, text string, doc_id long")
-    return out.withColumn("doc_id", F.xxhash64("file", "line"))
+    return out
 
 
 def tokenizer_corpus(spark: SparkSession, groups: dict, budgets: dict, out_dir: str) -> DataFrame:
