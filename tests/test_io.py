@@ -145,3 +145,38 @@ def test_stateful_summary_stream_any_file_order(spark, tmpdir_path):
     want = RL.train_log_windows(log, "summary")
     key = ["optimizer_step", "global_step", "train_loss", "n_losses"]
     assert sorted(tuple(r) for r in got.select(key).collect()) == sorted(tuple(r) for r in want.select(key).collect())
+
+
+def test_line_numbers_across_many_splits(spark, tmpdir_path):
+    """A file read as several splits still gets dense 1-based line numbers in
+    file order (split offset + in-split order, two-level)."""
+    p = os.path.join(tmpdir_path, "big.jsonl")
+    texts = [f"line {i} " + "z" * (i % 37) for i in range(3000)]
+    with open(p, "w", encoding="utf-8") as f:
+        for i, t in enumerate(texts):
+            f.write(("" if i % 11 == 5 else json.dumps({"text": t})) + "\n")
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(p).rdd.getNumPartitions() > 10  # the scan really is split
+        lines = J.read_lines(spark, [p])
+        got = sorted((r.line_no, r.raw) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    want = [(i + 1, "" if i % 11 == 5 else json.dumps({"text": t})) for i, t in enumerate(texts)]
+    assert got == want
+
+
+def test_block_index_across_many_splits(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "code_big.txt")
+    blocks = [f"def f{i}():\n    return {i}" + " " * (i % 13) for i in range(1500)]
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("\n\n".join(blocks))
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.option("lineSep", "\n\n").text(p).rdd.getNumPartitions() > 5
+        got = sorted((r.block_index, r.block_text) for r in J.read_blocks(spark, [p]).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert got == [(i + 1, b.strip()) for i, b in enumerate(blocks)]
