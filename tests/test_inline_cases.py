@@ -337,3 +337,19 @@ def test_special_token_counts(spark):
     rows = sorted((r.group, r.token, r["count"]) for r in QU.special_token_counts(d).collect())
     assert [x for x in rows if x[2]] == [("a", "<EMAIL>", 1), ("a", "<NAME>", 2)]
     assert len(rows) == 2 * len(TK.SPECIAL_TOKENS)
+
+
+def test_log_windows_per_run(spark):
+    rnd = random.Random(9)
+    rows = []
+    for run in ("a", "b"):
+        for i in range(300):
+            rows.append((run, i + 1, round(rnd.random() * 4, 3), rnd.random() > 0.25))
+    log = spark.createDataFrame(rows, "run string, global_step long, loss double, valid boolean")
+    for rule in ("base", "summary"):
+        both = {(r.run, r.optimizer_step): (r.global_step, r.train_loss)
+                for r in RL.train_log_windows(log, rule, run="run").collect()}
+        for run in ("a", "b"):
+            one = RL.train_log_windows(log.where(F.col("run") == run), rule).collect()
+            assert {(run, r.optimizer_step): (r.global_step, r.train_loss) for r in one} == \
+                {k: v for k, v in both.items() if k[0] == run}

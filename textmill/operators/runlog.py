@@ -81,12 +81,15 @@ def _update_flag(rule: str, step: str, valid: str, grad_accum: int) -> Column:
 
 
 def optimizer_steps(log: DataFrame, rule: str = "base", step: str = "global_step",
-                    valid: str = "valid", grad_accum: int = GRAD_ACCUM, bucket_width: int = 50_000) -> DataFrame:
+                    valid: str = "valid", grad_accum: int = GRAD_ACCUM, bucket_width: int = 50_000,
+                    run: str | None = None) -> DataFrame:
     """``is_update`` per micro-step and ``optimizer_step`` = updates so
     far.  base: every ``grad_accum``-th micro-step updates.  summary: an
-    invalid loss on such a step cancels that update."""
+    invalid loss on such a step cancels that update.  ``run``: a column
+    separating several runs in one log (counts restart per run)."""
     d = log.withColumn("is_update", _update_flag(rule, step, valid, grad_accum).cast("long"))
-    return running_total(d, [], [step], "is_update", id_bucket(step, bucket_width), out="optimizer_step")
+    part = [run] if run else []
+    return running_total(d, part, [step], "is_update", id_bucket(step, bucket_width), out="optimizer_step")
 
 
 def optimizer_steps_both(log: DataFrame, step: str = "global_step", valid: str = "valid",
@@ -103,24 +106,25 @@ def optimizer_steps_both(log: DataFrame, step: str = "global_step", valid: str =
 
 def train_log_windows(log: DataFrame, rule: str = "base", step: str = "global_step", loss: str = "loss",
                       valid: str = "valid", grad_accum: int = GRAD_ACCUM, log_steps: int = LOG_STEPS,
-                      digits: int = 9) -> DataFrame:
+                      digits: int = 9, run: str | None = None) -> DataFrame:
     """The mean training loss logged every ``log_steps`` optimizer steps.
 
     A micro-step belongs to window ``(updates strictly before it) div
     log_steps``; a window is logged when its ``log_steps``-th update happens
     (incomplete tail dropped).  base averages every micro-step, summary only
     the valid ones (``running_count`` floor of 1)."""
-    d = optimizer_steps(log, rule, step, valid, grad_accum)
+    d = optimizer_steps(log, rule, step, valid, grad_accum, run=run)
     d = d.withColumn("_win", F.floor((F.col("optimizer_step") - F.col("is_update")) / log_steps))
     contributes = F.lit(True) if rule == "base" else F.col(valid)
-    g = d.groupBy("_win").agg(
+    keys = ([run] if run else []) + ["_win"]
+    g = d.groupBy(*keys).agg(
         F.sum(F.when(contributes, F.col(loss)).otherwise(0.0)).alias("_s"),
         F.count_if(contributes).alias("n_losses"),
         F.max(F.when(F.col("is_update") == 1, F.col("optimizer_step"))).alias("_last_upd"),
         F.max(F.when((F.col("is_update") == 1) & (F.col("optimizer_step") % log_steps == 0),
                      F.col(step))).alias("global_step"))
     g = g.where(F.col("global_step").isNotNull())
-    return g.select(F.lit(rule).alias("rule"), "global_step",
+    return g.select(*([run] if run else []), F.lit(rule).alias("rule"), "global_step",
                     ((F.col("_win") + 1) * log_steps).cast("long").alias("optimizer_step"),
                     F.round(F.col("_s") / F.greatest(F.col("n_losses"), F.lit(1)), digits).alias("train_loss"),
                     "n_losses")
