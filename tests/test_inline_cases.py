@@ -353,3 +353,13 @@ def test_log_windows_per_run(spark):
             one = RL.train_log_windows(log.where(F.col("run") == run), rule).collect()
             assert {(run, r.optimizer_step): (r.global_step, r.train_loss) for r in one} == \
                 {k: v for k, v in both.items() if k[0] == run}
+
+
+def test_rolling_mean_per_run(spark):
+    rows = [(run, i, float((i * (3 if run == "a" else 5)) % 7)) for run in ("a", "b") for i in range(40)]
+    s = spark.createDataFrame(rows, "run string, idx long, loss double")
+    got = {(r.run, r.idx): r.smooth for r in RL.rolling_mean(s, "idx", "loss", 4, bucket_width=6, run="run").collect()}
+    for run in ("a", "b"):
+        vals = [v for r, _, v in rows if r == run]
+        want = rules.rolling_mean(vals, 4)
+        assert [got[(run, i)] for i in range(40)] == pytest.approx(want, abs=1e-9)

@@ -131,10 +131,10 @@ def train_log_windows(log: DataFrame, rule: str = "base", step: str = "global_st
 
 
 def rolling_mean(series: DataFrame, idx: str, value: str, window: int, out: str = "smooth",
-                 bucket_width: int = 50_000, digits: int = 9) -> DataFrame:
+                 bucket_width: int = 50_000, digits: int = 9, run: str | None = None) -> DataFrame:
     """``rolling(window, min_periods=1).mean()`` along a dense 0-based
-    index ``idx``, computed per bucket of ``bucket_width`` rows with a halo
-    of the previous ``window - 1`` rows."""
+    index ``idx`` (per ``run`` when given), computed per bucket of
+    ``bucket_width`` rows with a halo of the previous ``window - 1`` rows."""
     W_, H = int(bucket_width), int(window) - 1
     if H >= W_:
         raise ValueError("bucket_width must exceed the window")
@@ -143,7 +143,7 @@ def rolling_mean(series: DataFrame, idx: str, value: str, window: int, out: str
     halo = (series.where((F.col(idx) % W_) >= W_ - H)
             .withColumn("_bk", b + 1).withColumn("_own", F.lit(False)))
     both = home.unionByName(halo)
-    w = Window.partitionBy("_bk").orderBy(idx).rowsBetween(-H, Window.currentRow)
+    w = Window.partitionBy(*([run] if run else []), "_bk").orderBy(idx).rowsBetween(-H, Window.currentRow)
     return (both.withColumn(out, F.round(F.avg(value).over(w), digits))
                 .where(F.col("_own")).drop("_bk", "_own"))
 
