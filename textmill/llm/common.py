@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +45,15 @@ def digest60(*cols) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def prefixed(names, taken) -> dict:
-    """Fresh names for working columns that clash with none in ``taken``."""
-    tag = uuid.uuid4().hex[:8]
-    return {n: n if n not in taken else f"{n}_{tag}" for n in names}
+def fresh(names, taken) -> list:
+    """``names``, each with underscores added until it clashes with none in ``taken``."""
+    out, used = [], {c.lower() for c in taken}
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def utf8_words(raw: bytes) -> list:

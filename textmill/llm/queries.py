@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm import line_frequency, mixing, sharding
+from textmill.llm import line_frequency, mixing, sharding, wu_manber
 from textmill.sources.tables import table
 
 
@@ -16,9 +17,15 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = wu_manber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "oversized")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op6_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards)}
