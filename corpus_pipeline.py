@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import line_frequency, mixing, sharding
+from textmill.llm import jaccard_rtree, line_frequency, mixing, sharding, wu_manber
 from textmill.llm.common import stage
 from textmill.sources.tables import table
 
@@ -13,6 +13,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_frequency.clean_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return wu_manber.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -21,7 +29,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources", mix_sources), ("sharding", shards)]
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates),
+          ("benchmark decontamination", decontamination), ("mixing sources to target weights", mix_sources), ("sharding", shards)]
 
 #: Hash functions and near-duplicate groups over whole texts have no SQL form here; tests hold run() against brute force.
 ORACLE_SQL = None

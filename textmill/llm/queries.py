@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import line_frequency, mixing, sharding, wu_manber
+from textmill.llm import jaccard_rtree, line_frequency, mixing, sharding, wu_manber
 from textmill.sources.tables import table
 
 
@@ -28,4 +28,9 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "oversized")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards)}
+def op7_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
+                                   op7_jaccard_rtree)}
