@@ -103,3 +103,26 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def empty_like(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def left_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves ``remainder``; a null id does not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, max_bytes: int) -> list:
+    """``[(text bytes, 0 or 1)]`` on the driver, at most ``per_class`` of either
+    label and ``max_bytes`` bytes each: of the ids with ``usable`` labels those
+    with the least hashes, whose texts are then fetched by a broadcast join of
+    that bounded set."""
+    spark = docs.sparkSession
+    ids = labels.where(F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = F.xxhash64("doc_id")
+    picked = [r for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
+    if not picked:
+        return []
+    small = spark.createDataFrame([(r[0], r[1]) for r in picked], ids.schema)
+    d = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    rows = d.join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").select("text", "y").collect()
+    return [(r[0].encode(), r[1]) for r in rows]

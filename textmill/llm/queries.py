@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import jaccard_rtree, line_frequency, mixing, sharding, wu_manber
+from textmill.llm import crf, jaccard_rtree, knn_quality, line_frequency, mixing, sharding, wu_manber
+from textmill.llm.common import left_out
 from textmill.sources.tables import table
 
 
@@ -32,5 +33,17 @@ def op7_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    r = crf.tag(docs, crf.train(docs, labels, 3, 1))
+    return r.select("doc_id", left_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    r = knn_quality.score(docs, knn_quality.train(docs, labels, 5, 0))
+    return r.select("doc_id", left_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
-                                   op7_jaccard_rtree)}
+                                   op7_jaccard_rtree, op9_crf_toxicity, op10_knn_quality)}
