@@ -3,7 +3,7 @@
 Texts become hashed term vectors: words, and marks of how they are written
 (capitals, symbols at the end, only symbols, length, equal to the word before).
 A term weighs the root of its share of the text times its inverse document
-frequency over all documents.  A truncated singular value decomposition of a
+frequency over all documents; words and marks are scaled to one length each.  A truncated singular value decomposition of a
 bounded sample of labelled texts, on the driver, gives the latent space; the
 projection and the unit vectors of the labelled texts, both of fixed size, are
 broadcast.  Every document is projected and compared with all labelled vectors
@@ -89,6 +89,8 @@ def weighted(raws: list, idf, terms):
         counts, n = term_counts(raw, terms)
         if n:
             out[k] = np.sqrt(counts / n) * idf
+    words, marks = slice(0, TERMS - MARKS), slice(TERMS - MARKS, TERMS)
+    out[:, words], out[:, marks] = unit(out[:, words]), unit(out[:, marks])
     return out
 
 
