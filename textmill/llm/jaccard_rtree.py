@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import components, fresh, stage, text_bytes
+from textmill.llm.postings import shared, width_for
 
 NGRAM = 5
 PERCENT = 80
@@ -46,8 +47,6 @@ PERCENT = 80
 GROUPS = 64
 #: A band of set sizes reaches from its least size to about this many times it.
 BAND = 1.5
-#: Postings that a task sorts at once, before the shuffle and about as many after it.
-POSTINGS = 1_500_000
 #: Members of a block that one task indexes; larger blocks are dealt out as pairs of chunks.
 CHUNK = 4096
 #: Children of an R-tree node.
@@ -171,90 +170,15 @@ def _classes(docs: DataFrame) -> DataFrame:
                  .mapInArrow(run, f"doc_id {id_type}, dkey long, n long, ref long"), "jaccard-classes")
 
 
-def _runs(keys, refs):
-    """Sorted ``keys`` and ``refs`` without repeats, with each row's run number and the runs' starts."""
-    import numpy as np
-
-    order = np.lexsort((refs, keys))
-    k, r = keys[order], refs[order]
-    if not len(k):
-        return k, r, np.empty(0, np.intp), np.empty(0, np.intp)
-    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
-    k, r = k[new], r[new]
-    first = np.r_[True, k[1:] != k[:-1]]
-    return k, r, np.cumsum(first) - 1, np.flatnonzero(first)
-
-
 def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged ``(key, leader, ref)``: the members of each key that several
-    classes post.  ``leader`` is the member that the row's task compared with."""
-    spark = docs.sparkSession
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * POSTINGS)))
-
-    def post(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        names = ["bucket", "keys", "refs", "run_keys", "run_leaders", "run_refs"]
-
-        def flush(keys, refs, turn):
-            keys, refs = np.concatenate(keys), np.concatenate(refs)
-            k, r, run, starts = _runs(keys, refs)
-            size = np.bincount(run, minlength=len(starts))
-            lead = r[starts]
-            shared = size[run] > 1
-            rk, rl, rr = k[shared], lead[run][shared], r[shared]
-            # postings in order of the class, which compresses well
-            k, r = k[starts], r[starts]
-            order = np.argsort(r, kind="stable")
-            k, r = k[order], r[order]
-            to, run_to = (k % np.uint64(width)).astype(np.int64), ((rk + np.uint64(turn)) % np.uint64(width)).astype(np.int64)
-            by, run_by = np.argsort(to, kind="stable"), np.argsort(run_to, kind="stable")
-            cut, run_cut = np.searchsorted(to[by], range(width + 1)), np.searchsorted(run_to[run_by], range(width + 1))
-            rows = []
-            for b in range(width):
-                p, q = by[cut[b]:cut[b + 1]], run_by[run_cut[b]:run_cut[b + 1]]
-                if len(p) or len(q):
-                    rows.append((b, k[p].tobytes(), r[p].tobytes(), rk[q].tobytes(), rl[q].tobytes(), rr[q].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-        keys, refs, held, turn = [], [], 0, 0
+    """Staged ``(key, leader, ref)``: the members of each key that several classes post."""
+    def emit(batches):
         for _, sets in _sets(batches):
             for x in sets:
-                if len(got := set_keys(x)):
-                    keys.append(got)
-                    refs.append(np.full(len(got), set_id(x), np.int64))
-                    held += len(got)
-                    if held >= POSTINGS:
-                        yield flush(keys, refs, turn)
-                        keys, refs, held, turn = [], [], 0, turn + 1
-        if held:
-            yield flush(keys, refs, turn)
-
-    def meet(batches):
-        import numpy as np
-        import pyarrow as pa
+                yield set_keys(x), set_id(x)
 
-        keys, refs = [], []
-        names = ["key", "leader", "ref"]
-        as_long = lambda k: pa.array(k.view(np.int64))
-        for batch in batches:
-            for _, k, r, rk, rl, rr in zip(*(c.to_pylist() for c in batch.columns)):
-                keys.append(np.frombuffer(k, np.uint64))
-                refs.append(np.frombuffer(r, np.int64))
-                if rk:
-                    yield pa.RecordBatch.from_arrays([as_long(np.frombuffer(rk, np.uint64)), pa.array(np.frombuffer(rl, np.int64)),
-                                                      pa.array(np.frombuffer(rr, np.int64))], names=names)
-        if keys:
-            k, r, run, starts = _runs(np.concatenate(keys), np.concatenate(refs))
-            shared = np.bincount(run, minlength=len(starts))[run] > 1
-            yield pa.RecordBatch.from_arrays([as_long(k[shared]), pa.array(r[starts][run][shared]), pa.array(r[shared])], names=names)
-
-    posted = docs.select("text").mapInArrow(
-        post, "bucket int, keys binary, refs binary, run_keys binary, run_leaders binary, run_refs binary")
-    return stage(posted.repartition(width, "bucket").mapInArrow(meet, "key long, leader long, ref long"), "jaccard-blocks")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return shared(docs.select("text"), emit, width_for(docs.sparkSession, total // 2), "jaccard-blocks")
 
 
 def _wanted_sets(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import crf, jaccard_rtree, knn_quality, line_frequency, mixing, sharding, wu_manber
+from textmill.llm import crf, jaccard_rtree, knn_quality, line_dedup, line_frequency, mixing, sharding, wu_manber
 from textmill.llm.common import left_out
 from textmill.sources.tables import table
 
@@ -33,6 +33,10 @@ def op7_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decide(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_exact", "n_near", "dropped")
+
+
 def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     r = crf.tag(docs, crf.train(docs, labels, 3, 1))
@@ -46,4 +50,4 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
-                                   op7_jaccard_rtree, op9_crf_toxicity, op10_knn_quality)}
+                                   op7_jaccard_rtree, op8_line_dedup, op9_crf_toxicity, op10_knn_quality)}
