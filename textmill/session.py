@@ -47,8 +47,7 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.master.startswith("local"):
-        ship_package(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,8 +57,9 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``textmill`` importable on the executors (its Arrow UDFs refer to
     package functions): the package sources are zipped once per application
-    and registered with ``addPyFile`` (Spark distributes the file).  Not
-    needed when the package is installed on the cluster's Python."""
+    and registered with ``addPyFile`` (Spark distributes the file).  Local
+    masters need it too: their Python workers don't see what the driver has
+    put on its import path."""
     import zipfile
 
     sc = spark.sparkContext
@@ -89,6 +89,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             current = tempfile.mkdtemp(prefix="textmill-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
