@@ -93,6 +93,8 @@ def test_chains_of_edits_of_all_sizes(spark):
 def test_large_group_of_independent_copies_in_chunks(spark, monkeypatch):
     """Copies of one text that only link through some of the others, with a shared passage in other texts."""
     monkeypatch.setattr(J, "CHUNK", 16)
+    monkeypatch.setattr(J, "LEAF_BLOCK", 8)
+    monkeypatch.setattr(J, "ROWS", 50)
     monkeypatch.setattr(J, "SMALL_BLOCK", 8)
     monkeypatch.setattr(J, "STAR_ROUNDS", 2)
     r = random.Random(5)
@@ -113,3 +115,26 @@ def test_tree_loses_nothing():
         both = np.minimum(points[i], points).sum(axis=1)
         want = np.flatnonzero(100 * both >= 80 * (sizes[i] + sizes - both))
         assert sorted(tree.search(points[i], int(sizes[i]))) == want.tolist()
+
+
+def test_word_hashes_over_slices(monkeypatch):
+    import pyarrow as pa
+
+    from textmill.llm import hashed_words as H
+
+    texts = ["a b  c", None, "", "A b", "x" * 5000, "x" * 5000 + " é É\u2003q\x0b" + "y", " ", "tail\n"] * 3
+    want, whole = [], H.hashed_words(pa.array(texts))
+    for t in texts:
+        want.append(len((t or "").encode().split()))
+    assert np.diff(whole[1]).tolist() == want
+    monkeypatch.setattr(H, "SLICE", 8)
+    H._powers.cache_clear()
+    for arr in (pa.array(texts), pa.array(["zz", *texts]).slice(1)):
+        again = H.hashed_words(arr)
+        assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
+    words = {}
+    for t, s, e in zip(texts, whole[1][:-1], whole[1][1:]):
+        for w, h in zip((t or "").encode().lower().split(), whole[0][s:e].tolist()):
+            assert words.setdefault(w, h) == h
+    assert len(set(words.values())) == len(words)
+    H._powers.cache_clear()

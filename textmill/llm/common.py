@@ -70,6 +70,21 @@ def text_bytes(column) -> list:
     return [v or b"" for v in column.cast(kind).to_pylist()]
 
 
+def text_slices(batches, column: str = "text", most: int = 1 << 20):
+    """The batches cut into slices of at most ``most`` bytes of text, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)``: the smallest node reachable over ``edges``.
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import labelled_sample, left_out, text_bytes
+from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices
 from textmill.llm.wu_manber import fold_words
 
 #: Training texts of either label, and their largest size in bytes.
@@ -219,7 +219,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         scores = Scores(m.weights)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in text_slices(batches):
             raws = text_bytes(batch.column("text"))
             texts = [fold_words(r) for r in raws]
             starts = np.r_[0, np.cumsum([len(ws) for ws in texts])].astype(np.int64)

@@ -11,13 +11,14 @@ join is exact; links between different texts are all taken into account:
    around its own and once for the next smaller ones.  A group that is empty
    proves nothing: there are enough groups to do without the empty ones, and
    the few sets with too many empty groups post those too.  Keys that a single
-   class posts are dropped.  Before the shuffle, keys that meet in one task
-   are reduced to one posting each.
+   class posts are dropped.  As linked sets agree on a known number of groups,
+   at least, each class also drops all but one of so many of its keys, those
+   with most members, or all if it shares fewer.
 3. Star rounds.  Per key one class is compared with the others; the compared
    pairs, few for each class, are verified and joined to components.  Thousands
    of near copies of one text collapse here without all their pairs.
 4. R-trees.  Where a key still holds classes of different components, shingles
-   are hashed into 64 groups and the group counts indexed as points of an
+   are hashed into 256 groups and the group counts indexed as points of an
    R-tree: the overlap with anything below a node is at most the sum of the
    coordinate minima of the query and the node's upper corner.  Pairs of
    different components that survive the bound are verified on their sets.
@@ -35,16 +36,17 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, fresh, stage, text_bytes
+from textmill.llm.common import components, fresh, stage
+from textmill.llm.hashed_words import hashed_words, mix
 from textmill.llm.postings import shared, width_for
 
 NGRAM = 5
 PERCENT = 80
 #: Count vectors have this many coordinates.
-GROUPS = 64
+GROUPS = 256
 #: A band of set sizes reaches from its least size to about this many times it.
 BAND = 1.5
 #: Members of a block that one task indexes; larger blocks are dealt out as pairs of chunks.
@@ -52,49 +54,36 @@ CHUNK = 4096
 #: Children of an R-tree node.
 FANOUT = 16
 #: Star rounds at most; what they leave to compare is left to the R-trees.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: Blocks up to this size go to the R-trees at once.
 SMALL_BLOCK = 64
+#: In blocks up to this size every pair is compared, without a tree.
+LEAF_BLOCK = 48
+#: Rows of blocks that a task takes up at once.
+ROWS = 8192
 
 
-class _Hashes(dict):
-    """Word hashes, kept for up to a million words."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _mix(x):
-    import numpy as np
-
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(raw: bytes, hashes, n: int = NGRAM):
-    """Sorted distinct shingle hashes of a UTF-8 text."""
+def _sets(batches, column: str = "text"):
+    """Each batch with the sorted distinct shingle hashes of its texts."""
     import numpy as np
 
-    words = raw.lower().split()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(h))
-    if not width:
-        return h
-    m = len(h) - width + 1
-    x = np.full(m, width, np.uint64)
-    for k in range(width):
-        x = x * np.uint64(0x100000001B3) + h[k:k + m]
-    x = _mix(x)
-    x.sort()
-    return x[np.r_[True, x[1:] != x[:-1]]]
+    for batch in batches:
+        h, at = hashed_words(batch.column(column))
+        x = np.full(max(0, len(h) - NGRAM + 1), NGRAM, np.uint64)
+        for k in range(NGRAM):
+            x = x * np.uint64(0x100000001B3) + h[k:k + len(x)]
+        x, sets = mix(x), []
+        for i in range(len(at) - 1):
+            n = at[i + 1] - at[i]
+            if n >= NGRAM:
+                own = np.sort(x[at[i]:at[i + 1] - NGRAM + 1])
+                sets.append(own[np.r_[True, own[1:] != own[:-1]]])
+            else:
+                whole = np.full(min(n, 1), n, np.uint64)
+                for k in range(n):
+                    whole = whole * np.uint64(0x100000001B3) + h[at[i] + k]
+                sets.append(mix(whole))
+        yield batch, sets
 
 
 def set_id(x) -> int:
@@ -105,13 +94,13 @@ def set_id(x) -> int:
 
 
 def _bands():
-    """``(least sizes, differences, groups)`` by band."""
+    """``(least size, greatest size, differences, groups)`` by band."""
     lo, bands = 1, []
-    while lo < 1 << 40:
+    while len(bands) < 64:
         hi = max(lo, int(lo * BAND) - 1)
         # a + b <= 2.25 * hi for a in the band and b up to a / 0.8
         differ = (9 * hi * (100 - PERCENT)) // (4 * (100 + PERCENT))
-        bands.append((lo, hi, differ, differ + 1 + (differ // 8 + 3 if differ else 0)))
+        bands.append((lo, hi, differ, differ + 1 + (differ // 4 + 3 if differ else 0)))
         lo = hi + 1
     return bands
 
@@ -119,104 +108,164 @@ def _bands():
 _BANDS = _bands()
 
 
+def band_of(n: int) -> int:
+    import bisect
+
+    return bisect.bisect_right(_BANDS, (n, 1 << 62)) - 1
+
+
 def group_keys(x, band: int):
-    """Keys of a set's groups in a band's partition of the shingles."""
+    """A set's keys in a band's partition of the shingles (the last six bits
+    are the band), and how many of them a linked set has too, at least."""
     import numpy as np
 
-    _, _, differ, n = _BANDS[band]
+    _, hi, differ, n = _BANDS[band]
     if not differ:
-        return np.empty(0, np.uint64)  # only equal sets link
+        return np.empty(0, np.uint64), 1  # only equal sets link
     at = (x % np.uint64(n)).astype(np.intp)
     total = np.zeros(n, np.uint64)
     np.add.at(total, at, x)
-    keys = _mix(total + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band * 0x632BE59BD9B4E019 & 2**64 - 1))
+    keys = mix(total + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band * 0x632BE59BD9B4E019 & 2**64 - 1))
+    keys = keys >> np.uint64(6) << np.uint64(6) | np.uint64(band)
     held = np.bincount(at, minlength=n) > 0
-    return keys[held] if n - int(held.sum()) < n - differ else keys
+    size = len(x)
+    most = size * (100 - PERCENT) // PERCENT if size <= hi else (size + hi) * (100 - PERCENT) // (100 + PERCENT)
+    agree = int(held.sum()) - most  # of the groups that aren't empty
+    return (keys[held], agree) if agree > 0 else (keys, 1)
 
 
 def set_keys(x):
-    """Keys for the sizes around the set's own and, where it can be the larger of a pair, the band below."""
-    import bisect
-
+    """Keys for the sizes around the set's own and, where it can be the larger
+    of a pair, the band below, with the numbers that linked sets share."""
     import numpy as np
 
     if not len(x):
-        return np.empty(0, np.uint64)
-    band = bisect.bisect_right(_BANDS, (len(x), 1 << 60)) - 1
-    keys = [group_keys(x, band)]
+        return np.empty(0, np.uint64), 1, 1
+    band = band_of(len(x))
+    keys, own = group_keys(x, band)
+    lower = 1
     if band and PERCENT * len(x) <= 100 * _BANDS[band - 1][1]:
-        keys.append(group_keys(x, band - 1))
-    return np.concatenate(keys)
+        more, lower = group_keys(x, band - 1)
+        keys = np.concatenate([keys, more])
+    return keys, own, lower
 
 
-def _sets(batches, column: str = "text"):
-    hashes = _Hashes()
-    for batch in batches:
-        yield batch, [shingle_set(raw, hashes) for raw in text_bytes(batch.column(column))]
+def count_vector(x):
+    import numpy as np
+
+    return np.bincount((x >> np.uint64(56)).astype(np.intp), minlength=GROUPS).astype(np.uint32)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Staged ``(doc_id, dkey, n, ref)``: size and class of every document's set."""
+    """Staged ``(doc_id, dkey, n, ref, band, own, lower, counts)``: size, class,
+    key numbers and count vector of every document's set."""
     def run(batches):
         import pyarrow as pa
 
         for batch, sets in _sets(batches):
+            shares = [set_keys(x)[1:] for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("dkey"), pa.array(map(len, sets), pa.int64()),
-                 pa.array(map(set_id, sets), pa.int64())], names=["doc_id", "dkey", "n", "ref"])
+                [batch.column("doc_id"), batch.column("dkey"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()),
+                 pa.array([band_of(max(1, len(x))) for x in sets], pa.int32()), pa.array([s[0] for s in shares], pa.int32()),
+                 pa.array([s[1] for s in shares], pa.int32()), pa.array([count_vector(x).tobytes() for x in sets], pa.binary())],
+                names=["doc_id", "dkey", "n", "ref", "band", "own", "lower", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), "text")
-                 .mapInArrow(run, f"doc_id {id_type}, dkey long, n long, ref long"), "jaccard-classes")
+    return stage(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), "text").mapInArrow(
+        run, f"doc_id {id_type}, dkey long, n long, ref long, band int, own int, lower int, counts binary"), "jaccard-classes")
 
 
 def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged ``(key, leader, ref)``: the members of each key that several classes post."""
+    """Staged ``(key, leader, ref)``: the keys that classes keep, with their members and the least of these."""
     def emit(batches):
         for _, sets in _sets(batches):
             for x in sets:
-                yield set_keys(x), set_id(x)
+                yield set_keys(x)[0], set_id(x)
 
     total = classes.agg(F.sum("n")).first()[0] or 0
-    return shared(docs.select("text"), emit, width_for(docs.sparkSession, total // 2), "jaccard-blocks")
+    posted = shared(docs.select("text"), emit, width_for(docs.sparkSession, total // 2), "jaccard-posted")
+    rows = posted.select("key", "ref").distinct()
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    facts = classes.where("n > 0").groupBy("ref").agg(F.first("band").alias("band"), F.first("own").alias("own"), F.first("lower").alias("lower"))
+    at = F.pmod("key", F.lit(64))
+    rows = (rows.join(held, "key").join(facts, "ref")
+            .select("key", "ref", "held", at.alias("at"), F.when(at == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("agree")))
+    # a class has some hundred keys, so these windows stay small
+    mine = Window.partitionBy("ref", "at")
+    rows = (rows.withColumn("turn", F.row_number().over(mine.orderBy("held", "key")))
+            .withColumn("all", F.count(F.lit(1)).over(mine)).where(F.col("turn") <= F.col("all") - F.col("agree") + 1))
+    rows = stage(rows.select("key", "ref"), "jaccard-kept")
+    leaders = rows.groupBy("key").agg(F.min("ref").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "leader")
+    return stage(rows.join(leaders, "key").select("key", "leader", "ref"), "jaccard-blocks")
+
+
+def enough(bound, sizes):
+    """Whether an overlap of ``bound`` suffices for two sets with ``sizes`` elements together."""
+    return (100 + PERCENT) * bound >= PERCENT * sizes
+
+
+def _vectors(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS)
 
 
-def _wanted_sets(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Staged ``(ref, n, counts, members)`` of the classes in any block: size, count vector and set."""
+def _overlaps(c, i, j):
+    """Summed coordinate minima of the vectors ``c[i]`` and ``c[j]``, pair by pair."""
+    import numpy as np
+
+    parts = [np.minimum(c[i[k:k + ROWS]], c[j[k:k + ROWS]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), ROWS)]
+    return np.concatenate([np.empty(0, np.int64), *parts])
+
+
+def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that the count vectors don't rule out."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch, sets in _sets(batches):
-            counts = [np.bincount((x >> np.uint64(58)).astype(np.intp), minlength=GROUPS).astype(np.int32) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
-                 pa.array(counts, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                names=["ref", "n", "counts", "members"])
+        for batch in batches:
+            if batch.num_rows:
+                c = np.concatenate([_vectors(batch.column("ca")), _vectors(batch.column("cb"))])
+                n = batch.num_rows
+                bound = _overlaps(c, np.arange(n), np.arange(n, 2 * n))
+                keep = pa.array(enough(bound, batch.column("n").to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    one = classes.join(blocks.select("ref").distinct(), "ref").groupBy("ref").agg(F.min("dkey").alias("dkey")).select("dkey")
-    text = docs.select(F.xxhash64("doc_id", "text").alias("dkey"), "text").join(one, "dkey").dropDuplicates(["dkey"])
-    return stage(text.select("text").mapInArrow(run, "ref long, n long, counts array<int>, members array<long>"), "jaccard-sets")
+    side = lambda s: vectors.select(F.col("ref").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(F.least("na", "nb"), F.col("na") + F.col("nb")))
+    return rows.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The staged pairs ``(a, b)`` whose sets link: bounded by the count vectors first, then verified."""
-    enough = lambda both: 100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)
-    side = lambda s, *cols: sets.select(F.col("ref").alias(s), *[F.col(c).alias(f"{c}{s}") for c in cols])
-    narrow = (pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b"))
-    most = F.aggregate(F.zip_with("countsa", "countsb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    narrow = stage(narrow.where(enough(most)).select("a", "b"), "jaccard-pairs")
-    full = narrow.join(side("a", "n", "members"), "a").join(side("b", "n", "members"), "b")
-    return stage(full.where(enough(F.size(F.array_intersect("membersa", "membersb")))).select("a", "b"), "jaccard-links")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Staged: the staged pairs whose sets link, by comparing the sets, made again from one text of each class."""
+    if pairs.isEmpty():
+        return pairs
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, sets in _sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()),
+                                              pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["ref", "members"])
+
+    refs = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
+    one = stage(classes.join(refs, "ref").groupBy("ref").agg(F.min("dkey").alias("dkey")).select("dkey"), "jaccard-wanted")
+    text = docs.select(F.xxhash64("doc_id", "text").alias("dkey"), "text").join(one, "dkey").dropDuplicates(["dkey"])
+    sets = stage(text.select("text").mapInArrow(run, "ref long, members array<long>"), "jaccard-sets")
+    side = lambda s: sets.select(F.col("ref").alias(s), F.col("members").alias(f"m{s}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("ma", "mb"))
+    return stage(full.where(enough(both, F.size("ma") + F.size("mb"))).select("a", "b"), "jaccard-links")
 
 
 class RTree:
-    """Static R-tree over count vectors, packed in order of the coordinate sums."""
+    """Static R-tree over count vectors, packed by size and most varied coordinates."""
 
     def __init__(self, points, sizes):
         import numpy as np
 
-        # most telling coordinates first: neighbours in this order share leaves
         order = np.lexsort((*points.T[np.argsort(points.var(axis=0))][-4:], sizes))
         self.order, self.points, self.sizes = order, points[order], sizes[order]
         self.levels = []  # (upper corners, least sizes), leaves first
@@ -231,9 +280,8 @@ class RTree:
         import numpy as np
 
         def alive(points, sizes, at):
-            # overlap / (size + other - overlap) >= PERCENT / 100, for the least size below a node
-            bound = np.minimum(points[at], q).sum(axis=1)
-            return at[(100 + PERCENT) * bound >= PERCENT * (size + sizes[at])]
+            # for a node: the least size below it and the upper corner give a bound for all of its points
+            return at[enough(np.minimum(points[at], q).sum(axis=1, dtype=np.int64), size + sizes[at])]
 
         at = None
         for top, least in reversed(self.levels):
@@ -243,46 +291,101 @@ class RTree:
         return self.order[alive(self.points, self.sizes, at)]
 
 
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of different components from blocks ``(key, x, y, chunk, ref, comp, n, counts)``."""
-    def run(block):
-        import numpy as np
-        import pandas as pd
+def _block_pairs(block, ref, comp, chunk, within, n, c):
+    """Index pairs of different components in sorted runs of equal ``block`` that the count vectors don't rule out."""
+    import numpy as np
 
-        points, sizes = np.array(block["counts"].tolist(), np.int64), block["n"].to_numpy()
-        ref, comp, chunk = block["ref"].to_numpy(), block["comp"].to_numpy(), block["chunk"].to_numpy()
-        within = block["x"].iloc[0] == block["y"].iloc[0]
-        tree, out = RTree(points, sizes), []
-        for i in range(len(ref)):
-            hits = tree.search(points[i], int(sizes[i]))
-            hits = hits[(ref[hits] > ref[i]) & (comp[hits] != comp[i]) & (within | (chunk[hits] != chunk[i]))]
-            out += [(ref[i], r) for r in ref[hits]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+    left, right = [], []
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        if e - s <= LEAF_BLOCK:
+            i, j = np.triu_indices(e - s, 1)
+            left.append(i + s)
+            right.append(j + s)
+        else:
+            tree = RTree(c[s:e], n[s:e])
+            for i in range(s, e):
+                hits = tree.search(c[i], int(n[i])) + s
+                hits = hits[hits > i]
+                left.append(np.full(len(hits), i))
+                right.append(hits)
+    i, j = np.concatenate(left), np.concatenate(right)
+    fit = (comp[i] != comp[j]) & (within[i] | (chunk[i] != chunk[j]))
+    i, j = i[fit], j[fit]
+    a, b = np.minimum(ref[i], ref[j]), np.maximum(ref[i], ref[j])
+    _, once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+    i, j, a, b = i[once], j[once], a[once], b[once]
+    keep = enough(_overlaps(c, i, j), n[i] + n[j])
+    return a[keep], b[keep]
+
+
+def _tree_pairs(members: DataFrame, width: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of different components from blocks ``(key, x, y, chunk, ref, comp, n, counts)``."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    return members.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
+        def pairs(parts):
+            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            col = lambda k: t.column(k).to_numpy()
+            block = np.cumsum(np.r_[0, (col("key")[1:] != col("key")[:-1]) | (col("x")[1:] != col("x")[:-1]) | (col("y")[1:] != col("y")[:-1])])
+            a, b = _block_pairs(block, col("ref"), col("comp"), col("chunk"), col("x") == col("y"), col("n"), _vectors(t.column("counts")))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, rows = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                # take up rows to the end of a block
+                key = batch.column("key").to_numpy()
+                take = batch.num_rows
+                if rows + take > ROWS:
+                    last = held[-1].column("key")[-1].as_py() if held else None
+                    turns = np.flatnonzero(np.r_[key[0] != last if held else False, key[1:] != key[:-1]])
+                    turns = turns[turns + rows >= ROWS]
+                    take = int(turns[0]) if len(turns) else batch.num_rows
+                    if take == 0 and held:
+                        yield pairs(held)
+                        held, rows = [], 0
+                        continue
+                held.append(batch.slice(0, take))
+                rows += take
+                batch = batch.slice(take)
+                if batch.num_rows:
+                    yield pairs(held)
+                    held, rows = [], 0
+        if held:
+            yield pairs(held)
+
+    return (members.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def _open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """Staged ``(key, ref, comp, held)`` of the keys with classes of several
-    components; of keys with the same members one is enough."""
+    """Staged ``(key, ref, comp, held)`` of the keys with three or more classes
+    of several components (two were compared as a star); of keys with the same
+    members one is enough."""
     c = comps.select(F.col("node").alias("ref"), F.col("component"))
     rows = (blocks.select("key", "ref").join(c, "ref", "left")
             .select("key", "ref", F.coalesce("component", "ref").alias("comp")))
     mixed = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held"),
                                      F.bit_xor(F.xxhash64("ref")).alias("who"), F.bit_xor(F.xxhash64("ref", F.lit(1))).alias("who2"))
-             .where("lo < hi"))
+             .where("lo < hi and held > 2"))
     one = mixed.groupBy("held", "who", "who2").agg(F.min("key").alias("key")).select("key", "held")
-    return stage(rows.join(one, "key").distinct(), "jaccard-open")
+    return stage(rows.join(one, "key"), "jaccard-open")
 
 
 def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Verified links ``(a, b)`` between classes (``ref`` of :func:`_classes`)
     that connect all linked classes."""
+    docs = docs.select("doc_id", "text")
     classes = _classes(docs) if classes is None else classes
     blocks = _blocks(docs, classes)
-    sets = _wanted_sets(docs, classes, blocks)
+    vectors = stage(classes.join(blocks.select("ref").distinct(), "ref").groupBy("ref")
+                    .agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "jaccard-vectors")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found = _linked(blocks.where("leader != ref").select(*pair("leader", "ref")).distinct(), sets)
+
+    star = stage(blocks.where("leader != ref").select(*pair("leader", "ref")).distinct(), "jaccard-stars")
+    tested, found = star, _verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes)
     comps = components(found, "a", "b")
     open_ = _open_blocks(blocks, comps)
     for turn in range(1, STAR_ROUNDS):
@@ -292,17 +395,20 @@ def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         leader = (large.groupBy("key").agg(F.min_by(F.struct("ref", "comp"), F.xxhash64("ref", F.lit(turn))).alias("l"))
                   .select("key", F.col("l.ref").alias("leader"), F.col("l.comp").alias("lcomp")))
         star = large.join(leader, "key").where("comp != lcomp").select(*pair("leader", "ref")).distinct()
-        found = found.unionByName(_linked(star, sets))
+        star = stage(star.join(tested, ["a", "b"], "left_anti"), "jaccard-stars")
+        tested = tested.unionByName(star)
+        found = found.unionByName(_verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes))
         comps = components(found, "a", "b")
-        open_ = _open_blocks(open_.select("key", "ref"), comps)
+        open_ = _open_blocks(open_, comps)
     if open_.isEmpty():
         return found
     chunks = F.ceil(F.col("held") / CHUNK).cast("int")
     at = open_.withColumn("chunk", F.pmod(F.xxhash64("ref"), chunks).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    at = at.join(sets.select("ref", "n", "counts"), "ref").select(
-        "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "ref", "comp", "n", "counts")
-    return found.unionByName(_linked(stage(_tree_pairs(at), "jaccard-tree"), sets))
+    at = at.join(vectors, "ref").select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
+                                        "chunk", "ref", "comp", "n", "counts")
+    left = _tree_pairs(at, width_for(docs.sparkSession, 64 * open_.count())).join(tested, ["a", "b"], "left_anti")
+    return found.unionByName(_verified(stage(left, "jaccard-tree"), docs, classes))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import labelled_sample, left_out, text_bytes
+from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices
 
 #: Labelled texts of either label, and their largest size in bytes.
 PER_CLASS = 2048
@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame):
         import pyarrow as pa
 
         terms, held, n = _Terms(), np.zeros(TERMS, np.int64), 0
-        for batch in batches:
+        for batch in text_slices(batches):
             for raw in text_bytes(batch.column("text")):
                 held += term_counts(raw, terms)[0] > 0
                 n += 1
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         m, terms = shared.value, _Terms()
-        for batch in batches:
+        for batch in text_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(text_bytes(batch.column("text")), terms), pa.float64())],
                                              names=["doc_id", "score"])
 

@@ -25,7 +25,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import fresh, stage, text_bytes
+from textmill.llm.common import fresh, stage, text_bytes, text_slices
 
 WINDOW = 13
 BLOCK = 3
@@ -140,7 +140,7 @@ def _search(docs: DataFrame, part, window: int, names: list) -> DataFrame:
 
         table = Patterns(((i, fold_words(x)) for i, x in shared.value), window)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in text_slices(batches):
             texts = [fold_words(x) for x in text_bytes(batch.column(at))]
             found = [table.search(ws) for ws in texts]
             yield pa.RecordBatch.from_arrays([
