@@ -23,7 +23,8 @@ from textmill.llm.common import HASH_BITS, digest60, stage
 
 #: Bytes a shard may hold.
 LIMIT_BYTES = 1 << 20
-STEP_BITS = 10
+#: Bits that a pass looks ahead, after a first one of as many as equal shards need and two more.
+STEP_BITS = 3
 
 
 def directories(rows: DataFrame, limit: int, step_bits: int = STEP_BITS):
@@ -33,9 +34,10 @@ def directories(rows: DataFrame, limit: int, step_bits: int = STEP_BITS):
     of ``bits`` bits, ``depth`` the bits its shard uses and ``shard_bytes`` its
     size.  ``rest`` are whole hashes (``h``) that exceed the limit, or None.
     """
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
     tables, depth, open_ = [], 0, None
     while depth < HASH_BITS:
-        bits = min(HASH_BITS, depth + step_bits)
+        bits = min(HASH_BITS, depth + step_bits if depth else max(1, (total // limit).bit_length() + 2))
         left = rows if open_ is None else rows.join(open_, F.shiftright("h", HASH_BITS - depth) == F.col("over"), "left_semi")
         fine = stage(left.groupBy(F.shiftright("h", HASH_BITS - bits).alias("slot"))
                      .agg(F.sum("bytes").alias("b")), "shard-slots")
