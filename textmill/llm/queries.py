@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import crf, jaccard_rtree, knn_quality, line_dedup, line_frequency, mixing, sharding, wu_manber
-from textmill.llm.common import left_out
+from textmill.llm import crf, jaccard_rtree, knn_quality, line_dedup, line_frequency, mixing, sharding, warc, wu_manber
+from textmill.llm.common import left_out, stage
+from textmill.session import scratch_path
 from textmill.sources.tables import table
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "llm-warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    # the narrow records are read twice, the archives once
+    return warc.page_records(stage(warc.read(spark, path, payload=False), "warc-records"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", left_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
                                    op7_jaccard_rtree, op8_line_dedup, op9_crf_toxicity, op10_knn_quality)}
