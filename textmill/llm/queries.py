@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import crf, jaccard_rtree, knn_quality, line_dedup, line_frequency, mixing, sharding, warc, wu_manber
+from textmill.llm import crf, jaccard_rtree, knn_quality, line_dedup, line_frequency, mixing, secrets, sharding, warc, wu_manber
 from textmill.llm.common import left_out, stage
 from textmill.session import scratch_path
 from textmill.sources.tables import table
@@ -18,6 +18,14 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(stage(warc.read(spark, path, payload=False), "warc-records"))
 
 
+def op2_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = secrets.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return r.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+                    secrets.listed(F.concat(plain("base"), plain("linked"))).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
@@ -57,5 +65,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", left_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_credential_links, op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
                                    op7_jaccard_rtree, op8_line_dedup, op9_crf_toxicity, op10_knn_quality)}
