@@ -40,7 +40,7 @@ LEAST_ASSIGNED = 8
 
 IDENTIFIER = re.compile(rf"\b(?:access_key_id|client_id|account(?:_id)?|user(?:name)?|login){_TO}[A-Za-z0-9_.@-]{{3,}}", re.I | re.A)
 KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"""\b(?:https?|jdbc:[a-z]+|s3a?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]{4,}""")
+ENDPOINT = re.compile(r"""\b(?:https?|jdbc:[a-z]+|s3a?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\x09-\x0D\x20"'<>]{4,}""", re.A)
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 #: Shortest assigned value that may be a weak secret.
 LEAST_SHORT = 4
