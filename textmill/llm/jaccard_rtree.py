@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, fresh, stage
+from textmill.llm.common import components, fresh, stage, text_slices
 from textmill.llm.hashed_words import hashed_words, mix
 from textmill.llm.postings import shared, width_for
 
@@ -67,7 +67,7 @@ def _sets(batches, column: str = "text"):
     """Each batch with the sorted distinct shingle hashes of its texts."""
     import numpy as np
 
-    for batch in batches:
+    for batch in text_slices(batches, column, 2 << 20):
         h, at = hashed_words(batch.column(column))
         x = np.full(max(0, len(h) - NGRAM + 1), NGRAM, np.uint64)
         for k in range(NGRAM):

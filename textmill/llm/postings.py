@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from textmill.llm.common import stage
 
 #: Postings that a task sorts at once, before the shuffle and about as many after it.
-POSTINGS = 1_500_000
+POSTINGS = 1_000_000
 
 
 def _runs(keys, refs):
