@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import jaccard_rtree, line_frequency, mixing, sharding, wu_manber
 from textmill.llm.common import stage
+from textmill.session import configure
 from textmill.sources.tables import table
 
 
@@ -36,6 +37,17 @@ STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplica
 ORACLE_SQL = None
 
 
+def _configured(step):
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
+STAGES = [(name, _configured(step)) for name, step in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, step) in enumerate(STAGES):
