@@ -1,5 +1,6 @@
 """File readers, sinks and the streaming operators on small files."""
 
+import pytest
 import glob
 import json
 import os
@@ -59,6 +60,13 @@ def test_sinks(spark, tmpdir_path):
     docs = spark.createDataFrame([("en", "f1", 2, "b"), ("ko", "f2", 1, "a"), ("en", "f1", 1, "c"), ("xx", "f", 1, "z")],
                                  "group string, file string, line long, text string")
     out = os.path.join(tmpdir_path, "corpus")
+    with pytest.raises(Exception, match="group without a place"):  # no group vanishes
+        W.write_corpus(docs, out, ["ko", "en"], parts=3)
+    W.write_corpus_groups(docs, out + "-groups")
+    assert sorted(os.path.basename(p) for p in glob.glob(out + "-groups/group=*")) == ["group=en", "group=ko", "group=xx"]
+    body = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(out + "-groups/group=en/part-*")))
+    assert body == "c\n\nb\n\n"
+    docs = docs.where("group != 'xx'")
     W.write_corpus(docs, out, ["ko", "en"], parts=3)
     body = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(out + "/part-*")))
     assert body == "a\n\nc\n\nb\n\n"

@@ -114,24 +114,61 @@ def test_registered_ordered_queries_layout_independent(spark):
             spark.conf.set(k, v)
 
 
-def test_library_tokenizer_adapter(spark, tmpdir_path):
+def _encode_by_rank(syms, ranks):
+    """Merges one rank at a time, left to right, scanning all pairs."""
+    syms = list(syms)
+    while True:
+        known = [ranks[p] for p in zip(syms, syms[1:]) if p in ranks]
+        if not known:
+            return syms
+        rank, new = min(known)
+        out, i = [], 0
+        while i < len(syms):
+            hit = i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1]), (None,))[0] == rank
+            out.append(new if hit else syms[i])
+            i += 2 if hit else 1
+        syms = out
+
+
+def test_heap_encoder_and_flat_merges():
+    import random
+
+    import numpy as np
+
+    from textmill.operators import bpe as BP
+    r = random.Random(1)
+    for _ in range(200):
+        merges, new = [], 10
+        for _ in range(r.randrange(1, 12)):
+            pair = (r.randrange(new), r.randrange(new))
+            if pair not in {m[:2] for m in merges}:
+                merges.append((*pair, new))
+                new += 1
+        ranks = {(a, b): (k, n) for k, (a, b, n) in enumerate(merges)}
+        word = [r.randrange(4) for _ in range(r.randrange(0, 40))]
+        assert BP.bpe_encode_word(word, ranks) == _encode_by_rank(word, ranks)
+    words = [[r.randrange(3) for _ in range(r.randrange(1, 12))] for _ in range(300)]
+    for mapping in ({1 * BP.PAIR_SHIFT + 1: 9}, {0 * BP.PAIR_SHIFT + 1: 9}, {2 * BP.PAIR_SHIFT + 2: 9}):
+        pair = divmod(next(iter(mapping)), BP.PAIR_SHIFT)
+        flat = np.concatenate([np.array(w, np.int32) for w in words])
+        no = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        syms, word = BP.merge_flat(flat, no, mapping)
+        want = [_encode_by_rank(w, {pair: (0, 9)}) for w in words]
+        assert syms.tolist() == sum(want, []) and np.bincount(word).tolist() == [len(w) for w in want]
+
+
+def test_reserved_atoms_are_single_tokens_for_the_trained_vocabulary(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    import os
 
     from textmill.functions import tokens as TK
-    from textmill.operators import quality as QU
-    texts = ["hello world, hello spark", "byte level text 123", "한국어 문장"] * 5
+    from textmill.operators import bpe as BP
+    texts = ["hello world, hello spark", "byte level text 123", "call <NAME> at <PHONE> now"] * 5
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    m = BP.train_bpe(docs, 300)
     tok = tokenizers.ByteLevelBPETokenizer()
-    tok.train_from_iterator(texts, vocab_size=300, min_frequency=2, special_tokens=TK.SPECIAL_TOKENS,
-                            show_progress=False)
-    path = os.path.join(tmpdir_path, "tokenizer.json")
-    tok.save(path)
-    lib = TK.library_tokenizer(path)
-    assert lib.eos_id == 3 and lib.pad_id == 0
-    df = spark.createDataFrame([(t,) for t in texts[:3]] + [(None,)], "text string")
-    got = df.select("text", lib.encode("text").alias("ids")).collect()
-    for r in got:
-        assert (r.ids is None) if r.text is None else list(r.ids) == tok.encode(r.text).ids
-    docs = spark.createDataFrame([("g", "f", i, t) for i, t in enumerate(texts)], "group string, file string, line long, text string")
-    q = QU.tokenizer_quality(QU.encode_docs(docs, encode=lib.encode, decode=lib.decode), lib.vocab_size).first()
-    assert q.docs == len(texts) and q.roundtrip_success == len(texts)
+    tok.train_from_iterator(texts, vocab_size=300, min_frequency=2, special_tokens=TK.SPECIAL_TOKENS, show_progress=False)
+    enc = BP.make_bpe_encoder(m["merges"])
+    probe = ["x<NAME>y", "<NAME><EMAIL>", "a <URL", "", "hello <pad> world <unk>"]
+    got = {r.text: list(r.ids) for r in spark.createDataFrame([(t,) for t in probe], "text string").select("text", enc("text").alias("ids")).collect()}
+    assert got["x<NAME>y"] == [TK.BYTE_TO_ID[ord("x")], 7, TK.BYTE_TO_ID[ord("y")]] and got["<NAME><EMAIL>"] == [7, 8]
+    assert got == {t: tok.encode(t).ids for t in probe}

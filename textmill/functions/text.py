@@ -20,16 +20,6 @@ def strip_u(c) -> Column:
     return F.regexp_replace(col_(c), _STRIP_RE, "")
 
 
-def utf8_len(c) -> Column:
-    """UTF-8 byte length (the unit of byte budgets)."""
-    return F.octet_length(col_(c))
-
-
-def char_len(c) -> Column:
-    """Code-point length (the unit of minimum lengths and chars/token)."""
-    return F.char_length(col_(c))
-
-
 def utf8_prefix(c, nbytes) -> Column:
     """Longest prefix of ``c`` holding at most ``nbytes`` UTF-8 bytes that ends on
     a character boundary (the bytes of a cut character are dropped).

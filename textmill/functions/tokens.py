@@ -204,50 +204,4 @@ def get_tokenizer(kind: str = "byte", model: dict | None = None) -> Tokenizer:
                 for i, (t, v) in enumerate(zip(SPECIAL_TOKENS + [None] * (len(model["vocab"]) - N_SPECIAL),
                                                model["vocab"]))]
         return Tokenizer("bpe", bpe.make_bpe_encoder(model["merges"]), bpe.make_bpe_decoder(model["vocab"]), toks)
-    if kind == "library":
-        raise ValueError("use library_tokenizer(path) for a saved tokenizer.json")
     raise ValueError(f"unknown tokenizer {kind!r}")
-
-
-_LIB_CACHE: dict = {}
-
-
-def _load_library_tokenizer(path: str):
-    """One tokenizer object per executor process (loaded on first use)."""
-    tok = _LIB_CACHE.get(path)
-    if tok is None:
-        from tokenizers import Tokenizer as _HFTokenizer  # optional dependency
-        tok = _LIB_CACHE[path] = _HFTokenizer.from_file(path)
-    return tok
-
-
-def library_tokenizer(path: str, eos: str = "<eos>", pad: str = "<pad>", unk: str = "<unk>") -> Tokenizer:
-    """F3 adapter: a saved ``tokenizer.json`` of the ``tokenizers`` library as
-    a textmill :class:`Tokenizer` (optional; import-guarded).  The file must
-    be readable by every executor (a shared path); each executor process
-    loads it once and encodes whole Arrow batches with ``encode_batch``."""
-    try:
-        import tokenizers  # noqa: F401
-    except ImportError as e:  # pragma: no cover - depends on the environment
-        raise ImportError("the 'tokenizers' package is required for library_tokenizer") from e
-    tok = _load_library_tokenizer(path)
-    vocab = tok.get_vocab(with_added_tokens=True)
-    toks = [t for t, _ in sorted(vocab.items(), key=lambda kv: kv[1])]
-
-    def enc(arr: pa.Array) -> pa.Array:
-        t = _load_library_tokenizer(path)
-        texts = arr.to_pylist()
-        present = [x for x in texts if x is not None]
-        done = iter(t.encode_batch(present, add_special_tokens=False))
-        return pa.array([None if x is None else next(done).ids for x in texts], pa.list_(pa.int32()))
-
-    def dec(arr: pa.Array) -> pa.Array:
-        t = _load_library_tokenizer(path)
-        return pa.array([None if ids is None else t.decode(ids, skip_special_tokens=False)
-                         for ids in arr.to_pylist()], pa.string())
-
-    eu = F.arrow_udf(enc, T.ArrayType(T.IntegerType()))
-    du = F.arrow_udf(dec, T.StringType())
-    return Tokenizer("library", lambda c: eu(F.col(c) if isinstance(c, str) else c),
-                     lambda c: du(F.col(c) if isinstance(c, str) else c), toks,
-                     eos_id=vocab.get(eos), pad_id=vocab.get(pad), unk_id=vocab.get(unk))

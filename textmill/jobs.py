@@ -49,7 +49,7 @@ def tokenizer_corpus(spark: SparkSession, groups: dict, budgets: dict, out_dir:
     document followed by a blank line.  Returns docs/bytes per group."""
     docs = _docs(spark, groups, "coerce")
     kept = B.byte_budget_prefix(docs, budgets, keys=["doc_id"]).join(docs.select("doc_id", "text"), "doc_id")
-    for label in groups:
+    for label in groups:  # one ordered folder per group of the call
         W.write_corpus(kept.where(F.col("group") == label), f"{out_dir.rstrip('/')}/{label}", [label])
     return B.budget_usage(kept)
 
@@ -81,15 +81,17 @@ def packed_dataset(spark: SparkSession, main: dict, repeat: dict, capped: dict,
 
 
 def tokenizer_report(spark: SparkSession, groups: dict, out_path: str,
-                     tokenizer: TK.Tokenizer | None = None) -> DataFrame:
+                     tokenizer: TK.Tokenizer | None = None, first_docs: int | None = None) -> DataFrame:
     """Per-group tokenizer statistics with top tokens and
-    round-trip failure examples, written as JSON lines and returned."""
+    round-trip failure examples, written as JSON lines and returned.  All
+    documents count; ``first_docs`` keeps the first so many of each group."""
     tok = tokenizer or TK.get_tokenizer("byte")
     docs = _docs(spark, groups, "coerce")
     from textmill.operators.ordering import dense_index, id_bucket
-    cap = QU.MAX_DOCS_PER_GROUP
-    docs = dense_index(docs, ["group"], ["file", "line"], F.struct("file", id_bucket("line")), out="doc_idx",
-                       max_index=cap - 1).where(F.col("doc_idx") < cap)
+    most = None if first_docs is None else first_docs - 1
+    docs = dense_index(docs, ["group"], ["file", "line"], F.struct("file", id_bucket("line")), out="doc_idx", max_index=most)
+    if first_docs is not None:
+        docs = docs.where(F.col("doc_idx") < first_docs)
     enc = QU.encode_docs(docs, encode=tok.encode, decode=tok.decode)
     vocab = QU.vocab_frame(spark, tok.vocab_rows())
     report = W.tokenizer_report(QU.tokenizer_quality(enc, tok.vocab_size, unk_id=tok.unk_id),

@@ -6,8 +6,9 @@
 * B3: greedy merging in *safe batches*: the driver only sees the top pair
   candidates of each round (bounded) and the growing vocabulary (bounded by
   the target size).  A batch holds pairs that provably merge in the same
-  order one-at-a-time greedy would; the word table is rewritten with one
-  higher-order-function pass per round and checkpointed every few rounds.
+  order one-at-a-time greedy would.  Words are kept as blocks of flat numpy
+  buffers; one Arrow pass per round merges a batch in them and counts the
+  pairs that result, and every few rounds the blocks are checkpointed.
 
 Ids: 12 reserved tokens, the 256 byte symbols ordered by their visible
 character, then merges in order.  Ties between equally frequent pairs go to
@@ -16,6 +17,7 @@ the smaller ``(left id, right id)``.
 
 from __future__ import annotations
 
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -45,9 +47,9 @@ def pretokens(text) -> Column:
 
 def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """B1: ``(word, freq)`` over the corpus."""
-    from textmill.operators.ordering import ensure_parallelism
+    from textmill.operators.ordering import spread_small
 
-    w = ensure_parallelism(docs.select(text)).select(F.explode(pretokens(text)).alias("word"))
+    w = spread_small(docs.select(text)).select(F.explode(pretokens(text)).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -97,18 +99,99 @@ def safe_batch(cands: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [batch[0]] + [p for p in batch[1:] if p[0] > bound]
 
 
-def _apply_merges(syms: Column, batch: dict[int, int]) -> Column:
-    pairs = []
-    for k, v in batch.items():
-        pairs += [F.lit(k).cast("long"), F.lit(v)]
-    m = F.create_map(*pairs)
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        hit = F.try_element_at(m, last.cast("long") * F.lit(PAIR_SHIFT) + x.cast("long"))
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))
-        return F.when(hit.isNotNull(), merged).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(syms, F.array().cast("array<int>"), step)
+#: Symbols in one block of words.
+BLOCK_SYMBOLS = 1 << 20
+
+
+def merge_flat(syms, word, mapping: dict):
+    """Merges disjoint pairs, left to right, in a flat symbol buffer; ``word``
+    numbers the words, across which nothing merges."""
+    if len(syms) < 2:
+        return syms, word
+    keys = np.fromiter(mapping, np.int64, len(mapping))
+    order = np.argsort(keys)
+    keys, ids = keys[order], np.fromiter(mapping.values(), np.int32, len(mapping))[order]
+    pair = syms[:-1].astype(np.int64) * PAIR_SHIFT + syms[1:]
+    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    hit = np.flatnonzero((keys[at] == pair) & (word[:-1] == word[1:]))
+    if not len(hit):
+        return syms, word
+    # only a pair of equal symbols can overlap itself: of a run of hits every second one counts
+    run = np.r_[True, np.diff(hit) > 1]
+    first = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+    hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
+    out = syms.copy()
+    out[hit] = ids[at[hit]]
+    keep = np.ones(len(syms), bool)
+    keep[hit + 1] = False
+    return out[keep], word[keep]
+
+
+def _pair_rows(syms, word, freq):
+    """``(pair keys, counts)`` of a block, overlapping neighbours included."""
+    inside = word[:-1] == word[1:]
+    pair = (syms[:-1].astype(np.int64) * PAIR_SHIFT + syms[1:])[inside]
+    keys, at = np.unique(pair, return_inverse=True)
+    count = np.zeros(len(keys), np.int64)
+    np.add.at(count, at, freq[word[:-1][inside]])
+    return keys, count
+
+
+# kind 0: a block of words (flat symbols, word lengths, frequencies); kind 1: a pair and its count in a block
+_ROUND = "kind int, syms binary, sizes binary, freqs binary, pair long, n long"
+
+
+def _round_batch(blocks, pairs):
+    keys = np.concatenate([k for k, _ in pairs]) if pairs else np.empty(0, np.int64)
+    counts = np.concatenate([c for _, c in pairs]) if pairs else np.empty(0, np.int64)
+    none, n = [None] * len(keys), len(blocks)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([0] * n + [1] * len(keys), pa.int32()), *[pa.array([b[i].tobytes() for b in blocks] + none, pa.binary()) for i in range(3)],
+         pa.array(np.r_[np.zeros(n, np.int64), keys]), pa.array(np.r_[np.zeros(n, np.int64), counts])],
+        names=["kind", "syms", "sizes", "freqs", "pair", "n"])
+
+
+def _step(syms, sizes, freqs, mapping):
+    """A block after merging, and its pair counts; words of one symbol leave."""
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    if mapping:
+        syms, word = merge_flat(syms, word, mapping)
+    size = np.bincount(word, minlength=len(sizes))
+    stays = size > 1
+    syms, sizes, freqs = syms[stays[word]], size[stays].astype(np.int32), freqs[stays]
+    return (syms, sizes, freqs), _pair_rows(syms, np.repeat(np.arange(len(sizes)), sizes), freqs)
+
+
+def _to_blocks(batches):
+    """Rows ``(syms, freq)`` as blocks with their pair counts."""
+    held, n = [], 0
+
+    def flush():
+        syms = np.concatenate([s for s, _, _ in held])
+        block, pairs = _step(syms, np.concatenate([z for _, z, _ in held]), np.concatenate([f for _, _, f in held]), None)
+        return _round_batch([block], [pairs])
+
+    for batch in batches:
+        col = batch.column("syms")
+        offsets = col.offsets.to_numpy()
+        held.append((col.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int32), np.diff(offsets).astype(np.int32),
+                     batch.column("freq").to_numpy().astype(np.int64)))
+        n += len(held[-1][0])
+        if n >= BLOCK_SYMBOLS:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _next_round(mapping: dict):
+    def run(batches):
+        for batch in batches:
+            for syms, sizes, freqs in zip(*(batch.column(c).to_pylist() for c in ("syms", "sizes", "freqs"))):
+                block, pairs = _step(np.frombuffer(syms, np.int32), np.frombuffer(sizes, np.int32), np.frombuffer(freqs, np.int64), mapping)
+                yield _round_batch([block], [pairs])
+
+    return run
 
 
 def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequency: int = MIN_FREQUENCY,
@@ -124,14 +207,7 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text", min_frequenc
 
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    # The rounds are many small jobs over one cached table whose layout is
-    # fixed: adaptive re-planning only adds latency to each of them.
-    aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_rounds)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    return _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_rounds)
 
 
 def _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_rounds) -> dict:
@@ -141,19 +217,20 @@ def _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_r
     index = {v: i for i, v in enumerate(vocab) if i >= TK.N_SPECIAL}
     merges: list[tuple[int, int, int]] = []
     parts = max(1, spark.sparkContext.defaultParallelism)
-    words = (word_symbols(pretoken_counts(docs, text)).where(F.size("syms") > 1)
-             .repartition(parts, "syms").checkpoint(eager=True))  # spread the rounds over all cores
+    words = word_symbols(pretoken_counts(docs, text)).where(F.size("syms") > 1)
+    # spread the rounds over all cores
+    state = words.repartition(parts, "syms").mapInArrow(_to_blocks, _ROUND).checkpoint(eager=True)
     rounds = 0
     stale = None  # the previous round's cached table, dropped once its successor is computed
     while len(vocab) < vocab_size:
         if max_rounds is not None and rounds >= max_rounds:
             break
-        rows = (pair_counts(words).where(F.col("count") >= min_frequency)
-                .orderBy(F.col("count").desc(), "left", "right").limit(CANDIDATES).collect())
+        counts = state.where("kind = 1").groupBy("pair").agg(F.sum("n").alias("count")).where(F.col("count") >= min_frequency)
+        rows = counts.orderBy(F.col("count").desc(), "pair").limit(CANDIDATES).collect()
         if stale is not None:
             stale.unpersist()
             stale = None
-        cands = [(int(r["count"]), int(r["left"]), int(r["right"])) for r in rows]
+        cands = [(int(r["count"]), *divmod(int(r["pair"]), PAIR_SHIFT)) for r in rows]
         batch = safe_batch(cands)
         if not batch:
             break
@@ -169,22 +246,18 @@ def _train(spark, docs, vocab_size, text, min_frequency, checkpoint_every, max_r
                 index[s] = nid
             merges.append((a, b, nid))
             mapping[a * PAIR_SHIFT + b] = nid
-        lefts = F.array(*[F.lit(a) for a in {k // PAIR_SHIFT for k in mapping}])
-        touched = F.arrays_overlap(F.col("syms"), lefts)  # only these words can change
-        nxt = words.select(F.when(touched, _apply_merges(F.col("syms"), mapping))
-                           .otherwise(F.col("syms")).alias("syms"), "freq") \
-                   .where(F.size("syms") > 1)
+        nxt = state.where("kind = 0").select("syms", "sizes", "freqs").mapInArrow(_next_round(mapping), _ROUND)
         rounds += 1
         if rounds % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)  # cuts the lineage
-            if words.is_cached:
-                words.unpersist()
+            if state.is_cached:
+                state.unpersist()
         else:
             nxt = nxt.persist()  # computed by the next round's pair count
-            stale = words if words.is_cached else None
-        words = nxt
-    if words.is_cached:
-        words.unpersist()
+            stale = state if state.is_cached else None
+        state = nxt
+    if state.is_cached:
+        state.unpersist()
     return {"merges": merges, "vocab": vocab, "rounds": rounds}
 
 
@@ -195,27 +268,28 @@ def _ranks(merges: tuple) -> dict:
 
 
 def bpe_encode_word(syms: list[int], ranks: dict) -> list[int]:
-    """Apply merges by rank, lowest first, left to right within a rank."""
-    syms = list(syms)
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r[0] < best[0]):
-                best = r
-        if best is None:
-            break
-        rank, nid = best
-        out, i = [], 0
-        while i < len(syms):
-            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1]), (None,))[0] == rank:
-                out.append(nid)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
+    """Apply merges by rank, lowest first, left to right within a rank.
+
+    Symbols form a linked list; a heap holds the pairs with a merge, so a
+    pre-token of n symbols takes n log n however long it is."""
+    n = len(syms)
+    syms, after, before = list(syms), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r[0], i, r[1], syms[i], syms[i + 1]) for i in range(n - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, new, a, b = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] != a or j >= n or syms[j] != b:
+            continue  # one side has merged meanwhile
+        syms[i], syms[j] = new, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (before[i], i):
+            right = after[left] if left >= 0 else n
+            if right < n and (r := ranks.get((syms[left], syms[right]))) is not None:
+                heapq.heappush(heap, (r[0], left, r[1], syms[left], syms[right]))
+    return [s for s in syms if s is not None]
 
 
 def make_bpe_encoder(merges: list[tuple[int, int, int]]):
@@ -226,6 +300,7 @@ def make_bpe_encoder(merges: list[tuple[int, int, int]]):
 
     merges_t = tuple(tuple(m) for m in merges)
     pat = regex.compile(PRETOKEN_PATTERN_PY)
+    atoms = regex.compile(f"({TK.SPECIAL_RE})")
     lut = TK.BYTE_TO_ID
 
     def enc(arr: pa.Array) -> pa.Array:
@@ -237,12 +312,16 @@ def make_bpe_encoder(merges: list[tuple[int, int, int]]):
                 out.append(None)
                 continue
             ids: list[int] = []
-            for w in pat.findall(t):
-                got = cache.get(w)
-                if got is None:
-                    got = bpe_encode_word(lut[np.frombuffer(w.encode(), np.uint8)].tolist(), ranks)
-                    cache[w] = got
-                ids.extend(got)
+            for k, piece in enumerate(atoms.split(t)):
+                if k % 2:  # a reserved atom inside the text is one token
+                    ids.append(TK.SPECIAL_TOKENS.index(piece))
+                    continue
+                for w in pat.findall(piece):
+                    got = cache.get(w)
+                    if got is None:
+                        got = bpe_encode_word(lut[np.frombuffer(w.encode(), np.uint8)].tolist(), ranks)
+                        cache[w] = got
+                    ids.extend(got)
             out.append(ids)
         return pa.array(out, pa.list_(pa.int32()))
 

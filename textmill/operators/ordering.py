@@ -152,12 +152,14 @@ def group_counts(df: DataFrame, part: Sequence[str]) -> dict:
     return {key(r): r[-1] for r in rows}
 
 
-def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread rows before CPU-heavy per-row work (regex extraction, codecs,
-    n-gram explosion) only when the input has fewer partitions than the
-    cluster has cores -- e.g. one small file scanned by one task.  A large
-    input already has many partitions and is left alone (no extra shuffle)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
+def spread_small(df: DataFrame) -> DataFrame:
+    """A rebalance of the rows before CPU-heavy per-row work, for inputs too
+    small to give every core a scan split (one small file is one task).
+
+    The size is the optimizer's estimate, so nothing runs here and a large
+    input keeps its scan partitions without a shuffle; AQE sizes the rest.
+    """
+    spark = df.sparkSession
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = 128 << 20
+    return df.hint("rebalance") if estimate < split * spark.sparkContext.defaultParallelism else df

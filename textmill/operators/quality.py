@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import tokens as TK
-from textmill.operators.ordering import ensure_parallelism
+from textmill.operators.ordering import spread_small
 
-MAX_DOCS_PER_GROUP = 10_000
 MAX_EXAMPLES = 3
 TOP_K = 20
 PREVIEW_CHARS = 200
@@ -24,7 +23,7 @@ def encode_docs(docs: DataFrame, text: str = "text", encode=TK.byte_encode, deco
                 roundtrip: bool = True) -> DataFrame:
     """``ids`` (no special tokens added) and, optionally, ``decoded``
     and the exact round-trip flag ``roundtrip_ok``."""
-    d = ensure_parallelism(docs).withColumn("ids", encode(text))
+    d = spread_small(docs).withColumn("ids", encode(text))
     if roundtrip:
         d = d.withColumn("decoded", decode("ids")).withColumn("roundtrip_ok", F.col("decoded") == F.col(text))
     return d
@@ -51,16 +50,16 @@ def tokenizer_quality(encoded: DataFrame, vocab_size: int, group: str = "group",
                       digits: int = 9) -> DataFrame:
     """One row of tokenizer statistics per group, in one pass.
 
-    Ids are exploded once; the document's own statistics ride on its first
-    row (``posexplode_outer`` keeps token-less documents).  A first
-    aggregation by ``(group, token_id)`` is bounded by the vocabulary; the
-    second sums documents' statistics and counts distinct ids per group."""
+    Only the distinct ids of a document are exploded; its own statistics ride
+    on its first row (``posexplode_outer`` keeps token-less documents).  A
+    first aggregation by ``(group, token_id)`` is bounded by the vocabulary;
+    the second sums documents' statistics and counts distinct ids per group."""
     unk = (F.size(F.filter(ids, lambda x: x == F.lit(unk_id))) if unk_id is not None else F.lit(0))
     # per-document values first (one evaluation per document), then explode
     per_doc = encoded.select(group, ids, F.char_length(text).cast("long").alias("_c"),
                              F.size(ids).cast("long").alias("_t"), unk.cast("long").alias("_u"),
                              F.col("roundtrip_ok").cast("long").alias("_ok"))
-    d = per_doc.select(group, "_c", "_t", "_u", "_ok", F.posexplode_outer(ids).alias("pos", "token_id"))
+    d = per_doc.select(group, "_c", "_t", "_u", "_ok", F.posexplode_outer(F.array_distinct(ids)).alias("pos", "token_id"))
     first = F.col("pos").isNull() | (F.col("pos") == 0)
 
     def on_first(c):

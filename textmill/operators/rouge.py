@@ -1,21 +1,22 @@
 """ROUGE-1/2/L between predictions and references.
 
-ROUGE-N is a grouping job: n-grams of both sides are exploded into rows,
-counted per ``(id, n, ngram)`` with one shuffle (map-side partial counts),
-and the clipped overlap is ``sum(least(pred_count, ref_count))``.  ROUGE-L
-needs the longest common subsequence, computed per row in an Arrow UDF with
-the bit-parallel LCS recurrence (one big-integer step per token).
+Both texts of a pair are in one row, so every score is a narrow computation:
+tokens come from a built-in pattern match, one Arrow pass per batch counts the
+clipped n-gram overlaps and the longest common subsequence (bit-parallel: one
+big-integer step per token), and the averages are plain aggregates.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import WS_CLASS, strip_u
-from textmill.operators.ordering import ensure_parallelism, running_totals
+from textmill.operators.ordering import running_totals, spread_small
 
 MODES = ("char", "whitespace")
 
@@ -24,22 +25,13 @@ def rouge_tokens(text, mode: str = "char") -> Column:
     """``char`` = every non-space code point; ``whitespace`` = split on
     Unicode whitespace.  NULL text gives no tokens."""
     if mode not in MODES:
-        raise ValueError(f"Unsupported rouge tokenizer mode: {mode}")
+        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
     t = F.coalesce(strip_u(F.col(text) if isinstance(text, str) else text), F.lit(""))
     pat = rf"(?U)[^{WS_CLASS}]" + ("+" if mode == "whitespace" else "")
     return F.regexp_extract_all(t, F.lit(pat), 0)
 
 
-def ngrams(tokens, n: int) -> Column:
-    """R2: n-grams as token arrays; empty when there are fewer than n tokens
-    (``sequence(1, 0)`` would count down, so the guard is explicit)."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    k = F.size(t) - F.lit(n) + 1
-    return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), lambda i: F.slice(t, i, n))) \
-            .otherwise(F.array().cast(T.ArrayType(T.ArrayType(T.StringType()))))
-
-
-def prf(overlap: Column, pred_n: Column, ref_n: Column, digits: int = 9) -> Column:
+def precision_recall(overlap: Column, pred_n: Column, ref_n: Column, digits: int = 9) -> Column:
     """Precision, recall, F1; all zero when any count or the overlap is 0."""
     zero = (pred_n == 0) | (ref_n == 0) | (overlap == 0)
     p = overlap / pred_n
@@ -51,55 +43,53 @@ def prf(overlap: Column, pred_n: Column, ref_n: Column, digits: int = 9) -> Colu
     return F.struct(z(p).alias("p"), z(r).alias("r"), z(f1).alias("f1"))
 
 
-def ngram_keys(tokens, n: int) -> Column:
-    """R2 as grouping keys: each n-gram joined by a space.  Tokens never
-    contain whitespace (in either mode), so the key is unambiguous, and a
-    string hashes and compares far faster than an array."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    if n == 1:
-        return t
-    k = F.size(t) - F.lit(n) + 1
-    return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))) \
-            .otherwise(F.array().cast(T.ArrayType(T.StringType())))
+def _overlap_counts(p: list, r: list, n: int) -> dict:
+    """Numbers for one pair and n: distinct n-grams of both sides, n-grams of each, clipped overlap."""
+    side = lambda t: Counter(zip(*(t[i:] for i in range(n)))) if n > 1 else Counter(t)
+    a, b = side(p), side(r)
+    return {"distinct": len(a.keys() | b.keys()), "pred": sum(a.values()), "ref": sum(b.values()), "overlap": (a & b).total()}
+
+
+_COUNT = T.StructType([T.StructField(c, T.LongType()) for c in ("distinct", "pred", "ref", "overlap")])
+
+
+def _overlap_udf(ns: tuple):
+    kind = pa.struct([(c, pa.int64()) for c in _COUNT.names])
 
+    def run(p: pa.Array, r: pa.Array) -> pa.Array:
+        rows = [[_overlap_counts(x or [], y or [], n) for n in ns] for x, y in zip(p.to_pylist(), r.to_pylist())]
+        return pa.array(rows, pa.list_(kind))
 
-def spread(pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per-pair work (n-gram explosion, LCS) is CPU-heavy: make sure it runs
-    on all cores even when the pairs arrive in a few partitions."""
-    return ensure_parallelism(pairs, id_col)
+    return F.arrow_udf(run, T.ArrayType(_COUNT))
+
+
+def _tokenized(pairs: DataFrame, mode: str, id_col: str, pred: str, ref: str) -> DataFrame:
+    return spread_small(pairs.select(id_col, pred, ref)).select(
+        id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
 
 
 def ngram_counts(pairs: DataFrame, ns=(1, 2), mode: str = "char", id_col: str = "id",
                  pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Per ``(id, n, ngram)``: occurrences in prediction and in reference.
-    Both sides are tokenized once per row and exploded together; the count
-    is one hash aggregation with map-side partial counts."""
-    d = spread(pairs, id_col).select(id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
-    def tag(n, side):
-        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("ngram"))
-    parts = [F.transform(ngram_keys(col, n), tag(n, side))
-             for side, col in (("p", "_p"), ("r", "_r")) for n in ns]
-    rows = d.select(id_col, F.explode(F.concat(*parts)).alias("_g"))
-    rows = rows.select(id_col, F.col("_g.n").alias("n"), F.col("_g.side").alias("side"), F.col("_g.ngram").alias("ngram"))
-    return rows.groupBy(id_col, "n", "ngram").agg(
-        F.count_if(F.col("side") == "p").alias("pred_cnt"),
-        F.count_if(F.col("side") == "r").alias("ref_cnt"))
+    """Per ``(id, n)``: ``distinct`` n-grams of both sides, n-grams of each
+    side (``pred``, ``ref``) and their clipped ``overlap``."""
+    d = _tokenized(pairs, mode, id_col, pred, ref).select(id_col, _overlap_udf(tuple(ns))("_p", "_r").alias("_c"))
+    d = d.select(id_col, F.posexplode("_c").alias("_k", "_n"))
+    return d.select(id_col, F.element_at(F.array(*[F.lit(n) for n in ns]), F.col("_k") + 1).alias("n"), "_n.*")
+
+
+def _scored(tokens: DataFrame, ns, id_col: str) -> DataFrame:
+    d = tokens.withColumn("_c", _overlap_udf(tuple(ns))("_p", "_r"))
+    for k, n in enumerate(ns):
+        c = F.col("_c")[k]
+        d = d.withColumn(f"rouge{n}", precision_recall(c["overlap"], c["pred"], c["ref"]))
+    return d.drop("_c")
 
 
 def rouge_n(pairs: DataFrame, ns=(1, 2), mode: str = "char", id_col: str = "id",
             pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """R4 for every pair and n: ``(id, rouge1, rouge2, ...)`` structs of p/r/f1.
     Pairs with no n-grams on a side score zero (they still appear)."""
-    c = ngram_counts(pairs, ns, mode, id_col, pred, ref)
-    per = c.groupBy(id_col).agg(*[
-        F.struct(F.sum(F.when(F.col("n") == n, F.least("pred_cnt", "ref_cnt")).otherwise(0)).alias("o"),
-                 F.sum(F.when(F.col("n") == n, F.col("pred_cnt")).otherwise(0)).alias("pn"),
-                 F.sum(F.when(F.col("n") == n, F.col("ref_cnt")).otherwise(0)).alias("rn")).alias(f"_c{n}")
-        for n in ns])
-    out = pairs.select(id_col).join(per, id_col, "left")
-    return out.select(id_col, *[
-        prf(F.coalesce(F.col(f"_c{n}.o"), F.lit(0)), F.coalesce(F.col(f"_c{n}.pn"), F.lit(0)),
-            F.coalesce(F.col(f"_c{n}.rn"), F.lit(0))).alias(f"rouge{n}") for n in ns])
+    return _scored(_tokenized(pairs, mode, id_col, pred, ref), ns, id_col).drop("_p", "_r")
 
 
 # --- LCS --------------------------------------------------------------------
@@ -135,22 +125,22 @@ def lcs_length(a, b) -> Column:
     return _lcs_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
+def _with_lcs(tokens: DataFrame) -> DataFrame:
+    d = tokens.withColumn("lcs", F.when((F.size("_p") == 0) | (F.size("_r") == 0), F.lit(0)).otherwise(lcs_length("_p", "_r")))
+    return d.withColumn("rougeL", precision_recall(F.col("lcs"), F.size("_p"), F.size("_r")))
+
+
 def rouge_l(pairs: DataFrame, mode: str = "char", id_col: str = "id",
             pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """``(id, lcs, rougeL)`` from the LCS of the two token lists."""
-    d = spread(pairs, id_col).select(id_col, rouge_tokens(pred, mode).alias("_p"), rouge_tokens(ref, mode).alias("_r"))
-    d = d.withColumn("lcs", F.when((F.size("_p") == 0) | (F.size("_r") == 0), F.lit(0))
-                     .otherwise(lcs_length("_p", "_r")))
-    return d.select(id_col, "lcs", prf(F.col("lcs"), F.size("_p"), F.size("_r")).alias("rougeL"))
+    return _with_lcs(_tokenized(pairs, mode, id_col, pred, ref)).select(id_col, "lcs", "rougeL")
 
 
 def compute_rouge(pairs: DataFrame, mode: str = "char", id_col: str = "id",
                   pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """R7 per pair: ``(id, rouge struct<rouge1, rouge2, rougeL>)``."""
-    n = rouge_n(pairs, (1, 2), mode, id_col, pred, ref)
-    lc = rouge_l(pairs, mode, id_col, pred, ref)
-    j = n.join(lc, id_col)
-    return j.select(id_col, F.struct("rouge1", "rouge2", "rougeL").alias("rouge"))
+    """R7 per pair: ``(id, rouge struct<rouge1, rouge2, rougeL>)``, from one read of the pairs."""
+    d = _with_lcs(_scored(_tokenized(pairs, mode, id_col, pred, ref), (1, 2), id_col))
+    return d.select(id_col, F.struct("rouge1", "rouge2", "rougeL").alias("rouge"))
 
 
 def average_metrics(scored: DataFrame, rouge: str = "rouge", digits: int = 9) -> DataFrame:

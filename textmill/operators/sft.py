@@ -61,7 +61,7 @@ def generation_prompt(ids, max_length: int, max_new_tokens: int) -> Column:
     """The prompt a generator sees: room ``max_length - max_new_tokens``."""
     room = int(max_length) - int(max_new_tokens)
     if room < 1:
-        raise ValueError("max_length must be larger than max_new_tokens")
+        raise ValueError(f"no room for a prompt: {max_new_tokens} new tokens of {max_length}")
     return truncate_keep_suffix(ids, F.lit(room))
 
 

@@ -81,11 +81,12 @@ RESUME_STEP = 3
 
 
 def mix_inputs(spark, sf):
-    """Main = en + fr (files ``lang/source``), repeated = de, capped = es.
-    Narrow rows: the key, file, line and the byte count taken at the scan."""
+    """Repeated = de, capped = es, main = every other language (files
+    ``lang/source``).  Narrow rows: the key, file, line and the byte count taken
+    at the scan."""
     d = (corpus_docs(spark, sf).withColumn("file", F.concat_ws("/", "group", "file"))
          .withColumn("n_bytes", F.octet_length("text")).drop("text"))
-    main = d.where(F.col("group").isin("en", "fr"))
+    main = d.where(~F.coalesce(F.col("group").isin("de", "es"), F.lit(False)))
     rep = d.where(F.col("group") == "de")
     cap = d.where(F.col("group") == "es")
     return main, rep, cap
@@ -323,10 +324,9 @@ def q_rouge_tokens(spark, sf):
 
 @register("ngram_counts")
 def q_ngram_counts(spark, sf):
-    c = RG.ngram_counts(prediction_pairs(spark, sf), (1, 2), "char")
-    return c.groupBy("id", "n").agg(
-        F.count(F.lit(1)).alias("distinct_ngrams"), F.sum("pred_cnt").alias("pred_total"),
-        F.sum("ref_cnt").alias("ref_total"), F.sum(F.least("pred_cnt", "ref_cnt")).alias("overlap"))
+    c = RG.ngram_counts(prediction_pairs(spark, sf), (1, 2), "char").where("distinct > 0")
+    return c.select("id", "n", F.col("distinct").alias("distinct_ngrams"), F.col("pred").alias("pred_total"),
+                    F.col("ref").alias("ref_total"), "overlap")
 
 
 @register("rouge_scores")
@@ -533,8 +533,8 @@ def q_ordered_union(spark, sf):
 
 @register("byte_budget_truncate")
 def q_byte_budget_truncate(spark, sf):
-    d = corpus_docs(spark, sf).where(F.col("group") == "es").withColumn("text", F.concat("text", F.lit("\n")))
-    budgets = {"es": int(B.group_fraction_budgets(d, 1.0)["es"] * CODE_BUDGET_FRACTION)}
+    d = corpus_docs(spark, sf).withColumn("text", F.concat("text", F.lit("\n")))
+    budgets = B.group_fraction_budgets(d, CODE_BUDGET_FRACTION)
     w = B.byte_budget_truncate(d, budgets)
     return w.select("group", "file", "doc_id", "start", "kept_bytes", F.md5("kept_text").alias("kept_md5"))
 
@@ -545,12 +545,9 @@ BYTE_VOCAB_SIZE = TK.N_SPECIAL + 256
 
 
 def eval_docs(spark, sf):
-    """The first 10 000 documents of each group in file order."""
-    d = corpus_docs(spark, sf)
-    cap = QU.MAX_DOCS_PER_GROUP
-    d = OR.dense_index(d, ["group"], ["file", "line"], F.struct("file", OR.id_bucket("line")), out="doc_idx",
-                       max_index=cap - 1)
-    return d.where(F.col("doc_idx") < cap)
+    """Every document with its position in file order."""
+    return OR.dense_index(corpus_docs(spark, sf), ["group"], ["file", "line"], F.struct("file", OR.id_bucket("line")),
+                          out="doc_idx")
 
 
 @register("encode_docs")
@@ -692,7 +689,6 @@ def q_source_fallback(spark, sf):
 # --- previews and sink round trips ------------------------------------------------------
 
 PREVIEW_TOKENS = 50
-CORPUS_GROUP_ORDER = ["en", "fr", "de", "es"]
 
 
 @register("token_preview")
@@ -712,10 +708,9 @@ def q_corpus_sink_stats(spark, sf):
     kept = B.byte_budget_prefix(docs, B.group_fraction_budgets(docs, BUDGET_FRACTION), keys=["doc_id"])
     kept = kept.join(doc_texts(spark, sf), "doc_id")  # the text joins the (smaller) kept prefix once
     path = scratch_path(spark, "corpus")
-    for g in CORPUS_GROUP_ORDER:  # one folder per group; part files in order
-        WR.write_corpus(kept.where(F.col("group") == g), f"{path}/{g}", [g])
+    WR.write_corpus_groups(kept, path)
     back = (spark.read.option("lineSep", "\n\n").text(path + "/*")
-            .select(F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]+)/part-", 1).alias("group"), "value"))
+            .select(F.regexp_extract(F.col("_metadata.file_path"), r"/group=([^/]+)/part-", 1).alias("group"), "value"))
     return back.groupBy("group").agg(F.count(F.lit(1)).alias("docs"),
                                      F.sum(F.octet_length("value") + 2).cast("long").alias("bytes"))
 
@@ -751,7 +746,7 @@ def q_pack_split(spark, sf):
 def q_lcs_length(spark, sf):
     """LCS length of every prediction/reference pair (char tokens, whole
     texts; checked against a loop DP in pytest, no SQL form)."""
-    p = RG.spread(prediction_pairs(spark, sf))
+    p = OR.spread_small(prediction_pairs(spark, sf))
     t = p.select("id", RG.rouge_tokens("prediction").alias("a"), RG.rouge_tokens("reference").alias("b"))
     return t.select("id", F.size("a").alias("pred_len"), F.size("b").alias("ref_len"),
                     RG.lcs_length("a", "b").alias("lcs"))

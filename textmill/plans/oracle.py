@@ -72,8 +72,7 @@ def _role(ph: str, sl: str) -> str:
 # phase 2 cycles of 7 main, 3 repeat begin.  The walk stops at the first main
 # slot with no main document left.
 MIX_CTE = f"""
-docs AS (SELECT CASE WHEN lang IN ('en', 'fr') THEN 'main' WHEN lang = 'de' THEN 'repeat'
-                     WHEN lang = 'es' THEN 'capped' END AS role,
+docs AS (SELECT CASE WHEN lang = 'de' THEN 'repeat' WHEN lang = 'es' THEN 'capped' ELSE 'main' END AS role,
                 lang || '/' || source AS file, doc_id AS line, doc_id, text FROM documents),
 rr1 AS (SELECT *, row_number() OVER (PARTITION BY role, file ORDER BY line) - 1 AS in_file
         FROM docs WHERE role IS NOT NULL),
@@ -641,8 +640,8 @@ def _is_start(h: str, p: str) -> str:
 
 
 SQL["byte_budget_truncate"] = f"""
-WITH d AS (SELECT lang AS "group", source AS file, doc_id, text || chr(10) AS text FROM documents WHERE lang = 'es'),
-b AS (SELECT CAST(floor(sum(strlen(text) + 2) * 0.5) AS BIGINT) AS budget FROM d),
+WITH d AS (SELECT lang AS "group", source AS file, doc_id, text || chr(10) AS text FROM documents),
+b AS (SELECT "group", CAST(floor(sum(strlen(text) + 2) * 0.5) AS BIGINT) AS budget FROM d GROUP BY "group"),
 p AS (SELECT *, strlen(text) AS piece_bytes,
              CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY "group", file ORDER BY doc_id
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_in_file FROM d),
@@ -651,7 +650,7 @@ fs AS (SELECT *, CAST(coalesce(sum(file_bytes + 2) OVER (PARTITION BY "group" OR
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_start FROM f),
 w AS (SELECT p.*, fs.file_start + p.start_in_file AS start, b.budget - (fs.file_start + p.start_in_file) AS room,
              hex(encode(p.text)) AS h
-      FROM p JOIN fs USING ("group", file), b
+      FROM p JOIN fs USING ("group", file) JOIN b USING ("group")
       WHERE fs.file_start <= b.budget AND fs.file_start + p.start_in_file < b.budget),
 c AS (SELECT *, CASE WHEN piece_bytes <= room THEN piece_bytes
                      WHEN {_is_start('h', 'room + 1')} THEN room
@@ -674,8 +673,7 @@ def byte_token(b: str) -> str:
 
 
 EVAL_DOCS = f"""
-ed AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS doc_idx
-                      FROM {DOCS} d) t WHERE doc_idx < 10000),
+ed AS (SELECT d.*, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS doc_idx FROM {DOCS} d),
 tk AS (SELECT "group", file, line, unnest({byte_ids('text')}) AS token_id,
               unnest(range(strlen(text))) AS pos FROM ed),
 tc AS (SELECT "group", token_id, count(*) AS cnt, min({{'f': file, 'l': line, 'p': pos}}) AS first

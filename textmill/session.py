@@ -17,6 +17,8 @@ REQUIRED_CONF = {
     # per-group top-n (holdout samples of up to 5 000 per source) keeps the
     # partial, pre-shuffle WindowGroupLimit
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # whole texts and archives pass through Arrow: bound a batch by its bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -18,11 +18,20 @@ def write_corpus(docs: DataFrame, path: str, group_order: list[str], group: str
     """K1: every document followed by ``"\\n\\n"``, groups in ``group_order``,
     then file and line order."""
     rank = F.array_position(F.array(*[F.lit(g) for g in group_order]), F.col(group))
-    d = docs.withColumn("_g", rank).where(F.col("_g") > 0)
+    d = docs.withColumn("_g", F.when(rank > 0, rank).otherwise(
+        F.raise_error(F.concat(F.lit("group without a place in the order: "), F.coalesce(group, F.lit("null"))))))
     _ordered(d, ["_g", file, line], parts).select(text).write.mode("overwrite") \
         .option("lineSep", "\n\n").text(path)
 
 
+def write_corpus_groups(docs: DataFrame, path: str, group: str = "group", file: str = "file",
+                        line: str = "line", text: str = "text") -> None:
+    """K1 for all groups that the data holds in one job: a ``<group>=...``
+    folder each, part files in file and line order, sized by AQE."""
+    ordered = docs.repartitionByRange(group, file, line).sortWithinPartitions(group, file, line)
+    ordered.select(group, text).write.mode("overwrite").partitionBy(group).option("lineSep", "\n\n").text(path)
+
+
 def write_blocks(blocks: DataFrame, path: str, max_records_per_file: int = 2048) -> None:
     """K2: packed blocks as Parquet, partitioned by split and shard (shard
     pruning is free on read)."""

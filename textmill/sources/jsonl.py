@@ -234,12 +234,20 @@ def resolve_group_files(files: DataFrame, group: str = "group", file: str = "fil
     return chosen.unionByName(missing)
 
 
-def resolve_column(columns: list[str], candidates: list[str]) -> str:
-    """The first candidate present among ``columns``."""
-    for c in candidates:
-        if c in columns:
-            return c
-    raise ValueError(f"Column not found. Candidates: {candidates}")
+# The names a run log may use for its columns, by preference.
+LOG_COLUMNS = {
+    "step": ["optimizer_step", "global_step", "step"],
+    "train_loss": ["train_loss", "loss"],
+    "eval_loss": ["eval_loss", "validation_loss", "val_loss"],
+}
+
+
+def log_column(log: DataFrame, role: str, path: str = "") -> str:
+    """The column of ``log`` that plays ``role``, by the preferred names."""
+    known = [name for name in LOG_COLUMNS[role] if name in set(log.columns)]
+    if not known:
+        raise ValueError(f"run log {path or '(frame)'} has no {role} column; its columns are {log.columns}")
+    return known[0]
 
 
 def read_log_csv(spark: SparkSession, path: str, on_missing: str = "error") -> DataFrame:
@@ -250,8 +258,4 @@ def read_log_csv(spark: SparkSession, path: str, on_missing: str = "error") -> D
     if on_missing == "error":
         _existing([path], "error", spark)
     df = spark.read.option("header", True).csv(path)
-    step = resolve_column(df.columns, ["optimizer_step", "global_step", "step"])
-    train = resolve_column(df.columns, ["train_loss", "loss"])
-    ev = resolve_column(df.columns, ["eval_loss", "validation_loss", "val_loss"])
-    return df.select(coerce_numeric(step).alias("step"), coerce_numeric(train).alias("train_loss"),
-                     coerce_numeric(ev).alias("eval_loss"))
+    return df.select(*[coerce_numeric(log_column(df, role, path)).alias(role) for role in LOG_COLUMNS])
