@@ -87,13 +87,13 @@ def test_sinks(spark, tmpdir_path):
 
 
 def test_stream_log_windows_equals_batch(spark, tmpdir_path):
-    rows = [(i + 1, float((i * 7) % 11)) for i in range(400)]
-    log = spark.createDataFrame(rows, "global_step long, loss double")
+    rows = [(f"r{k}", i + 1, float((i * 7 + k) % 11), i % 3 > 0) for k in range(3) for i in range(400 + k)]
+    log = spark.createDataFrame(rows, "run string, global_step long, loss double, valid boolean")
     src = os.path.join(tmpdir_path, "src")
     log.repartitionByRange(5, "global_step").write.parquet(src)
-    got = STR.stream_log_windows(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"))
-    batch = RL.train_log_windows(log.withColumn("valid", F.lit(True)), "base")
-    key = ["optimizer_step", "global_step", "train_loss"]
+    got = STR.stream_run_windows(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"))
+    batch = RL.train_log_windows(log, "base", run="run")
+    key = ["run", "optimizer_step", "global_step", "train_loss"]
     assert sorted(tuple(r) for r in got.select(key).collect()) == sorted(tuple(r) for r in batch.select(key).collect())
 
 
@@ -149,7 +149,7 @@ def test_stateful_summary_stream_any_file_order(spark, tmpdir_path):
         part = log.where((F.col("global_step") > k * 120) & (F.col("global_step") <= (k + 1) * 120))
         part.coalesce(1).write.mode("append").parquet(src)
         time.sleep(0.05)
-    got = STR.stream_summary_windows(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"))
+    got = STR.stream_run_windows(spark, src, os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck"), "summary")
     want = RL.train_log_windows(log, "summary")
     key = ["optimizer_step", "global_step", "train_loss", "n_losses"]
     assert sorted(tuple(r) for r in got.select(key).collect()) == sorted(tuple(r) for r in want.select(key).collect())
@@ -175,6 +175,23 @@ def test_line_numbers_across_many_splits(spark, tmpdir_path):
     assert got == want
 
 
+def test_blocks_with_either_line_ending(spark, tmpdir_path):
+    import re
+    body = "\n\n\na b\nc\n\nd\n \ne\n\n\nf\n\n\n\n\ng  \n\n" + "\n\n".join(f"x{i}\ny" for i in range(500)) + "\n"
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        for name, text in (("lf", body), ("crlf", body.replace("\n", "\r\n"))):
+            p = os.path.join(tmpdir_path, name + ".txt")
+            with open(p, "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            got = sorted((r.block_index, r.block_text) for r in J.read_blocks(spark, [p], bucket_width=64).collect())
+            want = [(i + 1, b.strip()) for i, b in enumerate(re.split("\n\n", body)) if b.strip()]
+            assert got == want, name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
 def test_block_index_across_many_splits(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "code_big.txt")
     blocks = [f"def f{i}():\n    return {i}" + " " * (i % 13) for i in range(1500)]

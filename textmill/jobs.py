@@ -127,7 +127,7 @@ def holdout_split(spark: SparkSession, sources: dict, budgets: dict, code_path:
                 F.col("line_number").alias("line"), "raw_line", "text")
             rows = d if rows is None else rows.unionByName(d)
     usage = B.budget_replay(rows, budgets)
-    sample, stats = HO.holdout_text(rows, usage, n_text, seed=seed)
+    sample, stats = HO.holdout_text(rows, usage, n_text, seed=seed, per_source_hash=True)
     W.write_holdout_lines(sample.withColumnRenamed("line", "line_number"),
                           f"{out_dir.rstrip('/')}/text", "line_number", "raw_line")
     manifest = (usage.join(stats, ["group", "file"], "left").fillna(0, ["eligible_unused_docs", "sampled_docs"])

@@ -62,19 +62,30 @@ def in_source_index(docs: DataFrame, group: str = "group", file: str = "file", l
 
 def holdout_text(docs: DataFrame, usage: DataFrame, n: int, min_chars: int = MIN_TEXT_CHARS,
                  seed: int = SEED, group: str = "group", file: str = "file", line: str = "line",
-                 text: str = "text") -> tuple[DataFrame, DataFrame]:
+                 text: str = "text", per_source_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per source, skip the first ``consumed_docs`` documents the
     training replay consumed (``usage``: group, file, consumed_docs), keep
     texts of at least ``min_chars`` code points, sample ``n``.
 
+    ``per_source_hash`` samples by a hash of group, file and line, for lines
+    that are numbered anew in every file; otherwise ``line`` is unique by itself.
+
     Returns ``(sample, stats)``; stats has ``eligible_unused_docs`` and
     ``sampled_docs`` per source.  Sort the sample by ``line`` when writing."""
-    d = in_source_index(docs, group, file, line)
+    from textmill.session import checkpoint_dir
+
+    checkpoint_dir(docs.sparkSession)
+    # the length is taken at the scan; index, join and sampling see keys only
+    keys = docs.select(group, file, line, (F.char_length(text) >= min_chars).alias("_long"))
+    d = in_source_index(keys, group, file, line)
     u = usage.select(group, file, "consumed_docs")
     d = d.join(u, [group, file], "left").fillna(0, ["consumed_docs"])
-    elig = d.where((F.col("src_doc") >= F.col("consumed_docs")) & (F.char_length(text) >= min_chars))
-    elig = elig.drop("src_doc", "consumed_docs")
-    sample = seeded_sample(elig, line, n, seed, part=[group, file])
+    elig = d.where((F.col("src_doc") >= F.col("consumed_docs")) & F.col("_long")).select(group, file, line)
+    elig = elig.checkpoint(eager=True)
+    if per_source_hash:
+        elig = elig.withColumn("_key", F.concat_ws(":", group, file, F.col(line).cast("string")))
+    sample = seeded_sample(elig, "_key" if per_source_hash else line, n, seed, part=[group, file]).select(group, file, line, "eligible")
+    sample = docs.join(sample, [group, file, line])
     stats = (elig.groupBy(group, file).agg(F.count(F.lit(1)).alias("eligible_unused_docs"))
              .withColumn("sampled_docs", F.least(F.col("eligible_unused_docs"), F.lit(int(n)))))
     return sample, stats

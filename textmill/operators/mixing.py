@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.operators.ordering import dense_index, group_counts, id_bucket
+from textmill.operators.ordering import dense_index, id_bucket
 
 RR_TARGET_BUCKET_ROWS = 50_000
 
@@ -109,15 +109,19 @@ def ratio_mix(main: DataFrame, repeat: DataFrame, capped: DataFrame,
         parts.append(df.select(*dict.fromkeys(cols)).withColumn("role", F.lit(role)))
     allk = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rr = round_robin(allk, "role", file, line, out="src_idx")
-    counts = group_counts(rr.select("role"), ["role"])
+    counts = dict(rr.where(F.col("role").isin(*labels)).groupBy("role").count().collect())  # one row per role
     k, n, c = (int(counts.get(r, 0)) for r in labels)
     plan = mix_plan(k, n, c)
     t, e = plan["T"], plan["E"]
     role = F.col("role")
     rep_rows = rr.where((role == labels[1]) & (F.col("src_idx") < e))
     if n > 0:
-        rep_rows = (rep_rows.withColumn("emission", F.explode(F.sequence(F.col("src_idx"), F.lit(e - 1), F.lit(n))))
-                    .withColumn("mix_pos", F.expr(_pos_rep_sql("emission", c))).drop("emission"))
+        # one row per emission from a distributed range, not from an array in a
+        # row: a document is emitted about e / n times, and where that is many
+        # the repeated corpus has few rows and Spark broadcasts them
+        emitted = rr.sparkSession.range(e).select((F.col("id") % n).alias("src_idx"), F.col("id").alias("emission"))
+        rep_rows = (rep_rows.join(emitted, "src_idx").withColumn("mix_pos", F.expr(_pos_rep_sql("emission", c)))
+                    .select(*rr.columns, "mix_pos"))
     else:
         rep_rows = rep_rows.withColumn("mix_pos", F.lit(None).cast("long"))
     other = (rr.where(role != labels[1])

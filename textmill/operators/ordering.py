@@ -143,15 +143,6 @@ def dense_index(df: DataFrame, part: Sequence[str], order: Sequence, bucket,
     return r
 
 
-def group_counts(df: DataFrame, part: Sequence[str]) -> dict:
-    """Row counts per group, collected: only for a handful of groups."""
-    rows = df.groupBy(*_names(part)).count().collect()
-    if len(rows) > 10_000:
-        raise ValueError("group_counts is meant for a few groups")
-    key = (lambda r: r[0]) if len(_names(part)) == 1 else (lambda r: tuple(r[:-1]))
-    return {key(r): r[-1] for r in rows}
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """A rebalance of the rows before CPU-heavy per-row work, for inputs too
     small to give every core a scan split (one small file is one task).

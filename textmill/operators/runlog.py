@@ -135,9 +135,8 @@ def rolling_mean(series: DataFrame, idx: str, value: str, window: int, out: str
     """``rolling(window, min_periods=1).mean()`` along a dense 0-based
     index ``idx`` (per ``run`` when given), computed per bucket of
     ``bucket_width`` rows with a halo of the previous ``window - 1`` rows."""
-    W_, H = int(bucket_width), int(window) - 1
-    if H >= W_:
-        raise ValueError("bucket_width must exceed the window")
+    H = int(window) - 1
+    W_ = max(int(bucket_width), 4 * int(window))  # the halo stays a small part of a bucket
     b = F.floor(F.col(idx) / W_)
     home = series.withColumn("_bk", b).withColumn("_own", F.lit(True))
     halo = (series.where((F.col(idx) % W_) >= W_ - H)
@@ -157,5 +156,10 @@ def checkpoint_retention(names: DataFrame, keep_last: int, run: str = "run", nam
     d = names.withColumn("step", step).where(F.col("step").isNotNull())
     if keep_last <= 0:
         return d.limit(0)
+    # the newest few of each run come from a partial top-n; what is older than the last of them goes
     w = Window.partitionBy(run).orderBy(F.col("step").desc(), F.col(name).desc())
-    return d.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") > keep_last).drop("_rank")
+    newest = d.select(run, "step", name).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(keep_last))
+    last = (newest.groupBy(F.col(run).alias("_run")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("step", name)).alias("_last"))
+            .where(F.col("_n") == int(keep_last)))
+    return (d.join(last, F.col(run).eqNullSafe(F.col("_run"))).where(F.struct("step", name) < F.col("_last"))
+            .drop("_run", "_n", "_last"))

@@ -90,8 +90,18 @@ def pad_batches(examples: DataFrame, batch_size: int, order, bucket, pad_id: int
     """Consecutive batches of ``batch_size`` examples (in ``order``),
     each padded to its longest member; labels padded with -100; attention
     mask = ``input_ids != pad_id`` (so genuine pad ids are masked too)."""
-    d = dense_index(examples, [], order, bucket, out="sample_idx")
-    d = d.withColumn("batch_id", F.floor(F.col("sample_idx") / int(batch_size)).cast("long"))
+    return pad(batch_numbers(examples, batch_size, order, bucket), pad_id, ids, labels)
+
+
+def batch_numbers(keys: DataFrame, batch_size: int, order, bucket) -> DataFrame:
+    """E5: ``sample_idx`` and ``batch_id`` along ``order``.  Number the keys
+    and join or encode the payload afterwards: it then moves once."""
+    d = dense_index(keys, [], order, bucket, out="sample_idx")
+    return d.withColumn("batch_id", F.floor(F.col("sample_idx") / int(batch_size)).cast("long"))
+
+
+def pad(d: DataFrame, pad_id: int = TK.PAD_ID, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
+    """Examples with a ``batch_id`` padded to their batch's longest."""
     w = Window.partitionBy("batch_id")
     d = d.withColumn("padded_len", F.max(F.size(ids)).over(w))
     fill = F.col("padded_len") - F.size(ids)

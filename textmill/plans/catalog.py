@@ -150,7 +150,9 @@ def q_resume_skip(spark, sf):
 
 @register("packed_validate")
 def q_packed_validate(spark, sf):
-    return PK.validate_blocks(packed(spark, sf), PACK_BLOCK)
+    """Every 50th block has lost its end: validation lists exactly those."""
+    cut = F.when(F.col("block_idx") % 50 == 0, F.slice("input_ids", 1, 100)).otherwise(F.col("input_ids"))
+    return PK.validate_blocks(packed(spark, sf).withColumn("input_ids", cut), PACK_BLOCK)
 
 
 # --- scans over JSON lines derived from the tables ----------------------------
@@ -218,8 +220,10 @@ def q_jsonl_scan_lineage(spark, sf):
 
 @register("block_scan")
 def q_block_scan(spark, sf):
-    d = table(spark, sf, "documents")
-    b = J.blocks_from_text(d, "text", "\n", keys=["doc_id"])
+    """Lines of a document as blocks: blank lines between them, with either line ending."""
+    gap = F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n")).otherwise(F.lit("\r\n\r\n"))
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), gap).alias("text"))
+    b = J.blocks_from_text(d, "text", "\n\n", keys=["doc_id"])
     return b.select("doc_id", "block_index", F.md5("block_text").alias("block_md5"), "block_bytes")
 
 
@@ -278,9 +282,10 @@ def q_sft_valid_labels(spark, sf):
 
 @register("pad_batches")
 def q_pad_batches(spark, sf):
-    e = sft_examples(spark, sf).select("pair_id", "input_ids", "labels")
-    e = OR.range_buckets(e, ["pair_id"])
-    b = SF.pad_batches(e, SFT_BATCH, ["pair_id"], OR.BK)
+    p = conversation_pairs(spark, sf)
+    n = SF.batch_numbers(OR.range_buckets(p.select("pair_id"), ["pair_id"]), SFT_BATCH, ["pair_id"], OR.BK)
+    e = SF.encode_pairs(p, SFT_MAX_LEN).select("pair_id", "input_ids", "labels")
+    b = SF.pad(e.join(n.select("pair_id", "batch_id"), "pair_id"))
     return b.select("pair_id", "batch_id", "padded_len", TK.ids_md5("input_ids").alias("input_md5"),
                     TK.ids_md5("labels").alias("labels_md5"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
@@ -407,7 +412,7 @@ def q_optimizer_steps(spark, sf):
 
 @register("train_log_windows")
 def q_train_log_windows(spark, sf):
-    log = training_log(spark, sf)
+    log = training_log(spark, sf).select("global_step", "loss", "valid").checkpoint(eager=True)  # both rules read the steps
     return RL.train_log_windows(log, "base").unionByName(RL.train_log_windows(log, "summary"))
 
 
@@ -418,7 +423,7 @@ def q_log_points(spark, sf):
 
 @register("loss_smoothing")
 def q_loss_smoothing(spark, sf):
-    pts = log_points(spark, sf)
+    pts = log_points(spark, sf).checkpoint(eager=True)  # both series read the points
     out = None
     for series, col, window in (("train", "train_loss", 200), ("eval", "eval_loss", 3)):
         s = pts.select("step", F.col(col).alias("loss")).where(F.col("loss").isNotNull())
@@ -550,9 +555,16 @@ def eval_docs(spark, sf):
                           out="doc_idx")
 
 
+def masked_docs(spark, sf):
+    """Documents of which every fifth has masked a name, and every tenth an address, at its ends."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<NAME>"), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(text, F.lit("x<URL><URL>"))).otherwise(text)
+    return corpus_docs(spark, sf).withColumn("text", text)
+
+
 @register("encode_docs")
 def q_encode_docs(spark, sf):
-    e = QU.encode_docs(corpus_docs(spark, sf), roundtrip=False)
+    e = QU.encode_docs(masked_docs(spark, sf), roundtrip=False)
     return e.select("doc_id", F.size("ids").alias("n_tokens"), TK.ids_md5("ids").alias("ids_md5"))
 
 
@@ -574,13 +586,14 @@ def q_top_tokens(spark, sf):
 
 @register("roundtrip_failures")
 def q_roundtrip_failures(spark, sf):
-    return QU.roundtrip_failures(QU.encode_docs(eval_docs(spark, sf))).select(
-        "group", "line", "input_preview", "decoded_preview")
+    """A codec that stops at 2 000 tokens loses the end of longer documents."""
+    enc = QU.encode_docs(eval_docs(spark, sf), encode=lambda c: F.slice(TK.byte_encode(c), 1, 2000))
+    return QU.roundtrip_failures(enc).select("group", "line", "input_preview", "decoded_preview")
 
 
 @register("special_token_counts")
 def q_special_token_counts(spark, sf):
-    return QU.special_token_counts(corpus_docs(spark, sf))
+    return QU.special_token_counts(masked_docs(spark, sf))
 
 
 # --- byte-level BPE ---------------------------------------------------------------
@@ -651,14 +664,31 @@ def q_tokenizer_compare(spark, sf):
 STREAM_FILES = 4
 
 
+STREAM_RUNS = 5
+
+
+def run_logs(spark, sf):
+    """The events as the logs of several runs: ``run`` from the user, steps
+    numbered within it."""
+    e = table(spark, sf, "events").select((F.col("user_id") % STREAM_RUNS).alias("run"), "ts", "event_id", "event_type",
+                                          F.col("value").alias("loss"))
+    e = OR.range_buckets(e, ["ts", "event_id"], ["run"])
+    e = OR.dense_index(e, ["run"], ["ts", "event_id"], OR.BK, out="global_step", base=1)
+    return e.select(F.col("run").cast("string").alias("run"), "global_step", "loss", (F.col("event_type") != "error").alias("valid"))
+
+
+def stream_windows(spark, sf, rule):
+    """The run logs written as files and consumed as a file stream."""
+    base = scratch_path(spark, f"stream-{rule}")
+    run_logs(spark, sf).repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
+    r = STR.stream_run_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", rule)
+    return r.select("run", F.lit(rule).alias("rule"), "global_step", "optimizer_step", "train_loss", "n_losses")
+
+
 @register("stream_log_windows")
 def q_stream_log_windows(spark, sf):
-    """ST1: the training log written as files, consumed as a file stream in
-    micro-batches; the completed windows equal the batch base rule."""
-    base = scratch_path(spark, "stream-log")
-    log = training_log(spark, sf).select("global_step", "loss")
-    log.repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
-    return STR.stream_log_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+    """ST1, base rule: every run's windows as they close."""
+    return stream_windows(spark, sf, "base")
 
 
 @register("stream_ingest_counts")
@@ -754,12 +784,8 @@ def q_lcs_length(spark, sf):
 
 @register("stream_summary_windows")
 def q_stream_summary_windows(spark, sf):
-    """ST1, summary rule: ordered state per run on a file stream."""
-    base = scratch_path(spark, "stream-summary")
-    log = training_log(spark, sf).select(F.lit("events").alias("run"), "global_step", "loss", "valid")
-    log.repartitionByRange(STREAM_FILES, "global_step").write.parquet(f"{base}/src")
-    r = STR.stream_summary_windows(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
-    return r.select(F.lit("summary").alias("rule"), "global_step", "optimizer_step", "train_loss", "n_losses")
+    """ST1, summary rule: every run's windows as they close."""
+    return stream_windows(spark, sf, "summary")
 
 
 @register("tokenizer_quality_bpe")

@@ -168,9 +168,10 @@ SELECT block_idx, train_idx FROM tr WHERE train_idx >= 3 * 8
 
 SQL["packed_validate"] = f"""
 WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
-SELECT CAST(block_idx AS BIGINT) AS block_idx, 'x' AS split, CAST(NULL AS BIGINT) AS shard,
-       CAST(n_ids AS INTEGER) AS width
-FROM kept WHERE n_ids <> 4096
+SELECT CAST(block_idx AS BIGINT) AS block_idx, CASE WHEN block_idx < 100 THEN 'eval' ELSE 'train' END AS split,
+       CAST(CASE WHEN block_idx < 100 THEN NULL ELSE (block_idx - 100) // 128 END AS BIGINT) AS shard,
+       CAST(CASE WHEN block_idx % 50 = 0 THEN 100 ELSE n_ids END AS INTEGER) AS width
+FROM kept WHERE n_ids <> 4096 OR block_idx % 50 = 0
 """
 
 
@@ -315,9 +316,9 @@ st AS (SELECT file, line_no,
 
 
 SQL["block_scan"] = f"""
-WITH b AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS blk,
-                  unnest(range(1, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) + 1)) AS block_index
-           FROM documents)
+WITH t AS (SELECT doc_id, string_split(replace(replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10)
+                  ELSE chr(13) || chr(10) || chr(13) || chr(10) END), chr(13) || chr(10), chr(10)), chr(10) || chr(10)) AS bs FROM documents),
+b AS (SELECT doc_id, unnest(bs) AS blk, unnest(range(1, len(bs) + 1)) AS block_index FROM t)
 SELECT doc_id, CAST(block_index AS BIGINT) AS block_index, md5({ustrip('blk')}) AS block_md5,
        CAST(strlen({ustrip('blk')}) + 2 AS BIGINT) AS block_bytes
 FROM b WHERE length({ustrip('blk')}) > 0
@@ -681,11 +682,21 @@ tc AS (SELECT "group", token_id, count(*) AS cnt, min({{'f': file, 'l': line, 'p
 """
 
 SQL["encode_docs"] = f"""
-SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_tokens, md5(array_to_string({byte_ids('text')}, ',')) AS ids_md5
-FROM documents
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5
+FROM (SELECT doc_id, CASE WHEN head = '' THEN []::INTEGER[] ELSE [7] END || {byte_ids('text')}
+             || CASE WHEN tail = '' THEN []::INTEGER[] ELSE {byte_ids("'x'")} || [11, 11] END AS ids
+      FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'n' ELSE '' END AS head,
+                   CASE WHEN doc_id % 10 = 0 THEN 'u' ELSE '' END AS tail FROM documents))
 """
 
-SQL["roundtrip_check"] = "SELECT doc_id, TRUE AS roundtrip_ok FROM documents"
+_HEX_OF_ID = "[" + ", ".join(f"'{b:02X}'" for b in sorted(range(256), key=lambda b: (
+    b - 33 if 33 <= b <= 126 else b - 67 if 161 <= b <= 172 else b - 68 if b >= 174 else b + 188 if b <= 32 else b + 94 if b <= 160 else 255))) + "]"
+
+#: Ids back to bytes through the inverse table.
+SQL["roundtrip_check"] = f"""
+SELECT doc_id, array_to_string(list_transform({byte_ids('text')}, lambda i: list_extract({_HEX_OF_ID}, i - 11)), '') = hex(encode(text)) AS roundtrip_ok
+FROM documents
+"""
 
 SQL["tokenizer_quality"] = f"""
 WITH {EVAL_DOCS},
@@ -713,10 +724,14 @@ SELECT "group", CAST(rank AS INTEGER) AS rank, token_id, {byte_token('b')} AS to
 FROM ranked WHERE rank <= 20
 """
 
-SQL["roundtrip_failures"] = """
-SELECT lang AS "group", doc_id AS line, text AS input_preview, text AS decoded_preview FROM documents WHERE FALSE
+SQL["roundtrip_failures"] = f"""
+SELECT "group", line, left(text, 200) AS input_preview, left(text, 200) AS decoded_preview FROM (
+  SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY file, line) AS k FROM {DOCS} d WHERE strlen(text) > 2000) WHERE k <= 3
 """
 
+_MASKED = """(SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN '<NAME>' ELSE '' END AS head, text,
+        CASE WHEN doc_id % 10 = 0 THEN 'x<URL><URL>' ELSE '' END AS tail FROM documents)"""
+
 _SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<system>", "<user>", "<assistant>",
              "<NAME>", "<EMAIL>", "<PHONE>", "<ADDRESS>", "<URL>"]
 
@@ -724,14 +739,27 @@ SQL["special_token_counts"] = f"""
 WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_SPECIALS))}) v(token_id, token)),
 g AS (SELECT DISTINCT lang AS "group" FROM documents)
 SELECT g."group", t.token_id, t.token,
-       (SELECT CAST(coalesce(sum(len(regexp_extract_all(d.text, t.token))), 0) AS BIGINT)
-        FROM documents d WHERE d.lang = g."group") AS count
+       (SELECT CAST(coalesce(sum(len(regexp_extract_all(d.head || d.text || d.tail, t.token))), 0) AS BIGINT)
+        FROM {_MASKED} d WHERE d.lang = g."group") AS count
 FROM g, t
 """
 
 
 # --- streaming ------------------------------------------------------------------
-SQL["stream_log_windows"] = f"WITH {_OPT} {_win('base')}"
+_RUNS = """
+log AS (SELECT CAST(user_id % 5 AS VARCHAR) AS run, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS global_step,
+               value AS loss, event_type <> 'error' AS valid FROM events),
+o AS (SELECT *, CAST(global_step % 8 = 0 AS BIGINT) AS ub, CAST(global_step % 8 = 0 AND valid AS BIGINT) AS us FROM log),
+o2 AS (SELECT *, sum(ub) OVER r AS sb, sum(us) OVER r AS ss FROM o
+       WINDOW r AS (PARTITION BY run ORDER BY global_step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+
+
+def _run_windows(rule: str) -> str:
+    return f"WITH {_RUNS} " + _win(rule).replace("\nSELECT '", "\nSELECT run, '", 1).replace("GROUP BY w", "GROUP BY run, w")
+
+
+SQL["stream_log_windows"] = _run_windows("base")
 
 SQL["stream_ingest_counts"] = """
 SELECT lang AS "group", count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang
@@ -799,7 +827,7 @@ FROM kept GROUP BY 1
 
 
 def _define_sql_more5():
-    SQL["stream_summary_windows"] = f"WITH {_OPT} {_win('summary')}"
+    SQL["stream_summary_windows"] = _run_windows("summary")
 
 
 # SQL that refers to the shared fixed inputs, defined once the helpers exist

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import is_falsy_json, strip_u
-from textmill.operators.ordering import dense_index
+from textmill.operators.ordering import id_bucket, running_total
 
 
 # --- reading files ---------------------------------------------------------
@@ -50,8 +50,9 @@ def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
 
     The order inside a file comes from the scan itself: the split's start
     offset and ``monotonically_increasing_id()`` taken directly above the
-    scan.  A dense index per file, bucketed by split, turns that into line
-    numbers without gathering a file into one task.
+    scan, which counts on within a split.  A first pass counts the lines of
+    every split; its result, one row per split, is joined back to the scan,
+    so the lines themselves are not shuffled.
     ``on_missing``: ``'skip'`` (warn-and-continue scans) or ``'error'``.
     """
     keep = _existing(paths, on_missing, spark)
@@ -65,8 +66,11 @@ def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
                   F.col("_metadata.file_block_start").alias("_split"),
                   F.monotonically_increasing_id().alias("_mono"),
                   F.col("value").alias("raw")))
-    df = dense_index(df, ["file"], ["_split", "_mono"], F.col("_split"), out="line_no", base=1)
-    return df.drop("_split", "_mono")
+    splits = df.groupBy("file", "_split").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    line_no = F.col("_before") + F.col("_mono") - F.col("_first") + 1
+    return df.join(splits, ["file", "_split"]).select("file", line_no.alias("line_no"), "raw")
 
 
 # --- JSONL text scans --------------------------------------------------------
@@ -139,22 +143,34 @@ def _regex_quote(s: str) -> str:
     return re.escape(s).replace("\\\n", "\n")
 
 
-def read_blocks(spark: SparkSession, paths, on_missing: str = "skip") -> DataFrame:
-    """S4 on files: the text source splits records on the blank line, so a
-    large file is read in parallel; indexes come from :func:`read_lines`."""
-    lines = read_lines(spark, paths, on_missing, line_sep="\n\n")
-    d = lines.withColumn("block_text", strip_u(F.regexp_replace("raw", "\r\n", "\n")))
-    d = d.where(F.length("block_text") > 0)
-    return d.select("file", F.col("line_no").alias("block_index"), "block_text",
+def read_blocks(spark: SparkSession, paths, on_missing: str = "skip", bucket_width: int = 50_000) -> DataFrame:
+    """S4 on files with either line ending: blocks are the runs of lines
+    between empty ones.
+
+    Splitting the text at every ``"\\n\\n"`` counts one block more for each two
+    line breaks, so ``e`` empty lines before a line raise the block number by
+    ``(e + 1) div 2`` (``e div 2`` at the top of a file).  The numbers come
+    from a two-level running total over the lines that aren't empty; each
+    block gathers its own lines only."""
+    lines = read_lines(spark, paths, on_missing)
+    full = lines.where(F.length("raw") > 0)
+    keys = full.select("file", "line_no", id_bucket("line_no", bucket_width).alias("_b"))
+    own = Window.partitionBy("file", "_b").orderBy("line_no")
+    ends = keys.groupBy("file", "_b").agg(F.max("line_no").alias("_end"))
+    earlier = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "_b", F.max("_end").over(earlier).alias("_end"))
+    keys = keys.withColumn("_prev", F.lag("line_no").over(own)).join(ends, ["file", "_b"])
+    prev = F.coalesce("_prev", "_end")
+    step = F.when(prev.isNull(), F.floor((F.col("line_no") - 1) / 2)).otherwise(F.floor((F.col("line_no") - prev) / 2))
+    numbered = running_total(keys.select("file", "line_no", step.alias("_step")), ["file"], ["line_no"], "_step",
+                             id_bucket("line_no", bucket_width), out="_blk")
+    rows = full.join(numbered.select("file", "line_no", "_blk"), ["file", "line_no"])
+    g = rows.groupBy("file", "_blk").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_l"))
+    d = g.withColumn("block_text", strip_u(F.array_join(F.col("_l.raw"), "\n"))).where(F.length("block_text") > 0)
+    return d.select("file", (F.col("_blk") + 1).cast("long").alias("block_index"), "block_text",
                     (F.octet_length("block_text") + 2).cast("long").alias("block_bytes"))
 
 
-def is_jsonl_path(path_col: Column) -> Column:
-    """``.jsonl`` suffix or ``wiki`` in the file name selects the JSONL scan."""
-    name = F.element_at(F.split(path_col, "/"), -1)
-    return name.endswith(".jsonl") | name.contains("wiki")
-
-
 # --- prompt/response scans ---------------------------------------------------
 def sft_rows(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Classify each line as blank, bad or valid.

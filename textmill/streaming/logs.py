@@ -1,10 +1,9 @@
 """Structured Streaming forms of the log and ingest operators (ST1, ST2).
 
-There is no event time in these streams, so there is no watermark: the
-aggregations are keyed by a step window or a group and run in ``complete``
-mode; each micro-batch rewrites the result table through ``foreachBatch``
-(idempotent per batch id), and the checkpoint location makes the file source
-exactly-once across restarts.
+Log windows keep ordered state per run and emit a window once, when it closes
+(append mode), so neither state nor output is rewritten.  There is no event
+time in these streams, hence no watermark; the checkpoint location makes the
+file source exactly-once across restarts.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textmill.sources.jsonl import parse_jsonl_text
 
-LOG_SCHEMA = "global_step long, loss double"
+RUN_SCHEMA = "run string, global_step long, loss double, valid boolean"
 GRAD_ACCUM, LOG_STEPS = 8, 10
 
 
@@ -24,27 +23,6 @@ def _overwrite(path: str):
     return sink
 
 
-def stream_log_windows(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
-                       max_files_per_trigger: int = 1) -> DataFrame:
-    """ST1, base rule: every 8th micro-step is an update, so a micro-step
-    ``s`` belongs to window ``(s - 1) div 80``; a window is complete when it
-    holds all 80 micro-steps.  Returns the completed windows (equal to the
-    batch :func:`textmill.operators.runlog.train_log_windows`)."""
-    per = GRAD_ACCUM * LOG_STEPS
-    s = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-         .parquet(src_dir))
-    agg = s.groupBy(F.floor((F.col("global_step") - 1) / per).alias("win")).agg(
-        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"), F.max("global_step").alias("last_step"))
-    q = (agg.writeStream.outputMode("complete").foreachBatch(_overwrite(out_dir))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    r = spark.read.parquet(out_dir)
-    return r.where(F.col("n") == per).select(
-        F.lit("base").alias("rule"), F.col("last_step").alias("global_step"),
-        ((F.col("win") + 1) * LOG_STEPS).cast("long").alias("optimizer_step"),
-        F.round(F.col("loss_sum") / F.col("n"), 9).alias("train_loss"), F.col("n").alias("n_losses"))
-
-
 def stream_ingest_counts(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
                          max_files_per_trigger: int = 1) -> DataFrame:
     """ST2: new JSONL files are scanned with the strict text scan (S1) and the
@@ -63,20 +41,24 @@ def stream_ingest_counts(spark: SparkSession, src_dir: str, out_dir: str, checkp
     return spark.read.parquet(out_dir)
 
 
-# --- ordered state per run: the summary rule (W7/W8 with cancelled updates) ---------
+# --- ordered state per run (W7/W8) -------------------------------------------------
 STATE_SCHEMA = ("updates long, win_sum double, win_cnt long, next_step long, "
                 "p_step array<long>, p_loss array<double>, p_valid array<boolean>")
 WINDOW_OUT = "run string, global_step long, optimizer_step long, train_loss double, n_losses long"
 _EMPTY_OUT = ["run", "global_step", "optimizer_step", "train_loss", "n_losses"]
 
 
-def _summary_windows_state(key, pdfs, state):
+def _windows_state(rule: str):
+    return lambda key, pdfs, state: _close_windows(rule, key, pdfs, state)
+
+
+def _close_windows(rule, key, pdfs, state):
     """Micro-steps carry dense global steps (invalid ones included), so the
     state knows the next expected step: rows that arrive ahead of it wait in
     a reordering buffer (files may be picked up in any order).  The
-    contiguous prefix is processed vectorized: valid micro-steps only; an
-    update at every 8th global step whose loss is valid; a window closes at
-    every 10th update.  State = updates so far, the open window's sum and
+    contiguous prefix is processed vectorized: an update at every 8th global
+    step (summary: whose loss is valid, and only valid micro-steps count); a
+    window closes at every 10th update.  State = updates so far, the open window's sum and
     count, the next expected step and the buffered rows."""
     import numpy as np
     import pandas as pd
@@ -94,7 +76,7 @@ def _summary_windows_state(key, pdfs, state):
     cur, wait = rows.iloc[:ready], rows.iloc[ready:]
     out = pd.DataFrame(columns=_EMPTY_OUT)
     upd1, s1, c1 = upd0, s0, c0
-    v = cur[cur["valid"].astype(bool)]
+    v = cur[cur["valid"].astype(bool)] if rule == "summary" else cur
     if len(v):
         step = v["global_step"].to_numpy(dtype=np.int64)
         loss = v["loss"].to_numpy(dtype=float)
@@ -125,17 +107,15 @@ def _summary_windows_state(key, pdfs, state):
     yield out
 
 
-def stream_summary_windows(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
-                           max_files_per_trigger: int = 1) -> DataFrame:
-    """ST1 with the summary rule: ``applyInPandasWithState`` keyed by run,
-    append mode (a window is emitted once, when it closes).  Files may arrive
-    in any order; the state's reordering buffer releases micro-steps in step
-    order (it holds at most the rows that arrived ahead of a gap)."""
-    s = (spark.readStream.schema("run string, global_step long, loss double, valid boolean")
-         .option("maxFilesPerTrigger", max_files_per_trigger).parquet(src_dir))
-    w = s.groupBy("run").applyInPandasWithState(_summary_windows_state, WINDOW_OUT, STATE_SCHEMA,
-                                                "append", "NoTimeout")
+def stream_run_windows(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, rule: str = "base",
+                       max_files_per_trigger: int = 1) -> DataFrame:
+    """ST1: logged windows of every run, by the base or the summary rule of
+    :func:`textmill.operators.runlog.train_log_windows`, from a stream of log
+    files.  State is kept by run: updates so far, the open window's sum and the
+    rows that arrived ahead of a gap (files may come in any order)."""
+    s = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src_dir)
+    w = s.groupBy("run").applyInPandasWithState(_windows_state(rule), WINDOW_OUT, STATE_SCHEMA, "append", "NoTimeout")
     q = (w.writeStream.outputMode("append").format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.schema(WINDOW_OUT).parquet(out_dir)
