@@ -95,8 +95,6 @@ def test_large_group_of_independent_copies_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(J, "CHUNK", 16)
     monkeypatch.setattr(J, "LEAF_BLOCK", 8)
     monkeypatch.setattr(J, "ROWS", 50)
-    monkeypatch.setattr(J, "SMALL_BLOCK", 8)
-    monkeypatch.setattr(J, "STAR_ROUNDS", 2)
     r = random.Random(5)
     base = [f"w{r.randrange(3000)}" for _ in range(120)]
     rows = [near(r, base, r.choice([1, 2, 3, 4])) for _ in range(150)]

@@ -93,25 +93,24 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     takes about log(longest chain) rounds.  A node's neighbours are only
     reduced to their minimum and joined back, never gathered.
     """
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    e = stage(e, "edges")
+    mark = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    e, last = stage(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v"), "edges"), None
     while True:
         # large star: of all neighbours, the greater ones point at the least
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v")
         # small star: of the lesser neighbours and itself, all point at the least
         large = large.where("u < v")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v"))
                  .unionByName(low.select(F.col("m").alias("u"), "v"))
                  .where("u < v").distinct())
-        new = stage(small, "edges")
-        changed = (new.join(e, ["u", "v"], "left_anti").limit(1).count()
-                   or e.join(new, ["u", "v"], "left_anti").limit(1).count())
-        e = new
-        if not changed:
+        e = stage(small, "edges")
+        now = tuple(e.agg(*mark).first())
+        if now == last:
             break
+        last = now
     return (e.select(F.col("v").alias("node"), F.col("u").alias("component"))
             .unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct())
 

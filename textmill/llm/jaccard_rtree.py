@@ -14,7 +14,7 @@ join is exact; links between different texts are all taken into account:
    class posts are dropped.  As linked sets agree on a known number of groups,
    at least, each class also drops all but one of so many of its keys, those
    with most members, or all if it shares fewer.
-3. Star rounds.  Per key one class is compared with the others; the compared
+3. Stars.  Per key the least class is compared with the others; the compared
    pairs, few for each class, are verified and joined to components.  Thousands
    of near copies of one text collapse here without all their pairs.
 4. R-trees.  Where a key still holds classes of different components, shingles
@@ -53,10 +53,6 @@ BAND = 1.5
 CHUNK = 4096
 #: Children of an R-tree node.
 FANOUT = 16
-#: Star rounds at most; what they leave to compare is left to the R-trees.
-STAR_ROUNDS = 3
-#: Blocks up to this size go to the R-trees at once.
-SMALL_BLOCK = 64
 #: In blocks up to this size every pair is compared, without a tree.
 LEAF_BLOCK = 48
 #: Rows of blocks that a task takes up at once.
@@ -385,21 +381,9 @@ def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     star = stage(blocks.where("leader != ref").select(*pair("leader", "ref")).distinct(), "jaccard-stars")
-    tested, found = star, _verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes)
+    found = _verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes)
     comps = components(found, "a", "b")
     open_ = _open_blocks(blocks, comps)
-    for turn in range(1, STAR_ROUNDS):
-        large = open_.where(F.col("held") > SMALL_BLOCK)
-        if large.isEmpty():
-            break
-        leader = (large.groupBy("key").agg(F.min_by(F.struct("ref", "comp"), F.xxhash64("ref", F.lit(turn))).alias("l"))
-                  .select("key", F.col("l.ref").alias("leader"), F.col("l.comp").alias("lcomp")))
-        star = large.join(leader, "key").where("comp != lcomp").select(*pair("leader", "ref")).distinct()
-        star = stage(star.join(tested, ["a", "b"], "left_anti"), "jaccard-stars")
-        tested = tested.unionByName(star)
-        found = found.unionByName(_verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes))
-        comps = components(found, "a", "b")
-        open_ = _open_blocks(open_, comps)
     if open_.isEmpty():
         return found
     chunks = F.ceil(F.col("held") / CHUNK).cast("int")
@@ -407,7 +391,7 @@ def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     at = at.join(vectors, "ref").select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
                                         "chunk", "ref", "comp", "n", "counts")
-    left = _tree_pairs(at, width_for(docs.sparkSession, 64 * open_.count())).join(tested, ["a", "b"], "left_anti")
+    left = _tree_pairs(at, width_for(docs.sparkSession, 64 * open_.count())).join(star, ["a", "b"], "left_anti")
     return found.unionByName(_verified(stage(left, "jaccard-tree"), docs, classes))
 
 
