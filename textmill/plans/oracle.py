@@ -830,6 +830,25 @@ def _define_sql_more5():
     SQL["stream_summary_windows"] = _run_windows("summary")
 
 
+# The pre-token pattern without look-ahead: a mark goes before the last space
+# character of a run that a visible one follows, runs end at the mark, and the
+# marks themselves are left out again.
+_SP = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_PRETOKENS = (
+    "pt AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '([" + _SP + "])([" + _SP + "][^" + _SP + r"])', '\1' || chr(1) || '\2', 'g'), "
+    + r"'''(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\x01" + _SP + r"\p{L}\p{N}]+|[" + _SP + "]+')) AS word FROM documents),\n"
+    "pc AS (SELECT word, count(*) AS freq FROM pt GROUP BY word)\n")
+
+SQL["pretoken_counts"] = f"WITH {_PRETOKENS} SELECT word, freq FROM pc"
+
+SQL["bpe_pair_counts"] = f"""
+WITH {_PRETOKENS},
+s AS (SELECT {byte_ids('word')} AS ids, freq FROM pc),
+p AS (SELECT unnest(ids[:len(ids) - 1]) AS "left", unnest(ids[2:]) AS "right", freq FROM s WHERE len(ids) > 1)
+SELECT "left", "right", CAST(sum(freq) AS BIGINT) AS count FROM p GROUP BY ALL
+"""
+
+
 # SQL that refers to the shared fixed inputs, defined once the helpers exist
 _define_sql()
 _define_sql_more()
