@@ -55,6 +55,8 @@ CHUNK = 4096
 FANOUT = 16
 #: In blocks up to this size every pair is compared, without a tree.
 LEAF_BLOCK = 48
+#: Each class knows so many of its least open keys: a pair is left to the least block that both know.
+KNOWN_KEYS = 64
 #: Rows of blocks that a task takes up at once.
 ROWS = 8192
 
@@ -287,8 +289,10 @@ class RTree:
         return self.order[alive(self.points, self.sizes, at)]
 
 
-def _block_pairs(block, ref, comp, chunk, within, n, c):
-    """Index pairs of different components in sorted runs of equal ``block`` that the count vectors don't rule out."""
+def _block_pairs(block, key, known, ref, comp, chunk, within, n, c):
+    """Pairs of different components in sorted runs of equal ``block`` that the
+    count vectors don't rule out, but for those that both members know to
+    share a lesser key: its block has them."""
     import numpy as np
 
     cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
@@ -311,12 +315,21 @@ def _block_pairs(block, ref, comp, chunk, within, n, c):
     a, b = np.minimum(ref[i], ref[j]), np.maximum(ref[i], ref[j])
     _, once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
     i, j, a, b = i[once], j[once], a[once], b[once]
-    keep = enough(_overlaps(c, i, j), n[i] + n[j])
+    keep = np.flatnonzero(enough(_overlaps(c, i, j), n[i] + n[j]))
+    sets: dict = {}
+
+    def keys_of(row):
+        if row not in sets:
+            sets[row] = frozenset(known[row].as_py())
+        return sets[row]
+
+    first = [min(keys_of(i[p]) & keys_of(j[p]), default=key[i[p]]) >= key[i[p]] for p in keep]
+    keep = keep[np.array(first, bool)]
     return a[keep], b[keep]
 
 
 def _tree_pairs(members: DataFrame, width: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components from blocks ``(key, x, y, chunk, ref, comp, n, counts)``."""
+    """Candidate pairs ``(a, b)`` of different components from blocks ``(key, x, y, chunk, ref, comp, n, counts, known)``."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -325,7 +338,7 @@ def _tree_pairs(members: DataFrame, width: int) -> DataFrame:
             t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             col = lambda k: t.column(k).to_numpy()
             block = np.cumsum(np.r_[0, (col("key")[1:] != col("key")[:-1]) | (col("x")[1:] != col("x")[:-1]) | (col("y")[1:] != col("y")[:-1])])
-            a, b = _block_pairs(block, col("ref"), col("comp"), col("chunk"), col("x") == col("y"), col("n"), _vectors(t.column("counts")))
+            a, b = _block_pairs(block, col("key"), t.column("known"), col("ref"), col("comp"), col("chunk"), col("x") == col("y"), col("n"), _vectors(t.column("counts")))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held, rows = [], 0
@@ -386,11 +399,12 @@ def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     open_ = _open_blocks(blocks, comps)
     if open_.isEmpty():
         return found
+    known = open_.groupBy("ref").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN_KEYS).alias("known"))
     chunks = F.ceil(F.col("held") / CHUNK).cast("int")
     at = open_.withColumn("chunk", F.pmod(F.xxhash64("ref"), chunks).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    at = at.join(vectors, "ref").select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
-                                        "chunk", "ref", "comp", "n", "counts")
+    at = at.join(vectors.join(known, "ref"), "ref").select(
+        "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "ref", "comp", "n", "counts", "known")
     left = _tree_pairs(at, width_for(docs.sparkSession, 64 * open_.count())).join(star, ["a", "b"], "left_anti")
     return found.unionByName(_verified(stage(left, "jaccard-tree"), docs, classes))
 
