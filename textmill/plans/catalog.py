@@ -136,7 +136,7 @@ def q_pack_metadata(spark, sf):
 
 @register("block_lookup")
 def q_block_lookup(spark, sf):
-    b = packed(spark, sf).select("block_idx", "split", "shard").cache()
+    b = packed(spark, sf).select("block_idx", "split", "shard").checkpoint(eager=True)
     shards = PK.shard_index(b).select("shard", "n_blocks")
     idx = b.where(F.col("split") == "train").select((F.col("block_idx") - PACK_EVAL).alias("train_idx"))
     return PK.block_lookup(idx, shards)
@@ -492,7 +492,8 @@ def q_holdout_text(spark, sf):
 
 @register("holdout_code")
 def q_holdout_code(spark, sf):
-    consumed = min(code_source_bytes(spark, sf) + 2, int(code_source_bytes(spark, sf) * CODE_BUDGET_FRACTION))
+    size = code_source_bytes(spark, sf)
+    consumed = min(size + 2, int(size * CODE_BUDGET_FRACTION))
     s = HO.holdout_code(code_blocks(spark, sf), consumed, HOLDOUT_CODE_N)
     return s.select("block_index", F.md5("block_text").alias("block_md5"), "eligible")
 

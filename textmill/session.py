@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -103,7 +104,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for written tables."""
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(clear_scratch, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables that this process has made, through their
+    Hadoop file system.  DataFrames that read them end with it; it runs by
+    itself when the process ends in order."""
+    paths, _SCRATCH[:] = list(_SCRATCH), []
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the session has gone: what is left belongs to its checkpoint folder
+        return
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
