@@ -67,3 +67,14 @@ def test_holdout_and_summary_jobs(spark, tmpdir_path):
     preds = spark.createDataFrame([("s1", "abc"), ("2", "xyz")], "id string, prediction string")
     avg = jobs.summary_eval(spark, t, preds, os.path.join(d, "eval")).first()
     assert avg.samples == 2 and avg.rouge1_f1 == 0.5
+
+
+def test_tokenizer_corpus_takes_text_files(spark, tmpdir_path):
+    import os
+
+    from textmill import jobs
+    code = os.path.join(tmpdir_path, "code.txt")
+    with open(code, "w", newline="") as f:
+        f.write("def f():\r\n  pass\r\n\r\nx = 1\r\n\r\ny = 2\r\n")
+    used = jobs.tokenizer_corpus(spark, {"code": [code]}, {"code": 10_000}, os.path.join(tmpdir_path, "out")).collect()
+    assert [(r.group, r.consumed_docs) for r in used] == [("code", 3)]

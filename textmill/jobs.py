@@ -25,14 +25,16 @@ LINE_BITS = 40  # doc_id = file index * 2^40 + line number: exact, no hashing
 
 
 def _docs(spark: SparkSession, groups: dict, mode: str) -> DataFrame:
-    """``(group, file, line, doc_id, text)`` for every group's JSONL files;
+    """``(group, file, line, doc_id, text)`` for every group's JSONL files
+    (``mode`` coerce: and text files, dispatched by name);
     ``file`` is ``<position>:<path>`` so the given order is the sort order,
     and ``doc_id`` combines the file's index with the line number (unique)."""
     out, k = None, 0
     for label, paths in groups.items():
         for pos, path in enumerate(paths):
-            lines = J.read_lines(spark, [path])
-            d = J.parse_jsonl_text(lines, mode).select(
+            # the coercing jobs also take text files, as blocks between blank lines
+            d = J.read_texts(spark, [path]) if mode == "coerce" else J.parse_jsonl_text(J.read_lines(spark, [path]), mode)
+            d = d.select(
                 F.lit(label).alias("group"), F.concat(F.lpad(F.lit(str(pos)), 6, "0"), F.lit(":"), F.col("file"))
                 .alias("file"), F.col("line_no").alias("line"), "text",
                 (F.lit(k).cast("long") * F.lit(1 << LINE_BITS) + F.col("line_no")).alias("doc_id"))
