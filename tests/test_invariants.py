@@ -72,3 +72,23 @@ def test_blocks_are_the_stream_prefix(spark):
     assert blocks.count() == meta.total_blocks
     assert blocks.where(F.col("n_ids") != C.PACK_BLOCK).count() == 0
     assert meta.total_blocks * C.PACK_BLOCK <= meta.total_tokens < (meta.total_blocks + 1) * C.PACK_BLOCK
+
+
+def test_no_cap_and_no_fixed_languages(spark, tmp_path):
+    """12 000 documents of one language and a few of a fifth one: none is lost."""
+    import __spark_entry__ as E
+    docs = (spark.range(12_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang",
+                                           "concat('src', id % 3) AS source")
+            .unionByName(spark.range(12_000, 12_040).selectExpr("id AS doc_id", "concat('tekst ', id) AS text",
+                                                                "element_at(array('nl', 'de', 'es', 'fr'), cast(id % 4 AS int) + 1) AS lang",
+                                                                "'src0' AS source"))
+            .selectExpr("*", "length(text) AS n_chars"))
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    qs = E.queries()
+    rows = {r.group: r.docs for r in qs["tokenizer_quality"](spark, sf).collect()}
+    assert rows == {"en": 12_000, "nl": 10, "de": 10, "es": 10, "fr": 10}
+    mix = qs["ratio_mix"](spark, sf)
+    assert mix.where("role = 'main'").count() == 12_020
+    assert {r.group for r in qs["corpus_sink_stats"](spark, sf).collect()} == set(rows)
+    assert {r.group for r in qs["byte_budget_truncate"](spark, sf).collect()} == set(rows)
