@@ -33,14 +33,17 @@ from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slic
 from textmill.llm.wu_manber import fold_words
 
 #: Training texts of either label, and their largest size in bytes.
-PER_CLASS = 2500
+PER_CLASS = 2000
 MAX_BYTES = 20_000
 CHUNK = 64
 BITS = 18
 STEPS = 60
-#: A training token is labelled toxic from this log-odds and number of toxic texts on.
+#: A training token is labelled toxic from this log-odds and share of the toxic
+#: texts (and number of texts) on; of rarer words with such odds, which may
+#: just come from copies of one text, the label is left open.
 LOG_ODDS = 2.5
-MIN_TEXTS = 3
+MIN_SHARE = 0.01
+MIN_TEXTS = 4
 #: A token of an offending span has at least this marginal.
 SPAN_MARGINAL = 0.5
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -158,11 +161,12 @@ def fit(sample: list) -> Model:
         (toxic if y else clean).update(set(ws))
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     odds = lambda w: np.log((toxic[w] + 0.1) / (n1 + 0.2)) - np.log((clean[w] + 0.1) / (n0 + 0.2))
-    marked = {w for w, n in toxic.items() if n >= MIN_TEXTS and odds(w) >= LOG_ODDS}
+    likely = {w: n >= max(MIN_TEXTS, MIN_SHARE * n1) for w, n in toxic.items() if odds(w) >= LOG_ODDS}
 
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
     ids = np.array([vocabulary[w] for ws in texts for w in ws])
-    y = np.array([bool(label) and w in marked for ws, (_, label) in zip(texts, sample) for w in ws], float)
+    y = np.array([bool(label) and likely.get(w, False) for ws, (_, label) in zip(texts, sample) for w in ws], float)
+    told = np.array([w not in likely or likely[w] for ws in texts for w in ws], float)
     starts = np.r_[0, np.cumsum([len(ws) for ws in texts])]
     features = [word_features(w) for w in vocabulary]
     of_word = np.repeat(np.arange(len(features)), [len(f) for f in features])
@@ -179,11 +183,12 @@ def fit(sample: list) -> Model:
     for _ in range(STEPS):
         score = np.bincount(of_word, weights[feature], len(features))
         p = marginals(score[ids], starts, trans, bias)
-        by_word = np.bincount(ids, y - p, len(features))
+        missed = (y - p) * told
+        by_word = np.bincount(ids, missed, len(features))
         grad = np.bincount(feature, by_word[of_word], 1 << BITS) - 0.02 * weights
         seen += grad * grad
         weights += 0.5 * grad / np.sqrt(seen)
-        g = float(np.sum(y - p))
+        g = float(np.sum(missed))
         bias_seen += g * g
         bias += 0.1 * g / np.sqrt(bias_seen)
     score = np.bincount(of_word, weights[feature], len(features))
