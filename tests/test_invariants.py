@@ -92,3 +92,14 @@ def test_no_cap_and_no_fixed_languages(spark, tmp_path):
     assert mix.where("role = 'main'").count() == 12_020
     assert {r.group for r in qs["corpus_sink_stats"](spark, sf).collect()} == set(rows)
     assert {r.group for r in qs["byte_budget_truncate"](spark, sf).collect()} == set(rows)
+
+
+def test_building_a_query_runs_nothing(spark):
+    """Beyond reading the footer of the one table, no job starts before the action."""
+    import __spark_entry__ as E
+    qs, sc = E.queries(), spark.sparkContext
+    for name in ("tokenizer_quality", "top_tokens", "rouge_scores", "rouge_l", "rouge_summary", "ngram_counts", "lcs_length"):
+        sc.setJobGroup(f"build-{name}", name)
+        qs[name](spark, "/root/testdata/sf0.001")
+        assert len(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) <= 1, name
+    sc.setLocalProperty("spark.jobGroup.id", None)
