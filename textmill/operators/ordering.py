@@ -147,10 +147,14 @@ def spread_small(df: DataFrame) -> DataFrame:
     """A rebalance of the rows before CPU-heavy per-row work, for inputs too
     small to give every core a scan split (one small file is one task).
 
-    The size is the optimizer's estimate, so nothing runs here and a large
-    input keeps its scan partitions without a shuffle; AQE sizes the rest.
+    The size is what the optimizer knows of the plan's inputs, so nothing runs
+    here and a large input keeps its scan partitions without a shuffle; AQE
+    sizes the rest.
     """
     spark = df.sparkSession
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    estimate = 0
+    while leaves.hasNext():
+        estimate += int(str(leaves.next().stats().sizeInBytes()))
     split = 128 << 20
     return df.hint("rebalance") if estimate < split * spark.sparkContext.defaultParallelism else df
