@@ -7,6 +7,7 @@ import edge
 from test_jaccard_rtree import grouped
 from test_wu_manber import judged
 
+from textmill.llm import line_dedup, sharding
 from textmill.llm.sharding import LIMIT_BYTES
 
 SF = "/root/testdata/sf0.01"
@@ -83,6 +84,23 @@ def test_run_matches_brute_force(spark):
     assert brute.key_counts(got, [*COLS, "shard"]) == brute.key_counts(want, [*COLS, "shard"])
 
 
+def test_columns_of_working_names_are_kept(spark):
+    """Extra columns named like those the operators work with come through every stage."""
+    names = ["dkey", "dkey1", "h", "over", "hash", "slot", "slot_depth", "slot_bytes", "bits", "row", "row1", "ref", "comp", "n_words", "n_hit",
+             "spans", "items", "host", "tkey", "kept", "gone_hashes", "whole", "threshold", "copy", "mix_source", "first_hash", "id1", "rid"]
+    docs = edge.edge_docs(spark).drop("rid", "bytes", "size", "target")
+    docs = docs.withColumns({n: line_dedup.F.concat(line_dedup.F.lit(n), line_dedup.F.col("doc_id").cast("string")) for n in names})
+    for _, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, SF)
+        assert set(docs.columns) <= set(out.columns)
+        rows = brute.rows(out)
+        assert rows and all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names)
+    out = brute.rows(line_dedup.deduplicated(docs))
+    assert len(out) == docs.count() and all(n in out[0] for n in names)
+    twins = docs.where("doc_id = 9").withColumn("text", line_dedup.F.lit("x" * 600))
+    assert len(brute.rows(sharding.shard(twins, 1000))) == 2
+
+
 def test_stages_alone(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (name, step) in enumerate(corpus_pipeline.STAGES):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 
 #: Bytes hashed at once; slices end at white space.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @functools.lru_cache(1)

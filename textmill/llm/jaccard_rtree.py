@@ -65,7 +65,7 @@ def _sets(batches, column: str = "text"):
     """Each batch with the sorted distinct shingle hashes of its texts."""
     import numpy as np
 
-    for batch in text_slices(batches, column, 2 << 20):
+    for batch in text_slices(batches, column):
         h, at = hashed_words(batch.column(column))
         x = np.full(max(0, len(h) - NGRAM + 1), NGRAM, np.uint64)
         for k in range(NGRAM):

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import SPACES, stage
+from textmill.llm.common import SPACES, fresh, stage
 from textmill.llm.postings import shared, width_for
 
 #: Lines from this length in code points on also go for lines one edit away.
@@ -162,11 +162,12 @@ def decide(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the lines that go; ``n_chars``, where there
     is one, follows the text."""
-    d = decide(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("id1"), F.col("dkey").alias("dkey1"), F.col("dropped").alias("dropped1"))
-    d = d.dropDuplicates(["id1", "dkey1"])
-    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("id1")) & (F.xxhash64("doc_id", "text") == F.col("dkey1")), "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("dropped1"), i))
-    same = F.col("dropped1").isNull()
+    id1, dkey1, gone = fresh(["doc_id", "dkey", "dropped"], docs.columns)
+    d = decide(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias(id1), F.col("dkey").alias(dkey1), F.col("dropped").alias(gone))
+    d = d.dropDuplicates([id1, dkey1])
+    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col(id1)) & (F.xxhash64("doc_id", "text") == F.col(dkey1)), "left")
+    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    same = F.col(gone).isNull()
     new = {"text": F.when(same, F.col("text")).otherwise(F.array_join(stays, "\n"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType))

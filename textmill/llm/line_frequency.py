@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import SPACES, stage, words
+from textmill.llm.common import SPACES, fresh, stage, words
 
 WINDOW = 5
 MIN_DOCS = 10
@@ -127,18 +127,18 @@ def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
                     min_left: float = MIN_LEFT) -> DataFrame:
     """The kept rows of ``docs`` without their frequent lines; ``n_chars``,
     where there is one, follows the text."""
+    names = ["doc_id", "host", "tkey", "kept", "gone_hashes"]
+    id1, host1, tkey1, kept1, gone1 = mine = fresh(names, docs.columns)
     verdicts = _judged(docs, min_docs, share, min_words, min_left) \
-        .where(~F.col("kept") | F.col("gone").isNotNull()) \
-        .select(F.col("doc_id").alias("id1"), F.col("host").alias("host1"), F.col("tkey").alias("tkey1"), F.col("kept").alias("kept1"),
-                F.col("gone_hashes").alias("gone1"))
-    verdicts = verdicts.dropDuplicates(["id1", "host1", "tkey1"])
-    same = (F.col("doc_id").eqNullSafe(F.col("id1")) & F.col("source").cast("string").eqNullSafe(F.col("host1"))
-            & (F.xxhash64("text") == F.col("tkey1")))
-    j = docs.join(verdicts, same, "left").where(F.coalesce("kept1", F.lit(True)))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone1"), F.xxhash64(normalised(x))))
-    text = F.when(F.col("gone1").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+        .where(~F.col("kept") | F.col("gone").isNotNull()).select(*[F.col(n).alias(m) for n, m in zip(names, mine)])
+    verdicts = verdicts.dropDuplicates([id1, host1, tkey1])
+    same = (F.col("doc_id").eqNullSafe(F.col(id1)) & F.col("source").cast("string").eqNullSafe(F.col(host1))
+            & (F.xxhash64("text") == F.col(tkey1)))
+    j = docs.join(verdicts, same, "left").where(F.coalesce(kept1, F.lit(True)))
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(gone1), F.xxhash64(normalised(x))))
+    text = F.when(F.col(gone1).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("gone1").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(kind))
+        new["n_chars"] = F.when(F.col(gone1).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(kind))
     return j.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

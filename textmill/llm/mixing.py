@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import HASH_BITS, digest60, stage, word_count
+from textmill.llm.common import HASH_BITS, digest60, fresh, stage, word_count
 from textmill.operators.ordering import BK, dense_index, range_buckets
 
 WEIGHTS = (3, 1, 2)
@@ -114,9 +114,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     src = F.col("source").cast("string")
     sized = stage(docs.select(src.alias("source"), word_count(F.col("text")).alias("size"),
                               digest60("doc_id", "text").alias("h")), "mix-docs")
+    s1, whole, threshold, copy = fresh(["mix_source", "whole", "threshold", "copy"], docs.columns)
     plan = stage(source_plan(sized, weights, share, most), "mix-plan") \
-        .select(F.col("source").alias("mix_source"), F.col("whole").alias("mix_whole"), F.col("threshold").alias("mix_threshold"))
-    copies = F.col("mix_whole") + (digest60("doc_id", "text") < F.col("mix_threshold")).cast("long")
-    return (docs.join(plan, src.eqNullSafe(F.col("mix_source")))
-            .withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-            .select(*[docs[c] for c in docs.columns]))
+        .select(F.col("source").alias(s1), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    copies = F.col(whole) + (digest60("doc_id", "text") < F.col(threshold)).cast("long")
+    return (docs.join(plan, src.eqNullSafe(F.col(s1)))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import HASH_BITS, digest60, stage
+from textmill.llm.common import HASH_BITS, digest60, fresh, stage
 
 #: Bytes a shard may hold.
 LIMIT_BYTES = 1 << 20
@@ -64,46 +64,46 @@ def _name(bits_used: Column, h: Column) -> Column:
     return F.when(bits_used == 0, F.lit("*")).otherwise(F.substr(whole, F.lit(1), bits_used.cast("int")))
 
 
-def _assign(df: DataFrame, tables) -> DataFrame:
-    """Adds ``shard_depth`` and ``shard_bytes`` by looking each hash up in the directories."""
-    depth, size = F.lit(None).cast("int"), F.lit(None).cast("long")
-    for k, (bits, table) in enumerate(tables):
-        t = table.select(F.col("slot").alias(f"slot{k}"), F.col("depth").alias(f"depth{k}"), F.col("shard_bytes").alias(f"bytes{k}"))
-        df = df.join(t, F.shiftright("shard_hash", HASH_BITS - bits) == F.col(f"slot{k}"), "left")
-        depth, size = F.coalesce(depth, F.col(f"depth{k}")), F.coalesce(size, F.col(f"bytes{k}"))
-    drop = [f"{c}{k}" for k in range(len(tables)) for c in ("slot", "depth", "bytes")]
-    return df.withColumn("shard_depth", depth).withColumn("shard_bytes", size).drop(*drop)
+def _assign(df: DataFrame, tables, key: str, depth: str, size: str) -> DataFrame:
+    """Adds ``depth`` and ``size`` (bytes of the shard) by looking each hash up in the directories."""
+    found_depth, found_size, used = F.lit(None).cast("int"), F.lit(None).cast("long"), []
+    for bits, table in tables:
+        slot, d, b = fresh(["slot", "slot_depth", "slot_bytes"], [*df.columns, depth, size])
+        t = table.select(F.col("slot").alias(slot), F.col("depth").alias(d), F.col("shard_bytes").alias(b))
+        df = df.join(t, F.shiftright(key, HASH_BITS - bits) == F.col(slot), "left")
+        found_depth, found_size = F.coalesce(found_depth, F.col(d)), F.coalesce(found_size, F.col(b))
+        used += [slot, d, b]
+    return df.withColumn(depth, found_depth).withColumn(size, found_size).drop(*used)
 
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, step_bits: int = STEP_BITS) -> DataFrame:
-    """The rows of ``docs`` with ``bytes, shard, depth, shard_bytes, oversized``."""
-    names = ["bytes", "shard", "depth", "shard_bytes", "oversized"]
-    docs = docs.drop(*names)
+    """The rows of ``docs`` with ``bytes, shard, depth, shard_bytes, oversized``
+    (in place of columns of those names)."""
+    docs = docs.drop("bytes", "shard", "depth", "shard_bytes", "oversized")
+    out = docs.columns
+    key, over, used, row, first = fresh(["hash", "over", "bits", "row", "first_hash"],
+                                        [*out, "bytes", "shard", "depth", "shard_bytes", "oversized"])
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    keyed = docs.withColumns({"bytes": size, "shard_hash": digest60("doc_id", "text")})
+    keyed = docs.withColumns({"bytes": size, key: digest60("doc_id", "text")})
     rows = stage(docs.select(digest60("doc_id", "text").alias("h"), size.alias("bytes")).where(F.col("bytes") <= limit), "shard-rows")
     tables, rest = directories(rows, limit, step_bits)
     small, alone = keyed.where(F.col("bytes") <= limit), keyed.where(F.col("bytes") > limit)
-    out = docs.columns
-    placed = small
-    if rest is not None:
-        placed = small.join(rest, F.col("shard_hash") == F.col("h"), "left_anti")
-    placed = _assign(placed, tables).select(
-        *out, "bytes", _name(F.col("shard_depth"), F.col("shard_hash")).alias("shard"),
-        F.col("shard_depth").alias("depth"), "shard_bytes", F.lit(False).alias("oversized"))
-    alone = alone.select(*out, "bytes", F.concat(F.lit("alone-"), F.lpad(F.lower(F.hex("shard_hash")), 15, "0")).alias("shard"),
+    full = None if rest is None else rest.select(F.col("h").alias(over))
+    placed = small if full is None else small.join(full, F.col(key) == F.col(over), "left_anti")
+    placed = _assign(placed, tables, key, used, "shard_bytes").select(
+        *out, "bytes", _name(F.col(used), F.col(key)).alias("shard"), F.col(used).alias("depth"), "shard_bytes", F.lit(False).alias("oversized"))
+    alone = alone.select(*out, "bytes", F.concat(F.lit("alone-"), F.lpad(F.lower(F.hex(key)), 15, "0")).alias("shard"),
                          F.lit(HASH_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), F.lit(True).alias("oversized"))
     placed = placed.unionByName(alone)
-    if rest is not None:
+    if full is not None:
         # equal hashes: number the rows once, then split on the bits of a hash of that number
-        twins = small.join(rest, F.col("shard_hash") == F.col("h"), "left_semi").withColumn("row", F.monotonically_increasing_id())
-        twins = stage(twins, "shard-twins")
-        twins = twins.withColumnRenamed("shard_hash", "first_hash").withColumn("shard_hash", F.lit(0).cast("long"))
-        twins = stage(twins.withColumn("shard_hash", digest60(F.col("first_hash").cast("string"), F.col("row").cast("string"))), "shard-twins")
-        more, _ = directories(twins.select(F.col("shard_hash").alias("h"), "bytes"), limit, step_bits)
-        split = _assign(twins, more).select(
-            *out, "bytes", F.concat(F.lit("twins-"), _name(F.col("shard_depth"), F.col("shard_hash"))).alias("shard"),
-            (F.col("shard_depth") + HASH_BITS).alias("depth"), "shard_bytes", F.lit(False).alias("oversized"))
+        twins = stage(small.join(full, F.col(key) == F.col(over), "left_semi").withColumn(row, F.monotonically_increasing_id()), "shard-twins")
+        twins = twins.withColumnRenamed(key, first)
+        twins = twins.withColumn(key, digest60(first, row))
+        more, _ = directories(stage(twins.select(F.col(key).alias("h"), "bytes"), "shard-rows"), limit, step_bits)
+        split = _assign(twins, more, key, used, "shard_bytes").select(
+            *out, "bytes", F.concat(F.lit("twins-"), _name(F.col(used), F.col(key))).alias("shard"),
+            (F.col(used) + HASH_BITS).alias("depth"), "shard_bytes", F.lit(False).alias("oversized"))
         placed = placed.unionByName(split)
     return placed
 
