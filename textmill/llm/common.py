@@ -85,6 +85,27 @@ def text_slices(batches, column: str = "text", most: int = 1 << 20):
             at = to
 
 
+def trimmed(run):
+    """``run``, an Arrow function of a partition, that hands the memory it has
+    freed back to the system when it ends: Python workers idle on for a while,
+    beside tasks that need it."""
+    def run_and_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run_and_trim
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)``: the smallest node reachable over ``edges``.
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices
+from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices, trimmed
 from textmill.llm.wu_manber import fold_words
 
 #: Training texts of either label, and their largest size in bytes.
@@ -239,7 +239,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                                               pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, spans array<struct<start: bigint, end: bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {id_type}, score double, spans array<struct<start: bigint, end: bigint>>")
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model:

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, fresh, stage, text_slices
+from textmill.llm.common import components, fresh, stage, text_slices, trimmed
 from textmill.llm.hashed_words import hashed_words, mix
 from textmill.llm.postings import shared, width_for
 
@@ -170,7 +170,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return stage(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), "text").mapInArrow(
-        run, f"doc_id {id_type}, dkey long, n long, ref long, band int, own int, lower int, counts binary"), "jaccard-classes")
+        trimmed(run), f"doc_id {id_type}, dkey long, n long, ref long, band int, own int, lower int, counts binary"), "jaccard-classes")
 
 
 def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     side = lambda s: vectors.select(F.col("ref").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(F.least("na", "nb"), F.col("na") + F.col("nb")))
-    return rows.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ca", "cb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ca", "cb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     refs = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
     one = stage(classes.join(refs, "ref").groupBy("ref").agg(F.min("dkey").alias("dkey")).select("dkey"), "jaccard-wanted")
     text = docs.select(F.xxhash64("doc_id", "text").alias("dkey"), "text").join(one, "dkey").dropDuplicates(["dkey"])
-    sets = stage(text.select("text").mapInArrow(run, "ref long, members array<long>"), "jaccard-sets")
+    sets = stage(text.select("text").mapInArrow(trimmed(run), "ref long, members array<long>"), "jaccard-sets")
     side = lambda s: sets.select(F.col("ref").alias(s), F.col("members").alias(f"m{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("ma", "mb"))
@@ -366,7 +366,7 @@ def _tree_pairs(members: DataFrame, width: int) -> DataFrame:
             yield pairs(held)
 
     return (members.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(trimmed(run), "a long, b long").distinct())
 
 
 def _open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:

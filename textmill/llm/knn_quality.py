@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices
+from textmill.llm.common import labelled_sample, left_out, text_bytes, text_slices, trimmed
 
 #: Labelled texts of either label, and their largest size in bytes.
 PER_CLASS = 2048
@@ -148,7 +148,7 @@ def document_frequencies(docs: DataFrame):
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(np.r_[held[at], n], pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(trimmed(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(TERMS), 0
     for term, n in rows:
         if term < 0:
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                              names=["doc_id", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {id_type}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Model:

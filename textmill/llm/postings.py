@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from textmill.llm.common import stage
+from textmill.llm.common import stage, trimmed
 
 #: Postings that a task sorts at once, before the shuffle and about as many after it.
 POSTINGS = 1_000_000
@@ -102,5 +102,5 @@ def shared(df: DataFrame, emit, width: int, name: str) -> DataFrame:
             several = np.bincount(run, minlength=len(starts))[run] > 1
             yield pa.RecordBatch.from_arrays([as_long(k[several]), pa.array(r[starts][run][several]), pa.array(r[several])], names=names)
 
-    posted = df.mapInArrow(post, "bucket int, keys binary, refs binary, run_keys binary, run_leaders binary, run_refs binary")
-    return stage(posted.repartition(width, "bucket").mapInArrow(meet, "key long, leader long, ref long"), name)
+    posted = df.mapInArrow(trimmed(post), "bucket int, keys binary, refs binary, run_keys binary, run_leaders binary, run_refs binary")
+    return stage(posted.repartition(width, "bucket").mapInArrow(trimmed(meet), "key long, leader long, ref long"), name)

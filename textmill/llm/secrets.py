@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import stage, text_slices
+from textmill.llm.common import stage, text_slices, trimmed
 
 #: Greatest distance of the starts of two linked parts.
 REACH = 400
@@ -112,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span = "kind: string, start: bigint, end: bigint"
     found = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, base array<struct<{span}>>, parts array<struct<{span}, role: string, scope: bigint, weak: boolean>>")
+        trimmed(run), f"doc_id {id_type}, base array<struct<{span}>>, parts array<struct<{span}, role: string, scope: bigint, weak: boolean>>")
     return stage(found.withColumn("rid", F.monotonically_increasing_id()), "secret-parts")
 
 

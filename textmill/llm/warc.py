@@ -30,7 +30,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import text_bytes
+from textmill.llm.common import text_bytes, trimmed
 
 #: Payloads from this size on become revisits.
 MIN_REVISIT_BYTES = 0
@@ -86,7 +86,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> No
                    for i, url, to, again, raw in zip(*cols, text_bytes(batch.column("html"))))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    (j.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    (j.mapInArrow(trimmed(run), "value binary").select(F.col("value").cast("string"))
      .write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
@@ -225,7 +225,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     yield pack(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where("length > 0").select("path", "content").mapInArrow(run, schema)
+    return files.where("length > 0").select("path", "content").mapInArrow(trimmed(run), schema)
 
 
 def page_records(archive: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import fresh, stage, text_bytes, text_slices
+from textmill.llm.common import fresh, stage, text_bytes, text_slices, trimmed
 
 WINDOW = 13
 BLOCK = 3
@@ -148,7 +148,7 @@ def _search(docs: DataFrame, part, window: int, names: list) -> DataFrame:
                 pa.array([[{"start": s, "end": e} for s, e in x] for x, _ in found], span),
                 pa.array([sorted(own) for _, own in found], pa.list_(pa.string()))], names=columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 @F.udf(T.ArrayType(SPAN))
