@@ -19,7 +19,7 @@ REQUIRED_CONF = {
     # partial, pre-shuffle WindowGroupLimit
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # whole texts and archives pass through Arrow: bound a batch by its bytes
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
