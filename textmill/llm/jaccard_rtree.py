@@ -51,6 +51,8 @@ GROUPS = 256
 BAND = 1.5
 #: Members of a block that one task indexes; larger blocks are dealt out as pairs of chunks.
 CHUNK = 4096
+#: Parts in which the documents of one component are joined to its id.
+SALTS = 16
 #: Children of an R-tree node.
 FANOUT = 16
 #: In blocks up to this size every pair is compared, without a tree.
@@ -420,10 +422,13 @@ def groups(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``: the size of its set
     and the smallest id that links reach from it, itself included."""
     g = stage(_grouped(docs.select("doc_id", "text")), "jaccard-groups")
-    least = g.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return (g.join(least, "comp", "left")
+    # only components of several documents are joined back, in salted copies: one may hold a third of all rows
+    least = g.where("n > 0").groupBy(F.col("comp").alias("comp1")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
+    least = least.where("held > 1").withColumn("salt1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = (F.col("n") > 0) & (F.col("comp") == F.col("comp1")) & (F.pmod("dkey", F.lit(SALTS)) == F.col("salt1"))
+    return (g.join(least, mine, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("held").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
