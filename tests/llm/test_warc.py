@@ -100,6 +100,49 @@ def test_salvage_recovers_all_other_records(packed, how):
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
+def test_salvage_whatever_the_file_began_with():
+    parts = archive(12, True)
+    names = [f"<urn:page:{i}>" for i in range(12)]
+    assert ids(b"garbage\r\n\x1f\x8b\x08 more WARC/1.1\r\n" + b"".join(parts)) == names
+    assert ids(b"XXXX" + parts[0][4:] + b" WARC/1.1\r\n" + b"".join(parts[1:])) == names[1:]
+    plain = archive(12, False)
+    bad = plain[3][:60] + b"#" + plain[3][61:-5]
+    mixed = b"".join([*plain[:3], bad, *parts[4:8], b"noise", *plain[8:]])
+    assert [n for n in ids(mixed)] == names[:3] + names[4:]
+
+
+def spans_apart(got):
+    spans = sorted({(x[1], x[2]) for x in got})
+    return all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_salvage_inside_a_member():
+    plain, parts = archive(12, False), archive(12, True)
+    names = [f"<urn:page:{i}>" for i in range(12)]
+    # one wrong digest, also of a record that holds a record; a lost version line
+    for hit, change in ((5, lambda p: p[:-200] + b"\x01" + p[-199:]), (6, lambda p: p[:-200] + b"\x01" + p[-199:]), (7, lambda p: b"X" + p[1:])):
+        stream = gzip.compress(b"".join(change(p) if i == hit else p for i, p in enumerate(plain[:10])), mtime=0)
+        data = stream + b"".join(parts[10:])
+        got = list(warc.salvage(data))
+        assert ids(data) == [n for i, n in enumerate(names) if i != hit]
+        assert [x[1:3] for x in got if x[0] == "gap"] == [(0, len(stream))] and spans_apart(got)
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_a_broken_member(level):
+    plain, parts = archive(40, False), archive(42, True)[40:]
+    stream = gzip.compress(b"".join(plain), level, mtime=0)
+    for k in (len(stream) // 3, len(stream) // 2, len(stream) - 2000):
+        for broken in (stream[:k], stream[:k] + b"\xff" * 40 + stream[k + 40:]):
+            for data in (broken, broken + b"".join(parts)):
+                got, found = list(warc.salvage(data)), ids(data)
+                whole = sum(len(p) for p in plain) * k // len(stream)
+                before = sum(sum(map(len, plain[:i + 2])) < whole * 0.9 for i in range(40))
+                assert found[:before] == [f"<urn:page:{i}>" for i in range(before)] and before > 5
+                assert len(set(found)) == len(found) and spans_apart(got) and [x for x in got if x[0] == "gap"]
+                assert data is broken or found[-2:] == ["<urn:page:40>", "<urn:page:41>"]
+
+
 def test_gaps_reach_the_log(spark):
     path = tempfile.mkdtemp(prefix="warc-")
     parts = archive(10, True)

@@ -8,9 +8,17 @@ revisit records that refer to it.
 
 :func:`read` takes archives of gzip members or of plain records.  Of every
 record the framing (version line, headers, length, end) and the digests are
-checked.  After a failed check it looks for the next member or version line
-that starts a valid record, goes on from there, and reports the bytes between
-as a quarantined gap with the reason of the first failure.
+checked.  After a failed check it looks for the next member or version line,
+whichever is nearer and however the file began, that starts a valid record,
+goes on from there, and reports the bytes between as a quarantined gap with the
+reason of the first failure.  A record with a wrong digest whose framing leads
+to the next one is passed over as a whole.
+
+A member may hold many records.  The valid ones are taken from what can be
+unpacked of it, also behind a bad one; a gap with the span of these records says
+that the member lost others.  Of a member that does not unpack to its end only
+records with a block digest and the version line of the next one behind them
+count, and what follows the failure in its compressed stream is lost.
 
 Defined results: a null html is an empty payload; a null id is written as
 ``none`` and read back as null; rows that repeat the largest id of a payload are
@@ -40,6 +48,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x03\0" + b"\0" * 8
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Where a member or a plain record may start.
+MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 #: Longest head of a record, and the bytes unpacked at once.
 HEAD_BYTES = 1 << 16
 STEP = 1 << 14
@@ -92,25 +102,49 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> No
 
 
 class Broken(Exception):
-    """A failed check; its text is the reason."""
+    """A failed check; its text is the reason.  ``end`` is the end of a record
+    whose framing holds up to the next one."""
 
+    def __init__(self, reason: str, end=None):
+        super().__init__(reason)
+        self.end = end
 
-def unpack(view: memoryview, at: int) -> tuple:
-    """Content and end of the gzip member at ``at``."""
-    d, out = zlib.decompressobj(31), []
+
+def unpack(view: memoryview, start: int) -> tuple:
+    """Content of the gzip member at ``start``, its end and None; of a broken
+    member what comes before the failure, None and the reason."""
+    d, out, at = zlib.decompressobj(31), [], start
     try:
         while not d.eof:
             if at >= len(view):
-                raise Broken("truncated member")
+                return b"".join(out), None, "truncated member"
             out.append(d.decompress(view[at:at + STEP]))
             at += STEP
     except zlib.error:
-        raise Broken("damaged member") from None
-    return b"".join(out), min(at, len(view)) - len(d.unused_data)
+        # a failed call gives nothing: once more up to it, then byte by byte
+        d = zlib.decompressobj(31)
+        for k in range(start, at, STEP):
+            d.decompress(view[k:k + STEP])
+        try:
+            for k in range(at, min(at + STEP, len(view))):
+                out.append(d.decompress(view[k:k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None, "damaged member"
+    return b"".join(out), min(at, len(view)) - len(d.unused_data), None
+
+
+def reached(view: memoryview, at: int, size: int) -> int:
+    """Where the first ``size`` bytes of the member at ``at`` are unpacked."""
+    d = zlib.decompressobj(31)
+    while size:
+        size -= len(d.decompress(view[at:at + STEP], size))
+        at += len(view[at:at + STEP]) - len(d.unconsumed_tail)
+    return at
 
 
-def parse(data: bytes, at: int = 0) -> tuple:
-    """The record at ``at`` as a dict, and its end."""
+def parse(data: bytes, at: int = 0, strict: bool = False) -> tuple:
+    """The record at ``at`` as a dict, and its end; ``strict`` ones need a block digest."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
     top = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
@@ -128,62 +162,87 @@ def parse(data: bytes, at: int = 0) -> tuple:
     begin, end = top + 4, top + 4 + int(size)
     if data[end:end + 4] != b"\r\n\r\n":
         raise Broken("wrong length")
+    after = end + 4 if end + 4 == len(data) or MARK.match(data, end + 4) else None
     block, kind = data[begin:end], head.get("warc-type", "")
     sha = head.get("warc-block-digest", "")
+    if strict and not sha.startswith("sha1:"):
+        raise Broken("no block digest", after)
     if sha.startswith("sha1:") and sha[5:] != digest(block):
-        raise Broken("wrong block digest")
+        raise Broken("wrong block digest", after)
     payload = block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
     sha = head.get("warc-payload-digest", "")
     if kind == "response" and sha.startswith("sha1:") and sha[5:] != digest(payload):
-        raise Broken("wrong payload digest")
+        raise Broken("wrong payload digest", after)
     return {"record_id": head.get("warc-record-id"), "record_type": kind, "refers_to": head.get("warc-refers-to"),
             "target_uri": head.get("warc-target-uri"), "payload_digest": sha[5:] or None, "payload": payload}, end + 4
 
 
+def inside(content: bytes, whole: bool) -> tuple:
+    """The valid records in the content of a member, the end of the last one,
+    and the reason of the first failure or None."""
+    records, last, why, k, sure = [], 0, None, 0, True
+    while k < len(content):
+        try:
+            r, end = parse(content, k, not whole)
+            if not whole and not VERSION.match(content, end):
+                raise Broken("broken behind")
+            # after a failure, not one that stands inside a payload
+            if sure or content[k - 4:k] == b"\r\n\r\n" or VERSION.match(content, end) or whole and end == len(content):
+                records.append(r)
+                k = last = end
+                sure = True
+                continue
+            after = None
+        except Broken as e:
+            why, after = why or str(e), e.end
+        sure = after is not None
+        if after is None:
+            m = VERSION.search(content, k + 1)
+            after = m.start() if m else len(content)
+        k = after
+    return records, last, why
+
+
 def salvage(data: bytes):
     """``("record", offset, length, record)`` and ``("gap", offset, length, reason)`` of an archive, in order."""
-    packed = data.startswith(MAGIC) or (not VERSION.match(data) and VERSION.search(data) is None)
-    view, at, gap, why = memoryview(data), 0, None, ""
-
-    def good(pos: int):
-        """The records of the member, or the record, at ``pos``, and its end."""
-        if not packed:
-            r, end = parse(data, pos)
-            return [r], end
+    view, at, gap, why, held = memoryview(data), 0, None, "", []
+
+    def look(pos: int):
+        """Records at ``pos``, their end (None: to be searched), from where to search, the reason of a failure."""
         if data[pos:pos + 3] != MAGIC:
-            raise Broken("no member")
-        content, end = unpack(view, pos)
-        records, k = [], 0
-        while k < len(content):
-            r, k = parse(content, k)
-            records.append(r)
-        return records, end
+            try:
+                r, end = parse(data, pos)
+            except Broken as e:
+                return [], e.end, pos + 1, str(e)
+            return [r], end, end, None
+        content, end, broken = unpack(view, pos)
+        records, last, fault = inside(content, broken is None)
+        return records, end, max(pos + 1, reached(view, pos, last)) if broken else end, broken or fault
+
+    def close(end: int):
+        for r in held:
+            yield "record", gap, end - gap, r
+        yield "gap", gap, end - gap, why
 
     while at < len(data):
-        try:
-            records, end = good(at)
-        except Broken as e:
-            if gap is None:
-                gap, why = at, str(e)
-            if packed:
-                at = data.find(MAGIC, at + 1)
-            else:
-                m = VERSION.search(data, at + 1)
-                at = m.start() if m else -1
-            if at < 0:
-                break
-            continue
-        if gap is not None:
-            if not records:  # an empty member proves nothing
-                at = end
-                continue
-            yield "gap", gap, at - gap, why
+        records, end, search, fault = look(at)
+        if gap is not None and records:  # an empty member proves nothing
+            yield from close(at)
             gap = None
-        for r in records:
-            yield "record", at, end - at, r
+        if fault is None:
+            for r in records:
+                yield "record", at, end - at, r
+        elif gap is None:
+            gap, why, held = at, fault, records
+            if end is not None and records:
+                yield from close(end)
+                gap = None
+        if end is None:
+            m = MARK.search(data, search)
+            end = m.start() if m else len(data)
         at = end
     if gap is not None:
-        yield "gap", gap, len(data) - gap, why
+        yield from close(len(data))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
