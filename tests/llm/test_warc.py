@@ -50,6 +50,20 @@ def test_edges_and_payloads(spark):
     round_trip(spark, pages.limit(0))
 
 
+def test_long_addresses(spark):
+    long = "http://h/" + "a b" * 30_000 + "é" * 5_000
+    rows = [(1, long, "x", 1), (2, long, "same", 4), (3, "u", "same", 4), (4, "v", None, 0), (5, long + "c" * 60_000, "same", 4)]
+    back = brute.rows(round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")))
+    uris = {r["record_id"]: r["target_uri"] for r in back}
+    assert uris["<urn:page:1>"] == long.replace(" ", "%20") and len(uris["<urn:page:5>"]) > 200_000
+
+
+def test_heads_without_an_end():
+    plain = archive(4, False)
+    cut = plain[1][:60] + b"\r\n"
+    assert ids(plain[0] + cut + plain[2] + plain[3]) == [f"<urn:page:{i}>" for i in (0, 2, 3)]
+
+
 def archive(n, packed, seed=1):
     r = random.Random(seed)
     out = []

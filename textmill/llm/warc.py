@@ -50,8 +50,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Where a member or a plain record may start.
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Longest head of a record, and the bytes unpacked at once.
-HEAD_BYTES = 1 << 16
+#: Bytes unpacked at once.
 STEP = 1 << 14
 #: Records in one archive file.
 RECORDS_PER_FILE = 20_000
@@ -103,11 +102,12 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> No
 
 class Broken(Exception):
     """A failed check; its text is the reason.  ``end`` is the end of a record
-    whose framing holds up to the next one."""
+    whose framing holds up to the next one.  Version lines before ``dead``
+    share the lines that failed, so none of them starts a record."""
 
-    def __init__(self, reason: str, end=None):
+    def __init__(self, reason: str, end=None, dead: int = 0):
         super().__init__(reason)
-        self.end = end
+        self.end, self.dead = end, dead
 
 
 def unpack(view: memoryview, start: int) -> tuple:
@@ -147,21 +147,21 @@ def parse(data: bytes, at: int = 0, strict: bool = False) -> tuple:
     """The record at ``at`` as a dict, and its end; ``strict`` ones need a block digest."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
-    top = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
-    if top < 0:
-        raise Broken("unfinished head")
-    head = {}
-    for line in data[at:top].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    head, line = {}, data.find(b"\r\n", at) + 2
+    while (top := data.find(b"\r\n", line)) != line:
+        if top < 0:
+            raise Broken("unfinished head", dead=len(data))
+        name, colon, value = data[line:top].partition(b":")
         if not colon:
-            raise Broken("damaged head")
+            raise Broken("damaged head", dead=line)
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        line = top + 2
     size = head.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", size):
-        raise Broken("no length")
-    begin, end = top + 4, top + 4 + int(size)
+        raise Broken("no length", dead=top)
+    begin, end = top + 2, top + 2 + int(size)
     if data[end:end + 4] != b"\r\n\r\n":
-        raise Broken("wrong length")
+        raise Broken("wrong length", dead=top)
     after = end + 4 if end + 4 == len(data) or MARK.match(data, end + 4) else None
     block, kind = data[begin:end], head.get("warc-type", "")
     sha = head.get("warc-block-digest", "")
@@ -192,12 +192,12 @@ def inside(content: bytes, whole: bool) -> tuple:
                 k = last = end
                 sure = True
                 continue
-            after = None
+            after, dead = None, 0
         except Broken as e:
-            why, after = why or str(e), e.end
+            why, after, dead = why or str(e), e.end, e.dead
         sure = after is not None
         if after is None:
-            m = VERSION.search(content, k + 1)
+            m = VERSION.search(content, max(dead, k + 1))
             after = m.start() if m else len(content)
         k = after
     return records, last, why
@@ -205,14 +205,16 @@ def inside(content: bytes, whole: bool) -> tuple:
 
 def salvage(data: bytes):
     """``("record", offset, length, record)`` and ``("gap", offset, length, reason)`` of an archive, in order."""
-    view, at, gap, why, held = memoryview(data), 0, None, "", []
+    view, at, gap, why, held, dead = memoryview(data), 0, None, "", [], 0
 
     def look(pos: int):
         """Records at ``pos``, their end (None: to be searched), from where to search, the reason of a failure."""
+        nonlocal dead
         if data[pos:pos + 3] != MAGIC:
             try:
                 r, end = parse(data, pos)
             except Broken as e:
+                dead = max(dead, e.dead)
                 return [], e.end, pos + 1, str(e)
             return [r], end, end, None
         content, end, broken = unpack(view, pos)
@@ -239,6 +241,8 @@ def salvage(data: bytes):
                 gap = None
         if end is None:
             m = MARK.search(data, search)
+            while m and m.start() < dead and m[0] != MAGIC:
+                m = MARK.search(data, m.end())
             end = m.start() if m else len(data)
         at = end
     if gap is not None:
