@@ -105,3 +105,22 @@ def test_shards_edges(spark):
         sums[r["shard"]] += 100
         assert r["shard"].startswith("twins-")
     assert sum(sums.values()) == 5000 and max(sums.values()) <= 1000
+
+
+def test_repeated_oversized_rows_get_shards_of_their_own(spark):
+    rows = [(1, "x" * 500, "en", "s", k) for k in range(7)] + [(2, "x" * 500, "en", "s", 7), (3, "y" * 600, "en", "s", 8), (None, "z" * 401, "en", "s", 9)] * 2
+    rows += [(4, "w" * 700, "en", "s", 10), (5, "small", "en", "s", 11)] + [(6, "v" * 90, "en", "s", 12)] * 9
+    docs = spark.createDataFrame(rows, brute.DOCS).repartition(5)
+    got = brute.rows(sharding.shard(docs, 400))
+    assert brute.key_counts(got, docs.columns) == brute.key_counts(brute.rows(docs), docs.columns)
+    sums, members = defaultdict(int), defaultdict(int)
+    for r in got:
+        sums[r["shard"]] += len(r["text"])
+        members[r["shard"]] += 1
+    for r in got:
+        assert r["shard_bytes"] == sums[r["shard"]] and r["oversized"] == (len(r["text"]) > 400)
+        assert members[r["shard"]] == 1 if r["oversized"] else sums[r["shard"]] <= 400
+    # a hash of one row is the whole name
+    assert [r["shard"].count("-") for r in got if r["doc_id"] == 4] == [1]
+    mixed = spark.createDataFrame([(8, "a b " * 200, "en", "s", 800)], brute.DOCS)
+    assert len({r["shard"] for r in brute.rows(sharding.shard(mixed.unionByName(mixed), 400))}) == 2

@@ -8,10 +8,11 @@ shorter prefix, and keeps the shortest prefix that fits; the next pass looks
 only at prefixes that are still too large.
 
 Defined results: a null text has 0 bytes; a document larger than the limit by
-itself can't share a shard and gets its own (``oversized``); rows equal in id
-and text have equal hashes, so when all 60 bits are used up and they still
-exceed the limit, they split on the bits of a number given to each row; an
-empty table has no shards; other columns are kept.
+itself can't share a shard and gets its own (``oversized``), named after its
+hash and, where rows have equal hashes, after a number given to each row; rows
+equal in id and text have equal hashes, so when all 60 bits are used up and
+they still exceed the limit, they split on the bits of such a number; an empty
+table has no shards; other columns are kept.
 """
 
 from __future__ import annotations
@@ -85,16 +86,25 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, step_bits: int = STEP_BITS)
                                         [*out, "bytes", "shard", "depth", "shard_bytes", "oversized"])
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     keyed = docs.withColumns({"bytes": size, key: digest60("doc_id", "text")})
-    rows = stage(docs.select(digest60("doc_id", "text").alias("h"), size.alias("bytes")).where(F.col("bytes") <= limit), "shard-rows")
-    tables, rest = directories(rows, limit, step_bits)
+    rows = stage(docs.select(digest60("doc_id", "text").alias("h"), size.alias("bytes")), "shard-rows")
+    tables, rest = directories(rows.where(F.col("bytes") <= limit), limit, step_bits)
+    again = rows.where(F.col("bytes") > limit).groupBy(F.col("h").alias(over)).count().where("count > 1").select(over)
     small, alone = keyed.where(F.col("bytes") <= limit), keyed.where(F.col("bytes") > limit)
     full = None if rest is None else rest.select(F.col("h").alias(over))
     placed = small if full is None else small.join(full, F.col(key) == F.col(over), "left_anti")
     placed = _assign(placed, tables, key, used, "shard_bytes").select(
         *out, "bytes", _name(F.col(used), F.col(key)).alias("shard"), F.col(used).alias("depth"), "shard_bytes", F.lit(False).alias("oversized"))
-    alone = alone.select(*out, "bytes", F.concat(F.lit("alone-"), F.lpad(F.lower(F.hex(key)), 15, "0")).alias("shard"),
-                         F.lit(HASH_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), F.lit(True).alias("oversized"))
-    placed = placed.unionByName(alone)
+    name = [F.lit("alone"), F.lpad(F.lower(F.hex(key)), 15, "0")]
+    own = lambda rows, *name: rows.select(
+        *out, "bytes", F.concat_ws("-", *name).alias("shard"), F.lit(HASH_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"),
+        F.lit(True).alias("oversized"))
+    if again.isEmpty():
+        placed = placed.unionByName(own(alone, *name))
+    else:
+        again = stage(again, "shard-again")
+        once = alone.join(again, F.col(key) == F.col(over), "left_anti")
+        more = stage(alone.join(again, F.col(key) == F.col(over), "left_semi").withColumn(row, F.monotonically_increasing_id()), "shard-alone")
+        placed = placed.unionByName(own(once, *name)).unionByName(own(more, *name, F.col(row).cast("string")))
     if full is not None:
         # equal hashes: number the rows once, then split on the bits of a hash of that number
         twins = stage(small.join(full, F.col(key) == F.col(over), "left_semi").withColumn(row, F.monotonically_increasing_id()), "shard-twins")
