@@ -2,7 +2,8 @@
 
 A text's set holds the hashes of its distinct five-word shingles.  Two texts
 link when their sets' Jaccard similarity is at least ``PERCENT`` / 100.  The
-join is exact; links between different texts are all taken into account:
+join is exact for components: no component is lost, but :func:`links` gives a
+subset of the links that connects each, not every linked pair:
 
 1. Texts with equal sets fall into one class; the rest works on classes.
 2. Blocks.  Linked sets a, b differ in at most (a + b) / 9 shingles.  Shingles
