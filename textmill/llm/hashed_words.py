@@ -22,7 +22,10 @@ def _tables():
     values[0x41:0x5B] = values[0x61:0x7B]
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    return values, space
+    # ASCII other than digits and letters
+    plain = np.ones(256, bool)
+    plain[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+    return values, space, plain
 
 
 #: Odd; its inverse takes a word's place in the slice out of its hash again.
@@ -52,19 +55,32 @@ def mix(x):
     return x ^ (x >> np.uint64(32))
 
 
-def hashed_words(column):
-    """``(hashes, offsets)``: the words' hashes, those of row i at ``offsets[i]:offsets[i + 1]``; null rows have none."""
+def buffers(column):
+    """``(bounds, data)`` of an Arrow string column: row i is ``data[bounds[i]:bounds[i + 1]]``; null rows are empty."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    values, space = _tables()
     column = pc.fill_null(column, "").cast(pa.large_binary())
     n = len(column)
     _, bounds, data = column.buffers()
-    bounds = np.frombuffer(bounds, np.int64)[column.offset:column.offset + n + 1]
-    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-    hashes, places, at, end = [], [], int(bounds[0]), int(bounds[-1])
+    bounds = np.frombuffer(bounds, np.int64)[column.offset:column.offset + n + 1] if n else np.zeros(1, np.int64)
+    return bounds, np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
+def hashed_words(column, terms: bool = False, spans: bool = False):
+    """``(hashes, offsets)``: the words' hashes, those of row i at ``offsets[i]:offsets[i + 1]``; null rows have none.
+
+    With ``terms`` the words are runs of ASCII digits and letters and of bytes
+    from 0x80 up instead.  With ``spans`` the words' first and last places in
+    the column's data follow."""
+    import numpy as np
+
+    values, space, plain = _tables()
+    space = plain if terms else space
+    n = len(column)
+    bounds, data = buffers(column)
+    hashes, places, lasts, at, end = [], [], [], int(bounds[0]), int(bounds[-1])
     while at < end:
         size = SLICE
         while True:
@@ -91,8 +107,12 @@ def hashed_words(column):
             h = (sums[ends] - sums[starts] + terms[starts]) * inverse[starts]
             hashes.append(mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
             places.append(starts + at)
+            lasts.append(ends + at)
         at = to
     if not hashes:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    row = np.searchsorted(bounds, np.concatenate(places), "right") - 1
-    return np.concatenate(hashes), np.r_[0, np.cumsum(np.bincount(row, minlength=n)[:n])]
+        none = np.empty(0, np.int64)
+        return (np.empty(0, np.uint64), np.zeros(n + 1, np.int64)) + (none, none) * spans
+    places = np.concatenate(places)
+    row = np.searchsorted(bounds, places, "right") - 1
+    out = np.concatenate(hashes), np.r_[0, np.cumsum(np.bincount(row, minlength=n)[:n])]
+    return (*out, places, np.concatenate(lasts)) if spans else out

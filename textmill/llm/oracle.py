@@ -153,6 +153,22 @@ c AS (SELECT a, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP B
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c ON c.a = d.rid LEFT JOIN n USING (rid)
 """
 
+_TERMS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS t FROM benchmark),
+g AS (SELECT count_if(len(t) > 0)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, n_docs),
+q AS (SELECT iid, term, count(*) AS q FROM (SELECT iid, unnest(t) AS term FROM i) GROUP BY ALL),
+m AS (SELECT rid, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM d, g WHERE len(t) > 0),
+s AS (SELECT iid, rid, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY iid, rid),
+r AS (SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 20
+"""
+
 SQL: dict[str, str] = {
     "op1_warc_salvage": WARC,
     "op2_credential_links": SECRETS,
@@ -161,4 +177,5 @@ SQL: dict[str, str] = {
     "op5_wu_manber": BENCHMARK,
     "op6_extendible_shards": SHARDS,
     "op7_jaccard_rtree": JACCARD,
+    "op13_lexical_search": LEXICAL,
 }
