@@ -169,6 +169,29 @@ r AS (SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY sc
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 20
 """
 
+#: crc32 of a number's decimal digits, a bit at a time.
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+TRIE = f"""
+WITH t AS (SELECT conv_id, role, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || txt)) AS p
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, p AS d, role, txt FROM c JOIN t ON t.conv_id = c.base WHERE p <= h
+      UNION ALL SELECT conv_id, least(h, coalesce(n, 0)) + p - h, role, txt FROM t JOIN c USING (conv_id) LEFT JOIN b USING (base) WHERE p > h),
+k AS (SELECT conv_id, d, txt, string_agg(strlen(role) || ':' || role || strlen(txt) || ':' || txt, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r
+      UNION ALL SELECT conv_id, 0, '', '' FROM c),
+v AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(len({_words('txt')})) AS words FROM k GROUP BY d, key),
+u AS (SELECT v.*, w.conv_id AS parent_conv_id, w.key AS up FROM v LEFT JOIN k ON k.conv_id = v.conv_id AND k.d = v.d - 1 LEFT JOIN v w ON w.d = k.d AND w.key = k.key),
+n AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM u GROUP BY ALL) USING (d, key)),
+s AS (SELECT k.d, k.key, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+      FROM n JOIN k ON k.conv_id = n.conv_id AND k.d <= n.d GROUP BY ALL),
+e AS (SELECT d, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN (SELECT conv_id, max(d) AS d FROM k GROUP BY conv_id) USING (conv_id, d) GROUP BY d, key)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN s USING (d, key) LEFT JOIN e USING (d, key)
+"""
+
 SQL: dict[str, str] = {
     "op1_warc_salvage": WARC,
     "op2_credential_links": SECRETS,
@@ -177,5 +200,6 @@ SQL: dict[str, str] = {
     "op5_wu_manber": BENCHMARK,
     "op6_extendible_shards": SHARDS,
     "op7_jaccard_rtree": JACCARD,
+    "op12_prefix_trie": TRIE,
     "op13_lexical_search": LEXICAL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import crf, jaccard_rtree, knn_quality, lexical, line_dedup, line_frequency, mixing, secrets, sharding, warc, wu_manber
+from textmill.llm import crf, jaccard_rtree, knn_quality, lattice, lexical, line_dedup, line_frequency, mixing, prefix_trie, secrets, sharding, warc, wu_manber
 from textmill.llm.common import left_out, stage
 from textmill.session import scratch_path
 from textmill.sources.tables import table
@@ -65,10 +65,18 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", left_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), left_out(7, 2))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(table(spark, sf_dir, "documents"))
     return lexical.search(index, table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_credential_links, op3_line_frequency, op4_mix_sources, op5_wu_manber, op6_extendible_shards,
-                                   op7_jaccard_rtree, op8_line_dedup, op9_crf_toxicity, op10_knn_quality, op13_lexical_search)}
+                                   op7_jaccard_rtree, op8_line_dedup, op9_crf_toxicity, op10_knn_quality, op11_subword_lattice, op12_prefix_trie, op13_lexical_search)}
