@@ -50,6 +50,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Where a member or a plain record may start.
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: Head lines that a record may have more than once.
+REPEATED = {"warc-concurrent-to"}
 #: Bytes unpacked at once.
 STEP = 1 << 14
 #: Records in one archive file.
@@ -147,15 +149,22 @@ def parse(data: bytes, at: int = 0, strict: bool = False) -> tuple:
     """The record at ``at`` as a dict, and its end; ``strict`` ones need a block digest."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
-    head, line = {}, data.find(b"\r\n", at) + 2
+    head, line, inner = {}, data.find(b"\r\n", at) + 2, 0
     while (top := data.find(b"\r\n", line)) != line:
         if top < 0:
             raise Broken("unfinished head", dead=len(data))
         name, colon, value = data[line:top].partition(b":")
         if not colon:
             raise Broken("damaged head", dead=line)
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        # a head that was cut within a line goes on as the next record's
+        inner = m.start() if (m := VERSION.search(data, line, top + 2)) else inner
+        if name in head and name not in REPEATED:
+            raise Broken("merged heads", dead=inner or line)
+        head[name] = value.strip().decode("utf-8", "replace")
         line = top + 2
+    if inner and starts_record(data, inner):
+        raise Broken("merged heads", dead=inner)
     size = head.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", size):
         raise Broken("no length", dead=top)
@@ -177,6 +186,14 @@ def parse(data: bytes, at: int = 0, strict: bool = False) -> tuple:
             "target_uri": head.get("warc-target-uri"), "payload_digest": sha[5:] or None, "payload": payload}, end + 4
 
 
+def starts_record(data: bytes, at: int) -> bool:
+    try:
+        r, _ = parse(data, at)
+    except Broken:
+        return False
+    return bool(r["record_id"] and r["record_type"])
+
+
 def inside(content: bytes, whole: bool) -> tuple:
     """The valid records in the content of a member, the end of the last one,
     and the reason of the first failure or None."""
