@@ -7,11 +7,13 @@ Rows are documents ``(group, file, line, text)``; the order inside a group is
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import utf8_prefix
-from textmill.operators.ordering import id_bucket, running_total
+from textmill.operators.ordering import BK, dense_index, id_bucket, range_buckets, running_total
 
 SEP_BYTES = 2
 
@@ -92,9 +94,66 @@ def source_prefix_sums(docs: DataFrame, group: str = "group", file: str = "file"
                          id_bucket(line, bucket_width), out="cum_in_file")
 
 
+#: Sources whose functions are composed together.
+BLOCK_SOURCES = 1_000
+
+
+def then(starts, taken, sums):
+    """The composition of "what is taken of a remaining budget" with one more
+    source.  ``taken[i]`` holds for budgets from ``starts[i]`` up to the next
+    start; ``sums`` are the running bytes of the source's documents."""
+    low = starts - taken
+    high = np.r_[starts[1:] - taken[:-1], np.iinfo(np.int64).max]
+    a, b = np.searchsorted(sums, low, "right"), np.searchsorted(sums, high, "left")
+    reach = np.r_[0, sums]
+    n = b - a + 1  # the interval itself and the sums inside it
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    more = reach[a[row] + nth]
+    starts, taken = np.where(nth == 0, starts[row], taken[row] + more), taken[row] + more
+    new = np.r_[True, taken[1:] != taken[:-1]]
+    return starts[new], taken[new]
+
+
+def _sources(rows):
+    """``(file, running bytes)`` of a block's sources in name order."""
+    for file, g in rows.groupby("file", sort=True):
+        yield file, np.sort(g["cum"].to_numpy())
+
+
+def _composed(rows):
+    starts = taken = np.zeros(1, np.int64)
+    for _, sums in _sources(rows):
+        starts, taken = then(starts, taken, sums)
+    return pd.DataFrame({"g": rows["g"].iloc[:1].to_numpy(), "block": rows["block"].iloc[:1].to_numpy(), "left": rows["left"].iloc[:1].to_numpy(),
+                         "starts": [starts], "taken": [taken]})
+
+
+def _entered(blocks):
+    """What each of a group's blocks finds left."""
+    blocks = blocks.sort_values("block")
+    left, out = int(blocks["left"].iloc[0]), []
+    for starts, taken in zip(blocks["starts"], blocks["taken"]):
+        out.append(left)
+        left -= int(taken[np.searchsorted(starts, left, "right") - 1])
+    return pd.DataFrame({"g1": blocks["g"], "block1": blocks["block"], "entered": out})
+
+
+def _walked(rows):
+    left, out = int(rows["entered"].iloc[0]), []
+    for file, sums in _sources(rows):
+        n = int(np.searchsorted(sums, left, "right"))
+        took = int(sums[n - 1]) if n else 0
+        out.append((file, n, took))
+        left -= took
+    d = pd.DataFrame(out, columns=["f", "docs", "bytes"])
+    d.insert(0, "g", rows["g"].iloc[0])
+    return d
+
+
 def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "file",
                   line: str = "line", text: str = "text", bucket_width: int = 10_000,
-                  max_sources: int = 1_000_000) -> DataFrame:
+                  block_sources: int = BLOCK_SOURCES) -> DataFrame:
     """A2: per source, the prefix a replay of a shared budget consumes.
 
     Sources are visited in name order; inside a source documents are taken
@@ -102,65 +161,52 @@ def budget_replay(docs: DataFrame, budget, group: str = "group", file: str = "fi
     source is tried with what is left (``on_overflow='next_source'``).  Once
     nothing remains, later sources consume nothing.
 
-    In-source running sums are computed once (two-level) and checkpointed.
-    A per-source summary (documents, total bytes, first document's bytes;
-    one row per source file) decides every source that is taken whole or not
-    at all; only a source the remaining budget cuts needs a lookup, which is
-    one small aggregate job for all groups at once.
+    Nothing is walked on the driver.  Sources whose running total (two-level)
+    stays within the budget are taken whole; the first other source of a group
+    is cut.  What is left then is less than one document, so of the later
+    sources only documents whose running bytes fit into it can matter.  A source
+    is a step function from what remains to what it takes; blocks of
+    ``block_sources`` sources compose theirs, each group passes its remainder
+    through its blocks' functions, and every block then takes its documents.
     Returns ``(group, file, consumed_docs, consumed_bytes)``.
     """
     from textmill.session import checkpoint_dir
 
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(docs.sparkSession)
+    g, f = F.col("g"), F.col("f")
     cum = source_prefix_sums(docs, group, file, line, text, bucket_width)
-    cum = cum.select(group, file, "cum_in_file").checkpoint(eager=True)
-    summary = (cum.groupBy(group, file).agg(F.count(F.lit(1)).alias("n"), F.max("cum_in_file").alias("total"),
-                                            F.min("cum_in_file").alias("first"))
-               .limit(max_sources + 1).collect())
-    if len(summary) > max_sources:
-        raise ValueError("too many source files for a driver-side walk")
-    by_group: dict = {}
-    for r in summary:
-        by_group.setdefault(r[group], []).append((r[file], int(r["n"]), int(r["total"]), int(r["first"])))
-    for g in by_group:
-        by_group[g].sort()
-    if isinstance(budget, dict):
-        remaining = {g: int(budget.get(g, 0)) for g in by_group}
-    else:
-        remaining = {g: int(budget) for g in by_group}
-    pos = {g: 0 for g in by_group}
-    usage = []
-    while True:
-        pending = {}
-        for g, srcs in by_group.items():
-            while pos[g] < len(srcs):
-                f, n, total, first = srcs[pos[g]]
-                if remaining[g] > 0 and total <= remaining[g]:
-                    usage.append((g, f, n, total))
-                    remaining[g] -= total
-                elif remaining[g] <= 0 or first > remaining[g]:
-                    usage.append((g, f, 0, 0))
-                else:
-                    pending[g] = f
-                    break
-                pos[g] += 1
-        if not pending:
-            break
-        keys = [F.struct(F.lit(g).alias("g"), F.lit(f).alias("f")) for g, f in pending.items()]
-        lim = budget_col({g: remaining[g] for g in pending}, group)
-        got = (cum.where(F.struct(F.col(group).alias("g"), F.col(file).alias("f")).isin(*keys))
-               .where(F.col("cum_in_file") <= lim)
-               .groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max("cum_in_file").alias("b"))
-               .collect())
-        seen = {r[group]: (int(r["n"]), int(r["b"])) for r in got}
-        for g, f in pending.items():
-            n, b = seen.get(g, (0, 0))
-            usage.append((g, f, n, b))
-            remaining[g] -= b
-            pos[g] += 1
-    schema = f"{group} string, {file} string, consumed_docs long, consumed_bytes long"
-    return spark.createDataFrame(usage, schema)
+    cum = cum.select(F.col(group).alias("g"), F.col(file).alias("f"), F.col("cum_in_file").alias("cum")).checkpoint(eager=True)
+    src = cum.groupBy(g, f).agg(F.count(F.lit(1)).alias("n"), F.max("cum").alias("total"), F.min("cum").alias("first"))
+    src = running_total(range_buckets(src, ["f"], ["g"]), ["g"], ["f"], "total", BK, out="upto")
+    # a group without a budget has none
+    src = src.withColumn("budget", F.coalesce(budget_col(budget, "g"), F.lit(0)).cast("long") if budget != {} else F.lit(0).cast("long")).checkpoint(eager=True)
+
+    over = F.col("upto") > F.col("budget")
+    cut = (src.where(over).groupBy(g).agg(F.min(F.struct("f", (F.col("budget") - F.col("upto") + F.col("total")).alias("room"))).alias("c"))
+           .select(g.alias("g0"), F.col("c.f").alias("f0"), F.col("c.room").alias("room")))
+    took = (cum.join(cut, (g == F.col("g0")) & (f == F.col("f0"))).where(F.col("cum") <= F.col("room"))
+            .groupBy(g, f).agg(F.count(F.lit(1)).alias("docs"), F.max("cum").alias("bytes")))
+    cut = (cut.join(took, (g == F.col("g0")), "left")
+           .select("g0", "f0", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+                   (F.col("room") - F.coalesce("bytes", F.lit(0))).alias("left")).checkpoint(eager=True))
+
+    later = src.join(cut.select("g0", "f0", "left"), (g == F.col("g0"))).where((f > F.col("f0")) & (F.col("first") <= F.col("left")))
+    later = dense_index(later.select("g", "f", "left", BK), ["g"], ["f"], BK, out="at")
+    later = later.select(g.alias("g2"), f.alias("f2"), "left", F.floor(F.col("at") / block_sources).alias("block"))
+    heads = cum.join(later, (g == F.col("g2")) & (f == F.col("f2"))).where(F.col("cum") <= F.col("left"))
+    heads = heads.select("g", f.alias("file"), "cum", "left", "block").checkpoint(eager=True)
+    kind = src.schema["g"].dataType.simpleString()
+    name = src.schema["f"].dataType.simpleString()
+    blocks = heads.groupBy("g", "block").applyInPandas(_composed, f"g {kind}, block long, left long, starts array<long>, taken array<long>")
+    entered = blocks.groupBy("g").applyInPandas(_entered, f"g1 {kind}, block1 long, entered long")
+    heads = heads.join(entered, (g == F.col("g1")) & (F.col("block") == F.col("block1"))).select("g", "file", "cum", "block", "entered")
+    rest = heads.groupBy("g", "block").applyInPandas(_walked, f"g {kind}, f {name}, docs long, bytes long")
+
+    part = cut.select(F.col("g0").alias("g"), F.col("f0").alias("f"), "docs", "bytes").unionByName(rest)
+    part = part.select(g.alias("g3"), f.alias("f3"), "docs", "bytes")
+    out = src.join(part, (g == F.col("g3")) & (f == F.col("f3")), "left")
+    whole = lambda c, p: F.when(over, F.coalesce(p, F.lit(0))).otherwise(F.col(c)).cast("long")
+    return out.select(g.alias(group), f.alias(file), whole("n", "docs").alias("consumed_docs"), whole("total", "bytes").alias("consumed_bytes"))
 
 
 def code_budget(source_bytes: Column, budget) -> tuple[Column, Column]:
