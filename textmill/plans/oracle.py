@@ -426,6 +426,43 @@ s AS (SELECT t.id,
 sc AS (SELECT id, {_prf('o1', 'pn1', 'rn1', 'r1')}, {_prf('o2', 'pn2', 'rn2', 'r2')} FROM s)
 """
 
+# The longest common subsequence by bit vectors: bit j of a reference's vector is 0 once its first j tokens have gained
+# a match.  A vector is a list of 60-bit parts, a step per token of the prediction adds the matched bits with carry.
+LCS_CTE = f"""{ROUGE_CTE},
+part AS (SELECT id, p, r, unnest(range(0, (len(r) + 59) // 60)) AS k FROM tok WHERE len(p) > 0),
+bits AS (SELECT id, t, (j - 1) // 60 AS k, CAST(sum(1::BIGINT << CAST((j - 1) % 60 AS INTEGER)) AS BIGINT) AS m
+         FROM (SELECT id, unnest(r) AS t, unnest(range(1, len(r) + 1)) AS j FROM tok) GROUP BY ALL),
+step AS (SELECT x.id, i, list(coalesce(m, 0::BIGINT) ORDER BY x.k) AS m
+         FROM (SELECT id, k, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS i FROM part) x
+         LEFT JOIN bits b ON b.id = x.id AND b.t = x.t AND b.k = x.k GROUP BY x.id, i),
+full_ AS (SELECT id, list(CASE WHEN len(r) >= 60 * k + 60 THEN (1::BIGINT << 60) - 1
+                               ELSE (1::BIGINT << CAST(len(r) - 60 * k AS INTEGER)) - 1 END ORDER BY k) AS f FROM part GROUP BY id),
+v AS (SELECT id, any_value(f) AS f, list_reduce([any_value(f)] || list(m ORDER BY i), lambda v, m: list_reduce(
+             [[0::BIGINT]] || list_transform(range(1, len(m) + 1), lambda k: [v[k], m[k]]),
+             lambda a, e: [(e[1] + (e[1] & e[2]) + a[1]) >> 60] || a[2:] || [((e[1] + (e[1] & e[2]) + a[1]) & 1152921504606846975) | (e[1] & ~e[2])])[2:]) AS v
+      FROM step JOIN full_ USING (id) GROUP BY id),
+l AS (SELECT tok.id, len(p) AS pl, len(r) AS rl,
+             coalesce(list_sum(list_transform(range(1, len(f) + 1), lambda k: bit_count(f[k]) - bit_count(f[k] & v[k]))), 0) AS lcs
+      FROM tok LEFT JOIN v USING (id)),
+sl AS (SELECT id, lcs, {_prf('lcs', 'pl', 'rl', 'rl')} FROM l)
+"""
+
+SQL["lcs_length"] = f"""
+WITH {LCS_CTE}
+SELECT id, CAST(pl AS INTEGER) AS pred_len, CAST(rl AS INTEGER) AS ref_len, CAST(lcs AS INTEGER) AS lcs FROM l
+"""
+
+SQL["rouge_l"] = f"""
+WITH {LCS_CTE}
+SELECT id, CAST(lcs AS INTEGER) AS lcs, rl_p, rl_r, rl_f1 FROM sl
+"""
+
+SQL["rouge_summary"] = f"""
+WITH {LCS_CTE}
+SELECT count(*) AS samples, {', '.join(f"round(coalesce(avg({m}_{x}), 0), 9) AS {n}_{x}" for m, n in (('r1', 'rouge1'), ('r2', 'rouge2'), ('rl', 'rougeL')) for x in ('p', 'r', 'f1'))}
+FROM sc JOIN sl USING (id)
+"""
+
 SQL["rouge_tokens"] = f"""
 WITH {PAIRS}
 SELECT pair_id AS id,
@@ -747,7 +784,7 @@ FROM g, t
 
 # --- streaming ------------------------------------------------------------------
 _RUNS = """
-log AS (SELECT CAST(user_id % 5 AS VARCHAR) AS run, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS global_step,
+log AS (SELECT CAST(user_id AS VARCHAR) AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS global_step,
                value AS loss, event_type <> 'error' AS valid FROM events),
 o AS (SELECT *, CAST(global_step % 8 = 0 AS BIGINT) AS ub, CAST(global_step % 8 = 0 AND valid AS BIGINT) AS us FROM log),
 o2 AS (SELECT *, sum(ub) OVER r AS sb, sum(us) OVER r AS ss FROM o

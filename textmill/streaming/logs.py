@@ -1,15 +1,23 @@
 """Structured Streaming forms of the log and ingest operators (ST1, ST2).
 
-Log windows keep ordered state per run and emit a window once, when it closes
-(append mode), so neither state nor output is rewritten.  There is no event
-time in these streams, hence no watermark; the checkpoint location makes the
-file source exactly-once across restarts.
+Log windows keep typed state per run and emit a window once, when it closes
+(append mode): a value with the open window, and a map with the micro-steps
+that arrived ahead of a gap, each of which is written once and removed once.
+Ingest counts run in update mode into a table keyed by group, of which a batch
+rewrites only the groups it changed.  There is no event time in these streams,
+hence no watermark; the checkpoint location makes the file source exactly-once
+across restarts.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from textmill.sources.jsonl import parse_jsonl_text
 
@@ -17,9 +25,15 @@ RUN_SCHEMA = "run string, global_step long, loss double, valid boolean"
 GRAD_ACCUM, LOG_STEPS = 8, 10
 
 
-def _overwrite(path: str):
+def keyed_sink(path: str, key: str):
+    """A ``foreachBatch`` sink for update mode: a table with one row per
+    ``key``, of which a batch replaces the rows it brings.
+
+    Every key is a partition of its own, overwritten dynamically, so a batch
+    touches no other key, and running one again leaves the same table."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("key", F.md5(F.col(key).cast("binary")))
+         .repartition("key").write.partitionBy("key").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
     return sink
 
 
@@ -27,7 +41,7 @@ def stream_ingest_counts(spark: SparkSession, src_dir: str, out_dir: str, checkp
                          max_files_per_trigger: int = 1) -> DataFrame:
     """ST2: new JSONL files are scanned with the strict text scan (S1) and the
     running documents / text bytes per group (the ``group=<name>`` folder of
-    each file) are kept up to date."""
+    each file) are kept up to date in ``out_dir`` (see :func:`keyed_sink`)."""
     lines = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
              .option("recursiveFileLookup", "true").text(src_dir)
              .select(F.col("_metadata.file_path").alias("fpath"), F.lit(0).cast("long").alias("line_no"),
@@ -35,87 +49,109 @@ def stream_ingest_counts(spark: SparkSession, src_dir: str, out_dir: str, checkp
     docs = parse_jsonl_text(lines, "strict")
     g = docs.groupBy(F.regexp_extract("fpath", "group=([^/]+)", 1).alias("group")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
-    q = (g.writeStream.outputMode("complete").foreachBatch(_overwrite(out_dir))
+    q = (g.writeStream.outputMode("update").foreachBatch(keyed_sink(out_dir, "group"))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.schema("group string, docs long, bytes long").parquet(out_dir).select("group", "docs", "bytes")
 
 
-# --- ordered state per run (W7/W8) -------------------------------------------------
-STATE_SCHEMA = ("updates long, win_sum double, win_cnt long, next_step long, "
-                "p_step array<long>, p_loss array<double>, p_valid array<boolean>")
+# --- ordered state per run
 WINDOW_OUT = "run string, global_step long, optimizer_step long, train_loss double, n_losses long"
-_EMPTY_OUT = ["run", "global_step", "optimizer_step", "train_loss", "n_losses"]
+_OPEN = "updates long, win_sum double, win_cnt long, next_step long, ahead long"
 
 
-def _windows_state(rule: str):
-    return lambda key, pdfs, state: _close_windows(rule, key, pdfs, state)
+def close_windows(run, rule, cur, updates, win_sum, win_cnt):
+    """The windows that close within the contiguous micro-steps ``cur``
+    (``global_step, loss, valid``) of a run, and the open window after them.
 
-
-def _close_windows(rule, key, pdfs, state):
-    """Micro-steps carry dense global steps (invalid ones included), so the
-    state knows the next expected step: rows that arrive ahead of it wait in
-    a reordering buffer (files may be picked up in any order).  The
-    contiguous prefix is processed vectorized: an update at every 8th global
-    step (summary: whose loss is valid, and only valid micro-steps count); a
-    window closes at every 10th update.  State = updates so far, the open window's sum and
-    count, the next expected step and the buffered rows."""
-    import numpy as np
-    import pandas as pd
-
-    if state.exists:
-        upd0, s0, c0, nxt, ps, pl, pv = state.get
-    else:
-        upd0, s0, c0, nxt, ps, pl, pv = 0, 0.0, 0, 1, [], [], []
-    rows = pd.concat([pd.DataFrame({"global_step": list(ps or []), "loss": list(pl or []),
-                                    "valid": list(pv or [])})] + [p[["global_step", "loss", "valid"]] for p in pdfs],
-                     ignore_index=True)
-    rows = rows.drop_duplicates("global_step").sort_values("global_step")
-    steps = rows["global_step"].to_numpy(dtype=np.int64)
-    ready = int(np.sum(steps == nxt + np.arange(len(steps))))  # contiguous run from the expected step
-    cur, wait = rows.iloc[:ready], rows.iloc[ready:]
-    out = pd.DataFrame(columns=_EMPTY_OUT)
-    upd1, s1, c1 = upd0, s0, c0
+    An update comes at every 8th global step (summary: whose loss is valid, and
+    only valid micro-steps count); a window closes at every 10th update."""
     v = cur[cur["valid"].astype(bool)] if rule == "summary" else cur
-    if len(v):
-        step = v["global_step"].to_numpy(dtype=np.int64)
-        loss = v["loss"].to_numpy(dtype=float)
-        u = (step % GRAD_ACCUM == 0).astype(np.int64)
-        cum = upd0 + np.cumsum(u)
-        win = (cum - u) // LOG_STEPS
-        closes = (u == 1) & (cum % LOG_STEPS == 0)
-        g = pd.DataFrame({"win": win, "loss": loss, "step": np.where(closes, step, -1)}).groupby("win").agg(
-            s=("loss", "sum"), c=("loss", "size"), close=("step", "max"))
-        open_win = upd0 // LOG_STEPS
-        if open_win in g.index:
-            g.loc[open_win, "s"] += s0
-            g.loc[open_win, "c"] += c0
-        else:
-            g.loc[open_win] = [s0, c0, -1]
-        done = g[g["close"] >= 0]
-        out = pd.DataFrame({"run": key[0], "global_step": done["close"].astype("int64"),
-                            "optimizer_step": ((done.index + 1) * LOG_STEPS).astype("int64"),
-                            "train_loss": (done["s"] / done["c"].clip(lower=1)).round(9),
-                            "n_losses": done["c"].astype("int64")})
-        upd1 = int(cum[-1])
-        still_open = upd1 // LOG_STEPS
-        s1, c1 = ((float(g.loc[still_open, "s"]), int(g.loc[still_open, "c"])) if still_open in g.index
-                  else (0.0, 0))
-    nxt1 = nxt + ready
-    state.update((upd1, s1, c1, nxt1, wait["global_step"].astype("int64").tolist(),
-                  wait["loss"].astype(float).tolist(), wait["valid"].astype(bool).tolist()))
-    yield out
+    if not len(v):
+        return None, (updates, win_sum, win_cnt)
+    step, loss = v["global_step"].to_numpy(dtype=np.int64), v["loss"].to_numpy(dtype=float)
+    u = (step % GRAD_ACCUM == 0).astype(np.int64)
+    cum = updates + np.cumsum(u)
+    win = (cum - u) // LOG_STEPS - updates // LOG_STEPS
+    sums, sizes = np.bincount(win, loss), np.bincount(win)
+    sums[0] += win_sum
+    sizes[0] += win_cnt
+    closing = step[(u == 1) & (cum % LOG_STEPS == 0)]
+    n = len(closing)
+    out = pd.DataFrame({"run": run, "global_step": closing, "optimizer_step": (updates // LOG_STEPS + 1 + np.arange(n)) * LOG_STEPS,
+                        "train_loss": (sums[:n] / np.maximum(sizes[:n], 1)).round(9), "n_losses": sizes[:n].astype(np.int64)})
+    left = (float(sums[n]), int(sizes[n])) if len(sums) > n else (0.0, 0)
+    return out, (int(cum[-1]), *left)
+
+
+class WindowProcessor(StatefulProcessor):
+    """Micro-steps carry dense global steps (invalid ones included), so the
+    state knows the next expected one.  Rows ahead of it wait in a map by step
+    (files may be picked up in any order) and leave it once the steps before
+    them are there."""
+
+    def __init__(self, rule: str):
+        self.rule = rule
+
+    def init(self, handle):
+        self.open = handle.getValueState("open", _OPEN)
+        self.ahead = handle.getMapState("ahead", "global_step long", "loss double, valid boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        updates, win_sum, win_cnt, step, ahead = self.open.get() if self.open.exists() else (0, 0.0, 0, 1, 0)
+        new = pd.concat([p[["global_step", "loss", "valid"]] for p in rows], ignore_index=True)
+        new = new[new["global_step"] >= step].drop_duplicates("global_step").sort_values("global_step", ignore_index=True)
+        steps, at, ready = new["global_step"].to_numpy(dtype=np.int64), 0, []
+        while True:
+            # the stretch of new rows that goes on from here
+            n = int(np.argmin(np.r_[steps[at:] == step + np.arange(len(steps) - at), False]))
+            if n:
+                ready.append(new.iloc[at:at + n])
+                at, step = at + n, step + n
+            waited = []
+            while ahead and self.ahead.containsKey((step,)):
+                waited.append((step, *self.ahead.getValue((step,))))
+                self.ahead.removeKey((step,))
+                ahead, step = ahead - 1, step + 1
+            if waited:
+                ready.append(pd.DataFrame(waited, columns=new.columns))
+                at += int(np.searchsorted(steps[at:], step))  # repeats of rows that waited
+            elif not n:
+                break
+        for s, loss, valid in new.iloc[at:].itertuples(index=False):
+            ahead += not self.ahead.containsKey((s,))
+            self.ahead.updateValue((s,), (loss, bool(valid)))
+        if ready:
+            out, (updates, win_sum, win_cnt) = close_windows(key[0], self.rule, pd.concat(ready), updates, win_sum, win_cnt)
+            if out is not None and len(out):
+                yield out
+        self.open.update((updates, win_sum, win_cnt, step, ahead))
+
+    def close(self):
+        pass
+
+
+@contextmanager
+def _typed_state(spark: SparkSession):
+    """Typed state needs the RocksDB state store while a query starts."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
 
 
 def stream_run_windows(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, rule: str = "base",
                        max_files_per_trigger: int = 1) -> DataFrame:
     """ST1: logged windows of every run, by the base or the summary rule of
     :func:`textmill.operators.runlog.train_log_windows`, from a stream of log
-    files.  State is kept by run: updates so far, the open window's sum and the
-    rows that arrived ahead of a gap (files may come in any order)."""
+    files.  State is kept by run (see :class:`WindowProcessor`)."""
     s = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src_dir)
-    w = s.groupBy("run").applyInPandasWithState(_windows_state(rule), WINDOW_OUT, STATE_SCHEMA, "append", "NoTimeout")
-    q = (w.writeStream.outputMode("append").format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = s.groupBy("run").transformWithStateInPandas(WindowProcessor(rule), WINDOW_OUT, "Append", "None")
+    with _typed_state(spark):
+        q = (w.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(WINDOW_OUT).parquet(out_dir)
