@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def strip_u(c) -> Column:
     return F.regexp_replace(col_(c), _STRIP_RE, "")
 
 
+def drop_undecodable(c) -> Column:
+    """What decoding with ``errors="ignore"`` leaves of raw bytes read as text:
+    bytes that are no UTF-8 go, all else stays.
+
+    Undecodable bytes become U+FFFD and are then taken out; a genuine U+FFFD is
+    written with an escape meanwhile.  Only values that hold undecodable bytes
+    take this way, without leaving the JVM."""
+    x, mark, bad = col_(c), "\ufdd0", "\ufffd"
+    swap = lambda v, *pairs: functools.reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), pairs, v)
+    kept = F.make_valid_utf8(swap(x, (mark, mark + "0"), (bad, mark + "1")))
+    return F.when(F.is_valid_utf8(x), x).otherwise(swap(kept, (bad, ""), (mark + "1", bad), (mark + "0", mark)))
+
+
 def utf8_prefix(c, nbytes) -> Column:
     """Longest prefix of ``c`` holding at most ``nbytes`` UTF-8 bytes that ends on
     a character boundary (the bytes of a cut character are dropped).

@@ -70,58 +70,96 @@ def byte_vocab() -> list[tuple[int, str]]:
 SPECIAL_RE = "|".join(SPECIAL_TOKENS)  # letters and angle brackets only: no escaping needed
 
 
-def _encode_with_specials(text: str) -> list[int]:
-    """Reserved atoms inside the text are one token each."""
-    import re
-    out: list[int] = []
-    pos = 0
-    for m in re.finditer(SPECIAL_RE, text):
-        out.extend(BYTE_TO_ID[np.frombuffer(text[pos:m.start()].encode(), np.uint8)].tolist())
-        out.append(SPECIAL_TOKENS.index(m.group(0)))
-        pos = m.end()
-    out.extend(BYTE_TO_ID[np.frombuffer(text[pos:].encode(), np.uint8)].tolist())
-    return out
+_ATOMS = [np.frombuffer(t.encode(), np.uint8) for t in SPECIAL_TOKENS]
 
 
-def _encode_bytes_arrow(arr: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    special = pc.match_substring_regex(arr, SPECIAL_RE)
-    if pc.any(special).as_py():
-        rows = [None if t is None else _encode_with_specials(t) for t in arr.to_pylist()]
-        return pa.array(rows, pa.list_(pa.int32()))
+def flat_bytes(arr: pa.Array):
+    """``(bytes, offsets)`` of a string column; null rows are empty."""
     b = arr.cast(pa.large_binary())
-    offs = np.frombuffer(b.buffers()[1], dtype=np.int64)[b.offset: b.offset + len(b) + 1]
+    offs = np.frombuffer(b.buffers()[1], np.int64)[b.offset: b.offset + len(b) + 1] if len(b) else np.zeros(1, np.int64)
     data = b.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    vals = BYTE_TO_ID[raw[offs[0]:offs[-1]]]
-    rel = (offs - offs[0]).astype(np.int32)
+    raw = np.frombuffer(data, np.uint8)[offs[0]:offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offs - offs[0]
+
+
+def atoms_in(raw, offs):
+    """``(starts, token ids)`` of the reserved atoms in a flat buffer of texts, in order.
+
+    An atom begins with its only ``<``, so none overlaps another."""
+    at = np.flatnonzero(raw == ord("<"))
+    end = offs[np.searchsorted(offs, at, "right")] if len(at) else at
+    starts, ids = [], []
+    for i, atom in enumerate(_ATOMS):
+        mine = at[at + len(atom) <= end]
+        for k in range(1, len(atom)):
+            mine = mine[raw[mine + k] == atom[k]]
+        starts.append(mine)
+        ids.append(np.full(len(mine), i, np.int32))
+    starts, ids = np.concatenate(starts), np.concatenate(ids)
+    order = np.argsort(starts)
+    return starts[order], ids[order]
+
+
+def _one_array(arr):
+    return arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
+
+
+def _encode_bytes_arrow(arr: pa.Array) -> pa.Array:
+    """Bytes by table; a reserved atom inside a text is one token."""
+    arr = _one_array(arr)
+    raw, offs = flat_bytes(arr)
+    vals = BYTE_TO_ID[raw]
+    starts, ids = atoms_in(raw, offs)
+    if len(starts):
+        vals[starts] = ids
+        length = np.array([len(t) for t in _ATOMS])[ids] - 1
+        stays = np.ones(len(vals), bool)
+        stays[np.repeat(starts + 1, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = False
+        offs = np.r_[0, np.cumsum(stays)][offs]
+        vals = vals[stays]
     mask = arr.is_null() if arr.null_count else None
-    return pa.ListArray.from_arrays(pa.array(rel, pa.int32()), pa.array(vals, pa.int32()), mask=mask)
-
-
-def _decode_bytes_arrow(arr: pa.Array) -> pa.Array:
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    out = []
-    special = {i: t.encode() for i, t in enumerate(SPECIAL_TOKENS)}
-    for ids in arr.to_pylist():
-        if ids is None:
-            out.append(None)
-            continue
-        v = np.asarray(ids, dtype=np.int64)
-        if len(v) and (v.min() < N_SPECIAL or v.max() >= N_SPECIAL + 256):
-            parts = [special.get(int(i), b"") if i < N_SPECIAL or i >= N_SPECIAL + 256
-                     else bytes([ID_TO_BYTE[i]]) for i in v]
-            out.append(b"".join(parts).decode("utf-8", errors="replace"))
-        else:
-            out.append(ID_TO_BYTE[v].astype(np.uint8).tobytes().decode("utf-8", errors="replace"))
-    return pa.array(out, pa.string())
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals, pa.int32()), mask=mask)
+
+
+class Speller:
+    """Ids to text by a flat table of the tokens' bytes; ids outside it spell nothing."""
+
+    def __init__(self, tokens: list):
+        size = np.array([len(t) for t in tokens], np.int64)
+        self.size = np.r_[size, 0]
+        self.start = np.r_[np.cumsum(size) - size, 0]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def __call__(self, arr: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        arr = _one_array(arr)
+        ids = arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
+        n = self.size[ids]
+        end = np.r_[0, np.cumsum(n)]
+        raw = self.flat[np.repeat(self.start[ids] - end[:-1], n) + np.arange(end[-1])]
+        rows = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False))]
+        out = pa.Array.from_buffers(pa.large_binary(), len(arr), [None, pa.py_buffer(end[rows].astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+        try:
+            text = out.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # some ids cut a character
+            text = pa.array([v.decode("utf-8", errors="replace") for v in out.to_pylist()], pa.string())
+        return pc.if_else(arr.is_valid(), text, pa.scalar(None, pa.string())) if arr.null_count else text
+
+
+def _byte_tokens() -> list:
+    out = [t.encode() for t in SPECIAL_TOKENS] + [b""] * 256
+    for b in range(256):
+        out[int(BYTE_TO_ID[b])] = bytes([b])
+    return out
+
+
+_decode_bytes_arrow = Speller(_byte_tokens())
 
 
 _encode_udf = F.arrow_udf(_encode_bytes_arrow, T.ArrayType(T.IntegerType()))
-_decode_udf = F.arrow_udf(_decode_bytes_arrow, T.StringType())
+_decode_udf = F.arrow_udf(lambda arr: _decode_bytes_arrow(arr), T.StringType())
 
 
 def byte_encode(text) -> Column:

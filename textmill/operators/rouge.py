@@ -1,16 +1,17 @@
 """ROUGE-1/2/L between predictions and references.
 
 Both texts of a pair are in one row, so every score is a narrow computation:
-tokens come from a built-in pattern match, one Arrow pass per batch counts the
-clipped n-gram overlaps and the longest common subsequence (bit-parallel: one
+tokens come from a built-in pattern match, one Arrow call per batch counts the
+clipped n-gram overlaps (tokens as numbers, sorted runs of n-grams intersected
+for all pairs at once) and the longest common subsequence (bit-parallel: one
 big-integer step per token), and the averages are plain aggregates.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,24 +44,57 @@ def precision_recall(overlap: Column, pred_n: Column, ref_n: Column, digits: int
     return F.struct(z(p).alias("p"), z(r).alias("r"), z(f1).alias("f1"))
 
 
-def _overlap_counts(p: list, r: list, n: int) -> dict:
-    """Numbers for one pair and n: distinct n-grams of both sides, n-grams of each, clipped overlap."""
-    side = lambda t: Counter(zip(*(t[i:] for i in range(n)))) if n > 1 else Counter(t)
-    a, b = side(p), side(r)
-    return {"distinct": len(a.keys() | b.keys()), "pred": sum(a.values()), "ref": sum(b.values()), "overlap": (a & b).total()}
+def _numbered(p: pa.Array, r: pa.Array):
+    """The tokens of all predictions, then of all references, as numbers, and the row of each."""
+    flat = pa.concat_arrays([p.flatten(), r.flatten()]).dictionary_encode()
+    lengths = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (p, r)])
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _grams(ids, row, n: int):
+    """``(row, number)`` of every n-gram; equal n-grams share a number."""
+    at, gram, size = np.arange(len(ids)), ids, len(ids) + 1
+    for k in range(1, n):
+        inside = at + k < len(ids)
+        at, gram = at[inside], gram[inside]
+        inside = row[at + k] == row[at]
+        at, gram = at[inside], gram[inside]
+        _, gram = np.unique(gram * size + ids[at + k], return_inverse=True)
+    return row[at], gram
+
+
+def _overlap_counts(ids, row, n: int, pairs: int):
+    """Per pair: distinct n-grams of both sides, n-grams of each, clipped overlap."""
+    row, gram = _grams(ids, row, n)
+    size = int(gram.max()) + 1 if len(gram) else 1
+    keys, count = np.unique(row * size + gram, return_counts=True)
+    cut = np.searchsorted(keys, pairs * size)
+    (a, na), (b, nb) = (keys[:cut], count[:cut]), (keys[cut:] - pairs * size, count[cut:])
+    both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    per = lambda k, w=None: np.bincount(k // size, w, pairs).astype(np.int64)
+    return {"distinct": per(a) + per(b) - per(both), "pred": per(a, na), "ref": per(b, nb), "overlap": per(both, np.minimum(na[i], nb[j]))}
 
 
 _COUNT = T.StructType([T.StructField(c, T.LongType()) for c in ("distinct", "pred", "ref", "overlap")])
 
 
-def _overlap_udf(ns: tuple):
-    kind = pa.struct([(c, pa.int64()) for c in _COUNT.names])
+def _numbers_udf(ns: tuple, lcs: bool):
+    """One Arrow call per batch for everything: a struct per n, and the LCS."""
+    fields = [T.StructField(f"n{n}", _COUNT) for n in ns] + [T.StructField("lcs", T.IntegerType())] * lcs
 
     def run(p: pa.Array, r: pa.Array) -> pa.Array:
-        rows = [[_overlap_counts(x or [], y or [], n) for n in ns] for x, y in zip(p.to_pylist(), r.to_pylist())]
-        return pa.array(rows, pa.list_(kind))
+        ids, row = _numbered(p, r)
+        out = []
+        for n in ns:
+            c = _overlap_counts(ids, row, n, len(p))
+            out.append(pa.StructArray.from_arrays([pa.array(c[x]) for x in _COUNT.names], _COUNT.names))
+        if lcs:
+            end = np.r_[0, np.cumsum(np.bincount(row, minlength=2 * len(p)))]
+            side = lambda i: ids[end[i]:end[i + 1]].tolist()
+            out.append(pa.array([lcs_length_py(side(i), side(len(p) + i)) for i in range(len(p))], pa.int32()))
+        return pa.StructArray.from_arrays(out, [f.name for f in fields])
 
-    return F.arrow_udf(run, T.ArrayType(_COUNT))
+    return F.arrow_udf(run, T.StructType(fields))
 
 
 def _tokenized(pairs: DataFrame, mode: str, id_col: str, pred: str, ref: str) -> DataFrame:
@@ -72,24 +106,25 @@ def ngram_counts(pairs: DataFrame, ns=(1, 2), mode: str = "char", id_col: str =
                  pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per ``(id, n)``: ``distinct`` n-grams of both sides, n-grams of each
     side (``pred``, ``ref``) and their clipped ``overlap``."""
-    d = _tokenized(pairs, mode, id_col, pred, ref).select(id_col, _overlap_udf(tuple(ns))("_p", "_r").alias("_c"))
-    d = d.select(id_col, F.posexplode("_c").alias("_k", "_n"))
-    return d.select(id_col, F.element_at(F.array(*[F.lit(n) for n in ns]), F.col("_k") + 1).alias("n"), "_n.*")
+    d = _tokenized(pairs, mode, id_col, pred, ref).select(id_col, _numbers_udf(tuple(ns), False)("_p", "_r").alias("_c"))
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), *[F.col(f"_c.n{n}.{c}").alias(c) for c in _COUNT.names]) for n in ns])
+    return d.select(id_col, F.inline(rows))
 
 
-def _scored(tokens: DataFrame, ns, id_col: str) -> DataFrame:
-    d = tokens.withColumn("_c", _overlap_udf(tuple(ns))("_p", "_r"))
-    for k, n in enumerate(ns):
-        c = F.col("_c")[k]
-        d = d.withColumn(f"rouge{n}", precision_recall(c["overlap"], c["pred"], c["ref"]))
-    return d.drop("_c")
+def _scored(tokens: DataFrame, ns, id_col: str, lcs: bool = False) -> DataFrame:
+    """``rouge<n>`` and, with ``lcs``, ``lcs`` and ``rougeL`` from one Arrow call."""
+    d = tokens.select(id_col, F.size("_p").alias("_pn"), F.size("_r").alias("_rn"), _numbers_udf(tuple(ns), lcs)("_p", "_r").alias("_c"))
+    out = [precision_recall(F.col(f"_c.n{n}.overlap"), F.col(f"_c.n{n}.pred"), F.col(f"_c.n{n}.ref")).alias(f"rouge{n}") for n in ns]
+    if lcs:
+        out += [F.col("_c.lcs").alias("lcs"), precision_recall(F.col("_c.lcs"), F.col("_pn"), F.col("_rn")).alias("rougeL")]
+    return d.select(id_col, *out)
 
 
 def rouge_n(pairs: DataFrame, ns=(1, 2), mode: str = "char", id_col: str = "id",
             pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """R4 for every pair and n: ``(id, rouge1, rouge2, ...)`` structs of p/r/f1.
     Pairs with no n-grams on a side score zero (they still appear)."""
-    return _scored(_tokenized(pairs, mode, id_col, pred, ref), ns, id_col).drop("_p", "_r")
+    return _scored(_tokenized(pairs, mode, id_col, pred, ref), ns, id_col)
 
 
 # --- LCS --------------------------------------------------------------------
@@ -125,21 +160,16 @@ def lcs_length(a, b) -> Column:
     return _lcs_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
-def _with_lcs(tokens: DataFrame) -> DataFrame:
-    d = tokens.withColumn("lcs", F.when((F.size("_p") == 0) | (F.size("_r") == 0), F.lit(0)).otherwise(lcs_length("_p", "_r")))
-    return d.withColumn("rougeL", precision_recall(F.col("lcs"), F.size("_p"), F.size("_r")))
-
-
 def rouge_l(pairs: DataFrame, mode: str = "char", id_col: str = "id",
             pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """``(id, lcs, rougeL)`` from the LCS of the two token lists."""
-    return _with_lcs(_tokenized(pairs, mode, id_col, pred, ref)).select(id_col, "lcs", "rougeL")
+    return _scored(_tokenized(pairs, mode, id_col, pred, ref), (), id_col, lcs=True)
 
 
 def compute_rouge(pairs: DataFrame, mode: str = "char", id_col: str = "id",
                   pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """R7 per pair: ``(id, rouge struct<rouge1, rouge2, rougeL>)``, from one read of the pairs."""
-    d = _with_lcs(_scored(_tokenized(pairs, mode, id_col, pred, ref), (1, 2), id_col))
+    d = _scored(_tokenized(pairs, mode, id_col, pred, ref), (1, 2), id_col, lcs=True)
     return d.select(id_col, F.struct("rouge1", "rouge2", "rougeL").alias("rouge"))
 
 
