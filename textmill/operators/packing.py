@@ -169,6 +169,32 @@ def resume_skip(blocks: DataFrame, optimizer_step: int, grad_accum: int = 8,
              .where(F.col("train_idx") >= F.lit(first)))
 
 
+def read_block_files(spark, path: str, block_size: int = BLOCK_SIZE, ids: str = "input_ids") -> DataFrame:
+    """S11 on files: the blocks below ``path`` with ``file_idx``, the place of
+    their file among all in name order, and ``row``, their place in it.
+
+    A folder without a block file is an error at once; a block of another width
+    than ``block_size``, or none, is one when its rows are read."""
+    from textmill.session import path_exists
+    from textmill.sources.jsonl import metadata_path
+
+    files = sorted(metadata_path(u) for u in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+                   .load(path).inputFiles()) if path_exists(spark, path) else []
+    if not files:
+        raise FileNotFoundError(f"no block files below {path}")
+    blocks = spark.read.parquet(path)
+    if ids not in blocks.columns or not blocks.schema[ids].dataType.typeName() == "array":
+        raise ValueError(f"{path}: {ids} is no column of id lists")
+    listed = spark.createDataFrame(list(enumerate(files)), "file_idx long, _path string")
+    place = F.col("_metadata.row_index")
+    width = F.coalesce(F.size(ids), F.lit(-1))
+    wrong = F.concat(F.lit(f"block is not {block_size} ids wide but "), width.cast("string"), F.lit(" in "), F.col("_metadata.file_path"))
+    d = blocks.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("row"),
+                      F.when(width == int(block_size), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")).alias("_fits"))
+    # the check is a filter, so no projection prunes it
+    return d.where("_fits").join(F.broadcast(listed), F.col("_file") == F.col("_path")).drop("_file", "_path", "_fits")
+
+
 def validate_blocks(blocks: DataFrame, block_size: int = BLOCK_SIZE, ids: str = "input_ids") -> DataFrame:
     """Blocks whose width differs from the block size (empty when valid)."""
     return (blocks.withColumn("width", F.size(ids))

@@ -7,10 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.sinks.verbatim import joined, write_verbatim
+
 
 def _ordered(df: DataFrame, order, parts: int | None = None) -> DataFrame:
-    n = parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without a width it is the session's shuffle width, and AQE merges small neighbours
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
 
 
 def write_corpus(docs: DataFrame, path: str, group_order: list[str], group: str = "group",
@@ -52,10 +55,13 @@ def write_holdout_lines(sample: DataFrame, path: str, order: str = "line_number"
     _ordered(sample, [order]).select(raw).write.mode("overwrite").text(path)
 
 
-def write_holdout_blocks(sample: DataFrame, path: str, order: str = "block_index", text: str = "block_text") -> None:
-    """K4 (code): blocks separated by a blank line.  Deviation: the text
-    writer also ends the last block with the separator."""
-    _ordered(sample, [order]).select(text).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+def write_holdout_blocks(sample: DataFrame, path: str, order: str = "block_index", text: str = "block_text",
+                         parts: int | None = None) -> None:
+    """K4 (code): blocks with a blank line between them and nothing behind the
+    last one: part files and a manifest of their offsets (see
+    :mod:`textmill.sinks.verbatim`)."""
+    blocks = joined(sample.select(order, text), [order], text, "\n\n", out="_joined")
+    write_verbatim(blocks, path, [order], "_joined", parts)
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:

@@ -6,20 +6,22 @@ tables.  JSON is parsed once with ``try_parse_json`` into a VARIANT; malformed
 lines give NULL instead of failing the task.
 
 Documented deviations from Python's ``json`` + ``str``: trailing text after a
-complete JSON value is accepted; ``NaN`` is rejected; invalid UTF-8 becomes
-U+FFFD instead of being dropped; numbers are rendered by Spark (``1.0E20``)
-and nested values as JSON text; non-object lines are skipped by every scan
-(the strict packing scan of the reference would crash on them).
+complete JSON value is accepted; ``NaN`` is rejected; numbers are rendered by
+Spark (``1.0E20``) and nested values as JSON text; non-object lines are skipped
+by every scan (the strict packing scan of the reference would crash on them).
+Undecodable bytes are dropped by the coercing, lineage and block scans; the
+strict scan reads them as U+FFFD.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.text import is_falsy_json, strip_u
+from textmill.functions.text import drop_undecodable, is_falsy_json, strip_u
 from textmill.operators.ordering import id_bucket, running_total
 
 
@@ -43,8 +45,21 @@ def _existing(paths, on_missing: str, spark: SparkSession | None = None) -> list
     return keep
 
 
+def file_uris(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path (a file, folder or pattern) as ``_metadata.file_path``
+    names them; none if it is missing."""
+    if not _existing([path], "skip", spark):
+        return []
+    return sorted(metadata_path(u) for u in spark.read.text(path).inputFiles())
+
+
+def metadata_path(uri: str) -> str:
+    # inputFiles() writes an empty authority, the metadata column leaves it out
+    return re.sub(r"^([\w+.-]+):///", r"\1:/", uri)
+
+
 def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
-               line_sep: str | None = None) -> DataFrame:
+               line_sep: str | None = None, errors: str = "replace") -> DataFrame:
     """Raw lines ``(file, line_no, raw)`` with 1-based physical line numbers
     (blank and malformed lines are counted).
 
@@ -53,7 +68,8 @@ def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
     scan, which counts on within a split.  A first pass counts the lines of
     every split; its result, one row per split, is joined back to the scan,
     so the lines themselves are not shuffled.
-    ``on_missing``: ``'skip'`` (warn-and-continue scans) or ``'error'``.
+    ``on_missing``: ``'skip'`` (warn-and-continue scans) or ``'error'``;
+    ``errors``: ``'ignore'`` drops undecodable bytes.
     """
     keep = _existing(paths, on_missing, spark)
     if not keep:
@@ -70,7 +86,8 @@ def read_lines(spark: SparkSession, paths, on_missing: str = "skip",
     before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     line_no = F.col("_before") + F.col("_mono") - F.col("_first") + 1
-    return df.join(splits, ["file", "_split"]).select("file", line_no.alias("line_no"), "raw")
+    raw = drop_undecodable("raw") if errors == "ignore" else F.col("raw")
+    return df.join(splits, ["file", "_split"]).select("file", line_no.alias("line_no"), raw.alias("raw"))
 
 
 # --- JSONL text scans --------------------------------------------------------
@@ -139,7 +156,6 @@ def blocks_from_text(df: DataFrame, text: str = "text", sep: str = "\n\n",
 
 
 def _regex_quote(s: str) -> str:
-    import re
     return re.escape(s).replace("\\\n", "\n")
 
 
@@ -152,7 +168,7 @@ def read_blocks(spark: SparkSession, paths, on_missing: str = "skip", bucket_wid
     ``(e + 1) div 2`` (``e div 2`` at the top of a file).  The numbers come
     from a two-level running total over the lines that aren't empty; each
     block gathers its own lines only."""
-    lines = read_lines(spark, paths, on_missing)
+    lines = read_lines(spark, paths, on_missing, errors="ignore")
     full = lines.where(F.length("raw") > 0)
     keys = full.select("file", "line_no", id_bucket("line_no", bucket_width).alias("_b"))
     own = Window.partitionBy("file", "_b").orderBy("line_no")
@@ -203,6 +219,37 @@ def sft_scan_quality(lines: DataFrame, raw: str = "raw") -> DataFrame:
                  F.count_if(F.col("status") == "valid").alias("valid_samples"))
 
 
+def observed_samples(lines: DataFrame, raw: str = "raw") -> tuple[DataFrame, Observation]:
+    """S6/A10 in one pass: the valid rows of :func:`sft_rows`, and an
+    observation with ``blank_lines``, ``bad_lines`` and ``valid_samples``, which
+    the first job that scans these rows fills."""
+    seen = Observation()
+    count = lambda status, name: F.count_if(F.col("status") == status).alias(name)
+    rows = sft_rows(lines, raw).observe(seen, count("blank", "blank_lines"), count("bad", "bad_lines"), count("valid", "valid_samples"))
+    return rows.where(F.col("status") == "valid"), seen
+
+
+def raw_text(spark: SparkSession, paths, on_missing: str = "skip") -> DataFrame:
+    """The text of files as pieces ``(file, line, text)`` whose
+    concatenation in line order is the file, read as Python reads text: any
+    line ending becomes ``"\\n"``, undecodable bytes go.
+
+    The last line only ends with a line break if the file does: the lines'
+    bytes and breaks add up to the file's size, or to one more."""
+    lines = read_lines(spark, paths, on_missing, line_sep="\n")
+    if not lines.columns or lines.isEmpty():
+        return spark.createDataFrame([], "file string, line long, text string")
+    sizes = (spark.read.format("binaryFile").load(_existing(paths, on_missing, spark))
+             .select(F.col("_metadata.file_path").alias("file"), F.col("length")))
+    held = lines.groupBy("file").agg(F.max("line_no").alias("_last"), F.sum(F.octet_length("raw") + 1).alias("_bytes"))
+    open_end = held.join(sizes, "file").select("file", "_last", (F.col("_bytes") > F.col("length")).alias("_open"))
+    body = F.regexp_replace(F.regexp_replace(drop_undecodable("raw"), r"\r\z", ""), r"\r", "\n")
+    last = (F.col("line_no") == F.col("_last")) & F.col("_open")
+    # a carriage return at an open end is a line break of its own
+    end = F.when(last, F.when(F.col("raw").endswith("\r"), F.lit("\n")).otherwise(F.lit(""))).otherwise(F.lit("\n"))
+    return lines.join(open_end, "file").select("file", F.col("line_no").alias("line"), F.concat(body, end).alias("text"))
+
+
 def generation_samples(lines: DataFrame, raw: str = "raw", max_samples: int | None = None) -> DataFrame:
     """Valid samples with ``id`` = the ``id`` key, else the line number;
     ``max_samples`` keeps the first N valid lines (None = all)."""
@@ -226,7 +273,7 @@ def read_texts(spark: SparkSession, paths, on_missing: str = "skip") -> DataFram
     tx = [p for p in keep if p not in js]
     out = spark.createDataFrame([], "file string, line_no long, text string")
     if js:
-        out = out.unionByName(parse_jsonl_text(read_lines(spark, js), "coerce").select("file", "line_no", "text"))
+        out = out.unionByName(parse_jsonl_text(read_lines(spark, js, errors="ignore"), "coerce").select("file", "line_no", "text"))
     if tx:
         b = read_blocks(spark, tx)
         out = out.unionByName(b.select("file", F.col("block_index").alias("line_no"), F.col("block_text").alias("text")))
