@@ -30,15 +30,14 @@ def decided(docs):
     # lines one edit apart share one half: compare those only
     halves: dict = {}
     for x in place:
-        if len(x) >= line_dedup.MIN_NEAR:
-            for n in (len(x), len(x) - 1):
-                for k in (("p", n, x[:n // 2]), ("s", n, x[len(x) - (n - n // 2):])):
-                    halves.setdefault(k, []).append(x)
+        for n in (len(x), len(x) - 1):
+            for k in (("p", n, x[:n // 2]), ("s", n, x[len(x) - (n - n // 2):])):
+                halves.setdefault(k, []).append(x)
     near = set()
     for xs in halves.values():
         for i, a in enumerate(xs):
             for b in xs[:i]:
-                if min(len(a), len(b)) >= line_dedup.MIN_NEAR and place[a] != place[b] and one_apart(a, b):
+                if place[a] != place[b] and one_apart(a, b):
                     near.add(max(a, b, key=place.get))
     out = []
     for d in docs:
@@ -91,6 +90,20 @@ def test_edits_at_every_place(spark):
     assert sum(r["n_near"] for r in want) > 100
 
 
+def test_short_lines(spark):
+    r, texts = random.Random(9), []
+    for _ in range(250):
+        texts.append("".join(r.choice("abcdefghijklmnopqrstuvwxyzé漢😀") for _ in range(r.choice([1, 2, 3, 5, 8, 14, 15, 16, 17, 18]))))
+        for _ in range(2):
+            x = texts[-1] or "z"
+            k = r.randrange(len(x))
+            texts.append(r.choice([x[:k] + x[k + 1:], x[:k] + "q" + x[k:], x[:k] + "q" + x[k + 1:]]))
+    r.shuffle(texts)
+    docs = [(i, "\n".join(texts[i * 5:i * 5 + 5]), "en", "s", 1) for i in range(len(texts) // 5)]
+    want = same(spark.createDataFrame(docs, brute.DOCS).repartition(4))
+    assert sum(w["n_near"] for w in want) > 200
+
+
 def test_edges(spark):
     docs = edge.edge_docs(spark)
     want = same(docs)

@@ -2,15 +2,15 @@
 
 A line (outer white space off) goes if an earlier one, by document id and line
 number, equals it or is within one edit (insertion, deletion, substitution of a
-code point); the earliest stays.  Lines under ``MIN_NEAR`` code points only go
-for equal ones.
+code point); the earliest stays.
 
 Two lines one edit apart share a variant: with the same place of both left out
 (substitution), or the longer one without one code point is the shorter one.
 All variants of all lines would be hundreds of keys a line, so they come in two
 rounds.  The first leaves out whole quarters: lines one edit apart agree on all
 but one quarter, and few other lines do.  The second emits, for lines that
-share such a key, the variants of that quarter only.  Equal variants join by
+share such a key, the variants of that quarter only.  Lines under ``SHORT`` code
+points have few variants and emit all of them at once.  Equal variants join by
 hashed key; per key only the earliest line is compared with the others, which
 is exact since all lines that share a substitution key are one edit apart, and
 for the others length tells which line is the variant itself.  Surviving pairs
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from textmill.llm.common import SPACES, fresh, stage
 from textmill.llm.postings import shared, width_for
 
-#: Lines from this length in code points on also go for lines one edit away.
-MIN_NEAR = 16
+#: From this length in code points on a line and its partner share a quarter key first.
+SHORT = 16
 PARTS = 4
 
 
@@ -52,7 +52,7 @@ def quarter_keys(line: str) -> list:
     n, out = len(line), []
     for longer in (0, 1):
         base = n - longer
-        if base >= MIN_NEAR:
+        if base >= SHORT:
             for part in range(PARTS):
                 a, b = _cuts(base, part)
                 out.append((_hash(f"{base},{part}", line[:a], line[b + longer:]), part + PARTS * longer))
@@ -84,10 +84,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return d.withColumn("line", F.when(trimmed != "", trimmed))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """``(lh, line)`` of every line that may go for a near one, repeats included."""
+def _texts(docs: DataFrame, least: int = 1) -> DataFrame:
+    """``(lh, line)`` of every line from ``least`` code points on, repeats included."""
     return (docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.btrim("line", F.lit(SPACES)).alias("line"))
-            .where(F.char_length("line") >= MIN_NEAR).select(F.xxhash64("line").alias("lh"), "line"))
+            .where(F.char_length("line") >= least).select(F.xxhash64("line").alias("lh"), "line"))
 
 
 def _quarters(batches):
@@ -111,15 +111,17 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     edit away, with one such line; ``lines`` as :func:`decide` stages them."""
     spark = docs.sparkSession
     place = lines.select("lh", "first", "len")
-    agree = shared(_texts(docs), _quarters, width_for(spark, 2 * PARTS * lines.where(F.col("len") >= MIN_NEAR).count()), "lines-quarters")
+    agree = shared(_texts(docs, SHORT), _quarters, width_for(spark, 2 * PARTS * lines.where(F.col("len") >= SHORT).count()), "lines-quarters")
 
     # the key names the quarter; members longer than the shortest take part as the longer line
     members = agree.select("key", F.col("ref").alias("lh")).distinct().join(place.select("lh", "len"), "lh")
     least = members.groupBy(F.col("key").alias("k1")).agg(F.min("len").alias("least"))
     code = F.pmod("key", F.lit(8)) + F.when(F.col("len") > F.col("least"), PARTS).otherwise(0)
-    codes = (members.join(least, F.col("key") == F.col("k1")).groupBy("lh")
-             .agg(F.collect_set(code.cast("int")).alias("codes"), F.max("len").alias("len")))
-    codes = stage(codes, "lines-codes")
+    codes = members.join(least, F.col("key") == F.col("k1")).select("lh", "len", code.cast("int").alias("code"))
+    # a line has no quarter keys in common with a short partner: all variants, of a line of SHORT those of one less
+    own = F.when(F.col("len") < SHORT, F.sequence(F.lit(0), F.lit(2 * PARTS - 1))).otherwise(F.sequence(F.lit(PARTS), F.lit(2 * PARTS - 1)))
+    codes = codes.unionByName(place.where(F.col("len") <= SHORT).select("lh", "len", F.explode(own).alias("code")))
+    codes = stage(codes.groupBy("lh").agg(F.collect_set("code").alias("codes"), F.max("len").alias("len")), "lines-codes")
     text = stage(_texts(docs).join(codes.select("lh"), "lh", "left_semi").dropDuplicates(["lh"]), "lines-text")
     emitted = codes.agg(F.sum(F.size("codes") * F.col("len") / PARTS)).first()[0] or 0
     deep = shared(text.join(codes.select("lh", "codes"), "lh"), _variants, width_for(spark, int(emitted)), "lines-variants")
