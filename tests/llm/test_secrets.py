@@ -29,7 +29,7 @@ def linked(text, reach):
     scope = lambda s: sum(b <= s for b in blocks)
     out = []
     for k, s, e in weak:
-        roles = {secrets.ROLES[k2] for k2, s2, _ in strong + weak if scope(s2) == scope(s) and abs(s2 - s) <= reach} - {secrets.ROLES[k]}
+        roles = {secrets.ROLES[k2] for k2, s2, e2 in strong + weak if scope(s2) == scope(s) and max(s2 - e, s - e2) <= reach} - {secrets.ROLES[k]}
         role = secrets.ROLES[k]
         if (role == "identifier" and "secret" in roles or role == "secret" and roles or role == "endpoint" and len(roles) == 2):
             out.append((k, s, e))
@@ -71,5 +71,9 @@ def test_links_need_complementary_parts(spark):
     docs = [(i, " ".join(r.choice(makers)() for _ in range(r.randrange(1, 60))), "en", "s", 1) for i in range(150)]
     want = same(spark.createDataFrame(docs, brute.DOCS), 60)
     assert sum(a != b for _, b, a in want) > 50
+    long = [f"token={'x' * 500}\nuser=bob", f"user=bob {'y' * 450} https://h/{'z' * 900} client_id=abc", "user=bob" + " " * 400 + "token=abcdefgh", "user=bob" + " " * 401 + "token=abcdefgh",
+            f"user=bob {'f0' * 3000} https://example.org/a"]
+    want = same(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(long)], brute.DOCS))
+    assert [a.count("identifier") for _, _, a in want] == [1, 0, 1, 0, 1]
     alone = spark.createDataFrame([(1, "user=someone", "", "", 1), (2, "see https://example.org/a", "", "", 1), (3, "k " + "aB3" * 13 + "z k", "", "", 1)], brute.DOCS)
     assert all(not b and not a for _, b, a in same(alone))

@@ -59,7 +59,7 @@ parts AS (SELECT p.*, CASE WHEN kind IN ('access', 'identifier') THEN 'identifie
                  len(regexp_extract_all(substr(t, 1, start::BIGINT), '\\n[ \\t\\r]*\\n')) AS scope
           FROM (SELECT *, FALSE AS w FROM base UNION ALL SELECT *, TRUE FROM weak) p JOIN d USING (rid)),
 linked AS (SELECT a.rid, a.kind, a.start, a.stop FROM parts a JOIN parts b
-           ON a.rid = b.rid AND a.scope = b.scope AND a.role <> b.role AND abs(a.start - b.start) <= 400 WHERE a.w
+           ON a.rid = b.rid AND a.scope = b.scope AND a.role <> b.role AND greatest(a.start - b.stop, b.start - a.stop) <= 400 WHERE a.w
            GROUP BY a.rid, a.kind, a.start, a.stop, a.role
            HAVING (a.role = 'identifier' AND bool_or(b.role = 'secret')) OR a.role = 'secret' OR count(DISTINCT b.role) = 2),
 b AS (SELECT rid, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,

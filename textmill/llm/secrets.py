@@ -4,13 +4,15 @@ Strong findings stand alone: assignments to names such as ``password``, access
 identifiers, long runs of hex digits.  Other parts of a credential are too
 common to report by themselves: user or client names, forty-character keys and
 short assigned values, addresses of services.  These weak candidates are linked
-by an interval join: within a scope (a block of lines without a blank one) and
-``REACH`` code points, an identifier needs a secret, a secret needs an identifier
-or an endpoint, an endpoint needs both; strong findings count as partners.
+by an interval join: within a scope (a block of lines without a blank one) and a
+gap of ``REACH`` code points, an identifier needs a secret, a secret needs an
+identifier or an endpoint, an endpoint needs both; strong findings count as
+partners.  The gap is from the end of the one to the start of the other, 0 if
+they overlap, so the length of a part never hides its neighbour.
 
-Before the join the partners are reduced to the first and last of each role per
-scope and bin of ``REACH`` code points, so a candidate meets three bins of
-each other role, however many parts a text has.
+Before the join the partners are reduced to the first start and the last end of
+each role per scope and bin of ``REACH`` code points that they touch, so a
+candidate meets the bins within its reach, however many parts a text has.
 
 Defined results: a null text is empty; repeated rows are scanned alike; an
 empty table gives an empty result; only ``doc_id`` and ``text`` are read.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import stage, text_slices, trimmed
 
-#: Greatest distance of the starts of two linked parts.
+#: Greatest gap between two linked parts.
 REACH = 400
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
@@ -119,16 +121,18 @@ def scan(docs: DataFrame) -> DataFrame:
 def link(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     """``(rid, kind, start, end, partners)`` of the weak candidates whose
     complementary parts co-occur; ``partners`` has the start of one part by role."""
-    p = scanned.select("rid", F.explode("parts").alias("p")).select("rid", "p.*").withColumn("bin", F.floor(F.col("start") / reach))
-    bins = (p.groupBy(F.col("rid").alias("rid1"), F.col("scope").alias("scope1"), F.col("role").alias("role1"), F.col("bin").alias("bin1"))
-            .agg(F.min("start").alias("lo"), F.max("start").alias("hi")))
-    weak = p.where("weak").withColumn("probe", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    p = scanned.select("rid", F.explode("parts").alias("p")).select("rid", "p.*")
+    bins_of = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
+    touched = p.select("rid", "scope", "role", "start", "end", bins_of(F.col("start"), F.col("end")).alias("bin"))
+    bins = (touched.groupBy(F.col("rid").alias("rid1"), F.col("scope").alias("scope1"), F.col("role").alias("role1"), F.col("bin").alias("bin1"))
+            .agg(F.min("start").alias("lo"), F.max(F.struct("end", "start")).alias("hi")))
+    low, high = F.col("start") - reach, F.col("end") + reach
+    weak = p.where("weak").withColumn("probe", bins_of(low, high))
     same = (F.col("rid") == F.col("rid1")) & (F.col("scope") == F.col("scope1")) & (F.col("probe") == F.col("bin1")) & (F.col("role") != F.col("role1"))
-    # bins are as wide as the reach: the nearest part of a bin is its last, any, or its first
-    near = (F.when(F.col("probe") < F.col("bin"), F.col("start") - F.col("hi")).when(F.col("probe") > F.col("bin"), F.col("lo") - F.col("start"))
-            .otherwise(F.lit(0)))
-    partner = F.when(F.col("probe") < F.col("bin"), F.col("hi")).otherwise(F.col("lo"))
-    j = weak.join(bins, same).where(near <= reach).withColumn("partner", partner)
+    # a part that touches a bin within the reach is near; in the first bin one must end late, in the last one start early enough
+    first, last = F.col("probe") == F.floor(low / reach), F.col("probe") == F.floor(high / reach)
+    near = F.when(first, F.col("hi.end") >= low).when(last, F.col("lo") <= high).otherwise(F.lit(True))
+    j = weak.join(bins, same).where(near).withColumn("partner", F.when(first, F.col("hi.start")).otherwise(F.col("lo")))
     starts = {r: F.min(F.when(F.col("role1") == r, F.col("partner"))).alias(r) for r in ("identifier", "secret", "endpoint")}
     g = j.groupBy("rid", "role", "kind", "start", "end").agg(*starts.values())
     has = {r: F.col(r).isNotNull() for r in starts}
