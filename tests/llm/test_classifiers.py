@@ -11,10 +11,12 @@ from textmill.llm import crf, knn_quality, queries
 SF = "/root/testdata/sf0.1"
 
 
-def test_marginals_by_enumeration():
+@pytest.mark.parametrize("chunk", [64, 1, 2, 3, 4])
+def test_marginals_by_enumeration(monkeypatch, chunk):
+    monkeypatch.setattr(crf, "CHUNK", chunk)
     g = np.random.default_rng(3)
     trans = ((0.3, -0.4), (-0.2, 0.9))
-    sizes = [0, 1, 5, 0, 9, 3]
+    sizes = [0, 1, 5, 0, 9, 3, 12]
     scores, bias = g.normal(0, 1.5, sum(sizes)), -0.3
     starts = np.r_[0, np.cumsum(sizes)]
     got = crf.marginals(scores, starts, trans, bias)
@@ -27,13 +29,13 @@ def test_marginals_by_enumeration():
         assert np.allclose(got[s:e], toxic / total)
 
 
-def test_long_texts_are_cut_into_sequences():
+def test_a_long_text_is_one_chain(monkeypatch):
     g = np.random.default_rng(5)
-    n = 3 * crf.CHUNK + 7
-    scores, trans = g.normal(0, 1, n), ((0.1, -0.1), (-0.3, 0.5))
-    whole = crf.marginals(scores, np.array([0, n]), trans, 0.2)
-    parts = crf.marginals(scores, np.r_[np.arange(0, n, crf.CHUNK), n], trans, 0.2)
-    assert np.allclose(whole, parts)
+    starts = np.array([0, 3, 3, 3 * 64 + 7, 40_000])
+    scores, trans = g.normal(0, 6, 40_000), ((1.1, -2.1), (-1.3, 1.5))
+    cut = crf.marginals(scores, starts, trans, 0.2)
+    monkeypatch.setattr(crf, "CHUNK", 40_000)
+    assert np.allclose(cut, crf.marginals(scores, starts, trans, 0.2), atol=1e-9)
 
 
 def held_out(rows, labels, label, modulus, remainder):

@@ -1,16 +1,19 @@
 """Toxic spans by a linear-chain conditional random field.
 
+There are labelled documents but no labelled tokens: a word of a toxic text is
+labelled toxic when it is much more frequent in toxic texts than in clean ones.
+So the chain learns a derived list of words, their parts and their neighbours.
+
 Tokens are words with two states, clean and toxic.  A token's score for the
 toxic state adds weights of hashed features of the word (the word, its first
 three to five letters, its last three), and transition weights link
-neighbours, so that a mild word next to toxic ones gains.  Labels of tokens
-come from labelled documents: a word of a toxic text is labelled toxic when it
-is much more frequent in toxic texts than in clean ones.  Maximum likelihood
+neighbours, so that a mild word next to toxic ones gains.  Maximum likelihood
 fits the weights on the driver to a bounded sample of labelled documents.
 
-Every text is cut into sequences of ``CHUNK`` tokens; forward and backward
-messages of all sequences of a batch run side by side.  The marginals of the
-toxic state give the offending spans (runs with a marginal of one half or more)
+A text is one chain.  Its stretches of ``CHUNK`` tokens run side by side: each
+one's product of transfer matrices carries the messages over it, so forward and
+backward messages enter every stretch as if the chain had been walked from its
+ends.  The marginals of the toxic state give the offending spans (runs with a marginal of one half or more)
 and the document's score, by a logistic function of the expected number of
 toxic tokens, their share and the greatest marginal.
 
@@ -35,6 +38,7 @@ from textmill.llm.wu_manber import fold_words
 #: Training texts of either label, and their largest size in bytes.
 PER_CLASS = 2000
 MAX_BYTES = 20_000
+#: Tokens of a stretch.
 CHUNK = 64
 BITS = 18
 STEPS = 60
@@ -71,11 +75,47 @@ class Scores(dict):
         return s
 
 
+def _transfer(emit, there, trans, starts_text):
+    """Per stretch the log of the matrix that carries a message over its
+    tokens, transition into the first one included unless the text starts there."""
+    import numpy as np
+
+    t = np.exp(np.array(trans) - np.max(trans))
+    toxic = np.exp(np.clip(emit, -300, 300))
+    m = np.broadcast_to(np.eye(2), (len(emit), 2, 2)).copy()
+    for k in range(emit.shape[1]):
+        step = m @ t
+        if k == 0:
+            step[starts_text] = m[starts_text]
+        step[:, :, 1] *= toxic[:, k, None]
+        step /= step.max(axis=(1, 2), keepdims=True)
+        m = np.where(there[:, k, None, None], step, m)
+    with np.errstate(divide="ignore"):
+        return np.log(m)
+
+
+def _carried(number, log_m, out, back: bool):
+    """Log odds of the message that enters each stretch; ``number`` counts the
+    stretches of a text in the direction of the message, whose first gets 0."""
+    import numpy as np
+
+    step = -1 if back else 1
+    order = np.argsort(number, kind="stable")
+    ends = np.searchsorted(number[order], np.arange(number.max() + 2))
+    for j in range(1, number.max() + 1):
+        row = order[ends[j]:ends[j + 1]]
+        before = row - step
+        p, m = out[before], log_m[before]
+        m = m.transpose(0, 2, 1) if back else m
+        out[row] = np.logaddexp(m[:, 0, 1], p + m[:, 1, 1]) - np.logaddexp(m[:, 0, 0], p + m[:, 1, 0])
+    return out
+
+
 def marginals(scores, starts, trans, bias: float):
     """Marginals of the toxic state for tokens with the given scores.
 
     ``starts`` are the offsets of the texts in ``scores``, with the end last;
-    sequences of CHUNK tokens never reach over a text's end.
+    every text is one chain.
     """
     import numpy as np
 
@@ -87,17 +127,23 @@ def marginals(scores, starts, trans, bias: float):
     first = own % CHUNK == 0
     row = np.cumsum(first) - 1
     col = own % CHUNK
+    number = own[first] // CHUNK  # of the stretch in its text
+    behind = (np.repeat(sizes, sizes)[first] - 1) // CHUNK - number  # stretches behind it
     # ratios of the two states' messages are enough: forward f, backward b, in log odds
     emit = np.full((row[-1] + 1, CHUNK), np.nan)
     emit[row, col] = scores + bias
     there = ~np.isnan(emit)
     emit = np.nan_to_num(emit)
     (t00, t01), (t10, t11) = trans
+    log_m = _transfer(emit, there, trans, number == 0)
+    enter, leave = (_carried(x, log_m, np.zeros(len(emit)), back) for x, back in ((number, False), (behind, True)))
+    onward = lambda p: np.logaddexp(t01, t11 + p) - np.logaddexp(t00, t10 + p)
     f, b = np.zeros_like(emit), np.zeros_like(emit)
-    f[:, 0] = emit[:, 0]
+    f[:, 0] = emit[:, 0] + np.where(number == 0, 0.0, onward(enter))
     for k in range(1, CHUNK):
-        p = f[:, k - 1]
-        f[:, k] = emit[:, k] + np.logaddexp(t01, t11 + p) - np.logaddexp(t00, t10 + p)
+        f[:, k] = emit[:, k] + onward(f[:, k - 1])
+    # what comes from the next stretch stands behind the last token, which is then at the end of the row
+    b[:, -1] = leave
     for k in range(CHUNK - 2, -1, -1):
         q = np.where(there[:, k + 1], emit[:, k + 1] + b[:, k + 1], 0.0)
         step = np.logaddexp(t10, t11 + q) - np.logaddexp(t00, t01 + q)
@@ -174,7 +220,7 @@ def fit(sample: list) -> Model:
 
     # transitions from counts of labelled neighbours; weights by Adagrad on the likelihood of the tokens' labels
     own = np.arange(len(y)) - np.repeat(starts[:-1], np.diff(starts))
-    inner = np.flatnonzero(own % CHUNK != 0)
+    inner = np.flatnonzero(own != 0)
     count = np.array([[np.sum((y[inner - 1] == a) & (y[inner] == b)) for b in (0, 1)] for a in (0, 1)], float) + 1
     joint = count / count.sum()
     trans = np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
