@@ -66,3 +66,31 @@ def test_edges(spark):
     assert sorted(r["rid"] for r in kept) == [i for i, r in enumerate(want) if not r["contaminated"]]
     assert wu_manber.find(edge.empty_docs(spark), bench).count() == 0
     assert all(r["n_hit"] == 0 for r in brute.rows(wu_manber.find(docs, bench.limit(0))))
+
+
+def test_a_full_part_stays_small():
+    import pickle
+    import random
+    import time
+
+    r = random.Random(1)
+    items, size = [], 0
+    while size < wu_manber.PART_BYTES:
+        text = " ".join(f"{r.getrandbits(24):x}" for _ in range(40))
+        items.append((str(len(items)), text))
+        size += len(text)
+    began = time.process_time()
+    table = wu_manber.Patterns(items)
+    built = time.process_time() - began
+    data = pickle.dumps(table)
+    began = time.process_time()
+    pickle.loads(data)
+    loaded = time.process_time() - began
+    assert len(data) < 100 << 20 and loaded < 2 and built < 30, (len(data), loaded, built)
+    import pyarrow as pa
+
+    from textmill.llm.hashed_words import hashed_words
+
+    text = "noise " * 20 + items[7][1] + " noise " + " ".join(items[900][1].split()[5:18])
+    ids = table.numbers(hashed_words(pa.array([text]), terms=True)[0]).tolist()
+    assert table.search(ids) == ([[20, 60], [61, 74]], ["7", "900"])
