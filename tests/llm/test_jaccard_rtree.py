@@ -93,7 +93,7 @@ def test_chains_of_edits_of_all_sizes(spark):
 def test_large_group_of_independent_copies_in_chunks(spark, monkeypatch):
     """Copies of one text that only link through some of the others, with a shared passage in other texts."""
     monkeypatch.setattr(J, "CHUNK", 16)
-    monkeypatch.setattr(J, "LEAF_BLOCK", 8)
+    monkeypatch.setattr(J, "FANOUT", 3)
     monkeypatch.setattr(J, "ROWS", 50)
     r = random.Random(5)
     base = [f"w{r.randrange(3000)}" for _ in range(120)]
@@ -103,6 +103,23 @@ def test_large_group_of_independent_copies_in_chunks(spark, monkeypatch):
     same(spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(rows)], brute.DOCS).repartition(5))
 
 
+def test_trees_decide_pairs_of_the_given_table(spark, monkeypatch):
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    J.links(docs, seen=seen).count()
+    # the trees rule pairs out before any set is compared, and lose no link
+    assert seen["offered"] > seen["left"] >= seen["verified"] > 0
+
+
+def test_inner_nodes_rule_out_points_below_them(monkeypatch):
+    g, looked = np.random.default_rng(2), []
+    points = g.poisson(3, (300, J.GROUPS)) * np.repeat([1, 4, 16], 100)[:, None]
+    tree = J.RTree(points, points.sum(axis=1))
+    assert len(tree.levels) == 4
+    monkeypatch.setattr(J, "enough", lambda bound, sizes, f=J.enough: looked.append(len(bound)) or f(bound, sizes))
+    assert 5 in tree.search(points[5], int(points[5].sum()))
+    assert sum(looked) < 250
+
+
 def test_tree_loses_nothing():
     g = np.random.default_rng(1)
     points = g.poisson(3, (500, J.GROUPS))

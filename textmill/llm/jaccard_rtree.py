@@ -15,16 +15,20 @@ subset of the links that connects each, not every linked pair:
    class posts are dropped.  As linked sets agree on a known number of groups,
    at least, each class also drops all but one of so many of its keys, those
    with most members, or all if it shares fewer.
-3. Stars.  Per key the least class is compared with the others; the compared
-   pairs, few for each class, are verified and joined to components.  Thousands
-   of near copies of one text collapse here without all their pairs.
-4. R-trees.  Where a key still holds classes of different components, shingles
-   are hashed into 256 groups and the group counts indexed as points of an
-   R-tree: the overlap with anything below a node is at most the sum of the
-   coordinate minima of the query and the node's upper corner.  Pairs of
-   different components that survive the bound are verified on their sets.
-   Large blocks are dealt out as pairs of chunks, so no task holds one whole.
-5. Components of all verified links.
+3. R-trees.  Shingles are hashed into 256 groups and the group counts are
+   points of an R-tree with a fan-out of four, packed in order of size: the
+   overlap with anything below a node is at most the sum of the coordinate
+   minima of the query and the node's upper corner.  Only pairs that survive the
+   bounds of all nodes above them are verified on their sets.
+4. Stars.  The classes that share a key with a lesser class, the least of that
+   key, are that class's tree, which it searches.  The links found are joined to
+   components: thousands of near copies of one text collapse here without all
+   their pairs.
+5. Blocks that still hold classes of different components become trees that all
+   their members search, for partners in other components.  Trees of more than
+   ``CHUNK`` points are dealt out in chunks, or pairs of chunks, so no task
+   holds one whole.
+6. Components of all verified links.
 
 Defined results: words are lower-cased in A-Z; a text of fewer than five words
 has its whole word sequence as its one shingle; a text without words, or null,
@@ -55,9 +59,7 @@ CHUNK = 4096
 #: Parts in which the documents of one component are joined to its id.
 SALTS = 16
 #: Children of an R-tree node.
-FANOUT = 16
-#: In blocks up to this size every pair is compared, without a tree.
-LEAF_BLOCK = 48
+FANOUT = 4
 #: Each class knows so many of its least open keys: a pair is left to the least block that both know.
 KNOWN_KEYS = 64
 #: Rows of blocks that a task takes up at once.
@@ -219,23 +221,59 @@ def _overlaps(c, i, j):
     return np.concatenate([np.empty(0, np.int64), *parts])
 
 
-def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that the count vectors don't rule out."""
+def _whole_runs(batches, names: list):
+    """The rows of sorted batches, cut only between runs of equal ``names``."""
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        cols = [batch.column(n).to_numpy() for n in names]
+        turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
+        cut = int(turns[-1]) + 1 if len(turns) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _star_pairs(star: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` that are left of the staged ``star`` when each
+    ``a`` has searched the tree of its ``b``."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
-                c = np.concatenate([_vectors(batch.column("ca")), _vectors(batch.column("cb"))])
-                n = batch.num_rows
-                bound = _overlaps(c, np.arange(n), np.arange(n, 2 * n))
-                keep = pa.array(enough(bound, batch.column("n").to_numpy()))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    side = lambda s: vectors.select(F.col("ref").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(F.least("na", "nb"), F.col("na") + F.col("nb")))
-    return rows.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ca", "cb").mapInArrow(trimmed(run), "a long, b long")
+        for batch in _whole_runs(batches, ["a", "chunk"]):
+            a, chunk, ref = (batch.column(k).to_numpy() for k in ("a", "chunk", "ref"))
+            n, c = batch.column("n").to_numpy(), _vectors(batch.column("counts"))
+            # a run is the searching class, then the points
+            cuts = np.r_[0, np.flatnonzero((a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1])) + 1, len(a)]
+            size = np.diff(cuts) - 1
+            # trees of one leaf, all at once
+            leaf = size <= FANOUT
+            query = np.repeat(cuts[:-1], size + 1)
+            point = np.flatnonzero(np.repeat(leaf, size + 1) & (query != np.arange(len(a))))
+            hits = [point[enough(_overlaps(c, query[point], point), n[query[point]] + n[point])]]
+            for s, e in zip(cuts[:-1][~leaf], cuts[1:][~leaf]):
+                hits.append(RTree(c[s + 1:e], n[s + 1:e]).search(c[s], int(n[s])) + s + 1)
+            hits = np.concatenate(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(ref[hits])], names=["a", "b"])
+
+    held = star.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    held = stage(held.join(vectors.select(F.col("ref").alias("a"), F.col("n").alias("na")), "a"), "jaccard-held")
+    chunks = F.ceil(F.col("held") / CHUNK).cast("int")
+    points = star.join(held, "a").select("a", "na", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"), F.col("b").alias("ref"), F.lit(1).alias("turn"))
+    searching = held.select("a", "na", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("a").alias("ref"), F.lit(0).alias("turn"))
+    rows = (points.unionByName(searching).join(vectors, "ref").where(enough(F.least("na", "n"), F.col("na") + F.col("n")))
+            .select("a", "chunk", "turn", "ref", "n", "counts"))
+    return (rows.repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "turn")
+            .mapInArrow(trimmed(run), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,7 +305,7 @@ class RTree:
     def __init__(self, points, sizes):
         import numpy as np
 
-        order = np.lexsort((*points.T[np.argsort(points.var(axis=0))][-4:], sizes))
+        order = np.lexsort((*points.T[np.argsort(points.var(axis=0))][-4:], sizes)) if len(points) > FANOUT else np.arange(len(points))
         self.order, self.points, self.sizes = order, points[order], sizes[order]
         self.levels = []  # (upper corners, least sizes), leaves first
         top, least = self.points, self.sizes
@@ -301,7 +339,7 @@ def _block_pairs(block, key, known, ref, comp, chunk, within, n, c):
     cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
     left, right = [], []
     for s, e in zip(cuts[:-1], cuts[1:]):
-        if e - s <= LEAF_BLOCK:
+        if e - s <= FANOUT:  # one leaf, bounded below with the others
             i, j = np.triu_indices(e - s, 1)
             left.append(i + s)
             right.append(j + s)
@@ -386,9 +424,10 @@ def _open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     return stage(rows.join(one, "key"), "jaccard-open")
 
 
-def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame | None = None, seen: dict | None = None) -> DataFrame:
     """Verified links ``(a, b)`` between classes (``ref`` of :func:`_classes`)
-    that connect all linked classes."""
+    that connect all linked classes.  ``seen``, if given, gets how many pairs
+    the stars offered to the trees, the trees left over, and the sets verified."""
     docs = docs.select("doc_id", "text")
     classes = _classes(docs) if classes is None else classes
     blocks = _blocks(docs, classes)
@@ -397,7 +436,10 @@ def links(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     star = stage(blocks.where("leader != ref").select(*pair("leader", "ref")).distinct(), "jaccard-stars")
-    found = _verified(stage(_bounded(star, vectors), "jaccard-pairs"), docs, classes)
+    near = stage(_star_pairs(star, vectors, width_for(docs.sparkSession, 64 * star.count())), "jaccard-pairs")
+    found = _verified(near, docs, classes)
+    if seen is not None:
+        seen.update(offered=star.count(), left=near.count(), verified=found.count())
     comps = components(found, "a", "b")
     open_ = _open_blocks(blocks, comps)
     if open_.isEmpty():
