@@ -710,6 +710,10 @@ def byte_token(b: str) -> str:
             f"ELSE chr(256 + 67) END")
 
 
+_HEX_OF_ID = "[" + ", ".join(f"'{b:02X}'" for b in sorted(range(256), key=lambda b: (
+    b - 33 if 33 <= b <= 126 else b - 67 if 161 <= b <= 172 else b - 68 if b >= 174 else b + 188 if b <= 32 else b + 94 if b <= 160 else 255))) + "]"
+
+
 EVAL_DOCS = f"""
 ed AS (SELECT d.*, row_number() OVER (PARTITION BY "group" ORDER BY file, line) - 1 AS doc_idx FROM {DOCS} d),
 tk AS (SELECT "group", file, line, unnest({byte_ids('text')}) AS token_id,
@@ -726,9 +730,6 @@ FROM (SELECT doc_id, CASE WHEN head = '' THEN []::INTEGER[] ELSE [7] END || {byt
                    CASE WHEN doc_id % 10 = 0 THEN 'u' ELSE '' END AS tail FROM documents))
 """
 
-_HEX_OF_ID = "[" + ", ".join(f"'{b:02X}'" for b in sorted(range(256), key=lambda b: (
-    b - 33 if 33 <= b <= 126 else b - 67 if 161 <= b <= 172 else b - 68 if b >= 174 else b + 188 if b <= 32 else b + 94 if b <= 160 else 255))) + "]"
-
 #: Ids back to bytes through the inverse table.
 SQL["roundtrip_check"] = f"""
 SELECT doc_id, array_to_string(list_transform({byte_ids('text')}, lambda i: list_extract({_HEX_OF_ID}, i - 11)), '') = hex(encode(text)) AS roundtrip_ok
@@ -738,16 +739,18 @@ FROM documents
 SQL["tokenizer_quality"] = f"""
 WITH {EVAL_DOCS},
 g AS (SELECT "group", count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
-             CAST(sum(strlen(text)) AS BIGINT) AS tokens FROM ed GROUP BY "group"),
+             CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(ids, lambda i: i = 1))) AS BIGINT) AS unk_count,
+             count(CASE WHEN array_to_string(list_transform(ids, lambda i: list_extract({_HEX_OF_ID}, i - 11)), '') = hex(encode(text)) THEN 1 END) AS roundtrip_success
+      FROM (SELECT *, {byte_ids('text')} AS ids FROM ed) GROUP BY "group"),
 u AS (SELECT "group", count(*) AS used_vocab FROM tc GROUP BY "group")
 SELECT g."group", docs, chars, tokens, round(chars / docs, 9) AS avg_chars_per_doc,
        round(tokens / docs, 9) AS avg_tokens_per_doc,
        round(CASE WHEN tokens > 0 THEN chars / tokens ELSE 0 END, 9) AS avg_token_length_in_chars,
        round(CASE WHEN tokens > 0 THEN chars / tokens ELSE 0 END, 9) AS chars_per_token,
        round(CASE WHEN chars > 0 THEN tokens / chars ELSE 0 END, 9) AS tokens_per_char,
-       CAST(0 AS BIGINT) AS unk_count, CAST(0 AS DOUBLE) AS unk_ratio,
-       docs AS roundtrip_success, CAST(1 AS DOUBLE) AS roundtrip_success_ratio, CAST(0 AS BIGINT) AS roundtrip_fail,
-       CAST(0 AS DOUBLE) AS roundtrip_fail_ratio, coalesce(used_vocab, 0) AS used_vocab,
+       unk_count, round(CASE WHEN tokens > 0 THEN unk_count / tokens ELSE 0 END, 9) AS unk_ratio,
+       roundtrip_success, round(roundtrip_success / docs, 9) AS roundtrip_success_ratio, docs - roundtrip_success AS roundtrip_fail,
+       round((docs - roundtrip_success) / docs, 9) AS roundtrip_fail_ratio, coalesce(used_vocab, 0) AS used_vocab,
        round(coalesce(used_vocab, 0) / 268.0, 9) AS used_vocab_ratio
 FROM g LEFT JOIN u USING ("group")
 """
