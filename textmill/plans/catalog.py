@@ -36,6 +36,7 @@ from textmill.operators import runlog as RL
 from textmill.operators import sft as SF
 from textmill.plans.fixtures import RETENTION_EDGE_NAMES, SFT_EDGE_LINES, TEXT_EDGE_LINES
 from textmill.session import scratch_path
+from textmill.sinks import verbatim as VB
 from textmill.sinks import writers as WR
 from textmill.sources import jsonl as J
 from textmill.sources.tables import conversation_pairs, corpus_docs, table, training_log
@@ -793,3 +794,117 @@ def q_tokenizer_quality_bpe(spark, sf):
     tok = TK.get_tokenizer("bpe", bpe_model(spark, sf))
     enc = QU.encode_docs(eval_docs(spark, sf), encode=tok.encode, decode=tok.decode)
     return QU.tokenizer_quality(enc, tok.vocab_size, unk_id=tok.unk_id)
+
+
+# --- files written from the tables and read back ---------------------------------------
+
+
+@register("raw_text_scan")
+def q_raw_text_scan(spark, sf):
+    """The documents of a language as text files, read as Python reads text."""
+    path = scratch_path(spark, "raw")
+    table(spark, sf, "documents").select(F.col("lang").alias("group"), "text").write.partitionBy("group").text(path)
+    t = J.raw_text(spark, path).select(F.regexp_extract("file", "group=([^/]+)/", 1).alias("group"), "text")
+    return t.groupBy("group").agg(F.sum(F.char_length("text")).cast("long").alias("chars"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+DISPATCH = {0: "some.jsonl", 1: "wiki_dump", 2: "plain.txt"}
+
+
+@register("format_dispatch")
+def q_format_dispatch(spark, sf):
+    """JSON lines by suffix or a wiki name, blocks otherwise; S10: a missing file yields nothing."""
+    base, d = scratch_path(spark, "dispatch"), table(spark, sf, "documents")
+    for k, name in DISPATCH.items():
+        part = d.where(F.col("doc_id") % 3 == k)
+        if k < 2:
+            part.select(F.to_json(F.struct("text"))).write.text(f"{base}/{name}")
+        else:
+            part.select("text").write.option("lineSep", "\n\n").text(f"{base}/{name}")
+    t = J.read_texts(spark, [f"{base}/{name}" for name in [*DISPATCH.values(), "missing.jsonl", "missing.txt"]])
+    t = t.withColumn("name", F.regexp_extract("file", "/([^/]+)/part-", 1))
+    return t.groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@register("log_columns")
+def q_log_columns(spark, sf):
+    """A log whose columns have their less preferred names, as CSV."""
+    path, log = scratch_path(spark, "log"), training_log(spark, sf)
+    val = F.when(F.col("global_step") % 7 == 0, F.col("loss").cast("string")).when(F.col("global_step") % 7 == 1, F.lit("n/a"))
+    log.select("event_type", "global_step", F.col("loss"), val.alias("val_loss")).write.option("header", True).csv(path)
+    r = J.read_log_csv(spark, path)
+    return r.agg(F.count("step").alias("steps"), F.sum("step").cast("long").alias("step_sum"), F.round(F.sum("train_loss"), 6).alias("train_sum"),
+                 F.count("eval_loss").alias("evals"), F.round(F.sum("eval_loss"), 6).alias("eval_sum"))
+
+
+@register("predictions_sink")
+def q_predictions_sink(spark, sf):
+    """K5: predictions with their scores as JSON lines."""
+    path, pairs = scratch_path(spark, "predictions"), prediction_pairs(spark, sf)
+    WR.write_predictions(RG.compute_rouge(pairs).join(pairs, "id"), path)
+    leaf = "struct<p: double, r: double, f1: double>"
+    back = spark.read.schema(f"id long, prediction string, reference string, rouge struct<rouge1: {leaf}, rouge2: {leaf}, rougeL: {leaf}>").json(path)
+    return back.select("id", F.md5("prediction").alias("prediction_md5"), F.md5("reference").alias("reference_md5"),
+                       *[F.col(f"rouge.{m}.f1").alias(f"{m.lower()}_f1") for m in ("rouge1", "rouge2", "rougeL")])
+
+
+@register("points_sink")
+def q_points_sink(spark, sf):
+    """K6: the points of the log as CSV with a byte-order mark."""
+    path = scratch_path(spark, "points")
+    WR.write_points_csv(training_log(spark, sf).select(F.col("global_step").alias("step"), F.col("loss").alias("train_loss")), path, bom=True)
+    # readers take the mark off: look at the files
+    head = spark.read.format("binaryFile").load(f"{path}/part-*").agg(F.min(F.hex(F.substring("content", 1, 7))).alias("head"))
+    back = spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("step").cast("long")).alias("step_sum"),
+                                                           F.round(F.sum(F.col("train_loss").cast("double")), 6).alias("loss_sum"))
+    return back.join(F.broadcast(head))  # a row each
+
+
+@register("log_append_sink")
+def q_log_append_sink(spark, sf):
+    """K7: a log started anew, then appended to by a resumed run."""
+    path, log = scratch_path(spark, "train-log"), training_log(spark, sf)
+    w = RL.train_log_windows(log).select("global_step", "optimizer_step", "train_loss").checkpoint(eager=True)
+    for rows, resume in ((w, True), (w, False), (w.where(F.col("optimizer_step") % 20 == 0), True)):
+        WR.append_log_csv(rows, path, resume)
+    back = spark.read.option("header", True).schema("global_step long, optimizer_step long, train_loss double").csv(path)
+    return back.groupBy("optimizer_step").agg(F.count(F.lit(1)).alias("rows"), F.sum("global_step").alias("step_sum"))
+
+
+@register("report_sink")
+def q_report_sink(spark, sf):
+    """K8: the tokenizer report with its nested top tokens as JSON."""
+    path, e = scratch_path(spark, "report"), QU.encode_docs(eval_docs(spark, sf)).checkpoint(eager=True)
+    WR.tokenizer_report(QU.tokenizer_quality(e, BYTE_VOCAB_SIZE), QU.top_tokens(e, QU.vocab_frame(spark), doc_rank="doc_idx"),
+                        QU.roundtrip_failures(e)).write.json(path)
+    top = "array<struct<rank: int, token_id: int, token: string, count: long>>"
+    back = spark.read.schema(f"group string, docs long, tokens long, used_vocab long, top_used_tokens {top}").json(path)
+    return back.select("group", "docs", "tokens", "used_vocab", F.size("top_used_tokens").alias("n_top"),
+                       F.col("top_used_tokens")[0]["token_id"].alias("top_id"), F.col("top_used_tokens")[0]["count"].alias("top_count"))
+
+
+@register("pad_eos_batches")
+def q_pad_eos_batches(spark, sf):
+    """Batches of a tokenizer without a pad token, padded with its EOS."""
+    p = conversation_pairs(spark, sf)
+    n = SF.batch_numbers(OR.range_buckets(p.select("pair_id"), ["pair_id"]), SFT_BATCH, ["pair_id"], OR.BK)
+    e = SF.encode_pairs(p, SFT_MAX_LEN).select("pair_id", "input_ids", "labels")
+    b = SF.pad(e.join(n.select("pair_id", "batch_id"), "pair_id"), SF.resolve_pad_id(None, TK.EOS_ID))
+    return b.select("pair_id", TK.ids_md5("input_ids").alias("input_md5"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+@register("lm_labels")
+def q_lm_labels(spark, sf):
+    """Packed blocks with their labels."""
+    return PK.with_lm_labels(packed(spark, sf)).select("block_idx", TK.ids_md5("labels").alias("labels_md5"))
+
+
+@register("holdout_sink")
+def q_holdout_sink(spark, sf):
+    """K4: the held-out code blocks with a blank line between them, read back;
+    ``bytes`` of all parts, by the manifest."""
+    size, path = code_source_bytes(spark, sf), scratch_path(spark, "holdout-code")
+    s = HO.holdout_code(code_blocks(spark, sf), min(size + 2, int(size * CODE_BUDGET_FRACTION)), HOLDOUT_CODE_N)
+    WR.write_holdout_blocks(s, path)
+    back = spark.read.option("lineSep", "\n\n").text(f"{path}/part-*").where("value <> ''")
+    return back.select(F.md5("value").alias("block_md5"), F.lit(VB.read_manifest(path)["bytes"]).cast("long").alias("bytes"))

@@ -896,3 +896,66 @@ _define_sql_more2()
 _define_sql_more3()
 _define_sql_more4()
 _define_sql_more5()
+
+
+# --- files written from the tables and read back -----------------------------------
+SQL["raw_text_scan"] = """
+SELECT "group", CAST(sum(length(t)) AS BIGINT) AS chars, CAST(sum(strlen(t)) AS BIGINT) AS bytes
+FROM (SELECT lang AS "group", replace(replace(text || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents) GROUP BY "group"
+"""
+
+SQL["format_dispatch"] = f"""
+SELECT name, count(*) AS docs, CAST(sum(strlen(t)) AS BIGINT) AS bytes
+FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'some.jsonl' WHEN 1 THEN 'wiki_dump' ELSE 'plain.txt' END AS name, {ustrip('text')} AS t FROM documents)
+WHERE t <> '' GROUP BY name
+"""
+
+SQL["log_columns"] = f"""
+WITH {LOG}
+SELECT count(*) AS steps, CAST(sum(global_step) AS BIGINT) AS step_sum, round(sum(loss), 6) AS train_sum,
+       count(CASE WHEN global_step % 7 = 0 THEN loss END) AS evals, round(sum(CASE WHEN global_step % 7 = 0 THEN loss END), 6) AS eval_sum
+FROM log
+"""
+
+SQL["predictions_sink"] = f"""
+WITH {LCS_CTE}
+SELECT sc.id, md5(prompt) AS prediction_md5, md5(response) AS reference_md5, r1_f1 AS rouge1_f1, r2_f1 AS rouge2_f1, rl_f1 AS rougel_f1
+FROM sc JOIN sl USING (id) JOIN pairs ON pair_id = sc.id
+"""
+
+SQL["points_sink"] = f"""
+WITH {LOG}
+SELECT hex(encode(chr(65279) || 'step')) AS head, count(*) AS points, CAST(sum(global_step) AS BIGINT) AS step_sum, round(sum(loss), 6) AS loss_sum FROM log
+"""
+
+SQL["log_append_sink"] = f"""
+WITH w AS ({SQL["train_log_windows"]})
+SELECT optimizer_step, count(*) AS rows, CAST(sum(global_step) AS BIGINT) AS step_sum
+FROM (SELECT optimizer_step, global_step FROM w WHERE rule = 'base' UNION ALL SELECT optimizer_step, global_step FROM w WHERE rule = 'base' AND optimizer_step % 20 = 0)
+GROUP BY optimizer_step
+"""
+
+SQL["report_sink"] = f"""
+WITH q AS ({SQL["tokenizer_quality"]}), t AS ({SQL["top_tokens"]})
+SELECT "group", docs, tokens, used_vocab, CAST(count(*) AS INTEGER) AS n_top,
+       any_value(token_id) FILTER (WHERE rank = 1) AS top_id, any_value(count) FILTER (WHERE rank = 1) AS top_count
+FROM q JOIN t USING ("group") GROUP BY "group", docs, tokens, used_vocab
+"""
+
+SQL["pad_eos_batches"] = f"""
+WITH {SFT_CTE},
+m AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch_id) AS padded_len
+      FROM (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 8 AS batch_id FROM ex)),
+p AS (SELECT pair_id, input_ids || list_transform(range(padded_len - len(input_ids)), lambda i: 3) AS ids FROM m)
+SELECT pair_id, md5(array_to_string(ids, ',')) AS input_md5, CAST(len(list_filter(ids, lambda x: x <> 3)) AS INTEGER) AS mask_sum FROM p
+"""
+
+SQL["lm_labels"] = f"""
+WITH RECURSIVE {MIX_CTE}, {_OFFS}, {_BLOCKS}
+SELECT CAST(block_idx AS BIGINT) AS block_idx, ids_md5 AS labels_md5 FROM kept
+"""
+
+SQL["holdout_sink"] = f"""
+WITH {CODE}, s AS (SELECT block_text FROM celig ORDER BY md5('42:' || block_index) LIMIT 50)
+SELECT md5(block_text) AS block_md5, CAST((SELECT sum(strlen(block_text)) + 2 * (count(*) - 1) FROM s) AS BIGINT) AS bytes FROM s
+"""
