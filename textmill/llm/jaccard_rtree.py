@@ -193,10 +193,15 @@ def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
     at = F.pmod("key", F.lit(64))
     rows = (rows.join(held, "key").join(facts, "ref")
             .select("key", "ref", "held", at.alias("at"), F.when(at == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("agree")))
-    # a class has some hundred keys, so these windows stay small
-    mine = Window.partitionBy("ref", "at")
-    rows = (rows.withColumn("turn", F.row_number().over(mine.orderBy("held", "key")))
-            .withColumn("all", F.count(F.lit(1)).over(mine)).where(F.col("turn") <= F.col("all") - F.col("agree") + 1))
+    # the least keys of a class, by holders and key: first whole ranges of keys by their counts, then within one range
+    rows = rows.withColumn("range", F.shiftright("key", 60))
+    spot, mine = ["ref", "at", "held", "range"], Window.partitionBy("ref", "at")
+    before = F.coalesce(F.sum("c").over(mine.orderBy("held", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = (rows.groupBy(*spot).agg(F.count(F.lit(1)).alias("c"), F.first("agree").alias("agree"))
+              .withColumns({"before": before, "quota": F.sum("c").over(mine) - F.col("agree") + 1}).where("before < quota"))
+    rows = rows.drop("agree").join(ranges.select(*spot, "before", "quota"), spot)
+    turn = F.row_number().over(Window.partitionBy(*spot).orderBy("key"))
+    rows = rows.withColumn("turn", turn).where(F.col("before") + F.col("turn") <= F.col("quota"))
     rows = stage(rows.select("key", "ref"), "jaccard-kept")
     leaders = rows.groupBy("key").agg(F.min("ref").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "leader")
     return stage(rows.join(leaders, "key").select("key", "leader", "ref"), "jaccard-blocks")
