@@ -161,8 +161,11 @@ def greedy_merges(stretches, weights, floor: int, vocab: list, index: dict, voca
     return out
 
 
-#: Pre-tokens whose encodings a worker keeps.
+#: Pre-tokens whose encodings a worker keeps, and their ids in all.
 HELD_PRETOKENS = 1 << 18
+HELD_IDS = 1 << 22
+#: Symbols of a pre-token that is merged beside others.
+SHORT = 64
 #: Symbols in one block of words.
 BLOCK_SYMBOLS = 1 << 20
 
@@ -397,36 +400,71 @@ def bpe_encode_word(syms: list[int], ranks: dict) -> list[int]:
 
 class Codec:
     """A trained vocabulary as a worker uses it: merge ranks and the encodings
-    of pre-tokens seen so far, at most ``HELD_PRETOKENS``."""
+    of pre-tokens seen so far, about ``HELD_PRETOKENS``.
+
+    A batch becomes numbers of pre-tokens; those not yet seen are merged
+    together in a flat buffer."""
 
     def __init__(self, pairs, new):
         import regex
 
         self.ranks = {(int(p) // PAIR_SHIFT, int(p) % PAIR_SHIFT): (r, int(n)) for r, (p, n) in enumerate(zip(pairs, new))}
-        self.held: dict = {}
+        # where every merge makes a new id, it only makes pairs of later merges
+        made = bool(len(new)) and len(self.ranks) == len(new) and new[0] >= TK.N_SPECIAL + 256 and bool((np.diff(new) > 0).all())
+        self.mapping = {int(p): int(n) for p, n in zip(pairs, new)} if made else None
         self.pattern = regex.compile(PRETOKEN_PATTERN_PY)
         self.atoms = regex.compile(f"({TK.SPECIAL_RE})")
-
-    def word(self, w: str) -> list:
-        got = self.held.get(w)
-        if got is None:
-            if len(self.held) >= HELD_PRETOKENS:
-                self.held.clear()
-            got = self.held[w] = bpe_encode_word(TK.BYTE_TO_ID[np.frombuffer(w.encode(), np.uint8)].tolist(), self.ranks)
-        return got
+        self._clear()
+
+    def _clear(self):
+        # numbers of pre-tokens, behind those of the reserved atoms
+        self.held, self.new = {}, []
+        self.flat = np.arange(TK.N_SPECIAL, dtype=np.int32)
+        self.start, self.size = np.arange(TK.N_SPECIAL), np.ones(TK.N_SPECIAL, np.int64)
+
+    def _encode_new(self) -> None:
+        raw, offs = TK.flat_bytes(pa.array(self.new, pa.string()))
+        syms, n = TK.BYTE_TO_ID[raw].astype(np.int32), np.diff(offs)
+        word, together = np.repeat(np.arange(len(n)), n), n <= (SHORT if self.mapping else 0)
+        mine = together[word]
+        parts = [merge_flat(syms[mine], word[mine], self.mapping)] if mine.any() else []
+        for k in np.flatnonzero(~together):
+            ids = bpe_encode_word(syms[offs[k]:offs[k + 1]].tolist(), self.ranks)
+            parts.append((np.array(ids, np.int32), np.full(len(ids), k)))
+        syms, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        size = np.bincount(word, minlength=len(n))
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+        self.size, self.flat, self.new = np.r_[self.size, size], np.r_[self.flat, syms[order]], []
 
     def __call__(self, arr: pa.Array) -> pa.Array:
-        ids, ends = [], [0]
+        if len(self.size) >= HELD_PRETOKENS or len(self.flat) >= HELD_IDS:
+            self._clear()
+        found, ends, number = [], [0], self.held.get
         for t in arr.to_pylist():
-            for k, piece in enumerate(self.atoms.split(t or "")):
+            for k, piece in enumerate(self.atoms.split(t) if t and "<" in t else (t or "",)):
                 if k % 2:  # a reserved atom inside the text is one token
-                    ids.append(TK.SPECIAL_TOKENS.index(piece))
-                else:
-                    for w in self.pattern.findall(piece):
-                        ids.extend(self.word(w))
-            ends.append(len(ids))
+                    found.append(TK.SPECIAL_TOKENS.index(piece))
+                    continue
+                words = self.pattern.findall(piece)
+                got = list(map(number, words))
+                if None in got:
+                    for i, n in enumerate(got):
+                        if n is None:
+                            got[i] = number(words[i])
+                            if got[i] is None:
+                                got[i] = self.held[words[i]] = len(self.start) + len(self.new)
+                                self.new.append(words[i])
+                found += got
+            ends.append(len(found))
+        if self.new:
+            self._encode_new()
+        found = np.array(found, np.int64)
+        n = self.size[found]
+        end = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.start[found] - end[:-1], n) + np.arange(end[-1])]
         mask = arr.is_null() if arr.null_count else None
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=mask)
+        return pa.ListArray.from_arrays(pa.array(end[ends].astype(np.int32)), pa.array(ids, pa.int32()), mask=mask)
 
 
 _CODECS: dict = {}
@@ -435,7 +473,9 @@ _CODECS: dict = {}
 def make_bpe_encoder(merges: list[tuple[int, int, int]]):
     """An Arrow-batched column function: text -> ids with the trained merges.
     They travel as two flat arrays in a broadcast (bounded by the vocabulary
-    size), and a worker builds its :class:`Codec` once."""
+    size), and a worker builds its :class:`Codec` once.  A decoder over the ids
+    would have Spark encode a second time within it; what counts as not
+    deterministic is evaluated once."""
     pairs = np.array([a * PAIR_SHIFT + b for a, b, _ in merges], np.int64)
     new = np.array([n for _, _, n in merges], np.int32)
     shared = SparkSession.active().sparkContext.broadcast((pairs, new))
@@ -448,7 +488,7 @@ def make_bpe_encoder(merges: list[tuple[int, int, int]]):
             _CODECS[key] = Codec(pairs, new)
         return _CODECS[key](arr)
 
-    udf = F.arrow_udf(enc, T.ArrayType(T.IntegerType()))
+    udf = F.arrow_udf(enc, T.ArrayType(T.IntegerType())).asNondeterministic()
     return lambda c: udf(F.col(c) if isinstance(c, str) else c)
 
 
