@@ -697,8 +697,10 @@ def q_stream_ingest_counts(spark, sf):
     base = scratch_path(spark, "stream-ingest")
     d = table(spark, sf, "documents").select(F.col("lang").alias("group"),
                                              F.to_json(F.struct("text")).alias("line"))
-    d.repartition(STREAM_FILES).write.partitionBy("group").text(f"{base}/src")
-    return STR.stream_ingest_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+    # a file of a language for every split of the scan; as many batches as with the least number of files
+    n = max(STREAM_FILES, d.rdd.getNumPartitions())
+    d.repartition(n).write.partitionBy("group").text(f"{base}/src")
+    return STR.stream_ingest_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", n // STREAM_FILES)
 
 
 @register("source_fallback")
